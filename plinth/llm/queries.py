@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import bpe
+from plinth.llm import bpe, token_store
 from plinth.llm.common import table
 
 
@@ -21,8 +21,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return token_store.round_trip(table(spark, sf_dir, "documents"), f.read(), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_token_store": op3_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
