@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
 ``pretokenize`` cuts a buffer of many texts at once; each distinct piece is merged once and kept in a
-bounded cache, pieces that the cache lacks are merged together as the rows of a matrix (long ones with a
-heap, in n log n steps). Ids are the ranks of a tiktoken file; no special tokens.
+bounded table (``pieces``), pieces that it lacks are merged together as the rows of a matrix (long ones with
+a heap, in n log n steps). Ids are the ranks of a tiktoken file; no special tokens.
 
 A null text counts as empty; an empty text has no ids and decodes to no bytes. Very long texts are handled
 alone, in one buffer. Repeated rows and ties stay as they are; further columns of the input are ignored
@@ -21,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import arrow_map, text_chunks
-from plinth.llm.pretokenize import piece_starts
+from plinth.llm.common import arrow_map
+from plinth.llm.pieces import PieceTable, binary, chunks
 
 NONE = np.int32(2**31 - 1)
-#: Pieces kept by a worker; then the cache starts anew.
-CACHE = 300_000
 #: Bytes up to which a piece is a row of a matrix.
 WIDE = 32
 
@@ -79,7 +77,7 @@ class Vocabulary:
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = {(a, b): rank for token, rank in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None}
         self.pair_ranks = PairRanks(self.pairs)
-        self.cache: dict[str, bytes] = {}
+        self.table = PieceTable(self.merge)
 
     def merge_long(self, piece: bytes) -> list[int]:
         ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
@@ -100,8 +98,8 @@ class Vocabulary:
                     heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
         return [x for x, out in zip(ids, gone, strict=True) if not out]
 
-    def merge_rows(self, pieces: list[bytes]) -> list[bytes]:
-        """Of pieces of 1 to WIDE bytes: their ids as bytes."""
+    def merge_rows(self, pieces: list[bytes]) -> list[list[int]]:
+        """The same for pieces of 1 to WIDE bytes, all at once."""
         length = np.array([len(p) for p in pieces])
         width = int(length.max())
         ids = self.of_byte[np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8)].reshape(len(pieces), width)
@@ -128,43 +126,25 @@ class Vocabulary:
                 ranks[rows, cols] = self.pair_ranks(ids[rows, cols], ids[rows, cols + 1])
                 rows, cols = live[(k >= 0) & ~some], k[(k >= 0) & ~some]
                 ranks[rows, cols] = NONE
-        return [r[: 4 * n].tobytes() for r, n in zip(np.ascontiguousarray(ids, "<i4").view(np.uint8), length.tolist(), strict=True)]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Put the ids of these pieces into the cache."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        rows: list[tuple[str, bytes]] = []
-        for piece in pieces:
-            raw = piece.encode()
+        return [row[:n] for row, n in zip(ids.tolist(), length.tolist(), strict=True)]
+
+    def merge(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece."""
+        out: list[list[int]] = [[]] * len(pieces)
+        rows = []
+        for i, raw in enumerate(map(str.encode, pieces)):
             if (rank := self.ranks.get(raw)) is not None:
-                self.cache[piece] = rank.to_bytes(4, "little")
+                out[i] = [rank]
             elif len(raw) > WIDE:
-                self.cache[piece] = np.array(self.merge_long(raw), "<u4").tobytes()
+                out[i] = self.merge_long(raw)
             else:
-                rows.append((piece, raw))
-        rows.sort(key=lambda x: len(x[1]))
-        for i in range(0, len(rows), 4096):
-            part = rows[i : i + 4096]
-            self.cache.update(zip((p for p, _ in part), self.merge_rows([r for _, r in part]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        ends = np.cumsum([len(t) for t in texts])
-        firsts = np.append(0, ends[:-1])
-        buffer = "".join(texts)
-        starts = piece_starts(buffer, firsts[ends > firsts])
-        bounds = np.append(starts, len(buffer)).tolist()
-        pieces = [buffer[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        cache = self.cache
-        if missing := [p for p in set(pieces) if p not in cache]:
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = list(set(pieces))
-            self.learn(missing)
-        coded = [cache[p] for p in pieces]
-        cuts = np.searchsorted(starts, np.append(firsts, len(buffer))).tolist()
-        return [b"".join(coded[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                rows.append((len(raw), i, raw))
+        rows.sort()
+        for k in range(0, len(rows), 4096):
+            part = rows[k : k + 4096]
+            for (_, i, _), ids in zip(part, self.merge_rows([raw for _, _, raw in part]), strict=True):
+                out[i] = ids
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -203,11 +183,11 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
         vocab = vocabulary(lines.value)
         for batch in batches:
             key, column = batch.column(0), batch.column(1).fill_null("")
-            for a, b in text_chunks(column):
-                ids = vocab.encode(column[a:b].to_pylist())
-                columns = [key[a:b], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            for a, b in chunks(column):
+                ids, ends = vocab.table.encode(column[a:b])
+                columns = [key[a:b], pa.array(np.diff(ends)), binary(ids.astype("<u4"), ends)]
                 if with_offsets:
-                    columns.append(pa.array([vocab.offsets(x) for x in ids], pa.binary()))
+                    columns.append(pa.array([vocab.offsets(x) for x in columns[2].to_pylist()], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids", "offsets"][: len(columns)])
 
     return arrow_map(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids binary" + ", offsets binary" * with_offsets)

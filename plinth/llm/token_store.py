@@ -28,55 +28,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import arrow_map, shared_dir, stored, text_chunks
-from plinth.llm.pretokenize import piece_starts
+from plinth.llm.common import arrow_map, shared_dir, stored
+from plinth.llm.pieces import PieceTable, binary, chunks
 
-LANES, STEPS = 256, 256
+LANES, STEPS = 512, 128
 #: Tokens after which a block ends (it holds whole documents).
 BLOCK = 1 << 18
 #: Frequencies add up to 2 ** BITS; states lie in [2 ** 31, 2 ** 63).
 BITS, LOW = 20, np.uint64(1 << 31)
-CACHE = 300_000
 
 
-class Pieces:
-    """A tokenizer of the tokenizers library, asked once for each piece of text and then from a bounded
-    cache. Pieces are what its byte-level pre-tokenizer merges separately."""
-
-    def __init__(self, definition: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
+def piece_table(definition: str) -> PieceTable:
+    """The tokenizers library merges each piece, once; pieces are what its byte-level pre-tokenizer merges
+    separately."""
+    from tokenizers import Tokenizer
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        ends = np.cumsum([len(t) for t in texts])
-        firsts = np.append(0, ends[:-1])
-        buffer = "".join(texts)
-        starts = piece_starts(buffer, firsts[ends > firsts])
-        bounds = np.append(starts, len(buffer)).tolist()
-        pieces = [buffer[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        missing = [p for p in set(pieces) if p not in self.cache]
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
-            missing = list(set(pieces))
-        if missing:
-            coded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            self.cache.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(missing, coded, strict=True))
-        coded = [self.cache[p] for p in pieces]
-        cuts = np.searchsorted(starts, np.append(firsts, len(buffer))).tolist()
-        return [b"".join(coded[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    tokenizer = Tokenizer.from_str(definition)
+    tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+    return PieceTable(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
 
 
-_loaded: dict[str, Pieces] = {}
+_loaded: dict[str, PieceTable] = {}
 
 
-def pieces_of(definition: str) -> Pieces:
+def pieces_of(definition: str) -> PieceTable:
     key = hashlib.sha256(definition.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Pieces(definition)
+        _loaded[key] = piece_table(definition)
     return _loaded[key]
 
 
@@ -92,6 +71,8 @@ class Coder:
         self.cum = (np.cumsum(self.freq) - self.freq).astype(np.uint64)
         self.slot = np.repeat(np.arange(len(self.freq), dtype=np.int32), self.freq)
         self.freq = self.freq.astype(np.uint64)
+        self.at = np.zeros(int(self.ids.max(initial=0)) + 1, np.int32)
+        self.at[self.ids] = np.arange(len(self.ids))
 
     @classmethod
     def of_counts(cls, ids: list[int], counts: list[int]) -> Coder:
@@ -114,7 +95,7 @@ class Coder:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
         """States and places at the checkpoints, and the words."""
-        at = np.searchsorted(self.ids, ids)
+        at = self.at[ids]
         turns = -(-len(at) // LANES)
         x = np.full(LANES, LOW, np.uint64)
         words, states, places, written = [], [], [], 0
@@ -174,9 +155,10 @@ def tokenized(docs: DataFrame, definition: str, end_id: int, *, id_col: str = "d
         pieces, row = pieces_of(shared.value), 0
         for batch in batches:
             column = batch.column(2).fill_null("")
-            for a, b in text_chunks(column):
-                ids = [np.append(np.frombuffer(x, "<u4"), end_id).astype("<u2" if small else "<u4").tobytes() for x in pieces.encode(column[a:b].to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(range(row, row + b - a), pa.int64()), batch.column(1)[a:b], pa.array(ids, pa.binary())], ["file", "row", id_col, "ids"])
+            for a, b in chunks(column):
+                ids, ends = pieces.encode(column[a:b])
+                ids = np.insert(ids, ends[1:], end_id).astype("<u2" if small else "<u4")
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(range(row, row + b - a), pa.int64()), batch.column(1)[a:b], binary(ids, ends + np.arange(len(ends)))], ["file", "row", id_col, "ids"])
                 row += b - a
 
     rows = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
@@ -189,11 +171,10 @@ def frequencies(tokens: DataFrame, small: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(x, "<u2" if small else "<u4"))
-                if len(n) > len(total):
-                    total = np.append(total, np.zeros(len(n) - len(total), np.int64))
-                total[: len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2" if small else "<u4"))
+            if len(n) > len(total):
+                total = np.append(total, np.zeros(len(n) - len(total), np.int64))
+            total[: len(n)] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
