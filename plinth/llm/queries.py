@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plinth.llm import bpe, token_store
-from plinth.llm.common import table
+from plinth.llm import bpe, language_id, token_store, toxicity
+from plinth.llm.common import HELD_OUT, fold, table
 
 
 def tokenizer(name: str) -> str:
@@ -16,6 +17,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, fold("doc_id") != HELD_OUT)
+    return language_id.predict(docs, model).select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
@@ -26,9 +33,17 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_store.round_trip(table(spark, sf_dir, "documents"), f.read(), end_id=2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold("_id") != HELD_OUT)
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_store": op3_token_store,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
