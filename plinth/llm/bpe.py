@@ -15,6 +15,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -128,8 +129,8 @@ class Vocabulary:
                 ranks[rows, cols] = NONE
         return [row[:n] for row, n in zip(ids.tolist(), length.tolist(), strict=True)]
 
-    def merge(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of each piece."""
+    def merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these pieces, and how many each has."""
         out: list[list[int]] = [[]] * len(pieces)
         rows = []
         for i, raw in enumerate(map(str.encode, pieces)):
@@ -144,7 +145,7 @@ class Vocabulary:
             part = rows[k : k + 4096]
             for (_, i, _), ids in zip(part, self.merge_rows([raw for _, _, raw in part]), strict=True):
                 out[i] = ids
-        return out
+        return np.array(list(chain.from_iterable(out)), np.int32), np.array(list(map(len, out)), np.int32)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -31,9 +31,9 @@ POWERS = _powers()
 
 
 class PieceTable:
-    """``merge``: from distinct pieces to the ids of each."""
+    """``merge``: from distinct pieces to all their ids, and how many of them each has."""
 
-    def __init__(self, merge: Callable[[list[str]], list[list[int]]], bits: int = 21):
+    def __init__(self, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], bits: int = 21):
         self.merge, self.bits = merge, bits
         self.forget()
 
@@ -56,11 +56,9 @@ class PieceTable:
             todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def insert(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+    def insert(self, hashes: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
         """``hashes``: distinct and not yet in the table."""
         first, n = self.known, len(hashes)
-        counts = np.fromiter(map(len, ids), np.int32, n)
-        flat = np.fromiter((x for row in ids for x in row), np.int32, int(counts.sum()))
         if self.used + len(flat) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32))
         self.ids[self.used : self.used + len(flat)] = flat
@@ -79,14 +77,14 @@ class PieceTable:
 
     def of_buffer(self, text: str, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the pieces, their numbers of ids, and all ids."""
-        starts = piece_starts(text, first)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        starts = piece_starts(points, first)
         if not len(starts):
             return starts, np.zeros(0, np.int64), np.zeros(0, np.int32)
         lengths = np.diff(np.append(starts, len(text)))
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         within = np.minimum(np.arange(len(points)) - np.repeat(starts, lengths), LONGEST)
         with np.errstate(over="ignore"):
-            hashes = np.add.reduceat((points + np.uint64(0x51ED27)) * POWERS[within], starts)
+            hashes = np.add.reduceat((points + np.uint32(0x51ED27)).astype(np.uint64) * POWERS[within], starts)
             hashes ^= hashes >> np.uint64(32)
             hashes *= np.uint64(0xD6E8FEB86659FD93)
             hashes |= np.uint64(1)
@@ -102,7 +100,7 @@ class PieceTable:
             where = lacking[which]
             ends = starts[where] + lengths[where]
             with np.errstate(over="ignore"):
-                self.insert(new, self.merge([text[a:b] for a, b in zip(starts[where].tolist(), ends.tolist(), strict=True)]))
+                self.insert(new, *self.merge([text[a:b] for a, b in zip(starts[where].tolist(), ends.tolist(), strict=True)]))
                 at = self.find(hashes)
         at = np.maximum(at, 0)
         source, counts = self.start[at], self.count[at].astype(np.int64)
@@ -110,7 +108,7 @@ class PieceTable:
         for i in np.flatnonzero(long).tolist():
             row = self.merge([text[starts[i] : starts[i] + lengths[i]]])[0]
             source[i], counts[i] = len(ids) + sum(map(len, extra)), len(row)
-            extra.append(np.array(row, np.int32))
+            extra.append(row)
         if extra:
             ids = np.concatenate([ids, *extra])
         ends = np.cumsum(counts)

@@ -98,13 +98,12 @@ def scan(codes: np.ndarray, width: int = 64) -> np.ndarray:
     return flat[before[None, :] + within].T.ravel()[: len(codes)]
 
 
-def piece_starts(text: str, first: np.ndarray) -> np.ndarray:
-    """Where the pieces of texts start that lie one after the other in ``text``; ``first``: the texts'
-    first places (of those that are not empty), ascending from 0."""
-    if not text:
-        return np.zeros(0, np.int64)
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts start whose code points lie one after the other in ``points``; ``first``:
+    the texts' first places (of those that are not empty), ascending from 0."""
     n = len(points)
+    if not n:
+        return np.zeros(0, np.int64)
     symbols = classes()[points]
     opens = np.zeros(n + 3, bool)  # a text starts here, or nothing follows
     opens[first] = True

@@ -45,7 +45,30 @@ def piece_table(definition: str) -> PieceTable:
 
     tokenizer = Tokenizer.from_str(definition)
     tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-    return PieceTable(lambda pieces: [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+    size = np.zeros(tokenizer.get_vocab_size(), np.int64)  # in bytes; the vocabulary writes each as a letter
+    for token, i in tokenizer.get_vocab().items():
+        size[i] = len(token)
+
+    def merge(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that start with a blank are strung together, others (no white space) each after a line
+        end: the tokenizer cuts them there again. What is only white space goes alone."""
+        flat: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, p in enumerate(pieces):
+            kinds[2 if p.isspace() else p[0] != " "].append(i)
+        for kind, lead in ((0, ""), (1, "\n"), (2, None)):
+            step = 1 if lead is None else 512
+            parts = [kinds[kind][k : k + step] for k in range(0, len(kinds[kind]), step)]
+            strings = ["".join((lead or "") + pieces[i] for i in part) for part in parts]
+            for part, coded in zip(parts, tokenizer.encode_batch_fast(strings, add_special_tokens=False) if strings else [], strict=True):
+                ids = np.array(coded.ids, np.int32)
+                ends = np.cumsum([len(((lead or "") + pieces[i]).encode()) for i in part])
+                cuts = np.append(0, np.searchsorted(np.cumsum(size[ids]), ends) + 1)
+                for i, a, b in zip(part, (cuts[:-1] + len(lead or "")).tolist(), cuts[1:].tolist(), strict=True):
+                    flat[i] = ids[a:b]
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), np.array(list(map(len, flat)), np.int32)
+
+    return PieceTable(merge)
 
 
 _loaded: dict[str, PieceTable] = {}
@@ -122,19 +145,24 @@ class Coder:
         x = np.frombuffer(states, "<u8").reshape(-1, LANES).copy()
         place = np.frombuffer(places, "<i8").copy()
         stream = np.append(np.frombuffer(words, "<u4"), np.zeros(LANES, "<u4"))
-        out = np.zeros((len(x), STEPS, LANES), np.int64)
+        out, lanes = np.zeros((len(x), STEPS, LANES), np.int32), np.arange(LANES)[None, :]
         mask, bits, word = np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(32)
         for t in range(min(STEPS, -(-n // LANES))):
             live = np.minimum(np.maximum(n - (np.arange(len(x)) * STEPS + t) * LANES, 0), LANES)
-            on = np.arange(LANES)[None, :] < live[:, None]
+            on = lanes < live[:, None]
             low = x & mask
             at = self.slot[low]
             y = self.freq[at] * (x >> bits) + low - self.cum[at]
-            read = on & (y < LOW)
-            where = place[:, None] + np.cumsum(read, 1) - 1
-            y = np.where(read, y << word | stream[np.where(read, where, 0)], y)
-            x = np.where(on, y, x)
-            place += read.sum(1)
+            read = y < LOW
+            if live[-1] < LANES:
+                read &= on
+                y = np.where(on, y, x)
+            number = read.sum(1)
+            before = np.cumsum(number) - number
+            # the words that all stretches read now, stretch by stretch and lane by lane
+            y[read] = y[read] << word | stream[np.arange(int(number.sum())) + np.repeat(place - before, number)]
+            x = y
+            place += number
             out[:, t] = at
         return self.ids[out.reshape(-1)[:n]]
 
