@@ -50,7 +50,7 @@ def sample(docs: DataFrame, usable: Column, most: int, id_col: str) -> DataFrame
     n = known.count()
     place = F.xxhash64(F.col(id_col).cast("string"))
     if n > most:
-        known = known.where(place < -(2**63) + int(2**64 * min(1.0, 1.2 * most / n)))
+        known = known.where(place <= min(2**63 - 1, -(2**63) + int(2**64 * 1.2 * most / n)))
     return known.withColumn("_place", place).orderBy("_place", id_col).limit(most).drop("_place")
 
 

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from plinth.llm.common import arrow_map, stored, text_chunks, utf8
 from plinth.llm.words import VISIBLE, mixed, words
 
-HASHES, TREES, DEPTH, LEAST = 128, 16, 20, 3
-NEAR, FIRST = 12, 2
+HASHES, TREES, DEPTH, LEAST = 128, 20, 20, 3
+NEAR, FIRST = 16, 2
 _rng = np.random.default_rng(20240607)
 FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ORDERS = np.array([_rng.permutation(HASHES)[:DEPTH] for _ in range(TREES)])
