@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +75,13 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total
 
 
-def arrow_map(df: DataFrame, f, schema: str) -> DataFrame:
-    """mapInArrow over batches of at most 1,024 rows, so that a batch of long texts stays small."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1024:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,024 rows from here on, so that a batch of long texts stays small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1024:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over small batches."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(f, schema)

@@ -11,15 +11,15 @@ rows and ties get equal results, extra columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import arrow_map, sums, text_chunks, utf8
+from plinth.llm.common import small_batches, sums, text_chunks, utf8
 from plinth.llm.subword import Embeddings, grams, softmax, temperature
 
 UNKNOWN = "und"
@@ -88,29 +88,36 @@ def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_i
     return model
 
 
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """From a text column to (``lang_pred`` string, ``score`` double, ``rejected`` boolean) of whole texts."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def predicted(texts: pa.Array) -> pa.Array:
+        model, texts = shared.value, texts.fill_null("")
+        names, scores, rejected = [], [], []
+        for a, b in text_chunks(texts):
+            data, offsets = utf8(texts[a:b])
+            letters = sums(((data | 0x20) - np.uint8(0x61) < 26).astype(np.int64), offsets) > 0
+            for i in np.flatnonzero(~letters):
+                letters[i] = any(map(str.isalpha, texts[a + int(i)].as_py()))
+            if model.labels:
+                sure = softmax(model.logits(data, offsets) / model.heat)
+                score, best = np.where(letters, sure.max(axis=1), 0.0), sure.argmax(axis=1)
+            else:
+                letters[:] = False
+                score, best = np.zeros(b - a), np.zeros(b - a, int)
+            names += [model.labels[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]
+            scores.append(score)
+            rejected.append(~letters | (score < model.reject_below))
+        every = [pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores])), pa.array(np.concatenate([np.zeros(0, bool), *rejected]))]
+        return pa.StructArray.from_arrays(every, ["lang_pred", "score", "rejected"])
+
+    small_batches(spark)
+    return predicted
+
+
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``lang_pred`` string, ``score`` double, ``rejected`` boolean) for each row, of its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for a, b in text_chunks(batch.column(1).fill_null("")):
-                column = batch.column(1)[a:b].fill_null("")
-                data, offsets = utf8(column)
-                letters = sums(((data | 0x20) - np.uint8(0x61) < 26).astype(np.int64), offsets) > 0
-                for i in np.flatnonzero(~letters):
-                    letters[i] = any(map(str.isalpha, column[int(i)].as_py()))
-                if model.labels:
-                    sure = softmax(model.logits(data, offsets) / model.heat)
-                    score, best = np.where(letters, sure.max(axis=1), 0.0), sure.argmax(axis=1)
-                else:
-                    letters[:] = False
-                    score, best = np.zeros(b - a), np.zeros(b - a, int)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array([model.labels[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], pa.string()), pa.array(score), pa.array(~letters | (score < model.reject_below))],
-                    [id_col, "lang_pred", "score", "rejected"],
-                )
-
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    """(id, ``lang_pred``, ``score``, ``rejected``) for each row."""
+    of = predictor(docs.sparkSession, model)
+    return docs.select(id_col, of(F.col(text_col)).alias("p")).select(id_col, "p.*")

@@ -15,15 +15,15 @@ rows get equal scores, extra columns are ignored. A row of the labels whose labe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm.common import arrow_map, sums, text_chunks, utf8
+from plinth.llm.common import small_batches, sums, text_chunks, utf8
 from plinth.llm.language_id import sample
 from plinth.llm.subword import NORMAL, grams, temperature
 
@@ -132,17 +132,22 @@ def fit(texts: list[bytes], target: np.ndarray, epochs: int) -> Model:
     return model
 
 
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """From a text column to the probability of label 1, of whole texts."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        model, texts, out = shared.value, texts.fill_null(""), [np.zeros(0)]
+        for a, b in text_chunks(texts):
+            out.append(1 / (1 + np.exp(-np.clip(model.margins(*utf8(texts[a:b])) / model.heat, -40, 40))))
+        return pa.array(np.concatenate(out))
+
+    small_batches(spark)
+    return scored
+
+
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``score`` double, ``predicted`` int) for each row, of its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for a, b in text_chunks(batch.column(1).fill_null("")):
-                data, offsets = utf8(batch.column(1)[a:b])
-                p = 1 / (1 + np.exp(-np.clip(model.margins(data, offsets) / model.heat, -40, 40)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
-
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double, predicted int")
+    """(id, ``score`` double, ``predicted`` int) for each row."""
+    of = scorer(docs.sparkSession, model)
+    return docs.select(id_col, of(F.col(text_col)).alias("score")).select(id_col, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
