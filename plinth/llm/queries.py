@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import bpe, decontaminate, language_id, near_dedup, token_store, toxicity
+from plinth.llm import bpe, decontaminate, fingerprint, language_id, near_dedup, sharding, token_store, toxicity
 from plinth.llm.common import HELD_OUT, fold, table
 
 
@@ -33,12 +33,20 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         return token_store.round_trip(table(spark, sf_dir, "documents"), f.read(), end_id=2)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold("_id") != HELD_OUT)
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shuffle(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,7 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_store": op3_token_store,
+    "op4_fingerprints": op4_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }
