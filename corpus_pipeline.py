@@ -12,20 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import bpe, decontaminate, language_id, near_dedup, toxicity
-from plinth.llm.common import stored, table
+from plinth.llm.common import few, stored, table
 from plinth.llm.queries import tokenizer
 
 
-#: Ids up to which those to drop are broadcast (8 bytes each); more are joined by a shuffle.
-FEW = 1 << 20
-
-
 def _without(docs: DataFrame, decided: DataFrame, drop: str) -> DataFrame:
     """The rows of ``docs`` but those whose id ``decided`` drops."""
     ids = stored(decided.where(drop).select(F.col("doc_id").alias("_dropped")).distinct())
-    if ids.count() <= FEW:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return docs.join(few(ids), F.col("doc_id") == F.col("_dropped"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import arrow_map, stored, text_chunks, utf8
+from plinth.llm.common import arrow_map, few, stored, text_chunks, utf8
 from plinth.llm.words import VISIBLE, mixed, words
 
 HASHES, TREES, DEPTH, LEAST = 128, 20, 20, 3
@@ -121,11 +121,14 @@ def neighbours(labels: DataFrame, agree: int) -> DataFrame:
 
 def candidates(reps: DataFrame, agree: int) -> DataFrame:
     """``reps``: (rep long, sig binary). Distinct pairs (a, b, same), a < b."""
-    trees = F.array(*(F.struct(F.lit(t).alias("tree"), F.concat(*(F.substring("sig", int(2 * k + 1), 2) for k in order)).alias("label")) for t, order in enumerate(ORDERS)))
-    labels = reps.select("rep", F.explode(trees).alias("x")).select("rep", "x.tree", "x.label").withColumn("head", F.substring("label", 1, 2 * LEAST))
-    labels = stored(labels)
-    shared = labels.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "head")
-    rows = labels.join(shared, ["tree", "head"], "left_semi").select("tree", "label", "rep").join(reps, "rep").select("tree", "label", "rep", "sig")
+    head = lambda order: F.conv(F.hex(F.concat(*(F.substring("sig", int(2 * k + 1), 2) for k in order[:LEAST]))), 16, 10).cast("long")
+    heads = F.array(*(F.lit(t << 16 * LEAST) + head(order) for t, order in enumerate(ORDERS)))
+    heads = stored(reps.select("rep", F.explode(heads).alias("head")))
+    shared = few(stored(heads.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")))
+    rows = stored(heads.join(shared, "head", "left_semi"))
+    crowd = rows.groupBy("rep").agg(F.collect_list(F.shiftright("head", 16 * LEAST).cast("int")).alias("trees"))
+    label = F.element_at(F.array(*(F.concat(*(F.substring("sig", int(2 * k + 1), 2) for k in order)) for order in ORDERS)), F.col("tree") + 1)
+    rows = reps.join(crowd, "rep").select("rep", "sig", F.explode("trees").alias("tree")).withColumn("label", label).select("tree", "label", "rep", "sig")
     rows = rows.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
     return neighbours(rows, agree).groupBy("a", "b").agg(F.max("same").alias("same")).where("a < b")
 
@@ -196,7 +199,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, share: int = 80, id_co
     signed = stored(signatures(docs, shingle, id_col=id_col, text_col=text_col))
     classes = stored(signed.where("n_shingles > 0").groupBy("key", "sig").agg(F.min(id_col).cast("long").alias("rep")))
     pairs = stored(candidates(classes.select("rep", "sig"), least_agreement(share)))
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    involved = few(stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
     texts = stored(texts)
     best = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
