@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import bpe, decontaminate, fingerprint, language_id, near_dedup, sharding, token_store, toxicity
+from plinth.llm import bpe, decontaminate, fingerprint, html_text, language_id, near_dedup, sharding, token_store, toxicity, url_filter
 from plinth.llm.common import HELD_OUT, fold, table
 
 
@@ -37,6 +37,17 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the query: (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table labels URLs, so those of ``pages`` are labelled by url_filter.SEEDS to train the trees."""
+    pages = table(spark, sf_dir, "pages")
+    labelled = pages.select("url", url_filter.seed_label(F.col("url")).alias("verdict"))
+    return url_filter.judge(pages, URL_RULES, url_filter.train(labelled))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold("_id") != HELD_OUT)
@@ -51,6 +62,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, share=85)
 
@@ -60,9 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_store": op3_token_store,
     "op4_fingerprints": op4_fingerprints,
+    "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
+    "op9_html_text": op9_html_text,
     "op10_near_dedup": op10_near_dedup,
 }
 
