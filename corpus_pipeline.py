@@ -43,9 +43,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ``ids`` binary, little-endian unsigned 32-bit."""
-    path = tokenizer("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    trip = bpe.round_trip(docs, tokenizer("byte_bpe_multi_50k.tiktoken"))
+    return trip.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -173,40 +173,48 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+def encoded(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, id_col: str, with_offsets: bool = False) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, column = batch.column(0), batch.column(1).fill_null("")
+        for a, b in chunks(column):
+            ids, ends = vocab.table.encode(column[a:b])
+            columns = [key[a:b], pa.array(np.diff(ends)), binary(ids.astype("<u4"), ends)]
+            if with_offsets:
+                columns.append(pa.array([vocab.offsets(x) for x in columns[2].to_pylist()], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids", "offsets"][: len(columns)])
+
+
+def decoded(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, id_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [vocab.decode(x or b"") for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.binary())], [id_col, "n_tokens", "ids", "decoded"])
+
+
 def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_offsets: bool = False) -> DataFrame:
     """One row per row of ``df``: the id column, ``n_tokens`` long, ``ids`` binary (little-endian unsigned
     32-bit integers), and with ``with_offsets`` also ``offsets`` binary (the byte at which each id starts).
     ``path``: the tiktoken file, read by the driver and broadcast (its size doesn't grow with the data)."""
-    lines = df.sparkSession.sparkContext.broadcast(read_ranks(path))
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(lines.value)
-        for batch in batches:
-            key, column = batch.column(0), batch.column(1).fill_null("")
-            for a, b in chunks(column):
-                ids, ends = vocab.table.encode(column[a:b])
-                columns = [key[a:b], pa.array(np.diff(ends)), binary(ids.astype("<u4"), ends)]
-                if with_offsets:
-                    columns.append(pa.array([vocab.offsets(x) for x in columns[2].to_pylist()], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids", "offsets"][: len(columns)])
-
-    return arrow_map(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids binary" + ", offsets binary" * with_offsets)
+    lines, kind = df.sparkSession.sparkContext.broadcast(read_ranks(path)), df.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, n_tokens long, ids binary" + ", offsets binary" * with_offsets
+    return arrow_map(df.select(id_col, text_col), lambda batches: encoded(batches, vocabulary(lines.value), id_col, with_offsets), schema)
 
 
 def decode(df: DataFrame, path: str, *, id_col: str = "doc_id") -> DataFrame:
     """``df`` has the columns of ``encode``; adds ``decoded`` binary, the bytes of the ids."""
-    lines = df.sparkSession.sparkContext.broadcast(read_ranks(path))
-    kind = df.schema[id_col].dataType.simpleString()
+    lines, kind = df.sparkSession.sparkContext.broadcast(read_ranks(path)), df.schema[id_col].dataType.simpleString()
+    return arrow_map(df.select(id_col, "n_tokens", "ids"), lambda batches: decoded(batches, vocabulary(lines.value), id_col), f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one worker."""
+    lines, kind = df.sparkSession.sparkContext.broadcast(read_ranks(path)), df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(lines.value)
-        for batch in batches:
-            decoded = [vocab.decode(x or b"") for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [id_col, "n_tokens", "ids", "decoded"])
+        return decoded(encoded(batches, vocab, id_col), vocab, id_col)
 
-    return arrow_map(df.select(id_col, "n_tokens", "ids"), run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
+    return arrow_map(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return decoded.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(trip: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return trip.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

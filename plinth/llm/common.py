@@ -48,7 +48,7 @@ def few(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def text_chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def text_chunks(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column that hold at most ``most_bytes`` bytes, or one row that is longer."""
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32, len(column) + 1, column.offset * (8 if pa.types.is_large_string(column.type) else 4)) if len(column) else np.zeros(1, np.int32)
     start = 0
