@@ -8,7 +8,7 @@ are fewer). Texts with equal sets are one class; the rest concerns one text of e
 2. Labels that share their first LEAST values with another are sorted, tree by tree, in ranges that Spark
    chooses by size. Neighbours in that order have the longest common prefixes; where a region is crowded the
    NEAR nearest rows agree to a greater depth by themselves. A pair is a candidate if its signatures agree in
-   so many places as a pair at the threshold falls short of in 1 of 100,000 cases.
+   so many places as a pair at the threshold falls short of in 1 of 10,000 cases.
 3. Candidates are confirmed by the exact sizes of intersection and union of the full sets: first each text's
    FIRST likeliest, then all that still lead from one group to another.
 4. Groups are the connected components of the confirmed links.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from plinth.llm.common import arrow_map, few, stored, text_chunks, utf8
 from plinth.llm.words import VISIBLE, mixed, words
 
-HASHES, TREES, DEPTH, LEAST = 128, 20, 20, 3
-NEAR, FIRST = 16, 2
+HASHES, TREES, DEPTH, LEAST = 256, 24, 32, 3
+NEAR, FIRST = 9, 2
 _rng = np.random.default_rng(20240607)
 FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ORDERS = np.array([_rng.permutation(HASHES)[:DEPTH] for _ in range(TREES)])
@@ -188,9 +188,9 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def least_agreement(share: int) -> int:
-    """Places of HASHES in which a pair of similarity share / 100 agrees but in 1 of 100,000 cases."""
+    """Places of HASHES in which a pair of similarity share / 100 agrees but in 1 of 10,000 cases."""
     p = share / 100
-    return int(HASHES * p - 4.27 * (HASHES * p * (1 - p)) ** 0.5)
+    return int(HASHES * p - 3.7 * (HASHES * p * (1 - p)) ** 0.5)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
