@@ -40,21 +40,21 @@ def neighbours(lengths: DataFrame) -> DataFrame:
     return found.join(ends, "part").select("id", F.coalesce("down", F.col("after.id")).alias("next_id"), up["id"].alias("before_id"), up["n"].alias("before_n"))
 
 
-def sample_columns(term: str, weights: list[str], group: str) -> list[Column]:
-    """For each of AT_ONCE samples of a group and each weight: the value whose least is the sample. It holds
-    40 bits of ln a, then 23 bits of a hash of term and t; null without weight."""
-    out = []
-    for j in range(AT_ONCE):
-        h, g = (f"xxhash64({term}, {group} * {AT_ONCE} + {j}, {salt})" for salt in (1, 2))
-        low, high = (lambda x: f"(((({x}) & 2097151) + 0.5D) / 2097152)"), (lambda x: f"((shiftrightunsigned({x}, 42) + 0.5D) / 4194304)")
-        middle = f"((shiftrightunsigned({h}, 21) & 2097151) + 0.5D) / 2097152"
-        r = f"(-ln({low(h)} * {middle}))"
-        c = f"ln(-ln((shiftrightunsigned({g}, 32) + 0.5D) / 4294967296 * ((({g}) & 4294967295) + 0.5D) / 4294967296))"
-        for w in weights:
-            t = f"floor(ln({w}) / {r} + {high(h)})"
-            a = f"({c} - {r} * ({t} - {high(h)} + 1))"
-            out.append(F.expr(f"CASE WHEN {w} > 0 THEN shiftleft(CAST(({a} + 100) * 8589934592D AS BIGINT), 23) | (xxhash64({term}, {t}) & 8388607) END").alias(f"{w}_{j}"))
-    return out
+def sampled(terms: DataFrame) -> DataFrame:
+    """``terms``: (id, h, g, ln_own, ln_other), a row for each term and group g of AT_ONCE samples. Adds, for
+    each sample j and weight, ``own_j`` and ``other_j``: 40 bits of ln a, then 23 of term and t; the least of
+    a text is its sample. Each step is a projection of its own, so that what it makes is made once."""
+    each, sides = range(AT_ONCE), ("own", "other")
+    hashed = terms.select("*", *(F.expr(f"xxhash64(h, g * {AT_ONCE} + {j}, {salt})").alias(f"{n}{j}") for j in each for n, salt in (("x", 1), ("y", 2))))
+    drawn = []
+    for j in each:
+        drawn.append(F.expr(f"-ln((((x{j} & 2097151) + 0.5D) / 2097152) * (((shiftrightunsigned(x{j}, 21) & 2097151) + 0.5D) / 2097152))").alias(f"r{j}"))
+        drawn.append(F.expr(f"(shiftrightunsigned(x{j}, 42) + 0.5D) / 4194304").alias(f"b{j}"))
+        drawn.append(F.expr(f"ln(-ln(((shiftrightunsigned(y{j}, 32) + 0.5D) / 4294967296D) * (((y{j} & 4294967295) + 0.5D) / 4294967296D)))").alias(f"c{j}"))
+    ready = hashed.select("id", "h", "g", "ln_own", "ln_other", *drawn)
+    stepped = ready.select("*", *(F.expr(f"floor(ln_{w} / r{j} + b{j})").alias(f"t{j}_{w}") for j in each for w in sides))
+    value = "shiftleft(CAST((c{j} - r{j} * (t{j}_{w} - b{j} + 1) + 100) * 8589934592D AS BIGINT), 23) | ((h ^ shiftleft(t{j}_{w}, 3)) & 8388607)"
+    return stepped.select("id", "g", *(F.expr(value.format(j=j, w=w)).alias(f"{w}_{j}") for j in each for w in sides))
 
 
 def samples(bodies: DataFrame) -> DataFrame:
@@ -62,9 +62,9 @@ def samples(bodies: DataFrame) -> DataFrame:
     arrays of the samples of sides 0 and 1 in order; ids without any term are left out."""
     terms = bodies.select("id", "side", F.explode(F.split("body", " ")).alias("term")).where("term != ''").select("id", F.xxhash64("term").alias("h"), "side")
     counted = terms.groupBy("id", "h").agg(F.sum(F.expr("CAST(side = 0 AS BIGINT)")).alias("own"), F.sum(F.expr("CAST(side = 1 AS BIGINT)")).alias("other"))
-    groups = counted.select("id", "h", F.col("own").cast("double").alias("own"), F.col("other").cast("double").alias("other"), F.explode(F.array(*map(F.lit, range(SAMPLES // AT_ONCE)))).alias("g"))
-    found = groups.select("id", "g", *sample_columns("h", ["own", "other"], "g"))
-    least = found.groupBy("id", "g").agg(*(F.min(f"{w}_{j}").alias(f"{w}_{j}") for j in range(AT_ONCE) for w in ("own", "other")))
+    logs = counted.select("id", "h", *(F.expr(f"CASE WHEN {w} > 0 THEN ln(CAST({w} AS DOUBLE)) END").alias(f"ln_{w}") for w in ("own", "other")))
+    groups = logs.select("*", F.explode(F.array(*map(F.lit, range(SAMPLES // AT_ONCE)))).alias("g"))
+    least = sampled(groups).groupBy("id", "g").agg(*(F.min(f"{w}_{j}").alias(f"{w}_{j}") for j in range(AT_ONCE) for w in ("own", "other")))
     rows = F.array_sort(F.collect_list(F.struct("g", *(F.array(*(f"{w}_{j}" for j in range(AT_ONCE))).alias(w) for w in ("own", "other")))))
     of = lambda w: F.flatten(F.transform("rows", lambda x: x[w])).alias(w)
     return least.groupBy("id").agg(rows.alias("rows")).select("id", of("own"), of("other"))
