@@ -10,7 +10,8 @@ are fewer). Texts with equal sets are one class; the rest concerns one text of e
    NEAR nearest rows agree to a greater depth by themselves. A pair is a candidate if its signatures agree in
    so many places as a pair at the threshold falls short of in 1 of 10,000 cases.
 3. Candidates are confirmed by the exact sizes of intersection and union of the full sets: first each text's
-   FIRST likeliest, then all that still lead from one group to another.
+   FIRST likeliest, then all that still lead from one group to another; where those fail, the text is held
+   against the centres of that group.
 4. Groups are the connected components of the confirmed links.
 
 Pairs are never made of all members of a group: each text has NEAR neighbours in each tree.
@@ -187,6 +188,20 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return found.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "same")
 
 
+def towards_centres(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """For each pair that failed: one end with the centre of the other's group, as seen from the other end (of
+    itself and its neighbours by ``links`` the one with the most links, and that one's own such). Edited
+    copies may be near their original alone, and near in many trees to each other. Distinct pairs (a, b)."""
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    near = both.unionAll(degree.select("a", F.col("a").alias("b"))).join(degree.select(F.col("a").alias("b"), "n"), "b")
+    centre = stored(near.groupBy("a").agg(F.max(F.struct("n", F.col("b").alias("c"))).alias("m")).select("a", F.col("m.c").alias("c")))
+    further = centre.join(centre.select(F.col("a").alias("c"), F.col("c").alias("d")), "c").select("a", F.array_distinct(F.array("c", "d")).alias("to"))
+    ends = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = ends.join(further.select(F.col("a").alias("b"), "to"), "b").select("a", F.explode("to").alias("c")).where("a != c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"), F.lit(0).alias("same")).distinct()
+    return across(found, roots)
+
+
 def least_agreement(share: int) -> int:
     """Places of HASHES in which a pair of similarity share / 100 agrees but in 1 of 10,000 cases."""
     p = share / 100
@@ -208,7 +223,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, share: int = 80, id_co
     links = stored(confirmed(best, texts, share, shingle))
     roots = components(links)
     more = confirmed(across(pairs, roots).join(best, ["a", "b"], "left_anti"), texts, share, shingle)
-    roots = components(links.unionAll(more))
+    links = stored(links.unionAll(more))
+    roots = stored(components(links))
+    centres = towards_centres(across(pairs, roots), links, roots).join(pairs, ["a", "b"], "left_anti")
+    roots = components(links.unionAll(confirmed(centres, texts, share, shingle)))
     classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
     of = F.coalesce("root", F.col(id_col).cast("long"))
     return signed.select(id_col, "n_shingles", "key").join(classes, "key", "left").select(id_col, "n_shingles", of.alias("component_id"), (of == F.col(id_col)).alias("kept"))
