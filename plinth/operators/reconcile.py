@@ -45,7 +45,7 @@ def problems(df: DataFrame, grain: Sequence[str]) -> DataFrame:
     for g in grain:
         empty = empty | F.col(g).isNull() | (F.col(g).cast("string") == "")
     keys = df.groupBy(*grain).agg(F.count(F.lit(1)).alias("n"), F.count_if(empty).alias("e"))
-    return keys.agg(F.count_if("n > 1").alias("duplicates"), F.coalesce(F.sum("e"), F.lit(0)).alias("nulls"))
+    return keys.agg(F.count_if(F.col("n") > 1).alias("duplicates"), F.coalesce(F.sum("e"), F.lit(0)).alias("nulls"))
 
 
 def compare(sources: dict[str, DataFrame], grain: Sequence[str], measures: Sequence[str], tolerances: dict[str, Decimal]) -> DataFrame:
