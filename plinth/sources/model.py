@@ -49,6 +49,16 @@ def join_plan(tables: Sequence[str], edges: Sequence[Edge]) -> JoinPlan:
     return JoinPlan("single" if not order else "snowflake" if deep else "star", roots[0], tuple(order))
 
 
+def needed(frames: dict[str, DataFrame], plan: JoinPlan, wanted: Sequence[str]) -> JoinPlan:
+    """The plan without dimensions that give none of the wanted columns and lead to none that does: a left join
+    to a unique key changes nothing else, but Spark can't know that the key is unique."""
+    edges = list(plan.edges)
+    for e in reversed(plan.edges):
+        if not set(frames[e.child].columns) & set(wanted) and not any(x.parent == e.child for x in edges):
+            edges.remove(e)
+    return JoinPlan(plan.shape, plan.root, tuple(edges))
+
+
 def flatten(frames: dict[str, DataFrame], plan: JoinPlan) -> DataFrame:
     """One left join per dimension, so no row of the fact is lost or, keys being unique, doubled. A column
     whose name is taken becomes NAME_TABLE; if that is taken too it is left out."""
