@@ -85,7 +85,7 @@ def chosen(labelled: DataFrame, docs: DataFrame, usable: Column | None, id_col:
     return sorted(rows, key=lambda r: (str(r["_id"]), r["_text"], r["_y"]))
 
 
-def train(docs: DataFrame, labelled: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, longest: int = 30_000, epochs: int = 6) -> Model:
+def train(docs: DataFrame, labelled: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, longest: int = 10_000, epochs: int = 6) -> Model:
     """``labelled``: (id, label); ``usable``: a condition on its id, there named ``_id``."""
     rows = chosen(labelled, docs, usable, id_col, text_col, label_col, per_class, longest)
     return fit([r["_text"].encode() for r in rows], np.array([r["_y"] for r in rows], int), epochs)
