@@ -35,7 +35,7 @@ from plinth.llm.common import arrow_map, few, stored, text_chunks, utf8
 from plinth.llm.words import VISIBLE, mixed, words
 
 HASHES, TREES, DEPTH, LEAST = 256, 24, 32, 3
-NEAR, FIRST = 9, 2
+NEAR, FIRST = 6, 2
 _rng = np.random.default_rng(20240607)
 FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ORDERS = np.array([_rng.permutation(HASHES)[:DEPTH] for _ in range(TREES)])
@@ -222,10 +222,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, share: int = 80, id_co
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(confirmed(best, texts, share, shingle))
     roots = components(links)
-    more = confirmed(across(pairs, roots).join(best, ["a", "b"], "left_anti"), texts, share, shingle)
+    apart = stored(across(pairs, roots))
+    more = confirmed(apart.join(best, ["a", "b"], "left_anti"), texts, share, shingle)
     links = stored(links.unionAll(more))
     roots = stored(components(links))
-    centres = towards_centres(across(pairs, roots), links, roots).join(pairs, ["a", "b"], "left_anti")
+    centres = towards_centres(across(apart, roots), links, roots).join(pairs, ["a", "b"], "left_anti")
     roots = components(links.unionAll(confirmed(centres, texts, share, shingle)))
     classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
     of = F.coalesce("root", F.col(id_col).cast("long"))
