@@ -116,6 +116,18 @@ def parity(app: DataFrame, source: DataFrame, measures: Sequence[str], relative:
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def gate(df: DataFrame, metrics: dict[str, Column], bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """All metrics in one pass: a row for each with PASS inside its known bounds, BUG outside or if it is null,
+    EXECUTED if no bounds are known."""
+    one = df.agg(*(m.cast("double").alias(n) for n, m in metrics.items()))
+    rows = []
+    for n in metrics:
+        low, high = bounds.get(n, (None, None))
+        known = F.lit("EXECUTED") if low is None else F.when(F.col(n).between(low, high), "PASS").otherwise("BUG")
+        rows.append(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value"), F.when(F.col(n).isNull(), "BUG").otherwise(known).alias("verdict")))
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def partitions(df: DataFrame, dims: Sequence[str]) -> bool:
     """Whether the dimensions tell the rows apart, so that parts may be added up."""
     if not dims or any(d.lower() == "measure names" for d in dims):

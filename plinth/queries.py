@@ -15,6 +15,7 @@ from plinth.functions import scalar as S
 from plinth.operators import filters, reconcile, topn
 from plinth.plans import sheets
 from plinth.plans.findings import Findings
+from plinth.plans.measures import measure
 from plinth.plans.semantic import Model
 from plinth.sources import ingest
 from plinth.sources.model import Edge, blend, flatten, join_plan, needed
@@ -455,5 +456,19 @@ def val_parity(df: DataFrame) -> DataFrame:
     return reconcile.parity(df.select("SALES", (F.abs("PROFIT") + 1).alias("PROFIT")), df, ["SALES", "PROFIT"]).select("measure", "verdict")
 
 
+@query("SELECT 'ratio' AS metric, round(sum(PROFIT) / sum(SALES), 8) AS value, CASE WHEN sum(PROFIT) / sum(SALES) BETWEEN -1 AND 1 THEN 'PASS' ELSE 'BUG' END AS verdict FROM sales UNION ALL SELECT 'orders', count(DISTINCT ORDER_ID)::DOUBLE, 'EXECUTED' FROM sales")
+def val_gate(df: DataFrame) -> DataFrame:
+    return money(reconcile.gate(df, {"ratio": profit_ratio(), "orders": F.countDistinct("ORDER_ID")}, {"ratio": (-1, 1)}), "value", digits=8)
+
+
+@query("SELECT SEGMENT, count(*) AS N, round(sum(PROFIT) / nullif(sum(SALES), 0), 8) AS RATIO, round(avg(SALES - PROFIT), 4) AS COST, round(max(DISCOUNT), 4) AS D, round(sum(SALES), 2) AS S FROM sales GROUP BY 1")
+def prj_measures(df: DataFrame) -> DataFrame:
+    """Measures by caption: records, calculations of aggregate and of row grain, a column by an aggregate, a sum."""
+    calcs = {"Profit Ratio": (profit_ratio, True), "Cost": (lambda: F.col("SALES") - F.col("PROFIT"), False)}
+    of = lambda caption, agg="sum": measure(df, caption, agg, calcs=calcs, library={"Turnover": total})
+    view = df.groupBy("SEGMENT").agg(of("Number of Records").alias("N"), of("Profit Ratio").alias("RATIO"), of("Cost", "avg").alias("COST"), of("Discount", "max").alias("D"), of("Turnover").alias("S"))
+    return money(money(money(view, "S"), "COST", "D", digits=4), "RATIO", digits=8)
+
+
 QUERIES["ev_windows"] = lambda spark, sf_dir: money(windowed(load(spark, sf_dir, "events")), "total")
 ORACLE_SQL["ev_windows"] = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"

@@ -11,6 +11,7 @@ from plinth.functions import scalar as S
 from plinth.operators import filters, reconcile, topn
 from plinth.plans import sheets
 from plinth.plans.findings import Findings, Refused
+from plinth.plans.measures import measure
 from plinth.plans.semantic import Model
 from plinth.streaming.events import windowed
 
@@ -130,6 +131,14 @@ def test_metrics(tiny):
         model.find("none")
 
 
+def test_measures(tiny):
+    found = Findings()
+    assert tiny.toDF("D", "E", "N", "V").agg(measure(tiny.toDF("D", "E", "N", "V"), "d").alias("x")).first()["x"] == "a"
+    with pytest.raises(Refused):
+        measure(tiny, "Gone", sheet="s", findings=found)
+    assert found.codes() == ["measure-unresolved"]
+
+
 def test_tolerances():
     t = reconcile.tolerance
     assert t("count") == 0 and t("number", 0) == D("0.5") and t("number", 2) == D("0.005") and t("percent", 1) == D("0.0005")
