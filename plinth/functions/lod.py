@@ -27,10 +27,11 @@ def refuse(function: str) -> None:
 
 
 def fixed(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
-    """Adds ``{FIXED keys : AGG}`` to each row; null keys are a group like others."""
-    made = df.groupBy(*keys).agg(*(v.alias(n) for n, v in values.items())).select(*(F.col(k).alias(f"_fixed_{k}") for k in keys), *values)
-    same = [F.col(k).eqNullSafe(F.col(f"_fixed_{k}")) for k in keys]
-    return df.join(made, same).select(*df.columns, *values)
+    """Adds ``{FIXED keys : AGG}`` to each row; null keys are a group like others. Both sides of the join have the
+    keys as one struct, in which nulls are equal, so the aggregate is exchanged only once."""
+    keyed = df.withColumn("_fixed", F.struct(*keys))
+    made = keyed.groupBy("_fixed").agg(*(v.alias(n) for n, v in values.items()))
+    return keyed.join(made, "_fixed").select(*df.columns, *values)
 
 
 def overall(df: DataFrame, value: Column) -> Column:

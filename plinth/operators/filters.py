@@ -32,7 +32,12 @@ def members(df: DataFrame, column: str, values: Sequence[object], *, exclude: bo
 
 
 def between(df: DataFrame, column: str, low: object = None, high: object = None, *, part: str | None = None) -> Column:
-    """A range with its ends, each optional; of a date's part if one is named."""
+    """A range with its ends, each optional; of a date's part if one is named. Years become ranges of dates,
+    which a scan can use to skip row groups."""
+    if part == "year" and not (low is None and high is None):
+        first = lambda year: F.make_date(F.lit(year), F.lit(1), F.lit(1)).cast("timestamp_ntz")
+        ends = ([] if low is None else [F.col(column) >= first(int(low))]) + ([] if high is None else [F.col(column) < first(int(high) + 1)])
+        return reduce(Column.__and__, ends)
     col = date_part(part, F.col(column)) if part else F.col(column)
     kind = "int" if part else _kind(df, column)
     ends = [e for e in (None if low is None else col >= F.lit(low).cast(kind), None if high is None else col <= F.lit(high).cast(kind)) if e is not None]

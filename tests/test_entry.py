@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -27,6 +28,11 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(queries.QUERIES) <= set(entry.queries())
 
 
+def test_nothing_else_imports_the_training_data_operators():
+    for path in (Path(queries.__file__).parent).rglob("*.py"):
+        assert "llm" in path.parts or "plinth.llm" not in path.read_text()
+
+
 def plain(rows):
     near = lambda v: None if v is None else round(float(v), 1) if isinstance(v, float) and not math.isnan(v) else v
     return sorted((tuple(map(near, r)) for r in rows), key=str)

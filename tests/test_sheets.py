@@ -38,6 +38,8 @@ def test_ranges_and_calcs(tiny):
     assert count(tiny, filters.between(tiny, "n", "2", 3)) == 2 and count(tiny, filters.between(tiny, "v", high=0)) == 2
     with pytest.raises(Refused):
         filters.between(tiny, "n")
+    dated = tiny.withColumn("t", F.make_date(2020 + F.col("n"), F.lit(12), F.lit(31)).cast("timestamp_ntz"))
+    assert [count(dated, filters.between(dated, "t", a, b, part="year")) for a, b in ((2021, 2022), (2023, None), (None, 2021))] == [2, 2, 1]
     assert count(tiny, filters.calc(F.col("n") > 2, [True])) == 2 and count(tiny, filters.calc(F.col("n") > 2, [False])) == 2
     assert filters.calc(F.col("n") > 2, [True, False]) is None
     assert count(tiny, filters.present(tiny, {"d": F.col("d") == "a", "gone": F.col("gone") == 1, "e": None})) == 2

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plinth.plans.findings import Refused
 from plinth.sources import ingest, naming
-from plinth.sources.model import Edge, blend, fan_out, flatten, join_plan, verify
+from plinth.sources.model import Edge, blend, fan_out, flatten, join_plan, needed, verify
 
 
 def test_names():
@@ -128,6 +128,13 @@ def test_snowflake_with_clashing_names(spark):
     assert join_plan(["a"], []).shape == "single" and join_plan(["a", "b"], [E("a", "k", "b", "k")]).shape == "star"
 
 
+def test_only_needed_dimensions(spark):
+    frames = {"f": spark.range(1).selectExpr("id AS a", "id AS b"), "x": spark.range(1).selectExpr("id AS xk", "id AS yk"), "y": spark.range(1).selectExpr("id AS yid", "'v' AS name"), "z": spark.range(1).selectExpr("id AS zk", "1 AS zv")}
+    plan = join_plan(list(frames), [E("f", "a", "x", "xk"), E("x", "yk", "y", "yid"), E("f", "b", "z", "zk")])
+    assert [e.child for e in needed(frames, plan, ["name"]).edges] == ["x", "y"]
+    assert [e.child for e in needed(frames, plan, ["zv", "a"]).edges] == ["z"] and needed(frames, plan, ["a"]).edges == ()
+
+
 def test_blend_never_multiplies(spark):
     one = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, v int")
     two = spark.createDataFrame([("a", 10), ("a", 20), (None, 5)], "k string, w int")
