@@ -128,7 +128,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col
     """Per row of ``docs``: id, ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``n_items``
     long, ``items_sha256`` string (of the items' ids as strings, sorted, with commas), ``contaminated``."""
     spark = docs.sparkSession
-    windows = stored(item_windows(items, window, id_col=item_col).withColumn("block", F.pmod(F.xxhash64("item"), F.lit(1 << 20))))
+    windows = stored(item_windows(items, window, id_col=item_col).withColumn("block", F.pmod(F.xxhash64("item", "passage"), F.lit(1 << 20))))
     n = windows.count()
     blocks = max(1, -(-n // ITEMS_BLOCK))
     hits, base = [], None
