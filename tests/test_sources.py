@@ -88,10 +88,10 @@ def test_binding():
 
 
 def test_packages(tmp_path):
-    with zipfile.ZipFile(tmp_path / "w.twbx", "w") as z:
+    with zipfile.ZipFile(tmp_path / "book.zip", "w") as z:
         z.writestr("Data/orders.csv", "a")
-        z.writestr("book.twb", "x")
-    own = ingest.packaged_files(str(tmp_path / "w.twbx"))
+        z.writestr("book.xml", "x")
+    own = ingest.packaged_files(str(tmp_path / "book.zip"))
     assert own == ["Data/orders.csv"]
     assert ingest.pick_file("Orders", own, ["old/Orders.csv"]) == "Data/orders.csv"
     assert ingest.pick_file("People", own, ["old/people.csv"]) == "old/people.csv" and ingest.pick_file("z", own, []) is None
