@@ -52,21 +52,23 @@ def piece_table(definition: str) -> PieceTable:
     def merge(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that start with a blank are strung together, others (no white space) each after a line
         end: the tokenizer cuts them there again. What is only white space goes alone."""
-        flat: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
         kinds: tuple[list[int], ...] = ([], [], [])
         for i, p in enumerate(pieces):
             kinds[2 if p.isspace() else p[0] != " "].append(i)
-        for kind, lead in ((0, ""), (1, "\n"), (2, None)):
-            step = 1 if lead is None else 512
+        start, count, every, done = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [np.zeros(0, np.int32)], 0
+        for kind, lead in ((0, ""), (1, "\n"), (2, "")):
+            step = 1 if kind == 2 else 512
             parts = [kinds[kind][k : k + step] for k in range(0, len(kinds[kind]), step)]
-            strings = ["".join((lead or "") + pieces[i] for i in part) for part in parts]
+            strings = ["".join(lead + pieces[i] for i in part) for part in parts]
             for part, coded in zip(parts, tokenizer.encode_batch_fast(strings, add_special_tokens=False) if strings else [], strict=True):
-                ids = np.array(coded.ids, np.int32)
-                ends = np.cumsum([len(((lead or "") + pieces[i]).encode()) for i in part])
-                cuts = np.append(0, np.searchsorted(np.cumsum(size[ids]), ends) + 1)
-                for i, a, b in zip(part, (cuts[:-1] + len(lead or "")).tolist(), cuts[1:].tolist(), strict=True):
-                    flat[i] = ids[a:b]
-        return np.concatenate(flat) if flat else np.zeros(0, np.int32), np.array(list(map(len, flat)), np.int32)
+                every.append(np.array(coded.ids, np.int32))
+                ends = np.cumsum([len(lead) + len(pieces[i].encode()) for i in part])
+                cuts = np.append(0, np.searchsorted(np.cumsum(size[every[-1]]), ends) + 1)
+                start[part], count[part] = done + cuts[:-1] + len(lead), np.diff(cuts) - len(lead)
+                done += len(every[-1])
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        return np.concatenate(every)[np.arange(total) + np.repeat(start - (ends - count), count)], count.astype(np.int32)
 
     return PieceTable(merge)
 
@@ -260,12 +262,14 @@ def read_table(spark: SparkSession, path: str) -> Coder:
     return Coder.of_counts([r["id"] for r in rows], [r["n"] for r in rows])
 
 
-def read(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
+def read(spark: SparkSession, path: str, *, id_col: str = "doc_id", checksums: bool = False) -> DataFrame:
     """Per document: its block's ``file`` and ``row``, id, ``start`` long (in the block), ``n_tokens`` long,
-    ``ids`` binary (little-endian unsigned 32-bit integers) of the files below ``path``. A block whose checksums fail raises ValueError."""
+    ``ids`` binary (little-endian unsigned 32-bit integers) of the files below ``path``; with ``checksums``
+    their crc32 as ``ids_crc32`` long instead. A block whose checksums fail raises ValueError."""
     coder = spark.sparkContext.broadcast(read_table(spark, path))
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    last = "ids_crc32" if checksums else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,16 +282,16 @@ def read(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame
                 ends = np.cumsum(r["counts"])
                 parts = [x.tobytes() for x in np.split(ids, ends[:-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["file"]] * len(parts), pa.int32()), pa.array([r["row"]] * len(parts), pa.int64()), pa.array(r["doc_ids"], batch.schema.field("doc_ids").type.value_type), pa.array(ends - r["counts"], pa.int64()), pa.array(r["counts"], pa.int64()), pa.array(parts, pa.binary())],
-                    ["file", "row", id_col, "start", "n_tokens", "ids"],
+                    [pa.array([r["file"]] * len(parts), pa.int32()), pa.array([r["row"]] * len(parts), pa.int64()), pa.array(r["doc_ids"], batch.schema.field("doc_ids").type.value_type), pa.array(ends - r["counts"], pa.int64()), pa.array(r["counts"], pa.int64()), pa.array(map(zlib.crc32, parts), pa.int64()) if checksums else pa.array(parts, pa.binary())],
+                    ["file", "row", id_col, "start", "n_tokens", last],
                 )
 
-    return arrow_map(blocks, run, f"file int, row long, `{id_col}` {kind}, start long, n_tokens long, ids binary")
+    return arrow_map(blocks, run, f"file int, row long, `{id_col}` {kind}, start long, n_tokens long, {last} {'long' if checksums else 'binary'}")
 
 
 def index(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
     """Per document of the files: id, ``start`` over all files, ``n_tokens``, ``ids_crc32`` long."""
-    rows = read(spark, path, id_col=id_col).select("file", "row", id_col, "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    rows = read(spark, path, id_col=id_col, checksums=True)
     manifest = spark.read.parquet(f"{path}/manifest")
     return rows.join(manifest, ["file", "row"]).select(id_col, (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
