@@ -18,7 +18,7 @@ from plinth.llm.pretokenize import piece_starts
 #: Longer pieces (code points) are merged anew each time.
 LONGEST = 1024
 #: Code points of a buffer; a longer text is cut where a piece starts, which changes no piece.
-BUFFER = 1 << 18
+BUFFER = 1 << 19
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
