@@ -12,9 +12,16 @@ are fewer). Texts with equal sets are one class; the rest concerns one text of e
 3. Candidates are confirmed by the exact sizes of intersection and union of the full sets: first each text's
    FIRST likeliest, then all that still lead from one group to another; where those fail, the text is held
    against the centres of that group.
-4. Groups are the connected components of the confirmed links.
+4. A row that shares its first LEAST values with rows more than NEAR places away, or across the bound of a
+   range, is crowded. All pairs of crowded texts that are in different groups by then are decided exactly: a
+   pair at the threshold shares one of each text's first shingles, if those that one group alone holds come
+   first and the others by their number of holders; what length and place of such a shingle don't rule out is
+   confirmed on full sets.
+5. Groups are the connected components of the confirmed links.
 
-Pairs are never made of all members of a group: each text has NEAR neighbours in each tree.
+Pairs are never made of all members of a group: each text has NEAR neighbours in each tree, and step 4 makes
+pairs of different groups alone. A link is lost only where its texts are not crowded and their signatures fall
+short (see 2), or share no head in any tree.
 
 A null or empty text, or one of white space alone, has an empty set and is linked with nothing. Rows that
 repeat an id are one document each, with one id. Ids are not null. Very long texts have large sets but
@@ -36,6 +43,8 @@ from plinth.llm.words import VISIBLE, mixed, words
 
 HASHES, TREES, DEPTH, LEAST = 256, 24, 32, 3
 NEAR, FIRST = 6, 2
+#: Holders of a shingle that are compared in one piece; longer lists are cut into pairs of such blocks.
+BLOCK = 512
 _rng = np.random.default_rng(20240607)
 FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ORDERS = np.array([_rng.permutation(HASHES)[:DEPTH] for _ in range(TREES)])
@@ -89,10 +98,16 @@ def signatures(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_co
 
 def neighbours(labels: DataFrame, agree: int) -> DataFrame:
     """``labels``: (tree int, label binary, rep long, sig binary) in ranges, sorted. Pairs (a, b, same) of
-    rows at most NEAR apart in a tree whose labels share LEAST values and whose signatures share ``agree``."""
+    rows at most NEAR apart in a tree whose labels share LEAST values and whose signatures share ``agree``; and
+    (a, a, 0) of rows some of whose pairs sharing LEAST values are not looked at: they are further apart, or
+    may lie in another range."""
+
+    def made(a: list[np.ndarray], b: list[np.ndarray], s: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64()), pa.array(np.concatenate(s), pa.int32())], ["a", "b", "same"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[np.ndarray, ...] | None = None
+        begin: np.ndarray | None = None
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -102,7 +117,11 @@ def neighbours(labels: DataFrame, agree: int) -> DataFrame:
             rep, sig = batch.column(2).to_numpy(), np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(n, HASHES)
             now = (head, rep, sig) if last is None else tuple(np.concatenate(x) for x in zip(last, (head, rep, sig), strict=True))
             old = 0 if last is None else len(last[1])
-            a, b, s = [], [], []
+            begin = head[0] if begin is None else begin
+            i = np.arange(max(0, old - NEAR - 1), len(now[1]) - NEAR - 1)
+            i = i[(now[0][i] == now[0][i + NEAR + 1]).all(axis=1)]
+            crowded = np.unique(np.concatenate([now[1][i], now[1][i + NEAR + 1], rep[(head == begin).all(axis=1)]]))
+            a, b, s = [crowded], [crowded], [np.zeros(len(crowded), np.int32)]
             for k in range(1, min(NEAR, len(now[1]) - 1) + 1):
                 i = np.arange(max(0, old - k), len(now[1]) - k)  # the later row is new
                 i = i[(now[0][i] == now[0][i + k]).all(axis=1)]
@@ -113,15 +132,17 @@ def neighbours(labels: DataFrame, agree: int) -> DataFrame:
                     a.append(np.minimum(one, two))
                     b.append(np.maximum(one, two))
                     s.append(same[ok])
-            last = tuple(x[-NEAR:] for x in now)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64()), pa.array(np.concatenate(s), pa.int32())], ["a", "b", "same"])
+            last = tuple(x[-2 * (NEAR + 1) :] for x in now)  # of a longer run with one head all rows are crowded
+            yield made(a, b, s)
+        if last is not None:
+            crowded = last[1][(last[0] == last[0][-1]).all(axis=1)]
+            yield made([crowded], [crowded], [np.zeros(len(crowded), np.int32)])
 
     return arrow_map(labels, run, "a long, b long, same int")
 
 
 def candidates(reps: DataFrame, agree: int) -> DataFrame:
-    """``reps``: (rep long, sig binary). Distinct pairs (a, b, same), a < b."""
+    """``reps``: (rep long, sig binary). Distinct pairs (a, b, same), a < b, and (a, a, 0) of crowded rows."""
     head = lambda order: F.conv(F.hex(F.concat(*(F.substring("sig", int(2 * k + 1), 2) for k in order[:LEAST]))), 16, 10).cast("long")
     heads = F.array(*(F.lit(t << 16 * LEAST) + head(order) for t, order in enumerate(ORDERS)))
     heads = stored(reps.select("rep", F.explode(heads).alias("head")))
@@ -131,7 +152,7 @@ def candidates(reps: DataFrame, agree: int) -> DataFrame:
     label = F.element_at(F.array(*(F.concat(*(F.substring("sig", int(2 * k + 1), 2) for k in order)) for order in ORDERS)), F.col("tree") + 1)
     rows = reps.join(crowd, "rep").select("rep", "sig", F.explode("trees").alias("tree")).withColumn("label", label).select("tree", "label", "rep", "sig")
     rows = rows.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
-    return neighbours(rows, agree).groupBy("a", "b").agg(F.max("same").alias("same")).where("a < b")
+    return neighbours(rows, agree).groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, share: int, shingle: int) -> DataFrame:
@@ -202,6 +223,38 @@ def towards_centres(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> Dat
     return across(found, roots)
 
 
+def crowded_pairs(crowd: DataFrame, texts: DataFrame, share: int, shingle: int) -> DataFrame:
+    """``crowd``: (rep, root). Distinct pairs (a, b, same), a < b, of different roots; every pair of them with
+    100 * |intersection| >= share * |union| of the sets of ``texts`` (rep, text) is among them."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in text_chunks(batch.column(2)):
+                members = sets(*utf8(batch.column(2)[a:b]), shingle)
+                n = np.array(list(map(len, members)), np.int64)
+                of = [np.repeat(batch.column(k)[a:b].to_numpy(), n) for k in (0, 1)]
+                every = np.concatenate(members).view(np.int64)
+                for at in range(0, len(every), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (*of, np.repeat(n, n), every)], ["rep", "root", "n", "g"])
+
+    rows = arrow_map(crowd.join(texts, "rep").select("rep", "root", F.coalesce("text", F.lit("")).alias("text")), spread, "rep long, root long, n long, g long")
+    rows = stored(rows)
+    # what one group alone holds makes no pair, and comes first in every text
+    shared = rows.groupBy("g").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("g", "many")
+    held = rows.join(few(stored(shared)), "g").groupBy("rep", "root", "n").agg(F.array_sort(F.collect_list(F.struct("many", "g"))).alias("s"))
+    held = held.withColumn("need", F.expr(f"({share} * n + 99) div 100")).where("size(s) >= need")
+    held = held.select("rep", "root", "n", F.size("s").alias("m"), F.posexplode(F.expr("slice(s, 1, CAST(size(s) - need + 1 AS INT))")).alias("pos", "x"))
+    held = stored(held.select("rep", "root", "n", F.expr("m - pos").alias("rest"), "x.g"))
+    long = held.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(f"k > {BLOCK}").select("g", F.expr(f"CAST(ceil(k / {BLOCK}) AS INT)").alias("cuts"))
+    cut = held.join(few(stored(long)), "g", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("own", F.expr("CAST(pmod(xxhash64(rep), cuts) AS INT)"))
+    one = cut.select("g", F.col("own").alias("i"), F.explode(F.expr("sequence(own, cuts - 1)")).alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("rep", "root", "n", "rest")))
+    two = cut.select("g", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "root", "n", "rest")))
+    # of the first shared shingle of a pair: all that is shared is in the rest of both
+    fits = f"root_a != root_b AND (one.i < one.j OR rep_a < rep_b) AND 100 * least(n_a, n_b) >= {share} * greatest(n_a, n_b) AND 100 * least(rest_a, rest_b) >= {share} * (n_a + n_b - least(rest_a, rest_b))"
+    found = one.alias("one").join(two.alias("two"), F.expr(f"one.g = two.g AND one.i = two.i AND one.j = two.j AND {fits}"))
+    return found.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), F.lit(0).alias("same")).distinct()
+
+
 def least_agreement(share: int) -> int:
     """Places of HASHES in which a pair of similarity share / 100 agrees but in 1 of 10,000 cases."""
     p = share / 100
@@ -213,8 +266,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, share: int = 80, id_co
     it is the own id) for each row. Links: 100 * |intersection| >= ``share`` * |union|."""
     signed = stored(signatures(docs, shingle, id_col=id_col, text_col=text_col))
     classes = stored(signed.where("n_shingles > 0").groupBy("key", "sig").agg(F.min(id_col).cast("long").alias("rep")))
-    pairs = stored(candidates(classes.select("rep", "sig"), least_agreement(share)))
-    involved = few(stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
+    seen = stored(candidates(classes.select("rep", "sig"), least_agreement(share)))
+    pairs, crowd = seen.where("a < b"), seen.where("a = b").select(F.col("a").alias("rep"))
+    involved = few(stored(seen.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
     texts = stored(texts)
     best = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
@@ -227,7 +281,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, share: int = 80, id_co
     links = stored(links.unionAll(more))
     roots = stored(components(links))
     centres = towards_centres(across(apart, roots), links, roots).join(pairs, ["a", "b"], "left_anti")
-    roots = components(links.unionAll(confirmed(centres, texts, share, shingle)))
+    links = stored(links.unionAll(confirmed(centres, texts, share, shingle)))
+    roots = stored(components(links))
+    crowd = crowd.join(roots, crowd["rep"] == roots["node"], "left").select("rep", F.coalesce("root", "rep").alias("root"))
+    exact = stored(crowded_pairs(crowd, texts, share, shingle)).join(pairs, ["a", "b"], "left_anti")
+    roots = components(links.unionAll(confirmed(exact, texts, share, shingle)))
     classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
     of = F.coalesce("root", F.col(id_col).cast("long"))
     return signed.select(id_col, "n_shingles", "key").join(classes, "key", "left").select(id_col, "n_shingles", of.alias("component_id"), (of == F.col(id_col)).alias("kept"))

@@ -70,6 +70,23 @@ def test_large_group_of_edited_copies(spark):
     assert found == {i: v[1] for i, v in groups(docs, 3, 85).items()}
 
 
+def test_pairs_in_a_crowd_of_one_template(spark, monkeypatch):
+    """Different texts 0.84 alike, and among them pairs of 0.87, which a few neighbours a tree don't find."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 100, raising=False)  # lists of holders are cut
+    rng = random.Random(9)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, docs = new(137), []
+    for i in range(700):
+        own = template + new(13)
+        docs.append((i, " ".join(own)))
+        if i % 12 == 0:
+            docs.append((5000 - i, " ".join(own[:-10] + new(9) + own[-1:])))
+    want = {i: v[1] for i, v in groups(docs, 3, 85).items()}
+    assert sum(want[i] != i for i, _ in docs) > 50
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, shingle=3, share=85).collect()} == want
+
+
 def test_odd_texts(spark):
     docs = [(9, None), (8, ""), (7, " \t\n"), (6, "One two"), (5, "one  TWO"), (4, "a"), (3, "ab " * 5000), (2, "ab " * 4000), (1, "É é x")]
     df = spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, key string")
