@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from plinth.llm.common import arrow_map, text_chunks
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,9999}+\"|'[^']{0,9999}+'){0,999}+)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*+)", re.S)
+ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "video", "audio", "title", "textarea"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -58,6 +60,39 @@ class Element:
         return (x for x in self.parts if isinstance(x, Element))
 
 
+class Ends:
+    """Where start tags of a page end. After the first one that ends nowhere outside quotes, the places of all
+    quotes and ends are kept, and those that lead to no end, so that a page of such tags is no slower."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.marks: list[int] | None = None
+
+    def of(self, at: int) -> int:
+        """The end of the tag whose attributes begin ``at``: the first > outside quotes; if a quote is never
+        closed, the first >; -1 if there is none."""
+        if at > self.last:
+            return -1
+        if self.marks is None:
+            end = ATTRIBUTES.match(self.page, at).end()
+            if self.page[end : end + 1] == ">":
+                return end
+            self.marks = [m.start() for m in re.finditer("[>\"']", self.page)]
+            self.quotes = {q: [k for k in self.marks if self.page[k] == q] for q in "\"'"}
+            self.dead: set[int] = set()
+        tried, now = [], at
+        while (k := bisect_left(self.marks, now)) < len(self.marks) and k not in self.dead:
+            tried.append(k)
+            if (mark := self.page[self.marks[k]]) == ">":
+                return self.marks[k]
+            same = self.quotes[mark]
+            if (n := bisect_right(same, self.marks[k])) == len(same):
+                break
+            now = same[n] + 1
+        self.dead.update(tried)
+        return self.marks[next(k for k in range(bisect_left(self.marks, at), len(self.marks)) if self.page[self.marks[k]] == ">")]
+
+
 def cut_off(tag: str, attributes: str) -> bool:
     if tag in CUT:
         return True
@@ -99,15 +134,21 @@ def tree(page: str) -> Element:
                 break
         return 0
 
-    last = page.rfind(">")
-    for m in iter(lambda: TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None, None):
+    ends = Ends(page)
+    last = max(ends.last, page.rfind("<!--"))
+    for m in iter(lambda: TOKEN.search(page, at) if at <= last else None, None):
+        stop = ends.of(m.end()) if m[2] else m.end() - 1
+        if stop < 0:
+            text(page[at : m.end()])
+            at = m.end()
+            continue
         text(page[at : m.start()])
-        at = m.end()
-        end, start = (m[1] or "").lower(), (m[2] or "").lower()
+        at = stop + 1
+        end, start, attributes = (m[1] or "").lower(), (m[2] or "").lower(), page[m.end() : stop]
         if end:
             if end not in ("body", "html") and opened[end]:
                 close(depth({end}))
-        elif start in RAW and not m[3].endswith("/"):
+        elif start in RAW and not attributes.endswith("/"):
             stop = re.compile(rf"</{start}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else len(page)
             text(" ")
@@ -124,7 +165,7 @@ def tree(page: str) -> Element:
                 close(depth(*ENDS[start]))
             open_tags.append(start)
             opened[start] += 1
-            if skipped or cut_off(start, m[3]):
+            if skipped or cut_off(start, attributes):
                 skipped += 1
                 if skipped == 1 and start not in INLINE:
                     now.parts.append(None)  # the blocks before and after stay apart

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -31,6 +32,21 @@ def test_hostile_pages_end():
         html_text.main_text(page)
 
 
+def test_long_attributes_are_no_text():
+    image = f'<img src="data:image/png;base64,{"A" * 1_000_000}">'
+    assert html_text.main_text(f"<article><p>one {image}two</p></article>") == "one two"
+    many = " ".join(f'data-a{i}="{i}"' for i in range(3000))
+    assert html_text.main_text(f"<article><div {many}><p>one</p></div><p>two</p></article>") == "one\n\ntwo"
+    assert html_text.main_text("<article><p title=\"x>one</p><p>it's</p></article>") == "one\n\nit's"
+
+
+@pytest.mark.parametrize("page", ["<p title=\"'" * 60_000 + ">", ("<b " * 30_000 + '"') * 3 + "'>", "<a b='" * 60_001 + '"' + ">" * 60_000])
+def test_hostile_quotes_end_soon(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_op9_whole_table(spark):
     found = {r["page_id"]: r for r in queries.op9_html_text(spark, "/root/testdata/sf0.01").collect()}
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
