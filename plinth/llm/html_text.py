@@ -2,7 +2,9 @@
 
 A page becomes a tree of its elements. What can't belong to the article is cut off first: elements whose
 name, role or class says menu, header, footer, sidebar, notice, advert, form or reader comment, and what isn't
-text (scripts, styles). Then every element gets its density: characters per tag, the more lowered the more of
+text (scripts, styles). An element of such a name that holds the main part of the page is a wrapper and stays:
+it holds ``main``, or more characters outside links than all that isn't cut off (comments: an article besides).
+Words after "has", "no", "with" and such in a name are not the element's. Then every element gets its density: characters per tag, the more lowered the more of
 the characters and tags are links'. The element with the largest sum of its children's densities is the core
 of the article. The lowest density on the way from there to the body is the threshold: parents are taken in as
 long as they are the article element, or hold another child of that density.
@@ -42,6 +44,11 @@ CUT_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar",
     "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Never wrappers of a page.
+STRICT = {"nav", "footer", "aside", "menu", "dialog", "button", "select", "head"}
+TALK = {"comment", "comments", "disqus", "replies", "respond"}
+#: The next word of a name is what an element has, lacks or does, not what it is.
+ABOUT = {"has", "have", "no", "not", "with", "without", "hide", "hidden", "show"}
 KEPT = {"html", "body", "article", "main"}
 #: A start tag of the first kind ends an open element of the second, within the third.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -49,12 +56,12 @@ NAME = re.compile(r"[a-z0-9]+")
 
 
 class Element:
-    __slots__ = ("chars", "density", "link_chars", "link_tags", "parent", "parts", "tag", "tags")
+    __slots__ = ("chars", "cut", "density", "link_chars", "link_tags", "parent", "parts", "plain", "tag", "tags")
 
     def __init__(self, tag: str, parent: Element | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = 0.0
+        self.density, self.cut, self.plain = 0.0, "", False
 
     def children(self) -> Iterator[Element]:
         return (x for x in self.parts if isinstance(x, Element))
@@ -93,36 +100,94 @@ class Ends:
         return self.marks[next(k for k in range(bisect_left(self.marks, at), len(self.marks)) if self.page[self.marks[k]] == ">")]
 
 
-def cut_off(tag: str, attributes: str) -> bool:
+def cut_off(tag: str, attributes: str) -> str:
+    """Why an element is cut off: "strict" (never a wrapper), "talk", "name"; empty if it isn't."""
     if tag in CUT:
-        return True
-    if not attributes or tag in KEPT:
-        return False
-    for kind, *values in MARK.findall(attributes):
-        names = set(NAME.findall("".join(values).lower()))
-        if names & (ROLES if kind.lower() == "role" else CUT_NAMES):
-            return True
-    return False
+        return "strict" if tag in STRICT else "name"
+    return "" if tag in KEPT else named(attributes)
+
+
+def named(attributes: str) -> str:
+    found = ""
+    for kind, *values in MARK.findall(attributes) if attributes else ():
+        for name in "".join(values).lower().split():
+            parts = NAME.findall(name)
+            parts = {x for before, x in zip(["", *parts], parts, strict=False) if before not in ABOUT}
+            if hit := parts & (ROLES if kind.lower() == "role" else CUT_NAMES):
+                if hit & TALK:
+                    return "talk"
+                found = "name"
+    return found
+
+
+def prune(body: Element) -> None:
+    """Take out what is cut off, but for wrappers of the page's main part."""
+    order, zone, linked, size = [], {body: None}, {body: False}, Counter()
+    main, plain = [], set()  # elements cut off around a main; those around an article that isn't a comment
+    todo = [body]
+    above = {body: None}  # the nearest element cut off around one
+    while todo:
+        e = todo.pop()
+        order.append(e)
+        for x in e.parts:
+            if isinstance(x, str):
+                if not linked[e]:
+                    size[zone[e]] += len(" ".join(x.split()))
+                continue
+            zone[x], linked[x] = x if x.cut else zone[e], linked[e] or x.tag == "a"
+            if x.cut:
+                above[x] = zone[e]
+            if x.tag == "main" and zone[x] is not None:
+                main.append(zone[x])
+            if x.plain:
+                plain.add(zone[x])
+            todo.append(x)
+    if len(above) == 1:
+        return
+
+    def around(z: Element | None) -> list[Element]:
+        out = []
+        while z is not None:
+            if z.cut:
+                out.append(z)
+            z = above[z]
+        return out
+
+    def spare(elements: list[Element]) -> None:
+        for z in elements:
+            z.cut = ""
+            size[None] += size[z]
+
+    for z in main:
+        if all(x.cut != "strict" for x in around(z)):
+            spare(around(z))
+    for z in sorted((z for z in above if z is not body), key=lambda z: -size[z]):
+        if size[z] <= size[None]:
+            break
+        path = around(z)
+        if z.cut and all(x.cut == "name" or (x.cut == "talk" and z in plain) for x in path):
+            spare(path)
+    for e in order:
+        if any(isinstance(x, Element) and x.cut for x in e.parts):  # blocks before and after one that is cut off stay apart
+            parts = ((None if x.tag not in INLINE else "") if isinstance(x, Element) and x.cut else x for x in e.parts)
+            e.parts = [x for x in parts if x != ""]
 
 
 def tree(page: str) -> Element:
-    """The body's element, without what is cut off."""
+    """The body's element; ``cut`` tells what is to be cut off."""
     root = now = Element("body", None)
-    open_tags, opened = ["body"], Counter(["body"])  # of now and what is open inside an element that is cut off
-    skipped = 0  # how many of these, at the end, are cut off
+    open_tags, opened = ["body"], Counter(["body"])
     at = 0
 
     def close(n: int) -> None:
-        nonlocal now, skipped
+        nonlocal now
         for _ in range(n):
             opened[open_tags.pop()] -= 1
-            if skipped:
-                skipped -= 1
-            elif now.parent is not None:
+            if now.parent is not None:
                 now = now.parent
 
     def text(part: str) -> None:
-        if part and not skipped:
+        if part:
             now.parts.append(html.unescape(part))
 
     def depth(of: set[str], within: set[str] = frozenset()) -> int:
@@ -165,14 +230,11 @@ def tree(page: str) -> Element:
                 close(depth(*ENDS[start]))
             open_tags.append(start)
             opened[start] += 1
-            if skipped or cut_off(start, attributes):
-                skipped += 1
-                if skipped == 1 and start not in INLINE:
-                    now.parts.append(None)  # the blocks before and after stay apart
-            else:
-                child = Element(start, now)
-                now.parts.append(child)
-                now = child
+            child = Element(start, now)
+            child.cut = cut_off(start, attributes)
+            child.plain = start == "article" and named(attributes) != "talk"
+            now.parts.append(child)
+            now = child
     text(page[at:])
     return root
 
@@ -246,7 +308,9 @@ def blocks(e: Element) -> str:
 
 
 def main_text(page: str) -> str:
-    return blocks(article(tree(page)))
+    body = tree(page)
+    prune(body)
+    return blocks(article(body))
 
 
 def extract(pages: DataFrame, *, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:

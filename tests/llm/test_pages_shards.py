@@ -32,6 +32,24 @@ def test_hostile_pages_end():
         html_text.main_text(page)
 
 
+WRAPPERS = ['<div class="content with-sidebar">', '<div id="page" class="has-header">', '<div class="no-comments">', '<section class="widget-area content">', '<form id="aspnetForm">', '<form><div class="widget">']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("holder", ["article", "div"])
+def test_wrappers_stay(wrapper, holder):
+    ends = "</div>" * wrapper.count("<div") + "</section>" * wrapper.count("<section") + "</form>" * wrapper.count("<form")
+    story = "A sentence of the article, long enough to count for some. " * 5
+    page = f'<body><div class="top"><a href="/">Site</a></div>{wrapper}<nav>menu</nav><{holder}><p>{story}</p><p>{story}</p></{holder}><div class="sidebar">other things</div>{ends}<footer>c</footer></body>'
+    assert html_text.main_text(page) == f"{story.strip()}\n\n{story.strip()}"
+
+
+def test_long_comments_are_cut_off():
+    talk = "<article class=comment><p>" + "what a reader says at length " * 50 + "</p></article>"
+    for kind in ("comments", "post-comments widget"):
+        assert html_text.main_text(f'<div class="post"><p>The short article itself.</p></div><section class="{kind}">{talk}{talk}</section>') == "The short article itself."
+
+
 def test_long_attributes_are_no_text():
     image = f'<img src="data:image/png;base64,{"A" * 1_000_000}">'
     assert html_text.main_text(f"<article><p>one {image}two</p></article>") == "one two"
