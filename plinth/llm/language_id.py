@@ -1,7 +1,8 @@
 """The language of whole texts: averaged hashed subword embeddings with a linear softmax.
 
 The model learns by stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``sample`` rows of at most ``longest`` bytes each, in the order of a hash of their id), a tenth of which
+(``rows`` rows of at most ``longest`` bytes each, shared out by the labels' numbers of rows, but EACH of every
+label that has as many; in the order of a hash of their id), a tenth of which, without the first of each label,
 calibrates: a temperature for the probabilities, and the probability below which a prediction is rejected.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected. Where nothing can be learned
@@ -24,6 +25,8 @@ from plinth.llm.subword import Embeddings, grams, softmax, temperature
 
 UNKNOWN = "und"
 ORDERS, BITS = (1, 2, 3, 4), 16
+#: Rows of a label that are drawn however rare it is.
+EACH = 30
 
 
 @dataclass
@@ -54,12 +57,31 @@ def sample(docs: DataFrame, usable: Column, most: int, id_col: str) -> DataFrame
     return known.withColumn("_place", place).orderBy("_place", id_col).limit(most).drop("_place")
 
 
+def drawn(labelled: DataFrame, most: int, id_col: str) -> list:
+    """Rows of (id, text, label): of each label its share of ``most``, and EACH at least, by a hash of their id."""
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    n = sum(counts.values())
+    want = {c: min(k, max(EACH, round(most * k / n))) for c, k in counts.items()}
+    bounds = [(c, min(2**63 - 1, -(2**63) + int(2**64 * (1.2 * want[c] + 30) / k))) for c, k in counts.items()]
+    if not bounds:
+        return []
+    bound = F.broadcast(labelled.sparkSession.createDataFrame(bounds, "label string, _bound long"))
+    place = F.xxhash64(F.col(id_col).cast("string"))
+    near = labelled.join(bound, "label").withColumn("_place", place).where("_place <= _bound").select(id_col, "text", "label", "_place").collect()
+    out = []
+    for r in sorted(near, key=lambda r: (r["_place"], str(r[id_col]), r["text"])):
+        if want[r["label"]] > 0:
+            want[r["label"]] -= 1
+            out.append(r)
+    return out
+
+
 def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 3000, longest: int = 50_000, epochs: int = 4) -> Model:
     """Learn from the rows where ``usable`` holds, text and label are not null and the text has 20 to
-    ``longest`` bytes; ``rows`` bounds the sample."""
+    ``longest`` bytes; ``rows`` and EACH bound the sample."""
     size = F.octet_length(text_col)
     fit = F.col(label_col).isNotNull() & size.between(20, longest) & (F.lit(True) if usable is None else usable)
-    found = sample(docs.select(id_col, text_col, label_col), fit, rows, id_col).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).collect()
+    found = drawn(docs.where(fit).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")), rows, "_id")
     labels = sorted({r["label"] for r in found})
     if not labels:
         return Model([], np.zeros((0, (1 << BITS) + 1)), np.zeros(0))
@@ -70,7 +92,9 @@ def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_i
         every = np.concatenate(grams(data, np.array([0, len(data)]), ORDERS, BITS))
         index, count = np.unique(every[every < 1 << BITS], return_counts=True)
         bags.append((index, count / count.sum(), labels.index(r["label"])))
-    learn, check = [b for i, b in enumerate(bags) if i % 10], bags[::10]
+    first = {b[2]: i for i, b in reversed(list(enumerate(bags)))}
+    tenth = [i for i in range(0, len(bags), 10) if first[bags[i][2]] != i]
+    learn, check = [b for i, b in enumerate(bags) if i not in tenth], [bags[i] for i in tenth] or bags[::10]
     rng = np.random.default_rng(net.seed)
     rate = net.rate
     for epoch in range(epochs):

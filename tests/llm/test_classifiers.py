@@ -25,6 +25,13 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["rejected"] for r in own) <= 0.01 * len(own)
 
 
+def test_rare_language_is_learned(spark):
+    rows = [(i, f"the house of the number {i} and that is all of it", "en", "s", "x") for i in range(12_000)]
+    rows += [(20_000 + i, f"talo on numero {i} eikä muuta siitä ole", "fi", "s", "x") for i in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, DOCS), rows=100)
+    assert model.labels == ["en", "fi"]
+
+
 def test_language_odd_rows(spark):
     rows = [(i, f"the house of the {w} and that is all", "en", "s", "x") for i, w in enumerate("abcdefghijklmnopqrst")] + [(100 + i, f"das Haus von {w} und nicht mehr als das", "de", "s", "x") for i, w in enumerate("abcdefghijklmnopqrst")]
     odd = [(500, None, "en", "", ""), (501, "", "en", "", ""), (502, "123 !?", None, "", ""), (503, "Ωμέγα", None, "", ""), (504, "the " * 200_000, "en", "", ""), (504, "the " * 200_000, "en", "", "")]
