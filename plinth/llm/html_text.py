@@ -4,8 +4,10 @@ A page becomes a tree of its elements. What can't belong to the article is cut o
 name, role or class says menu, header, footer, sidebar, notice, advert, form or reader comment, and what isn't
 text (scripts, styles). An element of such a name that holds the main part of the page is a wrapper and stays:
 it holds ``main``, or more characters outside links than all that isn't cut off (comments: an article besides).
-Words after "has", "no", "with" and such in a name are not the element's. Then every element gets its density: characters per tag, the more lowered the more of
-the characters and tags are links'. The element with the largest sum of its children's densities is the core
+Names such as "share" or "social" count only for elements with links or lists, and a header with a heading
+inside an article is the article's. Words after "has", "no", "with" and such in a name are not the element's.
+Then every element gets its density: characters per tag, the more lowered the more of the characters and tags
+are links'. The element with the largest sum of its children's densities is the core
 of the article. The lowest density on the way from there to the body is the threshold: parents are taken in as
 long as they are the article element, or hold another child of that density.
 
@@ -34,9 +36,9 @@ from plinth.llm.common import arrow_map, text_chunks
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*+)", re.S)
 ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 MARK = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "video", "audio", "title", "textarea"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "annotation", "canvas", "object", "video", "audio", "title", "textarea"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"} | {"math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "munder", "munderover", "semantics"}
 CUT = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 #: Parts of class names and ids, in small letters.
@@ -46,6 +48,10 @@ CUT_NAMES = {
 }
 #: Never wrappers of a page.
 STRICT = {"nav", "footer", "aside", "menu", "dialog", "button", "select", "head"}
+#: Names of lists of links, and also of what an article may be about: they count where there are links or lists.
+WEAK = {"related", "share", "sharing", "social", "toolbar", "widget"}
+LISTS = {"a", "button", "label", "li", "select"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TALK = {"comment", "comments", "disqus", "replies", "respond"}
 #: The next word of a name is what an element has, lacks or does, not what it is.
 ABOUT = {"has", "have", "no", "not", "with", "without", "hide", "hidden", "show"}
@@ -101,7 +107,7 @@ class Ends:
 
 
 def cut_off(tag: str, attributes: str) -> str:
-    """Why an element is cut off: "strict" (never a wrapper), "talk", "name"; empty if it isn't."""
+    """Why an element is cut off: "strict" (never a wrapper), "talk", "name", "weak"; empty if it isn't."""
     if tag in CUT:
         return "strict" if tag in STRICT else "name"
     return "" if tag in KEPT else named(attributes)
@@ -116,7 +122,7 @@ def named(attributes: str) -> str:
             if hit := parts & (ROLES if kind.lower() == "role" else CUT_NAMES):
                 if hit & TALK:
                     return "talk"
-                found = "name"
+                found = "name" if hit - WEAK else found or "weak"
     return found
 
 
@@ -126,6 +132,7 @@ def prune(body: Element) -> None:
     main, plain = [], set()  # elements cut off around a main; those around an article that isn't a comment
     todo = [body]
     above = {body: None}  # the nearest element cut off around one
+    inside, weak, busy, titled = {body: False}, [], set(), set()  # in an article; with links; headers of an article
     while todo:
         e = todo.pop()
         order.append(e)
@@ -135,8 +142,15 @@ def prune(body: Element) -> None:
                     size[zone[e]] += len(" ".join(x.split()))
                 continue
             zone[x], linked[x] = x if x.cut else zone[e], linked[e] or x.tag == "a"
+            inside[x] = inside[e] or e.tag in ("article", "main")
             if x.cut:
                 above[x] = zone[e]
+                if x.cut == "weak":
+                    weak.append(x)
+            if x.tag in LISTS:
+                busy.add(zone[x])
+            if x.tag in HEADINGS and zone[x] is not None and zone[x].tag == "header" and inside[zone[x]]:
+                titled.add(zone[x])
             if x.tag == "main" and zone[x] is not None:
                 main.append(zone[x])
             if x.plain:
@@ -158,6 +172,13 @@ def prune(body: Element) -> None:
             z.cut = ""
             size[None] += size[z]
 
+    for z in list(busy):
+        busy.update(around(z))
+    for z in weak:
+        z.cut = "name"
+    for z in [*titled, *(z for z in weak if z not in busy)]:
+        z.cut = ""
+        size[above[z]] += size.pop(z, 0)
     for z in main:
         if all(x.cut != "strict" for x in around(z)):
             spare(around(z))

@@ -65,6 +65,24 @@ def test_hostile_quotes_end_soon(page):
     assert time.process_time() - began < 5
 
 
+SOME, MORE = "Some words of a story that goes on. " * 9, "More words of it that come later. " * 9
+
+
+@pytest.mark.parametrize(
+    ("page", "words"),
+    [
+        ('<p>{}</p><p class="share price">The share price rose by a tenth.</p><p>{}</p>', ["share price rose"]),
+        ('<p>{}</p><section class="social history"><p>A history of social movements.</p></section><p>{}</p>', ["history of social"]),
+        ("<p>{} so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>{}</p>", ["so x=2 holds"]),
+        ("<header><h1>A headline</h1></header><p>{}</p><p>{}</p>", ["A headline"]),
+        ('<p>{}</p><img src="data:image/png;base64,' + "A" * 12_000 + '"><p>{}</p>', []),
+    ],
+)
+def test_what_belongs_to_an_article_stays(page, words):
+    text = html_text.main_text(f"<body><nav><a href=x>menu</a></nav><article>{page.format(SOME, MORE)}<div class=share><a href=x>Send it</a></div></article></body>")
+    assert all(w in text for w in [SOME.strip(), MORE.strip(), *words]) and not any(w in text for w in ("menu", "Send it", "AAA"))
+
+
 def test_op9_whole_table(spark):
     found = {r["page_id"]: r for r in queries.op9_html_text(spark, "/root/testdata/sf0.01").collect()}
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
@@ -114,7 +132,13 @@ def test_matrix_is_hypergeometric():
         assert m.sum(axis=1).tolist() == cells and m.sum(axis=0).tolist() == [25] * 4
         draws.append(m[0, 0])
     assert abs(np.mean(draws) - 7.5) < 0.15 and abs(np.var(draws) - 25 * 0.3 * 0.7 * 75 / 99) < 0.4
-    assert 0 <= sharding.hypergeometric(np.random.default_rng(1), 3 * 10**9, 2 * 10**9, 10**9) <= 10**9
+    big = sharding.matrix([10**10 + k for k in range(9)], 4, 1)
+    assert big.sum(axis=1).tolist() == [10**10 + k for k in range(9)] and np.ptp(big.sum(axis=0)) == 0
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((3 * 10**9, 2 * 10**9, 10**9), (10**12, 10**12, 50), (7, 10**12, 6 * 10**11)):
+        drawn = [sharding.large(rng, good, bad, n) for _ in range(3000)]
+        mean, var = n * good / (good + bad), n * good * bad * (good + bad - n) / (good + bad) ** 2 / (good + bad - 1)
+        assert abs(np.mean(drawn) - mean) < 5 * (var / 3000) ** 0.5 and abs(np.var(drawn) / var - 1) < 0.15
 
 
 def jaccard(a, b):
