@@ -5,8 +5,8 @@ at most, by a hash of their id); how many of each cell go to each shard is drawn
 that a uniform permutation of all rows induces. Each cell is permuted for itself and cut by these numbers,
 the rows are exchanged, and each shard is permuted again: in blocks of like size, then inside each block.
 
-Everything on the rows is DataFrame functions. The driver sees one number of rows per cell (8 bytes for about
-CELL rows) and draws the matrix from them.
+Everything on the rows is DataFrame functions. The driver sees one number of rows per cell (of CELL rows, about
+a million, beyond 256 cells) and draws the matrix from them, level by level as arrays: 100,000 cells for 1e11 rows.
 
 A null text has size 1 and the checksum of no bytes. Rows that repeat an id or a text are rows of their own
 (equal texts are scattered like others; ties in the hashes are broken by id and checksum). An empty table
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.common import stored
 
-CELL, SMALL = 20_000, 1_000
+CELL, SMALL = 1 << 20, 1_000
 
 
 def pieces(n: int, shards: int = 1) -> int:
@@ -37,36 +37,54 @@ def below(seed: int, bound: Column, *parts: Column) -> Column:
 
 def matrix(cells: list[int], shards: int, seed: int) -> np.ndarray:
     """(cells, shards): how many rows of each cell go to each shard. The shards' totals differ by one at
-    most; given them, every assignment of rows is equally likely."""
+    most; given them, every assignment of rows is equally likely. Cells are halved again and again: what each
+    shard gives to the left half is drawn without replacement, for all halves of a level at once."""
     rng = np.random.default_rng(seed)
     total = sum(cells)
-    left = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
-    out = np.zeros((len(cells), shards), np.int64)
-    for i, n in enumerate(cells):
-        rest, free = n, int(left.sum())
-        for s in range(shards - 1):  # one binomial-like draw after the other, without replacement
-            free -= int(left[s])
-            take = hypergeometric(rng, int(left[s]), free, rest)
-            out[i, s] = take
-            rest -= take
-        out[i, shards - 1] = rest
-        left -= out[i]
+    out = np.array([[total // shards + (s < total % shards) for s in range(shards)]], np.int64)
+    width = 1 << max(0, len(cells) - 1).bit_length()
+    sizes = np.zeros(width, np.int64)
+    sizes[: len(cells)] = cells
+    while len(out) < width:
+        rest = sizes.reshape(2 * len(out), -1).sum(axis=1)[::2].copy()  # rows of the left halves
+        free, left = out.sum(axis=1), np.zeros_like(out)
+        for s in range(shards):
+            free -= out[:, s]
+            left[:, s] = hypergeometric(rng, out[:, s], free, rest)
+            rest -= left[:, s]
+        out = np.stack([left, out - left], 1).reshape(-1, shards)
+    return out[: len(cells)]
+
+
+def hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """numpy draws where its limit of 1e9 allows, and ``large`` beyond."""
+    small = good + bad < 1_000_000_000
+    out = np.zeros(len(good), np.int64)
+    out[small] = rng.hypergeometric(good[small], bad[small], draws[small])
+    for i in np.flatnonzero(~small).tolist():
+        out[i] = large(rng, int(good[i]), int(bad[i]), int(draws[i]))
     return out
 
 
-def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """numpy draws where its limit of 1e9 allows; beyond that the draw is split in two halves of the urn."""
+def large(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """The same at any size, by the same law. Each ball is taken or left by itself (two binomial numbers), so
+    that all sets of as many balls are equally likely; what is too many or too few by then, about the root of
+    ``draws``, is put back or taken on by the same law from a smaller urn or in fewer draws."""
     if not draws or not good:
         return 0
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draws))
-    half_good, half_bad = good // 2, bad // 2
-    # the share of draws from one half of the urn is hypergeometric itself; its normal limit is exact to rounding here
-    n, k = good + bad, half_good + half_bad
-    mean = draws * k / n
-    sd = (draws * (k / n) * (1 - k / n) * (n - draws) / max(n - 1, 1)) ** 0.5
-    first = int(np.clip(round(rng.normal(mean, sd)), max(0, draws - (n - k)), min(draws, k)))
-    return hypergeometric(rng, half_good, half_bad, first) + hypergeometric(rng, good - half_good, bad - half_bad, draws - first)
+    if 2 * draws > good + bad:
+        return good - large(rng, good, bad, good + bad - draws)
+    if draws <= 64:
+        taken = 0
+        for k in range(draws):
+            taken += int(rng.integers(good + bad - k)) < good - taken
+        return taken
+    x, y = (int(rng.binomial(n, draws / (good + bad))) for n in (good, bad))
+    if x + y > draws:
+        return x - large(rng, x, y, x + y - draws)
+    return x + large(rng, good - x, bad - y, draws - x - y)
 
 
 def shuffle(docs: DataFrame, *, shards: int = 8, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
