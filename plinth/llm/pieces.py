@@ -1,8 +1,8 @@
 """Token ids of whole columns of texts: pieces are cut, hashed and looked up as arrays.
 
-A worker keeps the ids of pieces it has met in a table under their 64-bit hashes (two texts' pieces would
-have to collide in all 64 bits, with the same table at hand, to be confused). Only pieces that the table
-lacks are handed, once each, to ``merge``.
+A worker keeps the pieces it has met, and their ids, in a table under their 64-bit hashes. Each piece found
+there is compared, code point by code point, with the one kept; one that differs in spite of an equal hash is
+merged anew each time. Only pieces that the table lacks are handed, once each, to ``merge``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from plinth.llm.pretokenize import piece_starts
 LONGEST = 1024
 #: Code points of a buffer; a longer text is cut where a piece starts, which changes no piece.
 BUFFER = 1 << 19
+#: Code points of all pieces in a table, after which it is emptied.
+POINTS = 1 << 24
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,6 +44,8 @@ class PieceTable:
         self.place = np.zeros(1 << self.bits, np.int32)
         self.ids, self.used = np.zeros(1 << self.bits, np.int32), 0
         self.start, self.count, self.known = np.zeros(1 << (self.bits - 1), np.int64), np.zeros(1 << (self.bits - 1), np.int32), 0
+        self.points, self.pointed = np.zeros(1 << (self.bits + 2), np.uint32), 0  # the pieces themselves
+        self.first, self.length = np.zeros(1 << (self.bits - 1), np.int64), np.zeros(1 << (self.bits - 1), np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The place of each hash, or -1."""
@@ -56,9 +60,16 @@ class PieceTable:
             todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def insert(self, hashes: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+    def insert(self, hashes: np.ndarray, pieces: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
         """``hashes``: distinct and not yet in the table."""
         first, n = self.known, len(hashes)
+        points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        if self.pointed + len(points) > len(self.points):
+            self.points = np.append(self.points, np.zeros(max(len(self.points), len(points)), np.uint32))
+        self.points[self.pointed : self.pointed + len(points)] = points
+        self.length[first : first + n] = length = np.array(list(map(len, pieces)), np.int32)
+        self.first[first : first + n] = self.pointed + np.cumsum(length) - length
+        self.pointed += len(points)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32))
         self.ids[self.used : self.used + len(flat)] = flat
@@ -82,30 +93,31 @@ class PieceTable:
         if not len(starts):
             return starts, np.zeros(0, np.int64), np.zeros(0, np.int32)
         lengths = np.diff(np.append(starts, len(text)))
-        within = np.minimum(np.arange(len(points)) - np.repeat(starts, lengths), LONGEST)
+        within = np.arange(len(points)) - np.repeat(starts, lengths)
+        long = lengths > LONGEST
         with np.errstate(over="ignore"):
-            hashes = np.add.reduceat((points + np.uint32(0x51ED27)).astype(np.uint64) * POWERS[within], starts)
+            hashes = np.add.reduceat((points + np.uint32(0x51ED27)).astype(np.uint64) * POWERS[np.minimum(within, LONGEST) if long.any() else within], starts)
             hashes ^= hashes >> np.uint64(32)
             hashes *= np.uint64(0xD6E8FEB86659FD93)
             hashes |= np.uint64(1)
             at = self.find(hashes)
-        long = lengths > LONGEST
         lacking = np.flatnonzero((at < 0) & ~long)
         if len(lacking):
             new, which = np.unique(hashes[lacking], return_index=True)
-            if self.known + len(new) > len(self.start):
+            if self.known + len(new) > len(self.start) or self.pointed + int(lengths[lacking[which]].sum()) > POINTS:
                 self.forget()
                 lacking = np.flatnonzero(~long)
                 new, which = np.unique(hashes[lacking], return_index=True)
             where = lacking[which]
             ends = starts[where] + lengths[where]
             with np.errstate(over="ignore"):
-                self.insert(new, *self.merge([text[a:b] for a, b in zip(starts[where].tolist(), ends.tolist(), strict=True)]))
+                pieces = [text[a:b] for a, b in zip(starts[where].tolist(), ends.tolist(), strict=True)]
+                self.insert(new, pieces, *self.merge(pieces))
                 at = self.find(hashes)
         at = np.maximum(at, 0)
         source, counts = self.start[at], self.count[at].astype(np.int64)
         ids, extra = self.ids, []
-        for i in np.flatnonzero(long).tolist():
+        for i in np.flatnonzero(long | ~self.same(points, within, lengths, at)).tolist():
             row = self.merge([text[starts[i] : starts[i] + lengths[i]]])[0]
             source[i], counts[i] = len(ids) + sum(map(len, extra)), len(row)
             extra.append(row)
@@ -115,6 +127,17 @@ class PieceTable:
         index = np.arange(int(ends[-1])) + np.repeat(source - (ends - counts), counts)
         return starts, counts, ids[index]
 
+    def same(self, points: np.ndarray, within: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each piece is the one kept at its place in the table."""
+        out = self.length[at] == lengths
+        kept = np.repeat(np.where(out, self.first[at], 0), lengths) + within
+        if not out.all():
+            kept = np.minimum(kept, len(self.points) - 1)
+        differ = np.flatnonzero(self.points[kept] != points)
+        if len(differ):
+            out[np.searchsorted(np.cumsum(lengths), differ, "right")] = False
+        return out
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column, and the rows' n + 1 offsets in them; null is empty."""
         data, offsets = utf8(column)

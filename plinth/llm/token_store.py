@@ -19,6 +19,8 @@ input are not read.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import arrow_map, shared_dir, stored
+from plinth.llm.common import arrow_map, shared_dir, stored, utf8
 from plinth.llm.pieces import PieceTable, binary, chunks
 
 LANES, STEPS = 1024, 128
@@ -44,7 +46,7 @@ def piece_table(definition: str) -> PieceTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
-    tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+    tokenizer.encode_special_tokens = True  # no piece is one; strung together some may look like one
     size = np.zeros(tokenizer.get_vocab_size(), np.int64)  # in bytes; the vocabulary writes each as a letter
     for token, i in tokenizer.get_vocab().items():
         size[i] = len(token)
@@ -73,14 +75,42 @@ def piece_table(definition: str) -> PieceTable:
     return PieceTable(merge)
 
 
-_loaded: dict[str, PieceTable] = {}
+class Encoder:
+    """Ids as the library gives them: the strings of added tokens are cut out of a text first (the leftmost,
+    of several there the longest), and what lies between is encoded for itself."""
 
+    def __init__(self, definition: str):
+        added = json.loads(definition).get("added_tokens", [])
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at what is around them are not supported")
+        self.pieces, self.added = piece_table(definition), {t["content"]: t["id"] for t in added}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})")
 
-def pieces_of(definition: str) -> PieceTable:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column, and the rows' n + 1 offsets in them; null is empty."""
+        data = utf8(column)[0].tobytes()
+        if not any(t.encode() in data for t in self.added):
+            return self.pieces.encode(column)
+        sections, special, rows = [], [], [0]
+        for text in column.to_pylist():
+            for k, part in enumerate(self.cut.split(text or "")):
+                sections.append("" if k % 2 else part)
+                special.append(self.added[part] if k % 2 else -1)
+            rows.append(len(sections))
+        ids, ends = self.pieces.encode(pa.array(sections, pa.string()))
+        special = np.array(special)
+        at = np.flatnonzero(special >= 0)
+        return np.insert(ids, ends[at], special[at]), (ends + np.append(0, np.cumsum(special >= 0)))[rows]
+
+
+_loaded: dict[str, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
     key = hashlib.sha256(definition.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = piece_table(definition)
+        _loaded[key] = Encoder(definition)
     return _loaded[key]
 
 
@@ -182,11 +212,11 @@ def tokenized(docs: DataFrame, definition: str, end_id: int, *, id_col: str = "d
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pieces, row = pieces_of(shared.value), 0
+        encoder, row = encoder_of(shared.value), 0
         for batch in batches:
             column = batch.column(2).fill_null("")
             for a, b in chunks(column):
-                ids, ends = pieces.encode(column[a:b])
+                ids, ends = encoder.encode(column[a:b])
                 ids = np.insert(ids, ends[1:], end_id).astype("<u2" if small else "<u4")
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(range(row, row + b - a), pa.int64()), batch.column(1)[a:b], binary(ids, ends + np.arange(len(ends)))], ["file", "row", id_col, "ids"])
                 row += b - a
