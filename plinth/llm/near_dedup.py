@@ -24,7 +24,7 @@ pairs of different groups alone. A link is lost only where its texts are not cro
 short (see 2), or share no head in any tree.
 
 A null or empty text, or one of white space alone, has an empty set and is linked with nothing. Rows that
-repeat an id are one document each, with one id. Ids are not null. Very long texts have large sets but
+repeat an id are one document each, with its own text and that id. Ids of any type that has an order; not null. Very long texts have large sets but
 signatures of the same size. An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.common import arrow_map, few, stored, text_chunks, utf8
-from plinth.llm.words import VISIBLE, mixed, words
+from plinth.llm.words import VISIBLE, Words, mixed, words
 
 HASHES, TREES, DEPTH, LEAST = 256, 24, 32, 3
 NEAR, FIRST = 6, 2
@@ -50,25 +51,52 @@ FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.u
 ORDERS = np.array([_rng.permutation(HASHES)[:DEPTH] for _ in range(TREES)])
 
 
-def sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    found = words(data, offsets, VISIBLE)
-    every = found.shingles(shingle)
-    out = []
+@dataclass
+class Set:
+    """A text's distinct shingles: their hashes in ascending order, a place of each, the words of a shingle,
+    and the bounds of all places."""
+
+    hashes: np.ndarray
+    places: np.ndarray
+    size: int
+    bounds: tuple[int, int]
+
+
+def sets(found: Words, shingle: int) -> list[Set]:
+    every, out = {0: np.zeros(0, np.uint64)}, []
     for a, b in zip(found.texts.tolist(), found.texts[1:].tolist(), strict=False):
-        if b - a >= shingle:
-            out.append(np.unique(every[a : b - shingle + 1]))
-        elif b > a:
-            with np.errstate(over="ignore"):
-                h = np.uint64(b - a)
-                for x in found.hashes[a:b]:
-                    h = h * np.uint64(0x9E3779B97F4A7C15) + x
-            out.append(mixed(np.array([h])))
-        else:
-            out.append(np.zeros(0, np.uint64))
+        size = min(shingle, b - a)
+        if size not in every:
+            every[size] = found.shingles(size)
+        end = b - size + 1 if size else a
+        hashes, places = np.unique(every[size][a:end], return_index=True)
+        out.append(Set(hashes, places + a, size, (a, end)))
     return out
 
 
+def digests(found: Words, members: list[Set]) -> list[bytes]:
+    """Of each text's set: of the shingles themselves, in the order of their hashes."""
+    out = []
+    for m in members:
+        out.append(hashlib.blake2b(found.passages(m.places, m.size)[0].tobytes(), digest_size=16).digest())
+    return out
+
+
+def linked(x: Words, s: Set, y: Words, t: Set, share: int) -> bool:
+    """100 * |intersection| >= share * |union|. Shingles of equal hashes are compared word by word."""
+    if s.size != t.size or not s.size or 100 * min(len(s.hashes), len(t.hashes)) < share * max(len(s.hashes), len(t.hashes)):
+        return False
+    _, i, j = np.intersect1d(s.hashes, t.hashes, assume_unique=True, return_indices=True)
+    enough = lambda both, union: 100 * both >= share * union
+    if not enough(len(i), len(s.hashes) + len(t.hashes) - len(i)):
+        return False
+    one, two = x.passages(s.places[i], s.size), y.passages(t.places[j], t.size)
+    if np.array_equal(one[1], two[1]) and np.array_equal(one[0], two[0]):
+        return True
+    full = [{f.passages(np.array([k]), m.size)[0].tobytes() for k in range(*m.bounds)} for f, m in ((x, s), (y, t))]  # hashes collide
+    return enough(len(full[0] & full[1]), len(full[0] | full[1]))
+
+
 def signature(members: np.ndarray) -> bytes:
     least = np.full(HASHES, 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -78,22 +106,23 @@ def signature(members: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, shingle: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``n_shingles`` long, ``key`` binary: a digest of the set, ``sig`` binary)."""
+    """(id, ``text_hash`` long, ``n_shingles`` long, ``key`` binary: a digest of the set, ``sig`` binary)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1).fill_null("")
+            column = batch.column(2).fill_null("")
             for a, b in text_chunks(column):
-                members = sets(*utf8(column[a:b]), shingle)
+                found = words(*utf8(column[a:b]), VISIBLE)
+                members = sets(found, shingle)
                 known: dict[bytes, bytes] = {}
-                keys = [hashlib.blake2b(m.tobytes(), digest_size=16).digest() for m in members]
+                keys = digests(found, members)
                 for k, m in zip(keys, members, strict=True):
                     if k not in known:
-                        known[k] = signature(m)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(list(map(len, members)), pa.int64()), pa.array(keys, pa.binary()), pa.array([known[k] for k in keys], pa.binary())], [id_col, "n_shingles", "key", "sig"])
+                        known[k] = signature(m.hashes)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(m.hashes) for m in members], pa.int64()), pa.array(keys, pa.binary()), pa.array([known[k] for k in keys], pa.binary())], [id_col, "text_hash", "n_shingles", "key", "sig"])
 
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_shingles long, key binary, sig binary")
+    return arrow_map(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col), run, f"`{id_col}` {kind}, text_hash long, n_shingles long, key binary, sig binary")
 
 
 def neighbours(labels: DataFrame, agree: int) -> DataFrame:
@@ -159,26 +188,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, share: int, shingle: int) -> D
     """The pairs (a, b) of ``pairs`` with 100 * |intersection| >= share * |union| of the full sets of
     ``texts`` (rep long, text)."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in text_chunks(batch.column(1)):
-                members = sets(*utf8(batch.column(1)[a:b]), shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([m.tobytes() for m in members], pa.binary())], ["rep", "members"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                least, most = sorted((len(x), len(y)))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * least >= share * most else 0
-                good.append(both > 0 and 100 * both >= share * (len(x) + len(y) - both))
+            for a, b in text_chunks(batch.column(2)):
+                x, y = (words(*utf8(batch.column(k)[a:b]), VISIBLE) for k in (2, 3))
+                good += [linked(x, s, y, t, share) for s, t in zip(sets(x, shingle), sets(y, shingle), strict=True)]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    members = arrow_map(texts.select("rep", F.coalesce("text", F.lit("")).alias("text")), make, "rep long, members binary")
-    one = pairs.select("a", "b").join(members.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
-    both = one.join(members.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+    of = lambda c, t: texts.select(F.col("rep").alias(c), F.coalesce("text", F.lit("")).alias(t))
+    both = pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
     return arrow_map(both, compare, "a long, b long")
 
 
@@ -230,7 +250,7 @@ def crowded_pairs(crowd: DataFrame, texts: DataFrame, share: int, shingle: int)
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_chunks(batch.column(2)):
-                members = sets(*utf8(batch.column(2)[a:b]), shingle)
+                members = [m.hashes for m in sets(words(*utf8(batch.column(2)[a:b]), VISIBLE), shingle)]
                 n = np.array(list(map(len, members)), np.int64)
                 of = [np.repeat(batch.column(k)[a:b].to_numpy(), n) for k in (0, 1)]
                 every = np.concatenate(members).view(np.int64)
@@ -262,14 +282,16 @@ def least_agreement(share: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``n_shingles`` long, ``component_id`` long: the smallest id reachable by links, ``kept`` boolean:
+    """(id, ``n_shingles`` long, ``component_id``: the smallest id reachable by links, ``kept`` boolean:
     it is the own id) for each row. Links: 100 * |intersection| >= ``share`` * |union|."""
     signed = stored(signatures(docs, shingle, id_col=id_col, text_col=text_col))
-    classes = stored(signed.where("n_shingles > 0").groupBy("key", "sig").agg(F.min(id_col).cast("long").alias("rep")))
+    classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct(F.col(id_col).alias("id"), "text_hash", "sig")).alias("m"))
+    classes = stored(classes.select("key", "m.*", F.monotonically_increasing_id().alias("rep")))
     seen = stored(candidates(classes.select("rep", "sig"), least_agreement(share)))
     pairs, crowd = seen.where("a < b"), seen.where("a = b").select(F.col("a").alias("rep"))
-    involved = few(stored(seen.select(F.explode(F.array("a", "b")).alias("rep")).distinct()))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(involved, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    involved = seen.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    involved = few(stored(classes.select("rep", "id", "text_hash").join(involved, "rep", "left_semi")))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(involved, ["id", "text_hash"]).groupBy("rep").agg(F.min("text").alias("text"))
     texts = stored(texts)
     best = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
     best = best.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))).where(f"place <= {FIRST}")
@@ -286,6 +308,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, share: int = 80, id_co
     crowd = crowd.join(roots, crowd["rep"] == roots["node"], "left").select("rep", F.coalesce("root", "rep").alias("root"))
     exact = stored(crowded_pairs(crowd, texts, share, shingle)).join(pairs, ["a", "b"], "left_anti")
     roots = components(links.unionAll(confirmed(exact, texts, share, shingle)))
-    classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
-    of = F.coalesce("root", F.col(id_col).cast("long"))
-    return signed.select(id_col, "n_shingles", "key").join(classes, "key", "left").select(id_col, "n_shingles", of.alias("component_id"), (of == F.col(id_col)).alias("kept"))
+    named = classes.select("key", "id", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "id", "root")
+    least = stored(named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least")))
+    named = named.join(least, "root", "left").select("key", F.coalesce("least", "id").alias("component"))
+    of = F.coalesce("component", F.col(id_col))
+    return signed.select(id_col, "n_shingles", "key").join(named, "key", "left").select(id_col, "n_shingles", of.alias("component_id"), (of == F.col(id_col)).alias("kept"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -15,16 +17,10 @@ VISIBLE[[0x20, *range(0x09, 0x0E)]] = False
 PLAIN = np.zeros(256, bool)
 PLAIN[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """Of an odd number, modulo 2 ** 64."""
-    global _powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.append(np.uint64(1), np.full(max(n, 64) * 2, 0xD1342543DE82EF95, np.uint64)))
-    return _powers
+#: Longer words (bytes) are hashed one by one by the hashlib.
+LONG = 64
+#: What is left of eight bytes when a word has only so many.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -50,12 +46,29 @@ class Words:
         return b" ".join(self.clean[a:b].tobytes() for a, b in zip(self.begins[first:last].tolist(), self.ends[first:last].tolist(), strict=True)).decode()
 
     def shingles(self, size: int) -> np.ndarray:
-        """A hash for each place: of the words from there on, as many as ``size`` (also across texts)."""
-        with np.errstate(over="ignore"):
-            out = np.full(max(0, len(self.hashes) - size + 1), size, np.uint64)
-            for k in range(size):
-                out = out * np.uint64(0x9E3779B97F4A7C15) + self.hashes[k : len(self.hashes) - size + 1 + k]
-        return mixed(out)
+        """A hash for each place: of the words from there on, as many as ``size`` (also across texts). Each
+        step is mixed before the next, so that it is no linear function of the words' hashes."""
+        out = np.full(max(0, len(self.hashes) - size + 1), size, np.uint64)
+        for k in range(size):
+            out = mixed(out ^ self.hashes[k : len(self.hashes) - size + 1 + k])
+        return out
+
+    @cached_property
+    def plain(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words with one blank after each, and the n + 1 places where they begin."""
+        size = self.ends - self.begins + 1
+        at = np.append(0, np.cumsum(size))
+        out = self.clean[np.arange(int(at[-1])) + np.repeat(self.begins - at[:-1], size)]
+        out[at[1:] - 1] = 0x20
+        return out, at
+
+    def passages(self, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ``size`` words from each of these places on, one passage after the other, and their
+        n + 1 bounds."""
+        every, at = self.plain
+        begins, length = at[first], at[first + size] - at[first]
+        bounds = np.append(0, np.cumsum(length))
+        return every[np.arange(int(bounds[-1])) + np.repeat(begins - bounds[:-1], length)], bounds
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
@@ -65,12 +78,22 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     inside = kind[clean]
     begins = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
-    if len(begins):
-        size = ends - begins
-        which = np.flatnonzero(inside)
-        within = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-        with np.errstate(over="ignore"):
-            hashes = mixed(np.add.reduceat((clean[which].astype(np.uint64) + np.uint64(0x9D)) * powers(int(size.max()))[within], np.cumsum(size) - size) + size.astype(np.uint64))
-    else:
-        hashes = np.zeros(0, np.uint64)
-    return Words(clean, begins, ends, hashes, np.searchsorted(begins, np.append(offsets[:-1] + np.arange(n), len(clean))))
+    return Words(clean, begins, ends, hashed(clean, begins, ends - begins), np.searchsorted(begins, np.append(offsets[:-1] + np.arange(n), len(clean))))
+
+
+def hashed(clean: np.ndarray, begins: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each word's bytes, eight at a time, each step mixed before the next: sums of a term for each byte
+    would be equal for many pairs of words (Thue-Morse words, whatever the terms)."""
+    h = mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    room = np.append(clean, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(clean) + 1, "<u8", room, strides=(1,))
+    short = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        if not len(short):
+            break
+        left = size[short] - at
+        h[short] = mixed(h[short] ^ (eight[begins[short] + at] & MASKS[np.minimum(left, 8)]))
+        short = short[left > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(clean[begins[i] : begins[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+    return h

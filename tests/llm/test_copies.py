@@ -10,6 +10,7 @@ import pytest
 
 from plinth.llm import bpe, decontaminate, language_id, near_dedup, queries, toxicity
 from plinth.llm.common import utf8
+from plinth.llm.words import VISIBLE, words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -95,6 +96,63 @@ def test_odd_texts(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def thue_morse(n, a, b):
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_like_sums_are_different(spark):
+    """Hashes that add a term for each byte and place are equal for such words."""
+    one, two = thue_morse(1024, "a", "b")
+    df = spark.createDataFrame([(1, f"{one} one two three"), (2, f"{two} one two three"), (3, f"{one} {two} x {one} {two} y {two} {one}")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, shingle=3, share=85).collect()}
+    assert found == {1: (2, 1), 2: (2, 2), 3: (6, 3)}
+
+
+def test_equal_hashes_are_compared_word_by_word():
+    texts = [" ".join(f"{x}{i}" for i in range(40)) for x in ("a", "b")]
+    x, y = (words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), VISIBLE) for t in texts)
+    s, t = near_dedup.sets(x, 3)[0], near_dedup.sets(y, 3)[0]
+    assert near_dedup.linked(x, s, x, s, 85) and not near_dedup.linked(x, s, y, t, 85)
+    t.hashes = s.hashes
+    assert not near_dedup.linked(x, s, y, t, 85)
+    assert near_dedup.digests(x, [s]) != near_dedup.digests(y, [t])
+
+
+def test_ids_of_text_and_ids_that_repeat(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    a, b, c = text(), text(), text()
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    docs = [("k1", a), ("k1", b), ("k2", near(b)), ("k3", near(a)), ("k0", c), ("k4", c), ("k9", text())]
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in docs], "doc_id string, text string, rep int, id string")
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, shingle=3, share=85).collect())
+    assert found == [("k0", "k0", True), ("k1", "k1", True), ("k1", "k1", True), ("k2", "k1", False), ("k3", "k1", False), ("k4", "k0", False), ("k9", "k9", True)]
+
+
+@pytest.mark.parametrize("kind", ["plain", "template"])
+def test_recall_of_links(spark, kind):
+    """Planted pairs just above the threshold, among others of one template: each exact link joins its two."""
+    rng = random.Random(12)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    base, docs, planted = new(130), [], []
+    for i in range(1500):
+        own = (base if kind == "template" else new(130)) + new(20)
+        docs.append((i, " ".join(own)))
+        if i % 15 == 0:
+            own = own[:-12] + new(11) + own[-1:]
+            docs.append((10_000 + i, " ".join(own)))
+            planted.append((i, 10_000 + i))
+    sets = {i: shingles(t, 3) for i, t in docs}
+    links = [(a, b) for a, b in planted if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(links) > 80
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, shingle=3, share=85).collect()}
+    joined = sum(found[a] == found[b] for a, b in links) / len(links)
+    assert joined >= (1.0 if kind == "template" else 0.9)
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(180)} | {(i, i + 1) for i in range(400, 460)}
@@ -189,3 +247,20 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, folder)
     assert empty.count() == 0
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    own = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    clean = next(t for i, t, lang in own if lang == "en" and 500 < len(t) < 900)
+    rng = random.Random(6)
+    long = " ".join(rng.choice(clean.split()) for _ in range(60_000))
+    odd = [(90_001, None, None), (90_002, "", "en"), (90_003, "12 !?", None), (90_004, long, "en"), (own[0][0], own[0][1], None), (None, clean, "en")]
+    columns = "doc_id long, text string, lang string, _id long, _text string, ids string, rejected string, score string, kept int"
+    spark.createDataFrame([(*r, 1, "x", "y", "z", "s", 2) for r in own + odd], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    found = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert not {90_001, 90_002, 90_003} & set(found) and 90_004 in found and len(found) > 100
