@@ -2,8 +2,12 @@
 
 The model learns by stochastic gradient descent in numpy on a bounded sample of labelled rows
 (``rows`` rows of at most ``longest`` bytes each, shared out by the labels' numbers of rows, but EACH of every
-label that has as many; in the order of a hash of their id), a tenth of which, without the first of each label,
-calibrates: a temperature for the probabilities, and the probability below which a prediction is rejected.
+label that has as many; in the order of a hash of their id), a fifth of which, without the first of each label,
+calibrates. The probabilities get a temperature. Rejection goes by the best language's logit, which says more
+of strange texts than a probability that must be shared out among known languages: its bound is set on what
+the model has never seen (texts of each of LEFT_OUT languages, by a model that learned the others, and texts
+whose letters are shuffled) so that it accepts STRANGE of them, but so that it rejects RIGHT of the right
+predictions at most; the latter counts first. Short texts (under SHORT bytes) have a bound of their own.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected. Where nothing can be learned
 (no labelled row) every text is ``und`` with score 0 and rejected. Rows are scored one by one: repeated
@@ -27,6 +31,10 @@ UNKNOWN = "und"
 ORDERS, BITS = (1, 2, 3, 4), 16
 #: Rows of a label that are drawn however rare it is.
 EACH = 30
+#: Right predictions that may be rejected; strange texts that may be accepted; languages left out for that.
+RIGHT, STRANGE, LEFT_OUT = 0.002, 0.05, 4
+#: Bytes.
+SHORT = 300
 
 
 @dataclass
@@ -35,7 +43,13 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
     heat: float = 1.0
-    reject_below: float = 0.0
+    #: Of short texts and of others.
+    reject_below: tuple[float, float] = (-np.inf, -np.inf)
+    #: Shares of strange texts that are accepted, as calibrated.
+    accepted: tuple[float, float] = (0.0, 0.0)
+
+    def strange(self, logits: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return logits.max(axis=1) < np.where(size < SHORT, *self.reject_below)
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total = np.zeros((len(offsets) - 1, len(self.labels)))
@@ -47,16 +61,6 @@ class Model:
         return total / np.maximum(number, 1)[:, None] + self.bias
 
 
-def sample(docs: DataFrame, usable: Column, most: int, id_col: str) -> DataFrame:
-    """At most ``most`` rows for which ``usable`` holds, in the order of a hash of their id."""
-    known = docs.where(usable)
-    n = known.count()
-    place = F.xxhash64(F.col(id_col).cast("string"))
-    if n > most:
-        known = known.where(place <= min(2**63 - 1, -(2**63) + int(2**64 * 1.2 * most / n)))
-    return known.withColumn("_place", place).orderBy("_place", id_col).limit(most).drop("_place")
-
-
 def drawn(labelled: DataFrame, most: int, id_col: str) -> list:
     """Rows of (id, text, label): of each label its share of ``most``, and EACH at least, by a hash of their id."""
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -85,31 +89,62 @@ def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_i
     labels = sorted({r["label"] for r in found})
     if not labels:
         return Model([], np.zeros((0, (1 << BITS) + 1)), np.zeros(0))
+    texts, target = [r["text"].encode() for r in found], np.array([labels.index(r["label"]) for r in found])
+    bags = list(map(bag, texts))
+    first = {t: i for i, t in reversed(list(enumerate(target.tolist())))}
+    fifth = np.array([i for i in range(0, len(bags), 5) if first[target[i]] != i], int)
+    learn = np.setdiff1d(np.arange(len(bags)), fifth)
+    fifth = fifth if len(fifth) else learn[::5]
+    model = fitted(labels, bags, target, learn, epochs)
+    z = of_bags(model, [bags[i] for i in fifth])
+    model.heat = temperature(z, target[fifth])
+    right = z.argmax(axis=1) == target[fifth]
+    good = [texts[i] for i in fifth[right]]
+    strange = [(model, [shuffled(t) for t in good[:300]])]
+    for k in np.argsort(-np.bincount(target), kind="stable")[: LEFT_OUT if len(labels) > 1 else 0]:
+        others = [x for i, x in enumerate(labels) if i != k]
+        part = learn[target[learn] != k][:1500]
+        net = fitted(others, bags, target - (target > k), part, epochs)
+        strange.append((net, [texts[i] for i in np.flatnonzero(target == k)[:300]]))
+    bounds, accepted = [], []
+    for cut in (100, None):  # whole letters, or all
+        top = lambda m, ts: of_bags(m, [bag(t.decode()[:cut].encode()) for t in ts]).max(axis=1)
+        known, unknown = top(model, good), np.concatenate([top(m, ts) for m, ts in strange if ts] or [np.zeros(0)])
+        bounds.append(min(np.quantile(known, RIGHT), np.quantile(unknown, 1 - STRANGE)) if len(known) and len(unknown) else -np.inf)
+        accepted.append(float((unknown >= bounds[-1]).mean()) if len(unknown) else 0.0)
+    model.reject_below, model.accepted = (float(bounds[0]), float(bounds[1])), (accepted[0], accepted[1])
+    return model
+
+
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(text: bytes) -> Bag:
+    """Distinct buckets of a text's n-grams, and their shares."""
+    data = np.frombuffer(text, np.uint8)
+    every = np.concatenate(grams(data, np.array([0, len(data)]), ORDERS, BITS))
+    index, count = np.unique(every[every < 1 << BITS], return_counts=True)
+    return index, count / max(1, count.sum())
+
+
+def shuffled(text: bytes) -> bytes:
+    """Its letters, without their order."""
+    signs = np.array(list(text.decode()))
+    return "".join(np.random.default_rng(len(signs)).permutation(signs)).encode()
+
+
+def fitted(labels: list[str], bags: list[Bag], target: np.ndarray, learn: np.ndarray, epochs: int) -> Model:
     net = Embeddings(BITS, len(labels))
-    bags = []
-    for r in found:
-        data = np.frombuffer(r["text"].encode(), np.uint8)
-        every = np.concatenate(grams(data, np.array([0, len(data)]), ORDERS, BITS))
-        index, count = np.unique(every[every < 1 << BITS], return_counts=True)
-        bags.append((index, count / count.sum(), labels.index(r["label"])))
-    first = {b[2]: i for i, b in reversed(list(enumerate(bags)))}
-    tenth = [i for i in range(0, len(bags), 10) if first[bags[i][2]] != i]
-    learn, check = [b for i, b in enumerate(bags) if i not in tenth], [bags[i] for i in tenth] or bags[::10]
-    rng = np.random.default_rng(net.seed)
-    rate = net.rate
+    rng, rate = np.random.default_rng(net.seed), net.rate
     for epoch in range(epochs):
         net.rate = rate * (1 - epoch / epochs)
-        for i in rng.permutation(len(learn)):
-            net.learn(*learn[i])
-    model = Model(labels, net.scores(), net.bias)
-    z = np.array([[model.table[c][index] @ weight for c in range(len(labels))] for index, weight, _ in check]) + model.bias
-    target = np.array([t for _, _, t in check])
-    model.heat = temperature(z, target)
-    sure = softmax(z / model.heat)
-    right = sure.max(axis=1)[sure.argmax(axis=1) == target]
-    # a right prediction is rejected in 1 of 200 cases at most, and none that has 0.4
-    model.reject_below = float(min(np.quantile(right, 0.005), 0.4)) if len(right) else 0.0
-    return model
+        for i in rng.permutation(learn):
+            net.learn(*bags[i], target[i])
+    return Model(labels, net.scores(), net.bias)
+
+
+def of_bags(model: Model, bags: list[Bag]) -> np.ndarray:
+    return np.array([[row[index] @ weight for row in model.table] for index, weight in bags]).reshape(len(bags), -1) + model.bias
 
 
 def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
@@ -126,14 +161,16 @@ def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
             for i in np.flatnonzero(~letters):
                 letters[i] = any(map(str.isalpha, texts[a + int(i)].as_py()))
             if model.labels:
-                sure = softmax(model.logits(data, offsets) / model.heat)
+                logits = model.logits(data, offsets)
+                strange = model.strange(logits, np.diff(offsets))
+                sure = softmax(logits / model.heat)
                 score, best = np.where(letters, sure.max(axis=1), 0.0), sure.argmax(axis=1)
             else:
                 letters[:] = False
-                score, best = np.zeros(b - a), np.zeros(b - a, int)
+                score, best, strange = np.zeros(b - a), np.zeros(b - a, int), True
             names += [model.labels[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)]
             scores.append(score)
-            rejected.append(~letters | (score < model.reject_below))
+            rejected.append(~letters | strange)
         every = [pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores])), pa.array(np.concatenate([np.zeros(0, bool), *rejected]))]
         return pa.StructArray.from_arrays(every, ["lang_pred", "score", "rejected"])
 
