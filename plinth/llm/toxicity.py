@@ -1,34 +1,41 @@
-"""Toxicity of whole texts: bags of subwords averaged into a linear softmax, so that misspellings of a word
-share most of its n-gram vectors.
+"""Toxicity of texts: subword bags averaged into a linear softmax, so that misspellings of a word share most
+of its n-gram vectors.
 
-A word is the bag of its n-grams; their embeddings are averaged, and the softmax layer gives the word's log
-odds. A text's log odds are the soft maximum of its words' (averaged over the whole text, one word would
-vanish among a thousand). Embeddings and softmax learn jointly in numpy, one text at a time: the gradient
-reaches each word by its share in the soft maximum.
+A text is read in windows of WINDOW words, one from each word on (a shorter text is one window). The embeddings
+of a window's n-grams are averaged and put through the softmax; the text has the odds of its worst window. So
+a text's odds don't grow with its length by themselves: a text repeated many times has no other windows than
+those of the text and of its seam. (An average over whole texts was tried first; one word vanishes in it among
+a thousand.) Embeddings and softmax learn jointly in numpy, one text at a time, from its worst window.
 
 The model fits a bounded sample: ``per_class`` rows of each label, of at most ``longest`` bytes, in the
-order of a hash of their id. A null text, or one without a word, gets the score
-of one word without n-grams. Without training rows of
-both labels every score is the share of label 1 (0 if there is none). Rows are scored one by one; repeated
-rows get equal scores, extra columns are ignored. A row of the labels whose label is null is not used.
+order of a hash of their id. A null text, or one without a word, gets the score of a window without n-grams.
+Without training rows of both labels every score is the share of label 1 (0 if there is none). Rows are scored
+one by one; repeated rows get equal scores, extra columns are ignored. A row of the labels whose label is null
+is not used.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.common import small_batches, sums, text_chunks, utf8
-from plinth.llm.language_id import sample
 from plinth.llm.subword import NORMAL, grams, temperature
 
 ORDERS, BITS = (3, 4, 5, 6, 8), 18
-RATE, DIM = 2.0, 8
+RATE, DIM = 8.0, 8
+#: Words that are averaged.
+WINDOW = 3
+#: Examples that are shown at least, though each 40 times at most.
+STEPS = 12_000
+#: Labelled ids up to which they are broadcast.
+DRAWN = 100_000
 
 
 @dataclass
@@ -42,7 +49,10 @@ class Model:
         buckets, words, texts = word_grams(data, offsets)
         total = sums(self.table[buckets].sum(axis=0), words)
         number = sums((buckets < 1 << BITS).sum(axis=0), words)
-        return soft_max(total / np.maximum(number, 1) + self.bias, texts, self.bias)
+        out, some = np.full(len(offsets) - 1, self.bias), np.flatnonzero(np.diff(texts))
+        if len(some):
+            out[some] = np.maximum.reduceat(windows(total, number, texts)[0] + self.bias, texts[:-1][some])
+        return out
 
 
 def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,25 +74,44 @@ def word_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return buckets, np.append(begins, len(clean)), np.searchsorted(begins, np.append(offsets[:-1] + np.arange(n), len(clean)))
 
 
-def soft_max(words: np.ndarray, texts: np.ndarray, empty: float) -> np.ndarray:
-    out, some = np.full(len(texts) - 1, empty), np.flatnonzero(np.diff(texts))
-    if len(some):
-        most = np.maximum.reduceat(words, texts[:-1][some])
-        shifted = np.exp(words - np.repeat(most, np.diff(texts)[some]))
-        out[some] = most + np.log(np.add.reduceat(shifted, texts[:-1][some]))
-    return out
+def windows(total: np.ndarray, number: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the window from each word on: the sum of its words' totals by that of their numbers, its first word
+    and that sum of numbers. Instead of windows that would pass the end of a text there are those of its last
+    WINDOW words, or of all if it has fewer."""
+    words = np.diff(texts)
+    first = np.minimum(np.arange(len(total)), np.repeat(np.maximum(texts[1:] - WINDOW, texts[:-1]), words))
+    end = np.repeat(texts[1:], words)
+    value, size = np.zeros(len(total)), np.zeros(len(total), np.int64)
+    for k in range(WINDOW):
+        at = np.minimum(first + k, len(total) - 1)
+        value += np.where(first + k < end, total[at], 0)
+        size += np.where(first + k < end, number[at], 0)
+    size = np.maximum(size, 1)
+    return value / size, first, size
 
 
 def chosen(labelled: DataFrame, docs: DataFrame, usable: Column | None, id_col: str, text_col: str, label_col: str, per_class: int, longest: int) -> list:
-    """The training rows: ids drawn from the labels alone, then joined to their texts (the drawn ids are
-    ``per_class`` of each label at most, so they are broadcast)."""
+    """The training rows: ids drawn from the labels alone by a hash, then joined to their texts; of those of a
+    usable length ``per_class`` of each label, in the order of the hash. Where most texts are too long, more ids
+    are drawn until there are as many, or all are drawn. An id counts once with each label, and with its least text."""
     labels = labelled.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1))
     if usable is not None:
         labels = labels.where(usable)
-    drawn = sample(labels, F.col("_y") == 0, per_class, "_id").unionAll(sample(labels, F.col("_y") == 1, per_class, "_id"))
+    place = F.xxhash64(F.col("_id").cast("string"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.octet_length("_text").between(1, longest))
-    rows = texts.join(F.broadcast(drawn), "_id").select("_id", "_text", "_y").collect()
-    return sorted(rows, key=lambda r: (str(r["_id"]), r["_text"], r["_y"]))
+    counts = {r["_y"]: r["count"] for r in labels.groupBy("_y").count().collect()}
+    first, most = Window.partitionBy("_y").orderBy(place, "_id"), 2 * per_class
+    while True:
+        drawn = F.lit(False)
+        for y, n in counts.items():
+            drawn = drawn | ((F.col("_y") == y) & (place <= min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, most / n)))))
+        ids = labels.where(drawn).distinct()
+        found = texts.join(F.broadcast(ids) if most <= DRAWN else ids, "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+        rows = found.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= per_class).collect()
+        got = Counter(r["_y"] for r in rows)
+        if all(got[y] >= per_class or most >= n for y, n in counts.items()):
+            return sorted(rows, key=lambda r: (str(r["_id"]), r["_text"], r["_y"]))
+        most *= 8
 
 
 def train(docs: DataFrame, labelled: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, longest: int = 10_000, epochs: int = 6) -> Model:
@@ -101,6 +130,7 @@ def fit(texts: list[bytes], target: np.ndarray, epochs: int) -> Model:
     layer, bias = rng.normal(0, DIM**-0.5, DIM), -8.0
     bags = [word_grams(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
     order = rng.permutation(len(texts))
+    epochs = max(epochs, min(40, STEPS // len(texts)))
     check, learn = order[: len(order) // 10], order[len(order) // 10 :]
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / (epochs + 1))
@@ -109,19 +139,22 @@ def fit(texts: list[bytes], target: np.ndarray, epochs: int) -> Model:
             buckets, words = buckets[:, words[0] :], words - words[0]
             if len(words) < 2:
                 continue
-            number = np.maximum(sums((buckets < 1 << BITS).sum(axis=0), words), 1)
-            odds = sums((rows[buckets] @ layer).sum(axis=0), words) / number + bias
+            number = sums((buckets < 1 << BITS).sum(axis=0), words)
+            odds, first, size = windows(sums((rows[buckets] @ layer).sum(axis=0), words), number, np.array([0, len(number)]))
+            odds += bias
             most = odds.max()
             share = np.exp(odds - most)
-            miss = 1 / (1 + np.exp(-(most + np.log(share.sum())))) - target[i]
+            miss = 1 / (1 + np.exp(-np.clip(most + np.log(share.sum()), -40, 40))) - target[i]
             share /= share.sum()
-            near = share * len(share) > 0.5  # the words that matter
-            each, size = share[near], np.diff(words)[near]
-            part = buckets[:, np.repeat(near, np.diff(words))]
-            mean, sway = (np.broadcast_to(np.repeat(x, size), part.shape).ravel() for x in (each / number[near], each))
+            near = np.flatnonzero(share * len(share) > 0.5)  # the windows that matter
+            held = (first[near, None] + np.arange(WINDOW)).ravel()[: len(near) * WINDOW]
+            sway = np.bincount(np.minimum(held, len(number) - 1), np.where(held < len(number), np.repeat(share[near] / size[near], WINDOW), 0), len(number))
+            some = sway > 0
+            part = buckets[:, np.repeat(some, np.diff(words))]
             index, where = np.unique(part, return_inverse=True)
-            back = np.bincount(where.ravel(), mean) @ rows[index]
-            rows[index] -= rate * miss * np.bincount(where.ravel(), sway)[:, None] * layer[None, :]
+            weight = np.bincount(where.ravel(), np.broadcast_to(np.repeat(sway[some], np.diff(words)[some]), part.shape).ravel())
+            back = weight @ rows[index]
+            rows[index] -= rate * miss * weight[:, None] * layer[None, :]
             rows[-1] = 0
             layer -= 0.1 * rate * miss * back
             bias -= 0.1 * rate * miss
