@@ -25,9 +25,12 @@ def fold(key: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a local folder."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local session gets a local folder, and
+    on a cluster it is an error: its machines share no temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="plinth-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/plinth-{uuid.uuid4().hex}"
