@@ -2,12 +2,12 @@
 
 The model learns by stochastic gradient descent in numpy on a bounded sample of labelled rows
 (``rows`` rows of at most ``longest`` bytes each, shared out by the labels' numbers of rows, but EACH of every
-label that has as many; in the order of a hash of their id), a fifth of which, without the first of each label,
-calibrates. The probabilities get a temperature. Rejection goes by the best language's logit, which says more
+label that has as many; in the order of a hash of their id). A fifth of them, without the first of each
+label, calibrates. The probabilities get a temperature. Rejection goes by the best language's logit, which says more
 of strange texts than a probability that must be shared out among known languages: its bound is set on what
 the model has never seen (texts of each of LEFT_OUT languages, by a model that learned the others, and texts
-whose letters are shuffled) so that it accepts STRANGE of them, but so that it rejects RIGHT of the right
-predictions at most; the latter counts first. Short texts (under SHORT bytes) have a bound of their own.
+whose letters are shuffled) so that it accepts STRANGE of them, but so that it rejects KNOWN of the texts in
+known languages at most; the latter counts first. Short texts (under SHORT bytes) have a bound of their own.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected. Where nothing can be learned
 (no labelled row) every text is ``und`` with score 0 and rejected. Rows are scored one by one: repeated
@@ -31,8 +31,8 @@ UNKNOWN = "und"
 ORDERS, BITS = (1, 2, 3, 4), 16
 #: Rows of a label that are drawn however rare it is.
 EACH = 30
-#: Right predictions that may be rejected; strange texts that may be accepted; languages left out for that.
-RIGHT, STRANGE, LEFT_OUT = 0.002, 0.05, 4
+#: Shares of known texts that may be rejected, and of strange ones that may be accepted; languages left out for that.
+KNOWN, STRANGE, LEFT_OUT = 0.001, 0.05, 4
 #: Bytes.
 SHORT = 300
 
@@ -80,7 +80,7 @@ def drawn(labelled: DataFrame, most: int, id_col: str) -> list:
     return out
 
 
-def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 3000, longest: int = 50_000, epochs: int = 4) -> Model:
+def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 6000, longest: int = 50_000, epochs: int = 4) -> Model:
     """Learn from the rows where ``usable`` holds, text and label are not null and the text has 20 to
     ``longest`` bytes; ``rows`` and EACH bound the sample."""
     size = F.octet_length(text_col)
@@ -90,27 +90,25 @@ def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_i
     if not labels:
         return Model([], np.zeros((0, (1 << BITS) + 1)), np.zeros(0))
     texts, target = [r["text"].encode() for r in found], np.array([labels.index(r["label"]) for r in found])
-    bags = list(map(bag, texts))
     first = {t: i for i, t in reversed(list(enumerate(target.tolist())))}
-    fifth = np.array([i for i in range(0, len(bags), 5) if first[target[i]] != i], int)
-    learn = np.setdiff1d(np.arange(len(bags)), fifth)
-    fifth = fifth if len(fifth) else learn[::5]
+    fifth = np.array([i for i in range(0, len(texts), 5) if first[target[i]] != i], int)
+    learn = np.setdiff1d(np.arange(len(texts)), fifth)
+    fifth = fifth if len(fifth) else learn
+    bags = {i: bag(texts[i]) for i in learn.tolist()}
     model = fitted(labels, bags, target, learn, epochs)
-    z = of_bags(model, [bags[i] for i in fifth])
+    z = of_texts(model, [texts[i] for i in fifth])
     model.heat = temperature(z, target[fifth])
-    right = z.argmax(axis=1) == target[fifth]
-    good = [texts[i] for i in fifth[right]]
-    strange = [(model, [shuffled(t) for t in good[:300]])]
+    known = [texts[i] for i in fifth]
+    strange = [(model, [shuffled(t) for t in known[:300]])]
     for k in np.argsort(-np.bincount(target), kind="stable")[: LEFT_OUT if len(labels) > 1 else 0]:
         others = [x for i, x in enumerate(labels) if i != k]
-        part = learn[target[learn] != k][:1500]
-        net = fitted(others, bags, target - (target > k), part, epochs)
-        strange.append((net, [texts[i] for i in np.flatnonzero(target == k)[:300]]))
+        net = fitted(others, bags, target - (target > k), learn[target[learn] != k][:1500], epochs)
+        strange.append((net, [texts[i] for i in fifth[target[fifth] == k][:300]]))
     bounds, accepted = [], []
-    for cut in (100, None):  # whole letters, or all
-        top = lambda m, ts: of_bags(m, [bag(t.decode()[:cut].encode()) for t in ts]).max(axis=1)
-        known, unknown = top(model, good), np.concatenate([top(m, ts) for m, ts in strange if ts] or [np.zeros(0)])
-        bounds.append(min(np.quantile(known, RIGHT), np.quantile(unknown, 1 - STRANGE)) if len(known) and len(unknown) else -np.inf)
+    for cut in (100, None):  # letters of what stands for short texts
+        top = lambda m, ts: of_texts(m, [t.decode()[:cut].encode() for t in ts]).max(axis=1)
+        own, unknown = top(model, known), np.concatenate([top(m, ts) for m, ts in strange if ts] or [np.zeros(0)])
+        bounds.append(min(np.quantile(own, KNOWN), np.quantile(unknown, 1 - STRANGE)) if len(own) and len(unknown) else -np.inf)
         accepted.append(float((unknown >= bounds[-1]).mean()) if len(unknown) else 0.0)
     model.reject_below, model.accepted = (float(bounds[0]), float(bounds[1])), (accepted[0], accepted[1])
     return model
@@ -133,7 +131,7 @@ def shuffled(text: bytes) -> bytes:
     return "".join(np.random.default_rng(len(signs)).permutation(signs)).encode()
 
 
-def fitted(labels: list[str], bags: list[Bag], target: np.ndarray, learn: np.ndarray, epochs: int) -> Model:
+def fitted(labels: list[str], bags: dict[int, Bag], target: np.ndarray, learn: np.ndarray, epochs: int) -> Model:
     net = Embeddings(BITS, len(labels))
     rng, rate = np.random.default_rng(net.seed), net.rate
     for epoch in range(epochs):
@@ -143,8 +141,13 @@ def fitted(labels: list[str], bags: list[Bag], target: np.ndarray, learn: np.nda
     return Model(labels, net.scores(), net.bias)
 
 
-def of_bags(model: Model, bags: list[Bag]) -> np.ndarray:
-    return np.array([[row[index] @ weight for row in model.table] for index, weight in bags]).reshape(len(bags), -1) + model.bias
+def of_texts(model: Model, texts: list[bytes]) -> np.ndarray:
+    """The logits, some texts at a time."""
+    out = [np.zeros((0, len(model.labels)))]
+    for k in range(0, len(texts), 100):
+        part = texts[k : k + 100]
+        out.append(model.logits(np.frombuffer(b"".join(part), np.uint8), np.append(0, np.cumsum(list(map(len, part))))))
+    return np.concatenate(out)
 
 
 def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:

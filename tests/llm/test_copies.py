@@ -234,7 +234,7 @@ def test_pipeline(spark):
     now = df.where(df.doc_id.isin(kept))
     rejected = {r["doc_id"] for r in language_id.predict(now, language_id.train(now)).collect() if r["rejected"]}
     kept = [i for i in kept if i not in rejected]
-    assert len(rejected) < 5
+    assert len(rejected) <= 0.01 * len(ids)
     kept = [i for i, (_, root) in groups([(i, docs[i]) for i in kept], 5, 80).items() if i == root]
     dirty = leaks([(i, docs[i]) for i in kept], read(spark, folder, "benchmark", "item_id", "text"))
     kept = [i for i in kept if not dirty[i][4]]
@@ -256,7 +256,7 @@ def test_pipeline_odd_rows(spark, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
     own = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()]
-    clean = next(t for i, t, lang in own if lang == "en" and 500 < len(t) < 900)
+    clean = next(t for i, t, lang in own if lang == "en" and 500 < len(t) < 900 and not re.search("pathetic|clown|idiot|trash|moron|scum|disgust|loser|stupid", t))
     rng = random.Random(6)
     long = " ".join(rng.choice(clean.split()) for _ in range(60_000))
     odd = [(90_001, None, None), (90_002, "", "en"), (90_003, "12 !?", None), (90_004, long, "en"), (own[0][0], own[0][1], None), (None, clean, "en")]
