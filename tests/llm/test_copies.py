@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from plinth.llm import bpe, decontaminate, language_id, near_dedup, queries, toxicity
-from plinth.llm.common import utf8
+from plinth.llm.common import stored, utf8
 from plinth.llm.words import VISIBLE, words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -262,5 +262,10 @@ def test_pipeline_odd_rows(spark, tmp_path):
     odd = [(90_001, None, None), (90_002, "", "en"), (90_003, "12 !?", None), (90_004, long, "en"), (own[0][0], own[0][1], None), (None, clean, "en")]
     columns = "doc_id long, text string, lang string, _id long, _text string, ids string, rejected string, score string, kept int"
     spark.createDataFrame([(*r, 1, "x", "y", "z", "s", 2) for r in own + odd], columns).write.parquet(f"{tmp_path}/documents.parquet")
-    found = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
-    assert not {90_001, 90_002, 90_003} & set(found) and 90_004 in found and len(found) > 100
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    toxic = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert toxic.columns == docs.columns and 0 < toxic.count() <= docs.count()
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = stored(stage(spark, docs, str(tmp_path)))
+    found = {r["doc_id"]: r["n_tokens"] for r in docs.collect()}
+    assert not {90_001, 90_002, 90_003} & set(found) and found[90_004] > 60_000 and len(found) > 100
