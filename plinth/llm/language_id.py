@@ -80,7 +80,7 @@ def drawn(labelled: DataFrame, most: int, id_col: str) -> list:
     return out
 
 
-def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 6000, longest: int = 50_000, epochs: int = 4) -> Model:
+def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 4000, longest: int = 50_000, epochs: int = 4) -> Model:
     """Learn from the rows where ``usable`` holds, text and label are not null and the text has 20 to
     ``longest`` bytes; ``rows`` and EACH bound the sample."""
     size = F.octet_length(text_col)
@@ -122,7 +122,7 @@ def bag(text: bytes) -> Bag:
     data = np.frombuffer(text, np.uint8)
     every = np.concatenate(grams(data, np.array([0, len(data)]), ORDERS, BITS))
     index, count = np.unique(every[every < 1 << BITS], return_counts=True)
-    return index, count / max(1, count.sum())
+    return index.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)
 
 
 def shuffled(text: bytes) -> bytes:

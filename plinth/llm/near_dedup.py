@@ -74,14 +74,30 @@ def sets(found: Words, shingle: int) -> list[Set]:
     return out
 
 
+#: Shingles whose bytes are laid out at once.
+SOME = 8192
+
+
 def digests(found: Words, members: list[Set]) -> list[bytes]:
     """Of each text's set: of the shingles themselves, in the order of their hashes."""
     out = []
     for m in members:
-        out.append(hashlib.blake2b(found.passages(m.places, m.size)[0].tobytes(), digest_size=16).digest())
+        digest = hashlib.blake2b(digest_size=16)
+        for k in range(0, len(m.places), SOME):
+            digest.update(found.passages(m.places[k : k + SOME], m.size)[0])
+        out.append(digest.digest())
     return out
 
 
+def alike(x: Words, i: np.ndarray, y: Words, j: np.ndarray, size: int) -> bool:
+    """Whether the shingles at these places are equal, one by one."""
+    for k in range(0, len(i), SOME):
+        one, two = x.passages(i[k : k + SOME], size), y.passages(j[k : k + SOME], size)
+        if not (np.array_equal(one[1], two[1]) and np.array_equal(one[0], two[0])):
+            return False
+    return True
+
+
 def linked(x: Words, s: Set, y: Words, t: Set, share: int) -> bool:
     """100 * |intersection| >= share * |union|. Shingles of equal hashes are compared word by word."""
     if s.size != t.size or not s.size or 100 * min(len(s.hashes), len(t.hashes)) < share * max(len(s.hashes), len(t.hashes)):
@@ -90,8 +106,7 @@ def linked(x: Words, s: Set, y: Words, t: Set, share: int) -> bool:
     enough = lambda both, union: 100 * both >= share * union
     if not enough(len(i), len(s.hashes) + len(t.hashes) - len(i)):
         return False
-    one, two = x.passages(s.places[i], s.size), y.passages(t.places[j], t.size)
-    if np.array_equal(one[1], two[1]) and np.array_equal(one[0], two[0]):
+    if alike(x, s.places[i], y, t.places[j], s.size):
         return True
     full = [{f.passages(np.array([k]), m.size)[0].tobytes() for k in range(*m.bounds)} for f, m in ((x, s), (y, t))]  # hashes collide
     return enough(len(full[0] & full[1]), len(full[0] | full[1]))

@@ -128,14 +128,13 @@ def fit(texts: list[bytes], target: np.ndarray, epochs: int) -> Model:
     rows = rng.normal(0, 0.01, ((1 << BITS) + 1, DIM))
     rows[-1] = 0
     layer, bias = rng.normal(0, DIM**-0.5, DIM), -8.0
-    bags = [word_grams(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
     order = rng.permutation(len(texts))
     epochs = max(epochs, min(40, STEPS // len(texts)))
     check, learn = order[: len(order) // 10], order[len(order) // 10 :]
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / (epochs + 1))
         for i in rng.permutation(learn):
-            buckets, words, _ = bags[i]
+            buckets, words, _ = word_grams(np.frombuffer(texts[i], np.uint8), np.array([0, len(texts[i])]))
             buckets, words = buckets[:, words[0] :], words - words[0]
             if len(words) < 2:
                 continue
