@@ -7,6 +7,7 @@ without partitions."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +23,11 @@ UNSUPPORTED = (
 
 
 def refuse(function: str) -> None:
-    if function.upper() in UNSUPPORTED:
+    """``function``: a name, or a call. Frames (offsets after the value) are refused like the functions."""
+    name, _, rest = function.upper().partition("(")
+    if name.startswith("WINDOW_") and re.search(r",\s*(-?\d+|FIRST\(\)|LAST\(\))", rest):
+        raise Refused("calc-untranslated", f"{function}: a frame inside the view")
+    if name.strip() in UNSUPPORTED:
         raise Refused("calc-untranslated", f"{function} depends on an order or a level that isn't given")
 
 
@@ -40,8 +45,10 @@ def overall(df: DataFrame, value: Column) -> Column:
 
 
 def window_total(view: DataFrame, **values: Column) -> DataFrame:
-    """WINDOW_SUM, _AVG, _MIN, _MAX, _COUNT or _MEDIAN: an aggregate of the view's rows beside each."""
-    return view.withColumns({n: overall(view, v) for n, v in values.items()})
+    """WINDOW_SUM, _AVG, _MIN, _MAX, _COUNT or _MEDIAN: an aggregate of the view's rows beside each. All of
+    them are one scalar subquery, so the view is computed twice however many there are."""
+    whole = overall(view, F.struct(*(v.alias(n) for n, v in values.items())))
+    return view.withColumn("_whole", whole).select(*view.columns, *(F.col("_whole")[n].alias(n) for n in values))
 
 
 def ranked(view: DataFrame, value: str, name: str = "RANK", *, kind: str = "rank", ascending: bool = False, within: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:

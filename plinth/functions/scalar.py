@@ -124,6 +124,30 @@ def make_datetime(y: Column, m: Column, d: Column, h: Column, mi: Column, s: Col
     return F.make_timestamp_ntz(y, m, d, h, mi, s)
 
 
+def today(clock: Column | None = None) -> Column:
+    """The date now; ``clock`` stands for now in tests and replays."""
+    return F.current_date() if clock is None else clock.cast("date")
+
+
+def now(clock: Column | None = None) -> Column:
+    return (F.current_timestamp() if clock is None else clock).cast("timestamp_ntz")
+
+
+def date_parse(fmt: str, s: Column) -> Column:
+    """DATEPARSE: by a pattern of letters; null if it doesn't fit."""
+    return F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
+
+
+def make_time(h: Column, m: Column, s: Column) -> Column:
+    """A time of day, on the day that stands for none: 30 December 1899."""
+    return F.make_timestamp_ntz(F.lit(1899), F.lit(12), F.lit(30), h, m, s)
+
+
+def regexp_extract(s: Column, pattern: str) -> Column:
+    """What the first group matches; null if nothing does."""
+    return F.when(F.regexp_like(s, F.lit(pattern)), F.regexp_extract(s, pattern, 1))
+
+
 # numbers
 
 

@@ -64,6 +64,30 @@ def calc(condition: Column, keep: Sequence[bool]) -> Column | None:
     return condition if True in keep else ~condition
 
 
+def no_op(caption: str, values: Sequence[object] = (), domain: Sequence[object] = ()) -> bool:
+    """Filters that filter nothing: actions of a dashboard, names of measures, and all members listed."""
+    name = caption.strip().lower()
+    return name.startswith("action (") or name in ("measure names", ":measure names") or (bool(domain) and {str(v) for v in domain} <= {str(v) for v in values})
+
+
+def control(df: DataFrame, column: str, kind: str, value: object, *, part: str | None = None, sheet: str = "", findings: Findings | None = None) -> Column | None:
+    """What a dashboard's control asks for: a member, a number of a date's part, or two dates; None at "All".
+    The second date means its midnight: what is later on that day is out. A part that isn't known becomes a
+    range of dates, and is reported."""
+    if value is None or value == "All":
+        return None
+    if kind == "date-part" and part not in ("year", "quarter", "month", "week", "day"):
+        if findings is not None:
+            findings.add(WARNING, sheet, "filter-widget-unmapped", f"no part {part} of {column}: a range of dates")
+        kind = "date"
+    if kind == "date-part":
+        return date_part(part, F.col(column)) == F.lit(value).cast("int")
+    if kind == "date":
+        low, high = value
+        return between(df, column, low, high)
+    return F.col(column) == F.lit(value).cast(_kind(df, column))
+
+
 def every(conditions: Sequence[Column | None]) -> Column:
     return reduce(Column.__and__, [c for c in conditions if c is not None], F.lit(True))
 

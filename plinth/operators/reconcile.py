@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: From best to worst; an unknown status is the worst.
@@ -48,6 +49,14 @@ def problems(df: DataFrame, grain: Sequence[str]) -> DataFrame:
     return keys.agg(F.count_if(F.col("n") > 1).alias("duplicates"), F.coalesce(F.sum("e"), F.lit(0)).alias("nulls"))
 
 
+def order_match(one: DataFrame, two: DataFrame, grain: Sequence[str], order: str) -> DataFrame:
+    """One row: ``order_match``, whether both have the same keys in the same order of their first rows.
+    ``order``: the column with a row's place. Both are views, of as many rows as a sheet shows."""
+    place = lambda df, n: df.groupBy(F.struct(*grain).alias("_key")).agg(F.min(order).alias("_first")).select("_key", F.row_number().over(Window.orderBy("_first")).alias(n))
+    both = place(one, "_a").join(place(two, "_b"), "_key", "full_outer")
+    return both.agg((F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))) == 0).alias("order_match"))
+
+
 def compare(sources: dict[str, DataFrame], grain: Sequence[str], measures: Sequence[str], tolerances: dict[str, Decimal]) -> DataFrame:
     """A row for each key and measure: the value in each source (of SOURCES, some may lack), the differences of
     each pair, and PASS, FAIL or, without any pair, BLOCKED. A key that a source lacks fails. Of rows with one
@@ -85,20 +94,25 @@ def status(cells: DataFrame) -> DataFrame:
     return cells.agg(F.element_at(F.array(*map(F.lit, LATTICE)), rank).alias("status"))
 
 
-def chart_status(sources: dict[str, DataFrame], grain: Sequence[str], measures: Sequence[str], tolerances: dict[str, Decimal]) -> str:
-    """A chart of which a source is missing is BLOCKED; one whose keys repeat or are empty FAILs."""
+def chart_status(sources: dict[str, DataFrame], grain: Sequence[str], measures: Sequence[str], tolerances: dict[str, Decimal], *, order: str | None = None) -> str:
+    """A chart of which a source is missing is BLOCKED; one whose keys repeat or are empty FAILs, and one whose
+    keys come in another order in the app than in the reference (by the column ``order``, if there is one)."""
     if not grain or not measures or set(sources) != set(SOURCES):
         return "BLOCKED"
     for df in sources.values():
         found = problems(df, grain).first()
         if found["duplicates"] or found["nulls"]:
             return "FAIL"
+    if order and not order_match(sources["reference"], sources["app"], grain, order).first()["order_match"]:
+        return "FAIL"
     return status(compare(sources, grain, measures, tolerances)).first()["status"]
 
 
-def roll_up(charts: dict[str, dict[str, str]]) -> dict[str, str]:
-    """Worst chart of each dashboard, and of all under "workbook"."""
-    out = {d: worst(list(c.values())) for d, c in charts.items()}
+def roll_up(charts: dict[str, dict[str, str]], visual: dict[str, str] | None = None) -> dict[str, str]:
+    """Worst chart of each dashboard, and of all under "workbook". A dashboard's ``visual`` comparison counts
+    like a chart, unless it is BLOCKED: that it couldn't be made says nothing of the figures."""
+    seen = {d: [v] for d, v in (visual or {}).items() if v != "BLOCKED"}
+    out = {d: worst([*c.values(), *seen.get(d, [])]) for d, c in charts.items()}
     return out | {"workbook": worst(list(out.values()))}
 
 
@@ -135,17 +149,49 @@ def partitions(df: DataFrame, dims: Sequence[str]) -> bool:
     return df.groupBy(*dims).count().where("count > 1").isEmpty()
 
 
-def restricts(total: float | None, filtered: float | None) -> bool:
-    """A filter can't add rows; what isn't known fails."""
+def restricts(total: float | None, filtered: float | None, *, members: float | None = None, n: float | None = None) -> bool:
+    """A filter can't add rows, and a set of N leaves ``n`` members at most; what isn't known fails."""
+    if n is not None and (members is None or members > n):
+        return False
     return total is not None and filtered is not None and filtered <= total
 
 
+def normal_header(header: str) -> str:
+    """What a column's heading and a metric's caption share: without the aggregate around it, in small letters."""
+    found = re.match(r"[A-Za-z][A-Za-z ]*\((.+)\)$", header.strip())
+    return " ".join((found[1] if found else header).split()).lower()
+
+
+def pure_sum(sql: str | None) -> bool:
+    """Whether an expression is SUM of one column, the only one whose rows may be added up."""
+    return re.fullmatch(r'\s*SUM\(\s*[A-Za-z0-9_."]+\s*\)\s*', sql or "", re.IGNORECASE) is not None
+
+
+def single_row_truth(view: DataFrame, metrics: dict[str, str]) -> dict[str, Decimal]:
+    """Known values from an exported view: those of its only row, by heading. ``metrics``: captions by name. A
+    view of several rows is a breakdown, from which no total is made."""
+    rows = view.limit(2).collect()
+    if len(rows) != 1:
+        return {}
+    columns = {}
+    for c in view.columns:
+        columns.setdefault(normal_header(c), c)
+    values = {n: displayed_number(str(rows[0][columns[normal_header(c)]]).replace("%", "")) for n, c in metrics.items() if normal_header(c) in columns}
+    return {n: v for n, v in values.items() if v is not None}
+
+
+def formula_parts(text: str) -> list[str]:
+    """Calls and operators of a formula, in their order."""
+    return [" ".join(x.split()).rstrip("( ") if x.upper().replace(" ", "") != "COUNT(DISTINCT" else "COUNTD" for x in re.findall(r"COUNT\s*\(\s*DISTINCT|[A-Za-z_]+\s*\(|[-+*/<>=]+", text, re.IGNORECASE)]
+
+
 def formula_class(a: Sequence[str], b: Sequence[str], *, text_a: str = "", text_b: str = "", grain_only: bool = False) -> str:
     """Of two formulas by the multisets of their aggregates and operators, guards against 0 left out."""
     if text_a and " ".join(text_a.split()).upper() == " ".join(text_b.split()).upper():
         return "EXACT"
     same = {"COUNT(DISTINCT": "COUNTD", "AVERAGE": "AVG"}
     parts = lambda xs: Counter(same.get(x.upper(), x.upper()) for x in xs if x.upper() != "NULLIF")
+    a, b = a or formula_parts(text_a), b or formula_parts(text_b)
     if parts(a) == parts(b):
         return "EQUIVALENT_AT_CURRENT_GRAIN" if grain_only else "SEMANTICALLY_EQUIVALENT"
     return "MISMATCH"

@@ -35,6 +35,15 @@ def top_n(df: DataFrame, dim: str, by: Column, n: float, *, bottom: bool = False
     return _within(base, leaders(base, dim, by, n, bottom=bottom), dim, n)
 
 
+def top_n_fixed(df: DataFrame, dim: str, level: Sequence[str], value: Column, by: Column, n: float, sheet: str, findings: Findings, *, bottom: bool = False) -> DataFrame:
+    """By an aggregate ``by`` over the column ``_fixed_value``, which is ``value`` fixed to ``level`` (one row of
+    the ranking for each member and level). The ranking sees the table before other filters."""
+    findings.add(INFO, sheet, "topn-order-of-ops", f"{dim} is ranked over all rows by a value fixed to {', '.join(level)}")
+    each = df.groupBy(*level).agg(value.alias("_fixed_value"))
+    levels = df.select(dim, *level).distinct() if dim not in level else df.select(*level).distinct()
+    return _within(df, leaders(levels.join(each, list(level)), dim, by, n, bottom=bottom), dim, n)
+
+
 def top_n_checked(df: DataFrame, dim: str, column: str, n: float, sheet: str, findings: Findings) -> DataFrame:
     """By the sum of a column; without that column the filter is dropped, and said so."""
     if column not in df.columns:

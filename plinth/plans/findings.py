@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +39,27 @@ class Finding:
 
 @dataclass
 class Findings:
-    """Each distinct finding once, in the order in which they came."""
+    """Each distinct finding once, in the order in which they came. What only the data can tell is looked up
+    when the findings are asked for, not while a sheet is planned."""
 
-    rows: dict[Finding, None] = field(default_factory=dict)
+    found: dict[Finding, None] = field(default_factory=dict)
+    pending: list[tuple[Callable[[], bool], Finding]] = field(default_factory=list)
 
-    def add(self, severity: str, sheet: str, code: str, message: str) -> None:
+    def add(self, severity: str, sheet: str, code: str, message: str, when: Callable[[], bool] | None = None) -> None:
         if code not in CODES:
             raise ValueError(f"unknown finding code {code}")
-        self.rows.setdefault(Finding(severity, sheet, code, message))
+        if when is None:
+            self.found.setdefault(Finding(severity, sheet, code, message))
+        else:
+            self.pending.append((when, Finding(severity, sheet, code, message)))
+
+    @property
+    def rows(self) -> dict[Finding, None]:
+        while self.pending:
+            when, finding = self.pending.pop(0)
+            if when():
+                self.found.setdefault(finding)
+        return self.found
 
     def codes(self) -> list[str]:
         return [f.code for f in self.rows]

@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.functions.lod import indexed, overall, share_of
+from plinth.functions.lod import indexed, overall, refuse, share_of
 from plinth.functions.scalar import date_part, date_trunc, state_code
-from plinth.plans.findings import INFO, WARNING, Findings, Refused
+from plinth.plans.findings import APPEARANCE, BLOCKER, COSMETIC, INFO, WARNING, Findings, Refused
 
 Measures = dict[str, Column]
 #: What a sheet of a kind shows at most.
@@ -93,8 +93,10 @@ def trend(view: DataFrame) -> DataFrame:
     return view.agg(F.regr_slope("Y", "X").alias("SLOPE"), F.regr_intercept("Y", "X").alias("INTERCEPT"))
 
 
-def reference_line(view: DataFrame, value: str, kind: str) -> DataFrame:
-    """Average, median, min, max or sum of a view's column."""
+def reference_line(view: DataFrame, value: str, kind: str, parameter: float | None = None) -> DataFrame:
+    """Average, median, min, max or sum of a view's column; or the value of a parameter."""
+    if kind == "parameter":
+        return view.sparkSession.createDataFrame([(parameter,)], "REF double")
     f = {"average": F.avg, "median": F.median, "min": F.min, "max": F.max, "sum": F.sum, "total": F.sum}[kind]
     return view.agg(f(value).alias("REF"))
 
@@ -122,14 +124,19 @@ def pctbar(df: DataFrame, seg: str) -> DataFrame:
 
 def _largest(view: DataFrame, category: str, sheet: str, findings: Findings) -> DataFrame:
     """The categories with the most rows of the view, if there are too many."""
-    findings.add(INFO, sheet, "category-cap", f"the {CATEGORIES} largest of {category}")
+    findings.add(INFO, sheet, "category-cap", f"the {CATEGORIES} largest of {category}", lambda: view.select(category).distinct().limit(CATEGORIES + 1).count() > CATEGORIES)
     kept = view.groupBy(category).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), category).limit(CATEGORIES)
     return view.join(F.broadcast(kept.select(category)), category, "left_semi")
 
 
+def _capped(view: DataFrame, order: Sequence[str], sheet: str, findings: Findings) -> DataFrame:
+    findings.add(INFO, sheet, "row-cap", f"the first {LINES} rows", lambda: view.limit(LINES + 1).count() > LINES)
+    return view.orderBy(*order).limit(LINES)
+
+
 def dots(df: DataFrame, y: str, date: str, size: Column, sheet: str, findings: Findings, *, unit: str = "month", color: str | None = None) -> DataFrame:
     keys = [y, "T"] + ([color] if color else [])
-    return _largest(_agg(df.withColumn("T", date_trunc(unit, F.col(date))), keys, {"SZ": size}), y, sheet, findings).orderBy(*keys).limit(LINES)
+    return _capped(_largest(_agg(df.withColumn("T", date_trunc(unit, F.col(date))), keys, {"SZ": size}), y, sheet, findings), keys, sheet, findings)
 
 
 def dual(df: DataFrame, date: str, first: Column, second: Column | None = None, *, unit: str = "month") -> DataFrame:
@@ -169,7 +176,7 @@ def gantt(df: DataFrame, y: str, start: str, duration: Column, sheet: str, findi
     """Spans of days, 0.35 of one at least so that they can be seen."""
     view = _agg(df.withColumn("START", date_trunc(unit, F.col(start))), [y, "START"], {"DUR": duration})
     view = view.withColumn("END", (F.col("START") + F.make_dt_interval(secs=(F.greatest("DUR", F.lit(0.35)) * 86400).cast("decimal(18,6)"))).cast("timestamp_ntz"))
-    return _largest(view, y, sheet, findings).orderBy(y, "START").limit(LINES)
+    return _capped(_largest(view, y, sheet, findings), [y, "START"], sheet, findings)
 
 
 def table(df: DataFrame, dims: Sequence[str], measures: Measures, *, by: str | None = None, ascending: bool = False, n: int = CELLS) -> DataFrame:
@@ -179,12 +186,16 @@ def table(df: DataFrame, dims: Sequence[str], measures: Measures, *, by: str | N
 
 
 def geo_map(df: DataFrame, geo: str, value: Column, sheet: str, findings: Findings, *, states: bool = False) -> DataFrame:
-    """A value by place; of states those with a code."""
+    """A value by place (a text: its greatest); of states those with a code."""
+    if geo not in df.columns:
+        findings.add(BLOCKER, sheet, "geo-missing", f"{geo} is not there")
+        raise Refused("geo-missing", f"{geo} is not there")
     view = _agg(df, [geo], {"C": value})
     if not states:
         return view
     view = view.withColumn("CODE", state_code(F.col(geo)))
-    findings.add(INFO, sheet, "geo-unmapped", f"members of {geo} without a code are left out")
+    unmapped = view.where(F.col("CODE").isNull())
+    findings.add(INFO, sheet, "geo-unmapped", f"members of {geo} without a code are left out", lambda: not unmapped.isEmpty())
     return view.where(F.col("CODE").isNotNull())
 
 
@@ -216,13 +227,41 @@ KINDS = {
 }
 
 
-def checked(df: DataFrame, kind: str, columns: Sequence[str], sheet: str, findings: Findings, *, window_measure: bool = False) -> None:
-    """Before a sheet is built: its kind, its columns, and whether it can show a measure of the whole view."""
+#: What a sheet may have that is not shown: severity, code and message.
+NOT_SHOWN = {
+    "subtotals": (APPEARANCE, "subtotals-dropped", "rows of details alone, no subtotals"), "forecast": (APPEARANCE, "forecast-dropped", "the past alone, no forecast"),
+    "axis": (APPEARANCE, "axis-scale", "the axis has its own scale"), "images": (APPEARANCE, "image-marks", "marks are no images"),
+    "tooltip": (COSMETIC, "viz-in-tooltip", "no sheet inside a tooltip"), "devices": (INFO, "device-layouts", "one layout for all devices"),
+    "story": (WARNING, "story-unsupported", "no stories"),
+}
+
+
+def checked(df: DataFrame, kind: str, columns: Sequence[str], sheet: str, findings: Findings, *, window_measure: bool = False, window_dims: Sequence[str] = (), calls: Sequence[str] = (), has: Sequence[str] = ()) -> list[str]:
+    """Before a sheet is built: its kind, its columns, the table calculations it ``calls``, whether it can show a
+    measure of the whole view, and what else it ``has``. Returns its columns without ``window_dims`` (INDEX or
+    RANK of the view as a dimension), which no kind groups by."""
     if kind not in KINDS:
         raise Refused("non-data-sheet", f"no sheets of kind {kind}")
+    for name in calls:
+        refuse(name)
     for c in columns:
-        if c not in df.columns:
-            findings.add("BLOCKER", sheet, "measure-unresolved", f"{c} is not there")
+        if c not in df.columns and c not in window_dims:
+            findings.add(BLOCKER, sheet, "measure-unresolved", f"{c} is not there")
             raise Refused("measure-unresolved", f"{c} is not there")
     if window_measure and kind not in ("bar", "scatter"):
         findings.add(WARNING, sheet, "window-in-kpi", f"{kind} sheets show no measures of the whole view")
+    if dropped := [c for c in columns if c in window_dims]:
+        findings.add(WARNING, sheet, "window-dim-dropped", f"{', '.join(sorted(dropped))} not applied to {kind}")
+    for x in has:
+        findings.add(NOT_SHOWN[x][0], sheet, *NOT_SHOWN[x][1:])
+    return [c for c in columns if c not in window_dims]
+
+
+def built(df: DataFrame, kind: str, dims: Sequence[str], sheet: str, findings: Findings, *args: object, calls: Sequence[str] = (), window_dims: Sequence[str] = (), window_measure: bool = False, has: Sequence[str] = (), **options: object) -> DataFrame:
+    """A sheet of a kind, after ``checked``, with the finding that it is empty if it is. ``dims`` are its
+    dimensions, as a list for kinds that take several; the rest goes to the kind's function."""
+    kept = checked(df, kind, dims, sheet, findings, window_measure=window_measure, window_dims=window_dims, calls=calls, has=has)
+    lists = kind in ("scatter", "table", "members")
+    view = KINDS[kind](df, *([kept] if lists else kept), *args, **options)
+    findings.add(WARNING, sheet, "empty-result", "no rows: see the filters", view.isEmpty)
+    return view

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zipfile
 from collections.abc import Sequence
 
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 from plinth.plans.findings import Refused
 from plinth.sources.naming import to_phys
 
-#: Formats of dates, month first and day first; the first that fits a value counts.
-MONTH_FIRST = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yy H:mm", "M/d/yy")
-DAY_FIRST = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d/M/yyyy H:mm", "d/M/yyyy", "d/M/yy H:mm", "d/M/yy")
-DATE_SHAPE = r"^\s*(\d{4}-\d{1,2}-\d{1,2}([ T].*)?|\d{1,2}/\d{1,2}/\d{2,4}( .*)?)\s*$"
+_CLOCK = ("", " H:mm", " H:mm:ss")
+_ISO = ("yyyy-M-d HH:mm:ss", "yyyy-M-d HH:mm", "yyyy-M-d")
+#: Formats of dates, month first and day first, with slashes or dashes; the first that fits a value counts.
+MONTH_FIRST = (*_ISO, *(f"M{x}d{x}{y}{t}" for x in "/-" for y in ("yyyy", "yy") for t in _CLOCK))
+DAY_FIRST = (*_ISO, *(f"d{x}M{x}{y}{t}" for x in "/-" for y in ("yyyy", "yy") for t in _CLOCK))
+DATE_SHAPE = r"^\s*(\d{4}-\d{1,2}-\d{1,2}([ T].*)?|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}( .*)?)\s*$"
 MOSTLY = 0.95
 
 
@@ -27,14 +30,15 @@ def named(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(p) for p, c in first.items()))
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """All columns as strings, names as in the header. A byte order mark is dropped. Files that aren't UTF-8
-    are read as ISO 8859-1: Spark puts U+FFFD where bytes don't decode, so those are looked for."""
-    read = lambda encoding: spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"')
-    df = read("UTF-8")
-    if any("�" in c for c in df.columns) or not df.where(F.concat_ws("", *(F.col(f"`{c}`") for c in df.columns)).contains("�")).isEmpty():
-        df = read("ISO-8859-1")
-    return df.toDF(*(c.removeprefix("﻿").removeprefix("ï»¿") for c in df.columns))
+def read_csv(spark: SparkSession, path: str | Sequence[str], *, encoding: str | None = None, multi_line: bool = False) -> DataFrame:
+    """All columns as strings, names as in the header. A byte order mark is dropped. Files with a line whose
+    bytes are no UTF-8 are read as ISO 8859-1, unless ``encoding`` says what they are. Spark splits large files
+    into tasks; only with ``multi_line``, for line ends inside quotes, one task reads each file."""
+    if encoding is None:
+        lines = spark.read.text(list(path) if not isinstance(path, str) else path)
+        encoding = "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+    df = spark.read.csv(path, header=True, encoding=encoding, multiLine=multi_line, escape='"')
+    return df.toDF(*(c.removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf") for c in df.columns))
 
 
 def number(c: Column) -> Column:
@@ -42,14 +46,20 @@ def number(c: Column) -> Column:
 
 
 def date(c: Column, formats: Sequence[str]) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats)).cast("timestamp_ntz")
+    """Years of two digits are those from 1969 to 2068."""
+
+    def read(fmt: str) -> Column:
+        t = F.try_to_timestamp(F.trim(c), F.lit(fmt)).cast("timestamp_ntz")
+        return t if "yyyy" in fmt else F.when(F.year(t) > 2068, t - F.make_ym_interval(F.lit(100))).otherwise(t)
+
+    return F.coalesce(*map(read, formats)).cast("timestamp_ntz")
 
 
 def typed(df: DataFrame) -> DataFrame:
     """String columns become dates or numbers if their content says so, decided in one pass over all rows.
 
     A column whose name has DATE is a date, in the convention (month or day first) that leaves fewer values
-    unread. Others are numbers if more than 95 % of the rows read as such, else dates if more than 95 % of
+    unread, if any of them reads as a date. Others are numbers if more than 95 % of the rows read as such, else dates if more than 95 % of
     the values have a date's shape. What then doesn't read is null. Other types stay."""
     texts = [c for c, kind in df.dtypes if kind == "string"]
     if not texts:
@@ -66,7 +76,7 @@ def typed(df: DataFrame) -> DataFrame:
         if c in texts:
             i = texts.index(c)
             as_date = date(col, DAY_FIRST if found[f"d{i}"] > found[f"m{i}"] else MONTH_FIRST)
-            if "DATE" in c.upper():
+            if "DATE" in c.upper() and max(found[f"m{i}"], found[f"d{i}"]):
                 col = as_date
             elif found[f"n{i}"] > MOSTLY * found["n"]:
                 col = number(col)
@@ -82,11 +92,23 @@ def ingest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A workbook's sheet (a file of at most some hundred thousand rows by its format); needs pandas'
-    reader for it."""
-    import pandas as pd
+    """A workbook's sheet, or that of many workbooks with the same columns: each file is read in a task of its
+    own, its cells as texts, empty ones null. The first row of the first file names the columns."""
+
+    def cells(batches):
+        import io
+
+        import pandas as pd
+
+        for files in batches:
+            for name, content in zip(files["path"], files["content"], strict=True):
+                rows = pd.read_excel(io.BytesIO(content), sheet_name=sheet, header=None, dtype=object)
+                yield pd.DataFrame({"file": name, "row": range(len(rows)), "cells": [[None if pd.isna(x) else str(x) for x in r] for r in rows.to_numpy().tolist()]})
 
-    return typed(named(spark.createDataFrame(pd.read_excel(path, sheet_name=sheet).astype(object).where(lambda x: x.notna(), None).astype(str))))
+    every = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "file string, row long, cells array<string>")
+    first = every.where("row = 0").orderBy("file").first()
+    names = [x or f"_{i}" for i, x in enumerate(first["cells"])] if first else []
+    return typed(named(every.where("row > 0").select(*(F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)))))
 
 
 def union_files(frames: dict[str, DataFrame], provenance: str = "Table Name") -> DataFrame:
@@ -118,9 +140,15 @@ def register(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def custom_sql(spark: SparkSession, sql: str, name: str | None = None) -> DataFrame:
-    """A query as a source, without the semicolon that may end it."""
-    df = spark.sql(sql.strip().rstrip(";"))
+def custom_sql(spark: SparkSession, sql: str, name: str | None = None, *, tables: dict[str, str] | None = None) -> DataFrame:
+    """A query as a source, without the semicolon that may end it. ``tables``: for qualified names that it
+    uses the views that stand for them here; texts in quotes stay."""
+    sql = sql.strip().rstrip(";")
+    if tables:
+        views = {k.lower(): v for k, v in tables.items()}
+        known = "|".join(map(re.escape, sorted(views, key=len, reverse=True)))
+        sql = re.sub(rf"'(?:[^']|'')*'|(?<![\w.`])(?:{known})(?![\w.`])", lambda m: m[0] if m[0][0] == "'" else f"`{views[m[0].lower()]}`", sql, flags=re.IGNORECASE)
+    df = spark.sql(sql)
     if name:
         df.createOrReplaceTempView(name)
     return df
@@ -145,8 +173,9 @@ def view_sink(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def evidence_sink(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def evidence_sink(df: DataFrame, path: str, names: dict[str, str] | None = None) -> None:
+    """A comparison as CSV; ``names``: what its columns are called there."""
+    df.withColumnsRenamed(names or {}).write.mode("overwrite").csv(path, header=True)
 
 
 def from_epoch(c: Column) -> Column:
