@@ -10,7 +10,8 @@ first word; length bound: not past its last), and the words there are then compa
 A null text, of a document or an item, has no words. Repeated rows are reported one by one; repeated items
 count each under its own id. Empty tables give no rows, or rows without hits. Extra columns are ignored.
 Very long texts are read whole. Counting and joining go through the items in blocks of ITEMS_BLOCK windows,
-so what a task holds of them is bounded; benchmarks of usual size are one block.
+so what a task holds of them is bounded; benchmarks of usual size are one block. Of a shingle that is common (an
+item of one word, say) each occurrence carries no more words around it than its windows have.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from plinth.llm.common import arrow_map, stored, text_chunks, utf8
 from plinth.llm.words import PLAIN, words
 
 SHINGLE = 3
-#: Windows whose shingles a task looks up at once (8 bytes each), and up to which their table is broadcast.
-ITEMS_BLOCK, BROADCAST = 1 << 20, 1 << 16
+#: Windows whose shingles a task looks up at once: 8 shingles of 8 bytes each at most, so 8 MB are broadcast.
+ITEMS_BLOCK = 1 << 17
+#: Bytes of a block's windows up to which they are broadcast; beyond it they are joined by a shuffle in which each
+#: shingle is spread over SALTS tasks.
+BROADCAST, SALTS = 1 << 25, 64
 
 
 def item_windows(items: DataFrame, window: int, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -59,8 +63,8 @@ def item_windows(items: DataFrame, window: int, *, id_col: str = "item_id", text
 class Lookup:
     """Membership of hashes in a set: a bit map first, then a search in the sorted hashes."""
 
-    def __init__(self, hashes: list[int]):
-        self.sorted = np.unique(np.array(hashes, np.int64).view(np.uint64))
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes.view(np.uint64))
         self.map = np.zeros(1 << 22, bool)
         self.map[self._low(self.sorted)] = True
 
@@ -77,7 +81,12 @@ class Lookup:
         return at[ok], which[ok]
 
 
-def occurrences(docs: DataFrame, tokens: list[int], sizes: list[int], text_col: str) -> DataFrame:
+def column(df: DataFrame, name: str) -> np.ndarray:
+    """A column of a bounded table, on the driver."""
+    return df.select(F.col(name).cast("long")).toArrow().column(0).to_numpy()
+
+
+def occurrences(docs: DataFrame, tokens: np.ndarray, sizes: list[int], text_col: str) -> DataFrame:
     """(``token``, ``n``): how often each of the hashes occurs in all documents; summed in each task first."""
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
@@ -96,15 +105,16 @@ def occurrences(docs: DataFrame, tokens: list[int], sizes: list[int], text_col:
     return arrow_map(docs.select(text_col), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def places(docs: DataFrame, tokens: list[int], sizes: list[int], window: int, id_col: str, text_col: str) -> DataFrame:
+def places(docs: DataFrame, tokens: np.ndarray, reach: np.ndarray, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
     """Per row: a number ``row``, the id, ``n_words`` and ``found``: for each occurrence of one of the hashes
-    its place and the words around it, as far as a window there can reach."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokens)
+    its place and the words around it, as far as a window with it can ``reach``."""
+    order = np.argsort(tokens.view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast((tokens[order], reach[order]))
     kind = docs.schema[id_col].dataType.simpleString()
     shape = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int64()), ("lead", pa.int32()), ("around", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(shared.value)
+        lookup, far = Lookup(shared.value[0]), shared.value[1]
         for batch in batches:
             column = batch.column(2).fill_null("")
             for a, b in text_chunks(column):
@@ -113,7 +123,7 @@ def places(docs: DataFrame, tokens: list[int], sizes: list[int], window: int, id
                 for size in sizes:
                     at, which = lookup(found.shingles(size))
                     of = np.searchsorted(found.texts, at, "right") - 1
-                    for x, k, i in zip(at.tolist(), lookup.sorted[which].view(np.int64).tolist(), of.tolist(), strict=True):
+                    for x, k, i, window in zip(at.tolist(), lookup.sorted[which].view(np.int64).tolist(), of.tolist(), far[which].tolist(), strict=True):
                         lo, hi = int(found.texts[i]), int(found.texts[i + 1])
                         if x + size <= hi:
                             first = max(lo, x - window + size)
@@ -135,19 +145,23 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col
     for k in range(blocks):
         part = windows.where(F.col("block") % blocks == k)
         exploded = part.select("item", "passage", "size", F.posexplode("tokens").alias("offset", "token"))
-        tokens = [r[0] for r in exploded.select("token").distinct().collect()]  # ITEMS_BLOCK by its size at most
+        tokens = column(exploded.select("token").distinct(), "token")
         sizes = sorted(min(SHINGLE, r[0]) for r in part.select("size").distinct().collect())
         sizes = sorted(set(sizes))
-        counts = stored(occurrences(docs, tokens, sizes, text_col)) if tokens else spark.createDataFrame([], "token long, n long")
+        counts = stored(occurrences(docs, tokens, sizes, text_col)) if len(tokens) else spark.createDataFrame([], "token long, n long")
         # the rarest shingle of each window; one that no document has rules the window out
         order = Window.partitionBy("item", "passage").orderBy("n", "token", "offset")
         prefix = exploded.join(F.broadcast(counts), "token", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("place", F.row_number().over(order)).where("place = 1 and n > 0").drop("place", "n")
         prefix = stored(prefix)
-        keys = [r[0] for r in prefix.select("token").distinct().collect()]
-        found = stored(places(docs, keys, sizes, window, id_col, text_col))
+        keys = prefix.groupBy("token").agg(F.max("size").cast("long").alias("reach")).toArrow()
+        found = stored(places(docs, keys["token"].to_numpy(), keys["reach"].to_numpy(), sizes, id_col, text_col))
         base = found.select("row", id_col, "n_words") if base is None else base
         at = found.where(F.size("found") > 0).select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
-        joined = at.join(F.broadcast(prefix) if prefix.count() <= BROADCAST else prefix, "token")
+        if (prefix.agg(F.sum(F.octet_length("passage") + 64)).first()[0] or 0) <= BROADCAST:
+            joined = at.join(F.broadcast(prefix), "token")
+        else:
+            salted = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            joined = at.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
         start = F.col("at") - F.col("offset")
         inside = (start >= 0) & (start + F.col("size") <= F.col("n_words")) & (F.col("lead") >= F.col("offset"))
         same = F.array_join(F.slice(F.split("around", " "), F.col("lead") - F.col("offset") + 1, F.col("size")), " ") == F.col("passage")

@@ -11,7 +11,7 @@ The file format is Parquet, one row per block, in ascending id order within and
 ``n_tokens`` long; ``states``, ``places``, ``words`` binary; ``words_crc``, ``ids_crc`` long. Beside it lie
 ``table`` (id, frequency) and ``manifest`` (file, row, tokens before that block).
 
-A null text counts as empty and has just the end id. Rows with equal ids lie in the order of their texts. A
+A null text counts as empty and has just the end id. Rows with equal ids lie in the order of a hash of their texts. A
 very long document is one block of its own. Empty tables give no blocks and no rows. Other columns of the
 input are not read.
 """
@@ -221,7 +221,8 @@ def tokenized(docs: DataFrame, definition: str, end_id: int, *, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(range(row, row + b - a), pa.int64()), batch.column(1)[a:b], binary(ids, ends + np.arange(len(ends)))], ["file", "row", id_col, "ids"])
                 row += b - a
 
-    rows = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
+    again = F.xxhash64(text_col)  # an id that many rows repeat is spread over ranges
+    rows = docs.select(id_col, text_col).repartitionByRange(F.col(id_col), again).sortWithinPartitions(F.col(id_col), again, text_col)
     return arrow_map(rows.select(F.spark_partition_id().alias("file"), id_col, text_col), run, f"file int, row long, `{id_col}` {kind}, ids binary"), small
 
 
