@@ -31,11 +31,12 @@ def refuse(function: str) -> None:
         raise Refused("calc-untranslated", f"{function} depends on an order or a level that isn't given")
 
 
-def fixed(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
+def fixed(df: DataFrame, keys: Sequence[str], *, source: DataFrame | None = None, **values: Column) -> DataFrame:
     """Adds ``{FIXED keys : AGG}`` to each row; null keys are a group like others. Both sides of the join have the
-    keys as one struct, in which nulls are equal, so the aggregate is exchanged only once."""
+    keys as one struct, in which nulls are equal, so the aggregate is exchanged only once. ``source``: the same
+    rows with no more tables joined than keys and values need, to aggregate."""
     keyed = df.withColumn("_fixed", F.struct(*keys))
-    made = keyed.groupBy("_fixed").agg(*(v.alias(n) for n, v in values.items()))
+    made = (keyed if source is None else source.withColumn("_fixed", F.struct(*keys))).groupBy("_fixed").agg(*(v.alias(n) for n, v in values.items()))
     return keyed.join(made, "_fixed").select(*df.columns, *values)
 
 

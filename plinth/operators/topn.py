@@ -35,6 +35,16 @@ def top_n(df: DataFrame, dim: str, by: Column, n: float, *, bottom: bool = False
     return _within(base, leaders(base, dim, by, n, bottom=bottom), dim, n)
 
 
+def top_n_view(df: DataFrame, dim: str, measures: dict[str, Column], by: Column, n: float, *, bottom: bool = False, context: Column | None = None) -> DataFrame:
+    """A view of the members of a top-N set, grouped by that dimension, when no other filter acts: members are
+    ranked and measured in one pass over the table."""
+    if int(n) != n or n < 0:
+        raise Refused("topn-not-pushed", f"{n} is no number of members")
+    base = df if context is None else df.where(context)
+    view = base.groupBy(dim).agg(*(m.alias(k) for k, m in measures.items()), by.alias("_by")).where(F.col("_by").isNotNull() & F.col(dim).isNotNull())
+    return view.orderBy(F.asc("_by") if bottom else F.desc("_by"), dim).limit(int(n)).drop("_by")
+
+
 def top_n_fixed(df: DataFrame, dim: str, level: Sequence[str], value: Column, by: Column, n: float, sheet: str, findings: Findings, *, bottom: bool = False) -> DataFrame:
     """By an aggregate ``by`` over the column ``_fixed_value``, which is ``value`` fixed to ``level`` (one row of
     the ranking for each member and level). The ranking sees the table before other filters."""

@@ -125,8 +125,12 @@ def pctbar(df: DataFrame, seg: str) -> DataFrame:
 def _largest(view: DataFrame, category: str, sheet: str, findings: Findings) -> DataFrame:
     """The categories with the most rows of the view, if there are too many."""
     findings.add(INFO, sheet, "category-cap", f"the {CATEGORIES} largest of {category}", lambda: view.select(category).distinct().limit(CATEGORIES + 1).count() > CATEGORIES)
-    kept = view.groupBy(category).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), category).limit(CATEGORIES)
-    return view.join(F.broadcast(kept.select(category)), category, "left_semi")
+    # all columns are named in the order (categories are distinct, so in vain) and the join is an inner one on equal
+    # or null categories, so that neither use of the view is pruned or filtered and both read one exchange
+    rest = [c for c in view.columns if c != category]
+    kept = view.groupBy(F.col(category).alias("_kept")).agg(F.count(F.lit(1)).alias("_n"), *(F.max(c).alias(f"_m{i}") for i, c in enumerate(rest)))
+    kept = kept.orderBy(F.desc("_n"), "_kept", *(f"_m{i}" for i in range(len(rest)))).limit(CATEGORIES).select("_kept")
+    return view.join(F.broadcast(kept), F.col(category).eqNullSafe(F.col("_kept"))).drop("_kept")
 
 
 def _capped(view: DataFrame, order: Sequence[str], sheet: str, findings: Findings) -> DataFrame:

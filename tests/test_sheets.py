@@ -189,3 +189,39 @@ def test_stream_equals_table(spark, tmp_path):
     run.stop()
     key = lambda r: (r["start"], r["event_type"], r["n"], round(r["total"], 4))
     assert sorted(map(key, spark.table("windows").collect())) == sorted(map(key, windowed(df).collect()))
+
+
+def test_percentiles_of_any_group(spark):
+    import numpy as np
+
+    from plinth.functions.aggregates import percentiles
+
+    rng = np.random.default_rng(3)
+    groups = {"ties": np.repeat([1.0, 5.0], [700, 300]), "one": np.array([4.0]), "wide": rng.normal(0, 1, 900) * 10.0 ** rng.integers(-3, 9, 900), None: np.arange(100.0)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("ties", None), ("empty", None)]
+    found = {r["g"]: r for r in percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}, bins=16).collect()}
+    assert set(found) == set(groups)
+    for g, vs in groups.items():
+        assert [found[g][k] for k in "abcd"] == pytest.approx(np.quantile(vs, [0, 0.37, 0.5, 1]).tolist())
+    assert percentiles(spark.createDataFrame(rows, "g string, v double"), [], "v", {"m": 0.5}).first()["m"] == pytest.approx(float(np.median(np.concatenate(list(groups.values())))))
+    assert percentiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", {"m": 0.5}).count() == 0
+
+
+def test_findings_wait_for_the_data(spark, tiny):
+    found = Findings()
+    many = spark.range(60).select((F.col("id") % 45).cast("string").alias("y"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("t"))
+    assert sheets.dots(many, "y", "t", F.count(F.lit(1)), "s", found).count() == 40
+    assert sheets.dots(many.where("y < 9"), "y", "t", F.count(F.lit(1)), "other", found).count() == 9
+    assert [(f.sheet, f.code) for f in found.rows] == [("s", "category-cap")] and found.score("other") == 1
+    sheets.built(tiny, "table", ["d", "INDEX()"], "t", found, {"n": F.count(F.lit(1))}, window_dims=["INDEX()"])
+    assert [f.code for f in found.rows if f.sheet == "t"] == ["window-dim-dropped"]
+    with pytest.raises(Refused):
+        sheets.built(tiny, "table", ["d"], "t", found, {"n": F.count(F.lit(1))}, calls=["RUNNING_SUM"])
+
+
+def test_set_measured_in_one_pass(tiny):
+    view = topn.top_n_view(tiny, "d", {"n": F.count(F.lit(1))}, F.sum("v"), 2)
+    assert {r["d"]: r["n"] for r in view.collect()} == {"a": 2, "b": 1}
+    assert topn.top_n_view(tiny, "d", {"n": F.count(F.lit(1))}, F.sum("v"), 1, bottom=True, context=F.col("e") == "x").first()["d"] == "b"
+    with pytest.raises(Refused):
+        topn.top_n_view(tiny, "d", {}, F.sum("v"), 0.5)

@@ -140,3 +140,34 @@ def test_blend_never_multiplies(spark):
     two = spark.createDataFrame([("a", 10), ("a", 20), (None, 5)], "k string, w int")
     found = {r["k"]: (r["v"], r["w"]) for r in blend(one, two, ["k"], {"v": F.sum("v")}, {"w": F.sum("w")}).collect()}
     assert found == {"a": (3, 30), "b": (3, None), None: (4, 5)}
+
+
+def test_csv_signs_and_lines(spark, tmp_path):
+    (tmp_path / "u.csv").write_text('Name,Note\nMüller,"a � b"\nX,"two\nlines"\n', encoding="utf-8")
+    rows = ingest.read_csv(spark, str(tmp_path / "u.csv"), multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [("Müller", "a � b"), ("X", "two\nlines")]
+    (tmp_path / "l.csv").write_bytes("Name\nM\xfcller\n".encode("latin-1"))
+    assert ingest.read_csv(spark, str(tmp_path / "l.csv"), encoding="ISO-8859-1").first()[0] == "Müller"
+
+
+def test_dashed_dates(spark):
+    rows = [("31-12-2020", "12-31-2020", "31-12-98", "31-12-2020 7:05", "x"), ("1-2-2021", "2-1-2021", "1-2-99", "1-2-2021 8:00", "y")]
+    df = ingest.typed(spark.createDataFrame(rows, "ORDER_DATE string, SEEN string, DUE_DATE string, DATE_AT string, UPDATED_BY string"))
+    first = df.orderBy("ORDER_DATE").first()
+    assert first["ORDER_DATE"] == first["SEEN"] == dt.datetime(2020, 12, 31) and first["DUE_DATE"] == dt.datetime(1998, 12, 31) and first["DATE_AT"] == dt.datetime(2020, 12, 31, 7, 5)
+    assert dict(df.dtypes)["UPDATED_BY"] == "string"
+
+
+def test_names_in_sql(spark):
+    spark.range(3).createOrReplaceTempView("plinth_ids")
+    df = ingest.custom_sql(spark, "SELECT count(*) AS n, 'a.b.ids' AS s, 'it''s a.b.ids' AS t FROM A.b.IDS JOIN (SELECT 1) AS xa", tables={"a.b.ids": "plinth_ids"})
+    assert tuple(df.first()) == (3, "a.b.ids", "it's a.b.ids")
+
+
+def test_excel(spark, tmp_path):
+    pytest.importorskip("openpyxl")
+    import pandas as pd
+
+    pd.DataFrame({"Order ID": [1, 2], "Note": ["a", None]}).to_excel(tmp_path / "w.xlsx", index=False)
+    df = ingest.read_excel(spark, str(tmp_path / "w.xlsx"))
+    assert df.columns == ["ORDER_ID", "NOTE"] and df.where("NOTE IS NULL").count() == 1
