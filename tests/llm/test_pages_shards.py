@@ -125,6 +125,12 @@ def test_few_and_no_rows(spark):
     assert sharding.shuffle(docs.limit(0)).count() == 0
 
 
+def test_very_long_text_is_a_row_like_others(spark):
+    long = "é" * 3_000_000
+    found = {r["doc_id"]: r for r in sharding.shuffle(spark.createDataFrame([(1, long, "", ""), (2, "b", "", "")], DOCS), shards=2).collect()}
+    assert found[1]["size"] == 6_000_001 and found[1]["text_crc32"] == zlib.crc32(long.encode()) and {r["shard"] for r in found.values()} == {0, 1}
+
+
 def test_matrix_is_hypergeometric():
     cells, draws = [30, 50, 20], []
     for seed in range(2000):

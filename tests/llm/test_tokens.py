@@ -87,6 +87,13 @@ def test_op2_whole_table(spark, library):
         assert found[d["doc_id"]]["decoded_sha256"] == hashlib.sha256((d["text"] or "").encode()).hexdigest()
 
 
+def test_repeated_rows(spark, library):
+    docs = spark.createDataFrame([(1, "the same text"), (1, "the same text"), (1, "another"), (None, None)], "doc_id long, text string")
+    found = sorted((str(r["doc_id"]), r["n_tokens"], bytes(r["decoded"])) for r in bpe.round_trip(docs, RANKS).collect())
+    n = len(library.encode_ordinary("the same text"))
+    assert found == [("1", len(library.encode_ordinary("another")), b"another"), ("1", n, b"the same text"), ("1", n, b"the same text"), ("None", 0, b"")]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.round_trip(docs, RANKS).count() == 0
