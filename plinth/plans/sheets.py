@@ -6,8 +6,9 @@ grouped rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,20 +237,23 @@ NOT_SHOWN = {
     "subtotals": (APPEARANCE, "subtotals-dropped", "rows of details alone, no subtotals"), "forecast": (APPEARANCE, "forecast-dropped", "the past alone, no forecast"),
     "axis": (APPEARANCE, "axis-scale", "the axis has its own scale"), "images": (APPEARANCE, "image-marks", "marks are no images"),
     "tooltip": (COSMETIC, "viz-in-tooltip", "no sheet inside a tooltip"), "devices": (INFO, "device-layouts", "one layout for all devices"),
-    "story": (WARNING, "story-unsupported", "no stories"),
+    "story": (WARNING, "story-unsupported", "no stories"), "blend": (WARNING, "blend-partial", "the first source alone"), "order": (WARNING, "window-ordering", "the view's order is that of its first dimension"),
 }
 
 
 def checked(df: DataFrame, kind: str, columns: Sequence[str], sheet: str, findings: Findings, *, window_measure: bool = False, window_dims: Sequence[str] = (), calls: Sequence[str] = (), has: Sequence[str] = ()) -> list[str]:
     """Before a sheet is built: its kind, its columns, the table calculations it ``calls``, whether it can show a
     measure of the whole view, and what else it ``has``. Returns its columns without ``window_dims`` (INDEX or
-    RANK of the view as a dimension), which no kind groups by."""
+    RANK of the view as a dimension), which no kind groups by, and for tables without those that aren't there."""
     if kind not in KINDS:
         raise Refused("non-data-sheet", f"no sheets of kind {kind}")
     for name in calls:
         refuse(name)
     for c in columns:
         if c not in df.columns and c not in window_dims:
+            if kind == "table":
+                findings.add(WARNING, sheet, "dim-skipped", f"{c} is not there")
+                continue
             findings.add(BLOCKER, sheet, "measure-unresolved", f"{c} is not there")
             raise Refused("measure-unresolved", f"{c} is not there")
     if window_measure and kind not in ("bar", "scatter"):
@@ -258,7 +262,28 @@ def checked(df: DataFrame, kind: str, columns: Sequence[str], sheet: str, findin
         findings.add(WARNING, sheet, "window-dim-dropped", f"{', '.join(sorted(dropped))} not applied to {kind}")
     for x in has:
         findings.add(NOT_SHOWN[x][0], sheet, *NOT_SHOWN[x][1:])
-    return [c for c in columns if c not in window_dims]
+    return [c for c in columns if c not in window_dims and c in df.columns]
+
+
+def colour(df: DataFrame, find: Callable[[], Column], caption: str, sheet: str, findings: Findings) -> Column | None:
+    """A measure for colour; a sheet is shown without one that nothing knows."""
+    try:
+        return find()
+    except Refused:
+        findings.add(WARNING, sheet, "color-unresolved", f"no {caption} to colour by")
+        return None
+
+
+def computable(df: DataFrame, measures: Measures, sheet: str, findings: Findings) -> Measures:
+    """The measures that the table can give; one whose columns or types don't fit is reported and left out."""
+    out = {}
+    for name, m in measures.items():
+        try:
+            df.agg(m)
+            out[name] = m
+        except AnalysisException as e:
+            findings.add(BLOCKER, sheet, "measure-query-failed", f"{name}: {e.getCondition()}")
+    return out
 
 
 def built(df: DataFrame, kind: str, dims: Sequence[str], sheet: str, findings: Findings, *args: object, calls: Sequence[str] = (), window_dims: Sequence[str] = (), window_measure: bool = False, has: Sequence[str] = (), **options: object) -> DataFrame:

@@ -17,6 +17,7 @@ from plinth.functions import scalar as S
 from plinth.operators import filters, reconcile, topn
 from plinth.plans import sheets
 from plinth.plans.findings import Findings, Refused
+from plinth.plans.measures import measure
 from plinth.plans.semantic import Model
 from plinth.queries import ORACLE_SQL, QUERIES, Query, load, money, query, sales, total
 from plinth.sources import ingest, naming
@@ -299,6 +300,7 @@ def win_dims_dropped(df: DataFrame) -> DataFrame:
 FOUND = [
     ("APPEARANCE", "subtotals-dropped"), ("COSMETIC", "viz-in-tooltip"), ("WARNING", "window-dim-dropped"), ("WARNING", "window-in-kpi"), ("WARNING", "empty-result"), ("BLOCKER", "geo-missing"), ("INFO", "geo-unmapped"),
     ("INFO", "topn-order-of-ops"), ("WARNING", "topn-column-missing"), ("WARNING", "view-order-filter-not-pushed"), ("WARNING", "filter-widget-unmapped"),
+    ("WARNING", "dim-skipped"), ("WARNING", "color-unresolved"), ("BLOCKER", "measure-query-failed"), ("WARNING", "blend-partial"),
 ]
 
 
@@ -313,6 +315,10 @@ def find_codes(spark: SparkSession, sf_dir: str):
     topn.top_n_checked(df, "NATION", "GONE", 5, "s", found)
     topn.gate(df, "NATION", 5, "s", found)
     filters.control(df, "ORDER_DATE", "date-part", ("1994-01-01", "1995-01-01"), part="weekday", findings=found)
+    table = sheets.built(df, "table", ["REGION", "GONE"], "s", found, {"N": A.records()}, has=["blend"])
+    assert table.columns == ["REGION", "N"] and table.count() == 5
+    assert sheets.colour(df, lambda: measure(df, "Gone"), "Gone", "s", found) is None
+    assert list(sheets.computable(df, {"N": A.records(), "BAD": F.sum("GONE")}, "s", found)) == ["N"]
     try:
         sheets.geo_map(df, "GONE", A.records(), "s", found)
     except Refused:
