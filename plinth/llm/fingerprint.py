@@ -1,6 +1,8 @@
 """Fingerprints of whole texts by consistent weighted sampling.
 
-A text is a weighted set: the strings between its blanks, each with its number of occurrences. For each of
+A text is a weighted set: the strings between its white space, each with its number of occurrences. A string of
+more than WORD code points (a text in a writing without blanks, say) counts as its runs of GRAM code points, from
+each code point on within pieces of PIECE. For each of
 SAMPLES samples and each term, hashes of both give r and c from the gamma law (2, 1) and b from the uniform
 law; with the weight w, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1), and the term with the
 least a, together with its t, is the sample. Two texts agree in a sample as often as their generalised Jaccard
@@ -23,6 +25,8 @@ from plinth.llm.common import stored
 
 #: Samples are made AT_ONCE in a row, which keeps the generated code small enough to be compiled.
 SAMPLES, AT_ONCE = 32, 4
+#: Code points.
+WORD, GRAM, PIECE = 40, 4, 1000
 
 
 def neighbours(lengths: DataFrame) -> DataFrame:
@@ -57,10 +61,18 @@ def sampled(terms: DataFrame) -> DataFrame:
     return stepped.select("id", "g", *(F.expr(value.format(j=j, w=w)).alias(f"{w}_{j}") for j in each for w in sides))
 
 
+def terms_of(bodies: DataFrame) -> DataFrame:
+    """``bodies``: (id, side, body). (id, side, ``term``), a row for each occurrence."""
+    words = bodies.select("id", "side", F.explode(F.split("body", r"[ \t-\r]+")).alias("word")).where("word != ''")
+    cut = lambda c, pattern, group: F.explode(F.when(F.length(c) > WORD, F.regexp_extract_all(c, F.lit(pattern), F.lit(group))).otherwise(F.array(c)))
+    pieces = words.select("id", "side", cut("word", f"(?s).{{1,{PIECE}}}", 0).alias("piece"))
+    return pieces.select("id", "side", cut("piece", f"(?s)(?=(.{{{GRAM}}}))", 1).alias("term"))
+
+
 def samples(bodies: DataFrame) -> DataFrame:
     """``bodies``: (id, side 0 or 1, body), a text's rows in one partition. Per id: ``own`` and ``other``,
     arrays of the samples of sides 0 and 1 in order; ids without any term are left out."""
-    terms = bodies.select("id", "side", F.explode(F.split("body", " ")).alias("term")).where("term != ''").select("id", F.xxhash64("term").alias("h"), "side")
+    terms = terms_of(bodies).select("id", F.xxhash64("term").alias("h"), "side")
     counted = terms.groupBy("id", "h").agg(F.sum(F.expr("CAST(side = 0 AS BIGINT)")).alias("own"), F.sum(F.expr("CAST(side = 1 AS BIGINT)")).alias("other"))
     logs = counted.select("id", "h", *(F.expr(f"CASE WHEN {w} > 0 THEN ln(CAST({w} AS DOUBLE)) END").alias(f"ln_{w}") for w in ("own", "other")))
     groups = logs.select("*", F.explode(F.array(*map(F.lit, range(SAMPLES // AT_ONCE)))).alias("g"))

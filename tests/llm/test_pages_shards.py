@@ -147,8 +147,17 @@ def test_matrix_is_hypergeometric():
         assert abs(np.mean(drawn) - mean) < 5 * (var / 3000) ** 0.5 and abs(np.var(drawn) / var - 1) < 0.15
 
 
+def terms(text):
+    for word in re.split(r"[ \t-\r]+", text):
+        for k in range(0, len(word), 1000) if len(word) > 40 else ():
+            piece = word[k : k + 1000]
+            yield from (piece[i : i + 4] for i in range(len(piece) - 3)) if len(piece) > 40 else [piece]
+        if word and len(word) <= 40:
+            yield word
+
+
 def jaccard(a, b):
-    a, b = (collections.Counter(w for w in t.split(" ") if w) for t in (a, b))
+    a, b = (collections.Counter(terms(t)) for t in (a, b))
     return sum((a & b).values()) / max(1, sum((a | b).values()))
 
 
@@ -169,6 +178,21 @@ def test_fingerprints_whole_table(spark):
     assert abs(np.mean(off)) < 0.03 and np.std(off) < 0.1
 
 
+def test_terms_of_texts_without_blanks(spark):
+    rng = np.random.default_rng(8)
+    long = "".join(chr(c) for c in rng.integers(0x4E00, 0x5E00, 2345))
+    texts = [long, "a\tb\nc  d", "x" * 41, "y" * 40, "", "é" * 1005]
+    bodies = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "id long, side int, body string")
+    found = collections.defaultdict(list)
+    for r in fingerprint.terms_of(bodies).collect():
+        found[r["id"]].append(r["term"])
+    assert all(sorted(found[i]) == sorted(terms(t)) for i, t in enumerate(texts))
+    docs = spark.createDataFrame([(2, long), (1, long[::-1])], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
+    edited = long[: 2345 - 781] + long[::-1][:781]
+    assert abs(rows[2]["near_edited"] - jaccard(long, edited)) < 0.25 and rows[2]["near_edited"] > 0.25 and rows[2]["near_next"] < 0.1
+
+
 def test_fingerprints_odd_rows(spark):
     docs = spark.createDataFrame([(5, None, 1), (4, "", 1), (3, "a b", 1), (2, "a b", 1), (2, "a b", 1), (1, "x" * 300_000, 1)], "doc_id long, text string, n_chars int")
     found = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
