@@ -2,7 +2,7 @@
 
 The model learns by stochastic gradient descent in numpy on a bounded sample of labelled rows
 (``rows`` rows of at most ``longest`` bytes each, shared out by the labels' numbers of rows, but EACH of every
-label that has as many; in the order of a hash of their id). A fifth of them, without the first of each
+label that has as many; in the order of a hash of their id). A third of them, without the first of each
 label, calibrates. The probabilities get a temperature. Rejection goes by the best language's logit, which says more
 of strange texts than a probability that must be shared out among known languages: its bound is set on what
 the model has never seen (texts of each of LEFT_OUT languages, by a model that learned the others, and texts
@@ -32,7 +32,7 @@ ORDERS, BITS = (1, 2, 3, 4), 16
 #: Rows of a label that are drawn however rare it is.
 EACH = 30
 #: Shares of known texts that may be rejected, and of strange ones that may be accepted; languages left out for that.
-KNOWN, STRANGE, LEFT_OUT = 0.001, 0.05, 4
+KNOWN, STRANGE, LEFT_OUT = 0.002, 0.05, 4
 #: Bytes.
 SHORT = 300
 
@@ -80,7 +80,7 @@ def drawn(labelled: DataFrame, most: int, id_col: str) -> list:
     return out
 
 
-def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 4000, longest: int = 50_000, epochs: int = 4) -> Model:
+def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = 6000, longest: int = 50_000, epochs: int = 4) -> Model:
     """Learn from the rows where ``usable`` holds, text and label are not null and the text has 20 to
     ``longest`` bytes; ``rows`` and EACH bound the sample."""
     size = F.octet_length(text_col)
@@ -91,19 +91,19 @@ def train(docs: DataFrame, usable: Column | None = None, *, id_col: str = "doc_i
         return Model([], np.zeros((0, (1 << BITS) + 1)), np.zeros(0))
     texts, target = [r["text"].encode() for r in found], np.array([labels.index(r["label"]) for r in found])
     first = {t: i for i, t in reversed(list(enumerate(target.tolist())))}
-    fifth = np.array([i for i in range(0, len(texts), 5) if first[target[i]] != i], int)
-    learn = np.setdiff1d(np.arange(len(texts)), fifth)
-    fifth = fifth if len(fifth) else learn
+    third = np.array([i for i in range(0, len(texts), 3) if first[target[i]] != i], int)
+    learn = np.setdiff1d(np.arange(len(texts)), third)
+    third = third if len(third) else learn
     bags = {i: bag(texts[i]) for i in learn.tolist()}
     model = fitted(labels, bags, target, learn, epochs)
-    z = of_texts(model, [texts[i] for i in fifth])
-    model.heat = temperature(z, target[fifth])
-    known = [texts[i] for i in fifth]
+    z = of_texts(model, [texts[i] for i in third])
+    model.heat = temperature(z, target[third])
+    known = [texts[i] for i in third]
     strange = [(model, [shuffled(t) for t in known[:300]])]
     for k in np.argsort(-np.bincount(target), kind="stable")[: LEFT_OUT if len(labels) > 1 else 0]:
         others = [x for i, x in enumerate(labels) if i != k]
         net = fitted(others, bags, target - (target > k), learn[target[learn] != k][:1500], epochs)
-        strange.append((net, [texts[i] for i in fifth[target[fifth] == k][:300]]))
+        strange.append((net, [texts[i] for i in third[target[third] == k][:300]]))
     bounds, accepted = [], []
     for cut in (100, None):  # letters of what stands for short texts
         top = lambda m, ts: of_texts(m, [t.decode()[:cut].encode() for t in ts]).max(axis=1)
