@@ -27,6 +27,17 @@ def aggregate(name: str, c: Column) -> Column:
     return AGGREGATES[name.lower()](c)
 
 
+def apart(keys: Sequence[str], *families: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """Each family of aggregates by itself, joined by the keys (nulls are equal). Distinct counts together with
+    others make every one of these keep a state for each distinct value; percentiles have large states. Every
+    family has its own table: the same rows, with no more tables joined than it needs."""
+    out = None
+    for df, family in families:
+        one = df.groupBy(F.struct(*keys).alias("_g")).agg(*(c.alias(n) for n, c in family.items()))
+        out = one if out is None else out.join(one, "_g")
+    return out.select(*(F.col("_g")[k].alias(k) for k in keys), *(n for _, family in families for n in family))
+
+
 def records() -> Column:
     return F.count(F.lit(1))
 

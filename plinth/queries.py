@@ -8,6 +8,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plinth.functions import aggregates as A
 from plinth.functions import lod
@@ -40,8 +41,15 @@ PROFIT = "(l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice)"
 WITH = f"WITH sales AS (SELECT {', '.join(f'{c} AS {n}' for n, c in SALES.items())}, CAST(l_quantity AS BIGINT) AS QUANTITY, {PROFIT} AS PROFIT FROM {JOINS})"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is looked up in its files once (a job each time otherwise)."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 MADE = {"QUANTITY": ("CAST(l_quantity AS BIGINT)", ["l_quantity"]), "PROFIT": (PROFIT, ["l_extendedprice", "l_discount", "l_quantity", "p_retailprice"])}
@@ -196,15 +204,20 @@ LEFT JOIN (SELECT n_name, round(sum(s_acctbal), 2) AS BALANCE FROM supplier JOIN
 # aggregates
 
 
-@query("""SELECT SEGMENT, round(sum(SALES), 2) AS S, round(avg(SALES), 4) AS A, min(SALES) AS MI, max(SALES) AS MA, count(SALES) AS C, count(DISTINCT PRODUCT_ID) AS D, round(median(SALES), 4) AS ME,
+def _agg_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda *columns: sales(spark, sf_dir, ["SEGMENT", *columns])
+    names = {"S": "sum", "A": "avg", "MI": "min", "MA": "max", "C": "count", "SD": "stdev", "SP": "stdevp"}
+    plain = {n: A.aggregate(f, F.col("SALES")) for n, f in names.items()} | {"V": A.aggregate("var", F.col("QUANTITY")), "VP": A.aggregate("varp", F.col("QUANTITY")), "AT": A.attr(F.col("REGION"))}
+    plain |= {"CO": A.corr(F.col("SALES"), F.col("QUANTITY")), "CV": A.covar(F.col("SALES"), F.col("QUANTITY"))}
+    ordered = {"ME": A.aggregate("median", F.col("SALES")), "P90": A.percentile(F.col("SALES"), 0.9)}
+    view = A.apart(["SEGMENT"], (of("SALES", "QUANTITY", "REGION"), plain), (of("PRODUCT_ID"), {"D": A.aggregate("ctd", F.col("PRODUCT_ID"))}), (of("SALES"), ordered))
+    return money(money(money(view, "S"), "A", "ME", "SD", "SP", "V", "VP", "P90", "CV", digits=4), "CO", digits=6)
+
+
+QUERIES["agg_all"] = _agg_all
+ORACLE_SQL["agg_all"] = f"""{WITH} SELECT SEGMENT, round(sum(SALES), 2) AS S, round(avg(SALES), 4) AS A, min(SALES) AS MI, max(SALES) AS MA, count(SALES) AS C, count(DISTINCT PRODUCT_ID) AS D, round(median(SALES), 4) AS ME,
 round(stddev_samp(SALES), 4) AS SD, round(stddev_pop(SALES), 4) AS SP, round(var_samp(QUANTITY), 4) AS V, round(var_pop(QUANTITY), 4) AS VP, round(quantile_cont(SALES, 0.9), 4) AS P90,
-round(corr(SALES, QUANTITY), 6) AS CO, round(covar_samp(SALES, QUANTITY), 4) AS CV, CASE WHEN min(REGION) = max(REGION) THEN min(REGION) END AS AT FROM sales GROUP BY 1""")
-def agg_all(df: DataFrame) -> DataFrame:
-    names = {"S": "sum", "A": "avg", "MI": "min", "MA": "max", "C": "count", "ME": "median", "SD": "stdev", "SP": "stdevp"}
-    made = [A.aggregate(f, F.col("SALES")).alias(n) for n, f in names.items()]
-    made += [A.aggregate("ctd", F.col("PRODUCT_ID")).alias("D"), A.aggregate("var", F.col("QUANTITY")).alias("V"), A.aggregate("varp", F.col("QUANTITY")).alias("VP"), A.percentile(F.col("SALES"), 0.9).alias("P90")]
-    made += [A.corr(F.col("SALES"), F.col("QUANTITY")).alias("CO"), A.covar(F.col("SALES"), F.col("QUANTITY")).alias("CV"), A.attr(F.col("REGION")).alias("AT")]
-    return money(money(money(df.groupBy("SEGMENT").agg(*made), "S"), "A", "ME", "SD", "SP", "V", "VP", "P90", "CV", digits=4), "CO", digits=6)
+round(corr(SALES, QUANTITY), 6) AS CO, round(covar_samp(SALES, QUANTITY), 4) AS CV, CASE WHEN min(REGION) = max(REGION) THEN min(REGION) END AS AT FROM sales GROUP BY 1"""
 
 
 @query(", v AS (SELECT NATION, sum(SALES) AS VAL FROM sales GROUP BY 1) SELECT round(avg(VAL), 2) AS REF FROM v")
