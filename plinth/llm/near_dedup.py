@@ -1,7 +1,8 @@
 """Groups of near-duplicate texts: an LSH forest over MinHash signatures, links confirmed on full sets.
 
 A text's set holds its distinct shingles of ``shingle`` lower-cased words (of the whole sequence, if there
-are fewer). Texts with equal sets are one class; the rest concerns one text of each class.
+are fewer). Texts with equal sets (by a 128-bit digest of the shingles themselves) are one class; the rest
+concerns one text of each class.
 
 1. A signature of HASHES 16-bit minima. Each of TREES trees reads them in an order of its own: the first
    DEPTH of that order are the text's label in the tree.
@@ -9,7 +10,8 @@ are fewer). Texts with equal sets are one class; the rest concerns one text of e
    chooses by size. Neighbours in that order have the longest common prefixes; where a region is crowded the
    NEAR nearest rows agree to a greater depth by themselves. A pair is a candidate if its signatures agree in
    so many places as a pair at the threshold falls short of in 1 of 10,000 cases.
-3. Candidates are confirmed by the exact sizes of intersection and union of the full sets: first each text's
+3. Candidates are confirmed by the exact sizes of intersection and union of the full sets, shingles of equal
+   hashes being compared word by word: first each text's
    FIRST likeliest, then all that still lead from one group to another; where those fail, the text is held
    against the centres of that group.
 4. A row that shares its first LEAST values with rows more than NEAR places away, or across the bound of a
