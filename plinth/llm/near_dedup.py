@@ -13,7 +13,7 @@ concerns one text of each class.
 3. Candidates are confirmed by the exact sizes of intersection and union of the full sets, shingles of equal
    hashes being compared word by word: first each text's
    FIRST likeliest, then all that still lead from one group to another; where those fail, the text is held
-   against the centres of that group.
+   against the centres of that group. What later links join are groups, not texts.
 4. A row that shares its first LEAST values with rows more than NEAR places away, or across the bound of a
    range, is crowded. All pairs of crowded texts that are in different groups by then are decided exactly: a
    pair at the threshold shares one of each text's first shingles, if those that one group alone holds come
@@ -220,30 +220,36 @@ def confirmed(pairs: DataFrame, texts: DataFrame, share: int, shingle: int) -> D
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, ``root``: the smallest node reachable) of all nodes with a link (a, b), a < b. Each round
-    links every node's greater neighbours to its smallest one, then its smaller ones; stars are left."""
-    edges = stored(links.select("a", "b").distinct())
+    """(node, ``root``: the smallest node reachable) of all nodes with a link (a, b), a < b. Each round links
+    every node's greater neighbours to its smallest one, then its smaller ones, until stars are left: graphs in
+    which no node with a smaller neighbour has any other."""
+    edges = stored(links.select("a", "b"))
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # large star: b > a goes to the least of a and its neighbours
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        # small star: every smaller neighbour of b, and b itself, goes to the least of them
-        small_least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(small_least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
-        new = stored(small)
-        settled = new.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
-        edges = new
-        if settled:
-            roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-            return roots.unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        near = stored(both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")))
+        if near.where("low < a AND low < high").isEmpty():
+            return near.select(F.col("a").alias("node"), F.least("a", "low").alias("root"))
+        large = edges.join(near.select("a", F.least("a", "low").alias("m")), "a").select(F.col("m").alias("a"), "b")
+        small = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
+        edges = stored(small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct())
 
 
 def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those pairs whose ends are not yet in one group."""
+    """Those pairs whose ends are not yet in one group, with the ends' ``root_a`` and ``root_b``."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     found = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return found.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "same")
+    return found.withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b")).where("root_a != root_b")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links: the components of the groups, not of the nodes."""
+    between = stored(across(links, roots).select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+    if between.isEmpty():
+        return roots
+    more = components(between).select(F.col("node").alias("group"), F.col("root").alias("top"))
+    old = roots.join(more, F.col("root") == F.col("group"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = more.join(roots, F.col("group") == F.col("node"), "left_anti").select(F.col("group").alias("node"), F.col("top").alias("root"))
+    return stored(old.unionAll(new))
 
 
 def towards_centres(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -256,8 +262,8 @@ def towards_centres(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> Dat
     centre = stored(near.groupBy("a").agg(F.max(F.struct("n", F.col("b").alias("c"))).alias("m")).select("a", F.col("m.c").alias("c")))
     further = centre.join(centre.select(F.col("a").alias("c"), F.col("c").alias("d")), "c").select("a", F.array_distinct(F.array("c", "d")).alias("to"))
     ends = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = ends.join(further.select(F.col("a").alias("b"), "to"), "b").select("a", F.explode("to").alias("c")).where("a != c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"), F.lit(0).alias("same")).distinct()
-    return across(found, roots)
+    found = ends.join(further.select(F.col("a").alias("b"), "to"), "b").select("a", F.explode("to").alias("c")).where("a != c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
+    return across(found, roots).select("a", "b")
 
 
 def crowded_pairs(crowd: DataFrame, texts: DataFrame, share: int, shingle: int) -> DataFrame:
@@ -315,16 +321,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, share: int = 80, id_co
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(confirmed(best, texts, share, shingle))
     roots = components(links)
-    apart = stored(across(pairs, roots))
-    more = confirmed(apart.join(best, ["a", "b"], "left_anti"), texts, share, shingle)
-    links = stored(links.unionAll(more))
-    roots = stored(components(links))
-    centres = towards_centres(across(apart, roots), links, roots).join(pairs, ["a", "b"], "left_anti")
-    links = stored(links.unionAll(confirmed(centres, texts, share, shingle)))
-    roots = stored(components(links))
+    apart = stored(across(pairs, roots).select("a", "b"))
+    more = stored(confirmed(apart.join(best, ["a", "b"], "left_anti"), texts, share, shingle))
+    roots = merged(roots, more)
+    failed = stored(across(apart, roots).select("a", "b"))
+    centres = towards_centres(failed, links.unionAll(more), roots).join(pairs, ["a", "b"], "left_anti")
+    roots = merged(roots, confirmed(centres, texts, share, shingle))
     crowd = crowd.join(roots, crowd["rep"] == roots["node"], "left").select("rep", F.coalesce("root", "rep").alias("root"))
     exact = stored(crowded_pairs(crowd, texts, share, shingle)).join(pairs, ["a", "b"], "left_anti")
-    roots = components(links.unionAll(confirmed(exact, texts, share, shingle)))
+    roots = merged(roots, confirmed(exact, texts, share, shingle))
     named = classes.select("key", "id", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "id", "root")
     least = stored(named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least")))
     named = named.join(least, "root", "left").select("key", F.coalesce("least", "id").alias("component"))
