@@ -130,12 +130,11 @@ class PieceTable:
     def same(self, points: np.ndarray, within: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether each piece is the one kept at its place in the table."""
         out = self.length[at] == lengths
-        kept = np.repeat(np.where(out, self.first[at], 0), lengths) + within
-        if not out.all():
-            kept = np.minimum(kept, len(self.points) - 1)
-        differ = np.flatnonzero(self.points[kept] != points)
-        if len(differ):
-            out[np.searchsorted(np.cumsum(lengths), differ, "right")] = False
+        kept = np.repeat(np.where(out, self.first[at], 0), lengths)
+        kept += within
+        differ = self.points.take(kept, mode="clip") != points
+        if differ.any():
+            out[np.searchsorted(np.cumsum(lengths), np.flatnonzero(differ), "right")] = False
         return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -54,6 +54,9 @@ def piece_table(definition: str) -> PieceTable:
     def merge(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that start with a blank are strung together, others (no white space) each after a line
         end: the tokenizer cuts them there again. What is only white space goes alone."""
+        points = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        size_of = np.add.reduceat(np.searchsorted([0x7F, 0x7FF, 0xFFFF], points, "left") + 1, np.cumsum(length) - length) if len(pieces) else length
         kinds: tuple[list[int], ...] = ([], [], [])
         for i, p in enumerate(pieces):
             kinds[2 if p.isspace() else p[0] != " "].append(i)
@@ -64,7 +67,7 @@ def piece_table(definition: str) -> PieceTable:
             strings = ["".join(lead + pieces[i] for i in part) for part in parts]
             for part, coded in zip(parts, tokenizer.encode_batch_fast(strings, add_special_tokens=False) if strings else [], strict=True):
                 every.append(np.array(coded.ids, np.int32))
-                ends = np.cumsum([len(lead) + len(pieces[i].encode()) for i in part])
+                ends = np.cumsum(size_of[part] + len(lead))
                 cuts = np.append(0, np.searchsorted(np.cumsum(size[every[-1]]), ends) + 1)
                 start[part], count[part] = done + cuts[:-1] + len(lead), np.diff(cuts) - len(lead)
                 done += len(every[-1])
