@@ -59,7 +59,7 @@ def sales(spark: SparkSession, sf_dir: str, columns: Sequence[str] = (*SALES, *M
     """The snowflake of line items as one table with the sheets' names, joined as far as ``columns`` need."""
     frames, plan = {t: load(spark, sf_dir, t) for t in TABLES}, join_plan(TABLES, EDGES)
     wanted = [x for c in columns for x in ([SALES[c]] if c in SALES else MADE[c][1])]
-    wide = flatten(frames, needed(frames, plan, wanted))
+    wide = flatten(frames, needed(frames, plan, wanted), wanted)
     return wide.select(*(F.col(SALES[c]).alias(c) if c in SALES else F.expr(MADE[c][0]).alias(c) for c in columns))
 
 

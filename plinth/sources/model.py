@@ -59,23 +59,25 @@ def needed(frames: dict[str, DataFrame], plan: JoinPlan, wanted: Sequence[str])
     return JoinPlan(plan.shape, plan.root, tuple(edges))
 
 
-def flatten(frames: dict[str, DataFrame], plan: JoinPlan) -> DataFrame:
+def flatten(frames: dict[str, DataFrame], plan: JoinPlan, columns: Sequence[str] | None = None) -> DataFrame:
     """One left join per dimension, so no row of the fact is lost or, keys being unique, doubled. A column
-    whose name is taken becomes NAME_TABLE; if that is taken too it is left out."""
+    whose name is taken becomes NAME_TABLE; if that is taken too it is left out. ``columns``: the dimensions'
+    columns that are wanted, if not all; keys of further joins are kept."""
+    kept = None if columns is None else {*columns, *(e.key for e in plan.edges)}
     out = frames[plan.root]
     names = {(plan.root, c): c for c in out.columns}
     for e in plan.edges:
-        dim, columns = frames[e.child], {}
+        dim, renamed = frames[e.child], {}
         taken = set(names.values())
-        for c in dim.columns:
+        for c in dim.columns if kept is None else [c for c in dim.columns if c in kept]:
             new = c if c not in taken else f"{c}_{to_phys(e.child)}"
-            if new not in taken and new not in columns.values():
-                columns[c] = new
+            if new not in taken and new not in renamed.values():
+                renamed[c] = new
         if (e.parent, e.key) not in names:
             raise Refused("datasource-unmapped", f"{e.parent}.{e.key} is not there to join on")
         key = F.col(f"`{e.child_key}`").alias("_child_key")
-        out = out.join(dim.select(key, *(F.col(f"`{c}`").alias(n) for c, n in columns.items())), F.col(f"`{names[e.parent, e.key]}`") == F.col("_child_key"), "left").drop("_child_key")
-        names |= {(e.child, c): n for c, n in columns.items()}
+        out = out.join(dim.select(key, *(F.col(f"`{c}`").alias(n) for c, n in renamed.items())), F.col(f"`{names[e.parent, e.key]}`") == F.col("_child_key"), "left").drop("_child_key")
+        names |= {(e.child, c): n for c, n in renamed.items()}
     return out
 
 
