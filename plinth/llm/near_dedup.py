@@ -257,10 +257,10 @@ def towards_centres(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> Dat
     itself and its neighbours by ``links`` the one with the most links, and that one's own such). Edited
     copies may be near their original alone, and near in many trees to each other. Distinct pairs (a, b)."""
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    near = both.unionAll(degree.select("a", F.col("a").alias("b"))).join(degree.select(F.col("a").alias("b"), "n"), "b")
+    degree = stored(both.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    near = both.unionAll(degree.select("a", F.col("a").alias("b"))).join(few(degree.select(F.col("a").alias("b"), "n")), "b")  # a centre is the b of many
     centre = stored(near.groupBy("a").agg(F.max(F.struct("n", F.col("b").alias("c"))).alias("m")).select("a", F.col("m.c").alias("c")))
-    further = centre.join(centre.select(F.col("a").alias("c"), F.col("c").alias("d")), "c").select("a", F.array_distinct(F.array("c", "d")).alias("to"))
+    further = centre.join(few(centre.select(F.col("a").alias("c"), F.col("c").alias("d"))), "c").select("a", F.array_distinct(F.array("c", "d")).alias("to"))
     ends = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = ends.join(further.select(F.col("a").alias("b"), "to"), "b").select("a", F.explode("to").alias("c")).where("a != c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
     return across(found, roots).select("a", "b")
