@@ -113,7 +113,7 @@ class PieceTable:
             with np.errstate(over="ignore"):
                 pieces = [text[a:b] for a, b in zip(starts[where].tolist(), ends.tolist(), strict=True)]
                 self.insert(new, pieces, *self.merge(pieces))
-                at = self.find(hashes)
+                at[lacking] = self.find(hashes[lacking])
         at = np.maximum(at, 0)
         source, counts = self.start[at], self.count[at].astype(np.int64)
         ids, extra = self.ids, []
@@ -144,8 +144,8 @@ class PieceTable:
         if len(text) == len(data):
             bounds = offsets
         else:
-            chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-            bounds = chars[offsets]
+            leads = (data & 0xC0) != 0x80
+            bounds = np.append(0, np.cumsum([np.count_nonzero(leads[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)])).astype(np.int64)
         if len(text) <= 2 * BUFFER:
             starts, counts, ids = self.of_buffer(text, np.unique(bounds[:-1][np.diff(bounds) > 0]))
             return ids, np.append(0, np.cumsum(counts))[np.searchsorted(starts, bounds)]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from plinth.llm.common import arrow_map, shared_dir, stored, utf8
 from plinth.llm.pieces import PieceTable, binary, chunks
 
-LANES, STEPS = 1024, 128
+LANES, STEPS = 4096, 64
 #: Tokens after which a block ends (it holds whole documents).
 BLOCK = 1 << 18
 #: Frequencies add up to 2 ** BITS; states lie in [2 ** 31, 2 ** 63).
