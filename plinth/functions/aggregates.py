@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.selection import percentiles  # noqa: F401  with the other aggregates
 from plinth.plans.findings import Refused
 
 
@@ -43,34 +44,10 @@ def records() -> Column:
 
 
 def percentile(c: Column, p: float) -> Column:
-    """Exact; a group's distinct values meet in one task. For groups too large for that: ``percentiles``."""
+    """Exact; a group's distinct values meet in one task. For groups of any size: ``percentiles``."""
     return F.percentile(c, p)
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], *, bins: int = 4096, rounds: int = 2) -> DataFrame:
-    """Exact percentiles of groups of any size: a row for each group with a column for each of ``shares``.
-
-    Each share asks for the values at two ranks. A range that holds a rank is cut into ``bins`` equal parts,
-    whose rows are counted in every task first; the part with the rank is the next range. After ``rounds`` of
-    that the few values left are counted one by one. Null values don't count; null keys are a group."""
-    group = F.struct(*keys) if keys else F.lit(0)
-    rows = df.select(group.alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    whole = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    ranks = [F.struct(F.lit(f"{name}{side}").alias("want"), f(F.lit(p) * (F.col("n") - 1)).cast("long").alias("rank")) for name, p in shares.items() for side, f in ((0, F.floor), (1, F.ceil))]
-    want = whole.select("_g", "n", "lo", "hi", F.explode(F.array(*ranks)).alias("x")).select("_g", "n", "lo", "hi", "x.*")
-    for last in [False] * rounds + [True]:
-        near = rows.join(want, "_g").where("_v BETWEEN lo AND hi")
-        part = F.col("_v") if last else F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-        counted = near.groupBy("_g", "n", "want", "rank", part.alias("part")).agg(F.count(F.lit(1)).alias("k"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        upto = F.sum("k").over(Window.partitionBy("_g", "want").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-        found = counted.withColumn("upto", upto).where("upto > rank AND upto - k <= rank")
-        want = found.select("_g", "n", "lo", "hi", "want", (F.col("rank") - F.col("upto") + F.col("k")).alias("rank"))
-    at = lambda name, side: F.max(F.when(F.col("want") == f"{name}{side}", F.col("lo")))
-    made = want.groupBy("_g").agg(F.max("n").alias("n"), *(at(name, side).alias(f"{name}{side}") for name in shares for side in (0, 1)))
-    between = lambda name, p: F.col(f"{name}0") + (F.col(f"{name}1") - F.col(f"{name}0")) * (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1)))
-    return made.select(*(F.col("_g")[k].alias(k) for k in keys), *(between(name, p).alias(name) for name, p in shares.items()))
-
-
 def corr(a: Column, b: Column) -> Column:
     return F.corr(a, b)
 

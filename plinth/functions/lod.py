@@ -2,17 +2,18 @@
 
 A value fixed to some keys is aggregated by those keys and joined back, so a key that holds a third of the
 rows is summed up in every task first; a window over the keys would bring its rows into one. Values over a
-whole view are computed on its grouped rows; where they need no order, as a scalar subquery, not a window
-without partitions."""
+whole view are computed on its grouped rows; where they need no order, as a scalar subquery, else by ``scan``, which
+writes the view in ranges. There is no window without partitions."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions import scan
 from plinth.plans.findings import Refused
 
 #: Table calculations without an exact translation.
@@ -23,7 +24,8 @@ UNSUPPORTED = (
 
 
 def refuse(function: str) -> None:
-    """``function``: a name, or a call. Frames (offsets after the value) are refused like the functions."""
+    """``function``: a name, or a call. Frames (offsets after the value) are refused like the functions. A calculation that says in
+    which order and level it is meant has its functions in ``scan`` and ``levels``."""
     name, _, rest = function.upper().partition("(")
     if name.startswith("WINDOW_") and re.search(r",\s*(-?\d+|FIRST\(\)|LAST\(\))", rest):
         raise Refused("calc-untranslated", f"{function}: a frame inside the view")
@@ -53,16 +55,14 @@ def window_total(view: DataFrame, **values: Column) -> DataFrame:
 
 
 def ranked(view: DataFrame, value: str, name: str = "RANK", *, kind: str = "rank", ascending: bool = False, within: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
-    """RANK, RANK_DENSE or RANK_UNIQUE (``ties`` decides) of the view's rows, nulls last."""
-    function = {"rank": F.rank, "dense": F.dense_rank, "unique": F.row_number}[kind]()
-    order = F.asc_nulls_last(value) if ascending else F.desc_nulls_last(value)
-    w = Window.partitionBy(*within).orderBy(order, *(ties if kind == "unique" else ()))
-    return view.withColumn(name, function.over(w).cast("int"))
+    """RANK, RANK_DENSE, RANK_MODIFIED, RANK_PERCENTILE or RANK_UNIQUE (``ties`` decides) of the view's rows, nulls last."""
+    found = scan.scan(view, [scan.Key(value, ascending), *ties], within=within, **{name: scan.rank(kind)})
+    return found if kind == "percentile" else found.withColumn(name, F.col(name).cast("int"))
 
 
-def indexed(view: DataFrame, order: Sequence[Column | str], name: str = "INDEX") -> DataFrame:
+def indexed(view: DataFrame, order: Sequence[scan.Key | str], name: str = "INDEX") -> DataFrame:
     """INDEX(): the place of a row in the view's order."""
-    return view.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("int"))
+    return scan.scan(view, order, **{name: scan.index()}).withColumn(name, F.col(name).cast("int"))
 
 
 def share_of(view: DataFrame, value: str, name: str = "PCT") -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.lod import fixed
 from plinth.plans.findings import INFO, WARNING, Findings, Refused
 
 #: Keys up to which the set is broadcast.
@@ -46,12 +47,10 @@ def top_n_view(df: DataFrame, dim: str, measures: dict[str, Column], by: Column,
 
 
 def top_n_fixed(df: DataFrame, dim: str, level: Sequence[str], value: Column, by: Column, n: float, sheet: str, findings: Findings, *, bottom: bool = False) -> DataFrame:
-    """By an aggregate ``by`` over the column ``_fixed_value``, which is ``value`` fixed to ``level`` (one row of
-    the ranking for each member and level). The ranking sees the table before other filters."""
+    """By an aggregate ``by`` over the column ``_fixed_value``, which is ``value`` fixed to ``level`` and is there on every row:
+    an average weighs a level by its rows. The ranking sees the table before other filters."""
     findings.add(INFO, sheet, "topn-order-of-ops", f"{dim} is ranked over all rows by a value fixed to {', '.join(level)}")
-    each = df.groupBy(*level).agg(value.alias("_fixed_value"))
-    levels = df.select(dim, *level).distinct() if dim not in level else df.select(*level).distinct()
-    return _within(df, leaders(levels.join(each, list(level)), dim, by, n, bottom=bottom), dim, n)
+    return _within(df, leaders(fixed(df, level, _fixed_value=value), dim, by, n, bottom=bottom), dim, n)
 
 
 def top_n_checked(df: DataFrame, dim: str, column: str, n: float, sheet: str, findings: Findings) -> DataFrame:

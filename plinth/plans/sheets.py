@@ -2,7 +2,7 @@
 
 Measures are aggregate columns by name, dimensions names of columns. Every order has the dimension as a tie-break,
 so limits and ranks are the same in every run. Values that relate to the whole view are computed on its
-grouped rows."""
+grouped rows. Kinds with places or running values (mbar, rank_table, pctbar, manual orders) write their view when they are built."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.lod import indexed, overall, refuse, share_of
 from plinth.functions.scalar import date_part, date_trunc, state_code
+from plinth.functions.scan import Key, down, running, scan, total
 from plinth.plans.findings import APPEARANCE, BLOCKER, COSMETIC, INFO, WARNING, Findings, Refused
 
 Measures = dict[str, Column]
@@ -39,7 +40,7 @@ def mbar(df: DataFrame, dim: str, measures: Measures, *, by: str | None = None,
     """A bar for each measure side by side, rows in the order of one of them."""
     view = _agg(df, [dim], measures)
     by = by or next(iter(measures))
-    return indexed(view, [F.asc_nulls_last(by) if ascending else F.desc_nulls_last(by), dim], "POS")
+    return indexed(view, [Key(by, ascending), dim], "POS")
 
 
 def bar(df: DataFrame, dim: str, value: Column, *, color: Column | None = None, n: int = BARS) -> DataFrame:
@@ -113,14 +114,14 @@ def circle(df: DataFrame, facet: str, rows: Sequence[str], detail: str, x: Colum
 def rank_table(df: DataFrame, dim: str, measures: Measures, *, by: Column | None = None) -> DataFrame:
     """All rows in the order of a value (else the first measure), nulls last, with their places."""
     view = _agg(df, [dim], measures | ({} if by is None else {"VORD": by}))
-    return indexed(view, [F.desc_nulls_last("VORD" if by is not None else next(iter(measures))), dim], "RANK")
+    return indexed(view, [down("VORD" if by is not None else next(iter(measures))), dim], "RANK")
 
 
 def pctbar(df: DataFrame, seg: str) -> DataFrame:
     """Each segment's share of the rows, laid end to end from the greatest."""
-    view = share_of(_agg(df, [seg], {"N": F.count(F.lit(1))}), "N", "PCT")
-    upto = F.sum("PCT").over(Window.orderBy(F.desc("N"), seg).rowsBetween(Window.unboundedPreceding, 0))  # of the segments, not the rows
-    return view.withColumn("X1", upto).withColumn("X0", F.col("X1") - F.col("PCT")).withColumn("MID", F.col("X1") - F.col("PCT") / 2)
+    line = scan(_agg(df, [seg], {"N": F.count(F.lit(1))}), [down("N"), seg], _upto=running("sum", "N"), _whole=total("sum", "N"))
+    view = line.withColumns({"PCT": F.col("N") / F.col("_whole"), "X1": F.col("_upto") / F.col("_whole")}).drop("_upto", "_whole")
+    return view.withColumn("X0", F.col("X1") - F.col("PCT")).withColumn("MID", F.col("X1") - F.col("PCT") / 2)
 
 
 def _largest(view: DataFrame, category: str, sheet: str, findings: Findings) -> DataFrame:
@@ -211,7 +212,7 @@ def member_list(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def manual_order(view: DataFrame, dim: str, members: Sequence[str]) -> DataFrame:
     """Listed members first, in that order, then the rest."""
     place = F.array_position(F.array(*map(F.lit, members)), F.col(dim))
-    return indexed(view, [F.when(place > 0, place).otherwise(2**31), dim], "POS")
+    return indexed(view.withColumn("_listed", F.when(place > 0, place).otherwise(2**31)), ["_listed", dim], "POS").drop("_listed")
 
 
 def evidence(view: DataFrame, order: Sequence[Column | str]) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -21,16 +19,7 @@ from plinth.plans.measures import measure
 from plinth.plans.semantic import Model
 from plinth.queries import ORACLE_SQL, QUERIES, Query, load, money, query, sales, total
 from plinth.sources import ingest, naming
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all machines share; a local one for local sessions without such a setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="plinth-")
-    return f"{base.rstrip('/')}/plinth-{uuid.uuid4().hex}"
+from plinth.sources.shared import folder as scratch
 
 
 def plain(sql: str):
@@ -211,7 +200,7 @@ def fn_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 # filters
 
 
-@query(""", m AS (SELECT CUSTOMER_NAME, sum(SALES) AS o FROM sales GROUP BY 1), k AS (SELECT NATION, CUSTOMER_NAME FROM sales GROUP BY ALL), r AS (SELECT NATION, avg(o) AS v FROM k JOIN m USING (CUSTOMER_NAME) GROUP BY 1 ORDER BY v DESC, NATION LIMIT 5)
+@query(""", m AS (SELECT CUSTOMER_NAME, sum(SALES) AS o FROM sales GROUP BY 1), r AS (SELECT NATION, avg(o) AS v FROM sales JOIN m USING (CUSTOMER_NAME) GROUP BY 1 ORDER BY v DESC, NATION LIMIT 5)
 SELECT NATION, count(*) AS N FROM sales WHERE NATION IN (SELECT NATION FROM r) AND SEGMENT = 'BUILDING' GROUP BY 1""")
 def flt_topn_fixed(df: DataFrame) -> DataFrame:
     """The set ranks by an average of values fixed to customers, over all segments."""

@@ -199,7 +199,7 @@ def test_percentiles_of_any_group(spark):
     rng = np.random.default_rng(3)
     groups = {"ties": np.repeat([1.0, 5.0], [700, 300]), "one": np.array([4.0]), "wide": rng.normal(0, 1, 900) * 10.0 ** rng.integers(-3, 9, 900), None: np.arange(100.0)}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("ties", None), ("empty", None)]
-    found = {r["g"]: r for r in percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}, bins=16).collect()}
+    found = {r["g"]: r for r in percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}).collect()}
     assert set(found) == set(groups)
     for g, vs in groups.items():
         assert [found[g][k] for k in "abcd"] == pytest.approx(np.quantile(vs, [0, 0.37, 0.5, 1]).tolist())
@@ -225,3 +225,26 @@ def test_set_measured_in_one_pass(tiny):
     assert topn.top_n_view(tiny, "d", {"n": F.count(F.lit(1))}, F.sum("v"), 1, bottom=True, context=F.col("e") == "x").first()["d"] == "b"
     with pytest.raises(Refused):
         topn.top_n_view(tiny, "d", {}, F.sum("v"), 0.5)
+
+
+def test_percentiles_of_any_distribution(spark, monkeypatch):
+    """Radix selection through all four passes, and straight after the first."""
+    import numpy as np
+
+    from plinth.functions import selection
+
+    rng = np.random.default_rng(8)
+    odd = np.array([1e308, -1e308, 5e-324, -5e-324, 2.2250738585072014e-308, 1e-310, 0.0, -0.0, 1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 0), 2.0**52, 2.0**53 + 2, -(2.0**-1022), np.inf, -np.inf, 3.5])
+    groups = {"odd": odd, "near": 1 + rng.integers(0, 50, 400) * 2.0**-52, "wide": np.exp(rng.normal(0, 200, 500)) * rng.choice([-1, 1], 500), "same": np.full(300, -7.25)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    ranks = {f"p{i}": i / 16 for i in range(17)}
+    for direct in (0, 1 << 20):
+        monkeypatch.setattr(selection, "DIRECT", direct)
+        found = {r["g"]: [r[n] for n in ranks] for r in selection.percentiles(df, ["g"], "v", ranks).collect()}
+        for g, vs in groups.items():
+            at = np.sort(vs)
+            exact = len(vs) == 17
+            want = at.tolist() if exact else np.quantile(vs, list(ranks.values())).tolist()
+            assert found[g] == want if exact else found[g] == pytest.approx(want, rel=1e-12)
+    monkeypatch.setattr(selection, "FEW", 0)  # joined by a shuffle
+    assert selection.percentiles(df, ["g"], "v", {"m": 0.5}).count() == 4
