@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Sequence
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from plinth.functions import scan
+from plinth.plans import analysed
 
 #: From best to worst; an unknown status is the worst.
 LATTICE = ("PASS", "REVIEW", "NOT_VALIDATED", "BLOCKED", "FAIL")
@@ -27,6 +31,12 @@ def tolerance(kind: str, decimals: int = 0, *, reference: Decimal | None = None,
     return max(half, abs(reference or Decimal(0)) * Decimal(str(relative)))
 
 
+def tolerance_of(kind: str, decimals: int = 0, *, reference: Column | None = None, relative: float = 0.0) -> Column:
+    """``tolerance`` as a column, each row with its own reference."""
+    least = F.lit(tolerance(kind, decimals)).cast(NUMBER)
+    return least if reference is None or kind in ("count", "int", "rank", "key") else F.greatest(least, (F.abs(reference) * relative).cast(NUMBER))
+
+
 def decimal(c: Column) -> Column:
     """A number that may be a text with thousands commas; null if it is none."""
     return F.replace(c.cast("string"), F.lit(","), F.lit("")).try_cast(NUMBER)
@@ -39,52 +49,70 @@ def worst(statuses: Sequence[str]) -> str:
     return LATTICE[max(LATTICE.index(s) if s in LATTICE else len(LATTICE) - 1 for s in statuses)]
 
 
+def keyed(df: DataFrame, grain: Sequence[str], measures: Sequence[str], place: str | None = None) -> DataFrame:
+    """A row for each key: ``_key``, ``_first`` (the measures of its first row as decimals, and its place), ``_n`` rows, ``_empty`` (a part of the
+    key is null or empty). ``place``: a column that grows from row to row (``ingest.with_place``); without one the first row is the least in its measures."""
+    values = F.struct(*(decimal(F.col(f"`{m}`")).alias(f"m{i}") for i, m in enumerate(measures)))
+    at = values if place is None else F.col(place)
+    empty = reduce(Column.__or__, [F.col(g).isNull() | (F.col(g).cast("string") == "") for g in grain], F.lit(False))
+    return df.groupBy(F.struct(*grain).alias("_key")).agg(F.min_by(F.struct(values.alias("values"), at.alias("place")), at).alias("_first"), F.count(F.lit(1)).alias("_n"), F.max(empty).alias("_empty"))
+
+
 def problems(df: DataFrame, grain: Sequence[str]) -> DataFrame:
     """One row: ``duplicates``, keys that occur more than once, and ``nulls``, rows with a null or empty key
     part."""
-    empty = F.lit(False)
-    for g in grain:
-        empty = empty | F.col(g).isNull() | (F.col(g).cast("string") == "")
-    keys = df.groupBy(*grain).agg(F.count(F.lit(1)).alias("n"), F.count_if(empty).alias("e"))
-    return keys.agg(F.count_if(F.col("n") > 1).alias("duplicates"), F.coalesce(F.sum("e"), F.lit(0)).alias("nulls"))
+    return keyed(df, grain, []).agg(F.count_if(F.col("_n") > 1).alias("duplicates"), F.coalesce(F.sum(F.when(F.col("_empty"), F.col("_n"))), F.lit(0)).alias("nulls"))
+
+
+def first_rows(df: DataFrame, grain: Sequence[str], place: str) -> DataFrame:
+    """Of the rows with one key the first, by its place, with all of its columns."""
+    rest = [c for c in df.columns if c not in grain]
+    found = df.groupBy(F.struct(*grain).alias("_key")).agg(F.min_by(F.struct(*rest), F.col(place)).alias("_row"))
+    return found.select(*(F.col("_key")[g].alias(g) for g in grain), *(F.col("_row")[c].alias(c) for c in rest))
 
 
 def order_match(one: DataFrame, two: DataFrame, grain: Sequence[str], order: str) -> DataFrame:
     """One row: ``order_match``, whether both have the same keys in the same order of their first rows.
-    ``order``: the column with a row's place. Both are views, of as many rows as a sheet shows."""
-    place = lambda df, n: df.groupBy(F.struct(*grain).alias("_key")).agg(F.min(order).alias("_first")).select("_key", F.row_number().over(Window.orderBy("_first")).alias(n))
-    both = place(one, "_a").join(place(two, "_b"), "_key", "full_outer")
-    return both.agg((F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))) == 0).alias("order_match"))
+    ``order``: the column with a row's place."""
+    first = lambda df, n: df.groupBy(F.struct(*grain).alias("_key")).agg(F.min(order).alias(n))
+    both = first(one, "_a").join(first(two, "_b"), "_key", "full_outer")
+    line = scan.scan(both.select("_a", "_b"), [scan.Key("_a")], _before=scan.lookup("_b", -1))
+    return line.agg((F.count_if(F.col("_a").isNull() | F.col("_b").isNull() | (F.col("_before") >= F.col("_b"))) == 0).alias("order_match"))
+
+
+def _side_by_side(sources: dict[str, DataFrame], grain: Sequence[str], measures: Sequence[str], place: str | None) -> DataFrame:
+    """A row for each key with a column for each source: its first row, number of rows and whether the key is empty, null where it lacks the key. All sources meet
+    in one exchange."""
+    sides, kinds = [], {g: next(iter(sources.values())).schema[g].dataType for g in grain}
+    for s, df in sources.items():
+        side = keyed(df.withColumns({g: F.col(g).cast(k) for g, k in kinds.items()}), grain, measures, place)
+        sides.append(side.select("_key", F.lit(s).alias("_source"), F.struct(F.col("_first.values").alias("values"), F.col("_n").alias("n"), F.col("_empty").alias("empty")).alias("_side")))
+    return reduce(DataFrame.unionAll, sides).groupBy("_key").agg(*(F.max(F.when(F.col("_source") == s, F.col("_side"))).alias(s) for s in sources))
+
+
+def _cells(grid: DataFrame, have: Sequence[str], measures: Sequence[str], tolerances: dict[str, Decimal]) -> list[Column]:
+    """Of each measure: the values of the sources, their differences, and what that makes."""
+    everywhere = reduce(Column.__and__, [F.col(s).isNotNull() for s in have])
+    cells = []
+    for i, m in enumerate(measures):
+        value = {s: F.col(s)["values"][f"m{i}"] if s in have else F.lit(None).cast(NUMBER) for s in SOURCES}
+        tol = F.lit(tolerances[m]).cast(NUMBER)
+        pairs = {f"{a}_{b}_diff": F.abs(value[a] - value[b]) for a, b in (("reference", "app"), ("app", "backend"), ("reference", "backend"))}
+        bad = reduce(Column.__or__, [F.coalesce(d > tol, F.lit(False)) for d in pairs.values()], ~everywhere)
+        none = reduce(Column.__and__, [d.isNull() for d in pairs.values()])
+        made = F.when(bad, "FAIL").when(none, "BLOCKED").otherwise("PASS")
+        cells.append(F.struct(F.lit(m).alias("measure"), *(v.alias(s) for s, v in value.items()), *(d.alias(n) for n, d in pairs.items()), tol.alias("tolerance"), made.alias("status")))
+    return cells
 
 
-def compare(sources: dict[str, DataFrame], grain: Sequence[str], measures: Sequence[str], tolerances: dict[str, Decimal]) -> DataFrame:
+def compare(sources: dict[str, DataFrame], grain: Sequence[str], measures: Sequence[str], tolerances: dict[str, Decimal], *, place: str | None = None) -> DataFrame:
     """A row for each key and measure: the value in each source (of SOURCES, some may lack), the differences of
     each pair, and PASS, FAIL or, without any pair, BLOCKED. A key that a source lacks fails. Of rows with one
-    key, that with the least values counts; ``problems`` tells of them."""
-    joined, have = None, [s for s in SOURCES if s in sources]
-    for s in have:
-        one = sources[s].groupBy(*grain).agg(*(F.min(decimal(F.col(m))).alias(f"{s}_{m}") for m in measures), F.lit(True).alias(f"in_{s}"))
-        if joined is None:
-            joined = one
-        else:
-            right = one.select(*(F.col(g).alias(f"_{g}") for g in grain), *(c for c in one.columns if c not in grain))
-            on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in grain]
-            keys = [F.when(F.col(f"in_{s}") & F.coalesce(*(F.col(f"in_{x}") for x in have[: have.index(s)]), F.lit(False)), F.col(g)).otherwise(F.coalesce(g, f"_{g}")).alias(g) for g in grain]
-            joined = joined.join(right, on, "full_outer").select(*keys, *(c for c in [*joined.columns, *right.columns] if c not in grain and c not in [f"_{g}" for g in grain]))
-    everywhere = F.lit(True)
-    for s in have:
-        everywhere = everywhere & F.coalesce(F.col(f"in_{s}"), F.lit(False))
-    rows = []
-    for m in measures:
-        value = {s: F.col(f"{s}_{m}") if s in have else F.lit(None).cast(NUMBER) for s in SOURCES}
-        tol = F.lit(tolerances[m]).cast(NUMBER)
-        pairs = {f"{a}_{b}_diff": F.abs(value[a] - value[b]) for a, b in (("reference", "app"), ("app", "backend"), ("reference", "backend"))}
-        none, bad = F.lit(True), ~everywhere
-        for d in pairs.values():
-            none, bad = none & d.isNull(), bad | F.coalesce(d > tol, F.lit(False))
-        status = F.when(bad, "FAIL").when(none, "BLOCKED").otherwise("PASS")
-        rows.append(F.struct(F.lit(m).alias("measure"), *(v.alias(s) for s, v in value.items()), *(d.alias(n) for n, d in pairs.items()), tol.alias("tolerance"), status.alias("status")))
-    return joined.select(*grain, F.explode(F.array(*rows)).alias("x")).select(*grain, "x.*")
+    key the first counts, by ``place`` if there is such a column in all sources; ``problems`` tells of them."""
+    have = {s: sources[s] for s in SOURCES if s in sources}
+    grid = _side_by_side(have, grain, measures, place)
+    rows = grid.select("_key", F.explode(F.array(*_cells(grid, list(have), measures, tolerances))).alias("x"))
+    return rows.select(*(F.col("_key")[g].alias(g) for g in grain), "x.*")
 
 
 def status(cells: DataFrame) -> DataFrame:
@@ -96,16 +124,16 @@ def status(cells: DataFrame) -> DataFrame:
 
 def chart_status(sources: dict[str, DataFrame], grain: Sequence[str], measures: Sequence[str], tolerances: dict[str, Decimal], *, order: str | None = None) -> str:
     """A chart of which a source is missing is BLOCKED; one whose keys repeat or are empty FAILs, and one whose
-    keys come in another order in the app than in the reference (by the column ``order``, if there is one)."""
+    keys come in another order in the app than in the reference (by the column ``order``, if there is one). One aggregation gives all but the order."""
     if not grain or not measures or set(sources) != set(SOURCES):
         return "BLOCKED"
-    for df in sources.values():
-        found = problems(df, grain).first()
-        if found["duplicates"] or found["nulls"]:
-            return "FAIL"
-    if order and not order_match(sources["reference"], sources["app"], grain, order).first()["order_match"]:
+    grid = _side_by_side({s: sources[s] for s in SOURCES}, grain, measures, order)
+    wrong = reduce(Column.__or__, [F.coalesce((F.col(s)["n"] > 1) | F.col(s)["empty"], F.lit(False)) for s in SOURCES])
+    rank = F.array_max(F.transform(F.array(*_cells(grid, SOURCES, measures, tolerances)), lambda c: F.array_position(F.array(*map(F.lit, LATTICE)), c["status"])))
+    found = grid.agg(F.coalesce(F.max(wrong), F.lit(False)).alias("wrong"), F.max(rank).alias("rank")).first()
+    if found["wrong"] or (order and not order_match(sources["reference"], sources["app"], grain, order).first()["order_match"]):
         return "FAIL"
-    return status(compare(sources, grain, measures, tolerances)).first()["status"]
+    return "BLOCKED" if found["rank"] is None else LATTICE[found["rank"] - 1]
 
 
 def roll_up(charts: dict[str, dict[str, str]], visual: dict[str, str] | None = None) -> dict[str, str]:
@@ -116,6 +144,14 @@ def roll_up(charts: dict[str, dict[str, str]], visual: dict[str, str] | None = N
     return out | {"workbook": worst(list(out.values()))}
 
 
+def rolled_up(charts: DataFrame) -> DataFrame:
+    """``charts``: (dashboard, chart, status). The worst status of each dashboard, and of all as "workbook"."""
+    place = F.array_position(F.array(*map(F.lit, LATTICE)), F.col("status")).cast("int")
+    worst = charts.groupBy("dashboard").agg(F.max(F.when(place > 0, place).otherwise(len(LATTICE))).alias("rank"))
+    both = worst.unionAll(worst.agg(F.lit("workbook").alias("dashboard"), F.coalesce(F.max("rank"), F.lit(LATTICE.index("BLOCKED") + 1)).alias("rank")))
+    return both.select("dashboard", F.element_at(F.array(*map(F.lit, LATTICE)), F.col("rank")).alias("status"))
+
+
 def parity(app: DataFrame, source: DataFrame, measures: Sequence[str], relative: float = 0.01) -> DataFrame:
     """Totals by two ways: a row for each measure with PASS within ``relative`` of the source, else BUG; and
     the numbers of rows, which must be equal."""
@@ -142,11 +178,14 @@ def gate(df: DataFrame, metrics: dict[str, Column], bounds: dict[str, tuple[floa
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def partitions(df: DataFrame, dims: Sequence[str]) -> bool:
-    """Whether the dimensions tell the rows apart, so that parts may be added up."""
-    if not dims or any(d.lower() == "measure names" for d in dims):
+def partitions(df: DataFrame, dims: Sequence[str] | None = None) -> bool:
+    """Whether the dimensions tell the rows apart, so that parts may be added up. Without ``dims`` they are the columns that are no numbers; an export
+    by Measure Names has rows of different measures, which are no parts of anything."""
+    if dims is None:
+        dims = [f.name for f in df.schema.fields if not isinstance(f.dataType, NumericType)]
+    if not dims or any(d.strip(" :").lower() == "measure names" for d in dims):
         return False
-    return df.groupBy(*dims).count().where("count > 1").isEmpty()
+    return df.groupBy(*(F.col(f"`{d}`") for d in dims)).count().where("count > 1").isEmpty()
 
 
 def restricts(total: float | None, filtered: float | None, *, members: float | None = None, n: float | None = None) -> bool:
@@ -157,14 +196,16 @@ def restricts(total: float | None, filtered: float | None, *, members: float | N
 
 
 def normal_header(header: str) -> str:
-    """What a column's heading and a metric's caption share: without the aggregate around it, in small letters."""
-    found = re.match(r"[A-Za-z][A-Za-z ]*\((.+)\)$", header.strip())
-    return " ".join((found[1] if found else header).split()).lower()
+    """What a column's heading and a metric's caption share: what stands inside the brackets of an aggregate's call, in small letters and with single blanks."""
+    call, opened, inside = header.strip().partition("(")
+    wrapped = opened and inside.endswith(")") and call.replace(" ", "").isalpha()
+    return " ".join((inside[:-1] if wrapped else header).split()).lower()
 
 
-def pure_sum(sql: str | None) -> bool:
-    """Whether an expression is SUM of one column, the only one whose rows may be added up."""
-    return re.fullmatch(r'\s*SUM\(\s*[A-Za-z0-9_."]+\s*\)\s*', sql or "", re.IGNORECASE) is not None
+def pure_sum(df: DataFrame, formula: str | None) -> bool:
+    """Whether a formula is, after analysis over the table, the SUM of one column: the only one whose parts may be added up."""
+    found = analysed.aggregate(df, formula) if formula else None
+    return found is not None and found[0] == "sum"
 
 
 def single_row_truth(view: DataFrame, metrics: dict[str, str]) -> dict[str, Decimal]:
@@ -180,21 +221,18 @@ def single_row_truth(view: DataFrame, metrics: dict[str, str]) -> dict[str, Deci
     return {n: v for n, v in values.items() if v is not None}
 
 
-def formula_parts(text: str) -> list[str]:
-    """Calls and operators of a formula, in their order."""
-    return [" ".join(x.split()).rstrip("( ") if x.upper().replace(" ", "") != "COUNT(DISTINCT" else "COUNTD" for x in re.findall(r"COUNT\s*\(\s*DISTINCT|[A-Za-z_]+\s*\(|[-+*/<>=]+", text, re.IGNORECASE)]
-
-
-def formula_class(a: Sequence[str], b: Sequence[str], *, text_a: str = "", text_b: str = "", grain_only: bool = False) -> str:
-    """Of two formulas by the multisets of their aggregates and operators, guards against 0 left out."""
-    if text_a and " ".join(text_a.split()).upper() == " ".join(text_b.split()).upper():
+def formula_class(df: DataFrame, a: str, b: str, *, grain_only: bool = False) -> str:
+    """Of two formulas over a table: EXACT if their texts are the same but for blanks and case; SEMANTICALLY_EQUIVALENT if Spark's analysis says that they
+    mean the same, guards against 0 left out (``grain_only``: EQUIVALENT_AT_CURRENT_GRAIN, they do so in this view); else MISMATCH. Order and
+    operands count."""
+    if " ".join(a.split()).upper() == " ".join(b.split()).upper():
         return "EXACT"
-    same = {"COUNT(DISTINCT": "COUNTD", "AVERAGE": "AVG"}
-    parts = lambda xs: Counter(same.get(x.upper(), x.upper()) for x in xs if x.upper() != "NULLIF")
-    a, b = a or formula_parts(text_a), b or formula_parts(text_b)
-    if parts(a) == parts(b):
-        return "EQUIVALENT_AT_CURRENT_GRAIN" if grain_only else "SEMANTICALLY_EQUIVALENT"
-    return "MISMATCH"
+    spark = df.sparkSession
+    try:
+        equal = analysed.same(df, analysed.unguarded(spark, a), analysed.unguarded(spark, b))
+    except (AnalysisException, ParseException):
+        return "MISMATCH"
+    return "MISMATCH" if not equal else "EQUIVALENT_AT_CURRENT_GRAIN" if grain_only else "SEMANTICALLY_EQUIVALENT"
 
 
 def crosstab_sheet(header: Sequence[str], sheets: dict[str, Sequence[str]]) -> str | None:

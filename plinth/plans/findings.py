@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCKER, WARNING, INFO, APPEARANCE, COSMETIC = "BLOCKER", "WARNING", "INFO", "APPEARANCE", "COSMETIC"
 #: The codes that callers match on.
@@ -20,6 +21,9 @@ CODES = (
     "calc-untranslated", "story-unsupported",
 )
 
+#: What a finding takes from a sheet's score.
+LOST = {BLOCKER: 0.5, WARNING: 0.15, INFO: 0.05}
+
 
 class Refused(ValueError):
     """The request has no exact answer; ``code`` and ``reason`` say why."""
@@ -72,5 +76,13 @@ class Findings:
         own = [f for f in self.rows if f.sheet == sheet]
         if any(f.code == "render-failed" for f in own):
             return 0.0
-        lost = {BLOCKER: 0.5, WARNING: 0.15, INFO: 0.05}
-        return max(0.3, 1 - sum(lost.get(f.severity, 0) for f in own))
+        return max(0.3, 1 - sum(LOST.get(f.severity, 0) for f in own))
+
+
+def scored(findings: DataFrame) -> DataFrame:
+    """``findings``: (severity, sheet, code). The score of each sheet in it."""
+    lost = F.lit(0.0)
+    for severity, size in LOST.items():
+        lost = F.when(F.col("severity") == severity, size).otherwise(lost)
+    score = F.when(F.max(F.col("code") == "render-failed"), 0.0).otherwise(F.greatest(F.lit(0.3), 1 - F.sum(lost)))
+    return findings.groupBy("sheet").agg(score.alias("score"))

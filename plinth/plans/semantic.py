@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.plans import analysed
 from plinth.plans.findings import Refused
 
 
@@ -23,15 +24,31 @@ class Metric:
 
 @dataclass
 class Model:
-    tables: dict[str, Sequence[str]]
+    """``tables``: of each table its DataFrame, or the names of its columns. What a metric reads and where it fits is what Spark's analysis says
+    of its text over the DataFrames; for names alone the caller says which columns it reads."""
+
+    tables: dict[str, DataFrame | Sequence[str]]
     metrics: dict[str, Metric] = field(default_factory=dict)
 
-    def define(self, name: str, sql: str, columns: Sequence[str]) -> Metric:
-        """A metric whose text is known already becomes a synonym; of its names the one with blanks, as people
+    def known(self, sql: str) -> list[tuple[str, DataFrame]]:
+        """The tables over which a metric can be computed."""
+        return [(t, df) for t, df in self.tables.items() if isinstance(df, DataFrame) and analysed.fits(df, sql)]
+
+    def same(self, a: str, b: str) -> bool:
+        """Texts that differ in blanks and case alone, or mean the same over a table."""
+        one, two = (" ".join(x.split()).upper() for x in (a, b))
+        return one == two or any(analysed.fits(df, b) and analysed.same(df, a, b) for _, df in self.known(a))
+
+    def define(self, name: str, sql: str, columns: Sequence[str] | None = None) -> Metric:
+        """A metric that is known already becomes a synonym; of its names the one with blanks, as people
         write, is preferred."""
-        text = " ".join(sql.split()).upper()
+        if columns is None:
+            fitting = self.known(sql)
+            if not fitting:
+                raise Refused("measure-unresolved", f"no table has what {name!r} reads")
+            columns = analysed.columns(fitting[0][1], sql)
         for old in list(self.metrics.values()):
-            if " ".join(old.sql.split()).upper() == text:
+            if self.same(old.sql, sql):
                 keep, other = (name, old.name) if " " in name and " " not in old.name else (old.name, name)
                 del self.metrics[old.name]
                 self.metrics[keep] = Metric(keep, old.sql, old.columns, tuple(dict.fromkeys([*old.synonyms, other])))
@@ -48,8 +65,8 @@ class Model:
     def placed(self, name: str) -> str:
         """The first table that has all of the metric's columns."""
         metric = self.find(name)
-        for t, columns in self.tables.items():
-            if set(metric.columns) <= set(columns):
+        for t, table in self.tables.items():
+            if analysed.fits(table, metric.sql) if isinstance(table, DataFrame) else set(metric.columns) <= set(table):
                 return t
         raise Refused("measure-unresolved", f"no table has all of {metric.columns}")
 

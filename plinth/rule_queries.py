@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +12,12 @@ from plinth.functions import lod
 from plinth.functions import scalar as S
 from plinth.operators import filters, reconcile, topn
 from plinth.plans import sheets
-from plinth.plans.findings import Findings, Refused
+from plinth.plans.findings import BLOCKER, INFO, WARNING, Findings, Refused, scored
 from plinth.plans.measures import measure
 from plinth.plans.semantic import Model
-from plinth.queries import ORACLE_SQL, QUERIES, Query, load, money, query, sales, total
+from plinth.queries import ORACLE_SQL, QUERIES, WITH, Query, load, money, query, sales, total
 from plinth.sources import ingest, naming
+from plinth.sources.crosstab import figure
 from plinth.sources.shared import folder as scratch
 
 
@@ -33,25 +32,6 @@ def plain(sql: str):
     return add
 
 
-def stated(schema: str, rows: Sequence[tuple]):
-    """Register rules as rows (name, result), with the rows expected."""
-
-    def literal(v: object) -> str:
-        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else repr(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
-
-    kinds = [x.split() for x in schema.split(", ")]
-    sql_kind = {"string": "VARCHAR", "double": "DOUBLE", "long": "BIGINT", "boolean": "BOOLEAN"}
-    values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
-    columns = ", ".join(f"CAST({n} AS {sql_kind[k]}) AS {n}" for n, k in kinds)
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: spark.createDataFrame([tuple(r) for r in f(spark, sf_dir)], schema)
-        ORACLE_SQL[f.__name__] = f"SELECT {columns} FROM (VALUES {values}) AS t({', '.join(n for n, _ in kinds)})"
-        return f
-
-    return add
-
-
 # sources
 
 
@@ -85,7 +65,9 @@ def src_sql_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plain("SELECT count(*) AS N FROM orders")
 def src_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, "orders")
-    return spark.createDataFrame([(ingest.sink(df, scratch(spark), expected=df.count()),)], "N long")
+    at = scratch(spark)
+    ingest.sink(df, at, expected=df.count())
+    return ingest.current(spark, at).agg(A.records().alias("N"))
 
 
 @plain("SELECT count(*) AS N, max(o_orderdate) AS LAST FROM orders")
@@ -113,18 +95,28 @@ def src_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, header=True).select("region", F.col("n").cast("long").alias("n"))
 
 
-BINDINGS = {"db.Orders": ["ORDER_ID", "SALES"], "x.Orders": ["SALES"], "Sales Target": ["A"]}
-
-
-@stated("name string, status string, bound string", [("override", "bound", "Sales Target"), ("declared", "bound", "x.Orders"), ("skipped", "skipped", None), ("by name", "bound", "db.Orders"), ("ambiguous", "ambiguous", None), ("mismatch", "mismatch", None), ("no match", "no-match", None)])
-def src_bind(spark: SparkSession, sf_dir: str):
-    of = lambda caption, wanted, **how: ingest.bind(caption, wanted, BINDINGS, **how)
-    return [("override", *of("Orders", [], override="Sales Target")), ("declared", *of("Orders", ["Sales"], declared="x.Orders")), ("skipped", *of("Orders", [], override="")), ("by name", *of("Orders", ["Order ID"])), ("ambiguous", *of("Orders", ["Sales"])), ("mismatch", *of("Orders", ["Gone"])), ("no match", *of("Nothing", []))]
+@plain("SELECT 'Orders' AS caption, 'bound' AS status, count(*) AS n FROM orders UNION ALL SELECT 'Line-Item', 'bound', count(*) FROM lineitem UNION ALL SELECT 'Customer', 'datasource-unmapped', NULL UNION ALL SELECT 'Joined', 'datasource-unmapped', NULL")
+def src_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources bound to views of the catalog by their captions and columns; one lacks a wanted column, one is made of two tables."""
+    ingest.register(spark, {"orders": load(spark, sf_dir, "orders"), "line_item": load(spark, sf_dir, "lineitem"), "customer": load(spark, sf_dir, "customer")})
+    asked = {"Orders": (["O Orderdate", "O Custkey"], []), "Line-Item": (["L Quantity"], ["line_item"]), "Customer": (["Gone"], []), "Joined": ([], ["orders", "customer"])}
+    out = None
+    for caption, (wanted, named) in asked.items():
+        try:
+            one = ingest.bound(spark, caption, wanted, named).agg(F.lit(caption).alias("caption"), F.lit("bound").alias("status"), A.records().alias("n"))
+        except Refused as e:
+            one = load(spark, sf_dir, "region").agg(F.lit(caption).alias("caption"), F.lit(e.code).alias("status"), F.lit(None).cast("long").alias("n"))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
-@stated("caption string, name string", [("Order Date", "ORDER_DATE"), (" 2nd (Profit) %", "2ND_PROFIT"), ("***", "COL"), ("sub-category", "SUB_CATEGORY"), ("Sub Category", "Sub-Category")])
-def prj_names(spark: SparkSession, sf_dir: str):
-    return [*((c, naming.to_phys(c)) for c in ("Order Date", " 2nd (Profit) %", "***", "sub-category")), ("Sub Category", naming.resolve("Sub Category", ["Sub-Category", "Sales"]))]
+@plain("SELECT c_mktsegment AS MARKET_SEGMENT, c_nationkey % 5 AS \"2ND_KEY\", count(*) AS N FROM customer GROUP BY ALL")
+def prj_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions as people write them become names of columns; a second column of the same name is left out."""
+    rows = load(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("Market Segment"), (F.col("c_nationkey") % 5).alias(" 2nd (Key) %"), F.lit("x").alias("market-segment"))
+    df = ingest.named(rows)
+    keys = [naming.resolve(c, df.columns) for c in ("market segment", "2nd Key")]
+    return df.groupBy(*keys).agg(A.records().alias("N"))
 
 
 # projections and functions
@@ -160,9 +152,12 @@ def agg_typed_total(df: DataFrame) -> DataFrame:
     return df.groupBy("SEGMENT").agg(A.typed_total("NATION", kind["NATION"]).alias("T"), A.typed_total("QUANTITY", kind["QUANTITY"]).alias("Q"))
 
 
-@query("SELECT CAST(1234.5 AS DOUBLE) AS REF", "NATION", "SALES")
+@query("SELECT NATION, round(sum(SALES), 2) AS VAL, CAST(127000000 AS DOUBLE) AS REF FROM sales GROUP BY 1 HAVING sum(SALES) > 127000000")
 def agg_reference_parameter(df: DataFrame) -> DataFrame:
-    return sheets.reference_line(sheets.bar(df, "NATION", total()), "VAL", "parameter", 1234.5)
+    """The marks above a line at a parameter's value."""
+    view = sheets.bar(df, "NATION", total(), n=1000)
+    line = sheets.reference_line(view, "VAL", "parameter", 127_000_000.0)
+    return money(view.withColumn("REF", line.scalar()).where("VAL > REF"), "VAL")
 
 
 @query("SELECT SEGMENT, round(median(SALES), 4) AS ME, round(quantile_cont(SALES, 0.9), 4) AS P90, round(quantile_cont(SALES, 0.01), 4) AS P1 FROM sales GROUP BY 1")
@@ -177,16 +172,16 @@ def fn_regexp(df: DataFrame) -> DataFrame:
     return df.select(c, S.regexp_extract(c, "#0*([1-9][0-9]*)").alias("X"), S.regexp_extract(c, "(zzz)").alias("Y")).distinct()
 
 
-@query("""SELECT DISTINCT FLAG, STATUS, CAST(7 AS BIGINT) AS I, CAST(NULL AS BIGINT) AS NI, CAST(1500 AS DOUBLE) AS FL, DATE '2024-02-29' AS D, CAST(NULL AS DATE) AS ND, TRUE AS B, FLAG = 'A' AS FA, TIMESTAMP '2024-03-05 00:00:00' AS P,
-TIMESTAMP '1899-12-30 07:08:09' AS TM, TIMESTAMP '2024-01-02 03:04:05' AS MD, DATE '2024-05-06' AS TODAY, TIMESTAMP '2024-05-06 10:00:00' AS NOW FROM sales""")
+@query("""SELECT DISTINCT ORDER_ID, CAST(floor(DISCOUNT * 100 + 0.5) AS BIGINT) AS I, CASE WHEN FLAG = 'A' THEN NULL ELSE DISCOUNT END AS FL, CAST(ORDER_DATE AS DATE) AS D, FLAG = 'R' AS B, CAST(date_trunc('day', ORDER_DATE) AS TIMESTAMP) AS P,
+make_timestamp(1899, 12, 30, hour(ORDER_DATE), minute(ORDER_DATE), 0.0) AS TM, make_timestamp(year(ORDER_DATE), month(ORDER_DATE), 1, 3, 4, 5.0) AS MD, CAST(SHIP_DATE AS DATE) AS TODAY, SHIP_DATE AS NOW FROM sales""")
 def fn_casts(df: DataFrame) -> DataFrame:
-    """Casts of texts, and dates made from parts, texts and a clock that stands still."""
-    clock = F.lit(dt.datetime(2024, 5, 6, 10)).cast("timestamp_ntz")
+    """Casts of a table's values written as texts, some of them no numbers, and dates from parts, texts and a clock that is a column."""
+    o, clock = F.col("ORDER_DATE"), F.col("SHIP_DATE")
     made = {
-        "I": S.to_int(F.lit("7.9")), "NI": S.to_int(F.lit("seven")), "FL": S.to_float(F.lit("1.5e3")), "D": S.to_date(F.lit("2024-02-29")), "ND": S.to_date(F.lit("2023-02-29")), "B": S.to_bool(F.lit("true")), "FA": S.to_bool(F.when(F.col("FLAG") == "A", "true").otherwise("false")),
-        "P": S.date_parse("d.M.yyyy", F.lit("5.3.2024")), "TM": S.make_time(F.lit(7), F.lit(8), F.lit(9)), "MD": S.make_datetime(*(F.lit(x) for x in (2024, 1, 2, 3, 4, 5))), "TODAY": S.today(clock), "NOW": S.now(clock),
+        "I": S.to_int((F.floor(F.col("DISCOUNT") * 100 + 0.5) + 0.25).cast("string")), "FL": S.to_float(F.when(F.col("FLAG") == "A", "n/a").otherwise(F.col("DISCOUNT").cast("string"))), "D": S.to_date(F.date_format(o, "yyyy-MM-dd")), "B": S.to_bool(F.when(F.col("FLAG") == "R", "true").otherwise("false")),
+        "P": S.date_parse("d.M.yyyy", F.date_format(o, "d.M.yyyy")), "TM": S.make_time(F.hour(o), F.minute(o), F.lit(0)), "MD": S.make_datetime(F.year(o), F.month(o), *(F.lit(x) for x in (1, 3, 4, 5))), "TODAY": S.today(clock), "NOW": S.now(clock),
     }
-    return df.select("FLAG", "STATUS", *(c.alias(n) for n, c in made.items())).distinct()
+    return df.select("ORDER_ID", *(c.alias(n) for n, c in made.items())).distinct()
 
 
 @plain("""SELECT event_id, date_diff('hour', ts, ts + INTERVAL 5000 SECOND) AS H, date_diff('minute', ts, ts + INTERVAL 5000 SECOND) AS M, date_diff('second', ts, ts + INTERVAL 5000 SECOND) AS S,
@@ -233,10 +228,13 @@ def flt_present(df: DataFrame) -> DataFrame:
     return df.where(filters.present(df, {"REGION": F.col("REGION") == "ASIA", "GONE": F.col("GONE") == 1, "FLAG": None})).groupBy("FLAG").agg(A.records().alias("N"))
 
 
-@stated("caption string, no_op boolean", [("Action (Region)", True), ("Measure Names", True), ("Region all", True), ("Region some", False)])
-def flt_no_op(spark: SparkSession, sf_dir: str):
-    regions = [r[0] for r in load(spark, sf_dir, "region").select("r_name").collect()]
-    return [("Action (Region)", filters.no_op("Action (Region)")), ("Measure Names", filters.no_op("Measure Names", ["a"], ["a", "b"])), ("Region all", filters.no_op("Region", regions, regions)), ("Region some", filters.no_op("Region", regions[1:], regions))]
+@query("SELECT REGION, SEGMENT, count(*) AS N FROM sales WHERE SEGMENT <> 'BUILDING' GROUP BY ALL")
+def flt_no_op(df: DataFrame) -> DataFrame:
+    """Filters by actions, by measure names and of all members filter nothing; one of some members does."""
+    of = lambda c: [r[0] for r in filters.domain(df, c).collect()]
+    asked = {"Action (Region)": ([], []), "Measure Names": (["a"], ["a", "b"]), "REGION": (of("REGION"), of("REGION")), "SEGMENT": ([x for x in of("SEGMENT") if x != "BUILDING"], of("SEGMENT"))}
+    kept = [filters.members(df, c, values) for c, (values, domain) in asked.items() if not filters.no_op(c, values, domain)]
+    return df.where(filters.every(kept)).groupBy("REGION", "SEGMENT").agg(A.records().alias("N"))
 
 
 # orders and caps
@@ -257,27 +255,31 @@ def srt_first_panels(df: DataFrame) -> DataFrame:
     return sheets.first_panels(sheets.line(df.where("NATION IS NOT NULL"), "ORDER_DATE", A.records(), unit="year", panel="NATION"), "NATION", "s", Findings())
 
 
-@stated("name string, order_match boolean", [("same", True), ("swapped", False), ("key missing", False)])
-def srt_key_order(spark: SparkSession, sf_dir: str):
-    rows = load(spark, sf_dir, "region").select("r_name", F.col("r_regionkey").alias("at"))
-    swapped = rows.withColumn("at", F.when(F.col("at") < 2, 1 - F.col("at")).otherwise(F.col("at")))
-    of = lambda other: reconcile.order_match(rows, other, ["r_name"], "at").first()["order_match"]
-    return [("same", of(rows.withColumn("at", F.col("at") * 10))), ("swapped", of(swapped)), ("key missing", of(rows.where("at < 4")))]
+@query(""", v AS (SELECT NATION, sum(QUANTITY) AS q, sum(SALES) AS s FROM sales GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY q, NATION) AS a, row_number() OVER (ORDER BY s, NATION) AS b FROM v)
+SELECT 'same' AS name, count(*) FILTER (a <> a) = 0 AS order_match FROM p UNION ALL SELECT 'by sales', count(*) FILTER (a <> b) = 0 FROM p UNION ALL SELECT 'key missing', count(*) FILTER (NATION = 'FRANCE') = 0 FROM p""")
+def srt_key_order(df: DataFrame) -> DataFrame:
+    """Nations by quantity against the same, against their order by sales, and against all but one."""
+    view = df.groupBy("NATION").agg(F.sum("QUANTITY").alias("q"), total().alias("s"))
+    one, two = lod.indexed(view, ["q", "NATION"], "at"), lod.indexed(view, ["s", "NATION"], "at")
+    of = lambda name, other: reconcile.order_match(one, other, ["NATION"], "at").select(F.lit(name).alias("name"), "order_match")
+    return of("same", one.withColumn("at", F.col("at") * 10)).unionAll(of("by sales", two)).unionAll(of("key missing", one.where("NATION != 'FRANCE'")))
 
 
 # what is refused or reported
 
 
-@stated("name string, code string", [(n, "calc-untranslated") for n in ("FIRST", "INCLUDE", "LOOKUP", "RANK_MODIFIED", "RUNNING_SUM", "SIZE", "TOTAL", "WINDOW_STDEV", "WINDOW_SUM(SUM([x]), -2, 0)")] + [("RANK", ""), ("WINDOW_SUM(SUM([x]))", "")])
-def win_refused(spark: SparkSession, sf_dir: str):
-    def of(name: str) -> str:
+@query(", v AS (SELECT NATION, count(*) AS N FROM sales GROUP BY 1) SELECT NATION, N, CAST(rank() OVER (ORDER BY N DESC) AS INT) AS RANK, CAST(sum(N) OVER () AS BIGINT) AS WINDOW_SUM FROM v")
+def win_refused(df: DataFrame) -> DataFrame:
+    """Of a sheet's calculations those without a given order or level are refused; the others are there."""
+    view = df.groupBy("NATION").agg(A.records().alias("N"))
+    made = {"RANK": lambda v: lod.ranked(v, "N"), "WINDOW_SUM(SUM([x]))": lambda v: lod.window_total(v, WINDOW_SUM=F.sum("N"))}
+    for name in ("FIRST", "RANK", "INCLUDE", "LOOKUP", "RANK_MODIFIED", "RUNNING_SUM", "SIZE", "TOTAL", "WINDOW_SUM(SUM([x]))", "WINDOW_STDEV", "WINDOW_SUM(SUM([x]), -2, 0)"):
         try:
             lod.refuse(name)
-        except Refused as e:
-            return e.code
-        return ""
-
-    return [(n, of(n)) for n in ("FIRST", "INCLUDE", "LOOKUP", "RANK_MODIFIED", "RUNNING_SUM", "SIZE", "TOTAL", "WINDOW_STDEV", "WINDOW_SUM(SUM([x]), -2, 0)", "RANK", "WINDOW_SUM(SUM([x]))")]
+        except Refused:
+            continue
+        view = made[name](view)
+    return view
 
 
 @query("SELECT SEGMENT, count(*) AS VAL, (SELECT count(*) FROM sales) AS TOTAL FROM sales GROUP BY 1")
@@ -287,14 +289,15 @@ def win_dims_dropped(df: DataFrame) -> DataFrame:
 
 
 FOUND = [
-    ("APPEARANCE", "subtotals-dropped"), ("COSMETIC", "viz-in-tooltip"), ("WARNING", "window-dim-dropped"), ("WARNING", "window-in-kpi"), ("WARNING", "empty-result"), ("BLOCKER", "geo-missing"), ("INFO", "geo-unmapped"),
-    ("INFO", "topn-order-of-ops"), ("WARNING", "topn-column-missing"), ("WARNING", "view-order-filter-not-pushed"), ("WARNING", "filter-widget-unmapped"),
-    ("WARNING", "dim-skipped"), ("WARNING", "color-unresolved"), ("BLOCKER", "measure-query-failed"), ("WARNING", "blend-partial"),
+    ("APPEARANCE", "subtotals-dropped", "TRUE"), ("COSMETIC", "viz-in-tooltip", "TRUE"), ("WARNING", "window-dim-dropped", "TRUE"), ("WARNING", "window-in-kpi", "TRUE"), ("WARNING", "empty-result", "(SELECT count(*) FROM sales WHERE REGION = 'Nowhere') = 0"),
+    ("BLOCKER", "geo-missing", "TRUE"), ("INFO", "geo-unmapped", "(SELECT count(*) FROM sales WHERE NATION NOT IN ('Georgia', 'Washington')) > 0"), ("INFO", "category-cap", "(SELECT count(DISTINCT NATION) FROM sales) > 40"), ("INFO", "row-cap", "(SELECT count(*) FROM (SELECT DISTINCT NATION, year(ORDER_DATE) FROM sales)) > 5000"),
+    ("INFO", "topn-order-of-ops", "TRUE"), ("WARNING", "topn-column-missing", "TRUE"), ("WARNING", "view-order-filter-not-pushed", "TRUE"), ("WARNING", "filter-widget-unmapped", "TRUE"),
+    ("WARNING", "dim-skipped", "TRUE"), ("WARNING", "color-unresolved", "TRUE"), ("BLOCKER", "measure-query-failed", "TRUE"), ("WARNING", "blend-partial", "TRUE"),
 ]
 
 
-@stated("severity string, code string", FOUND)
-def find_codes(spark: SparkSession, sf_dir: str):
+@plain(f"{WITH} " + " UNION ALL ".join(f"SELECT '{severity}' AS severity, '{code}' AS code WHERE {when}" for severity, code, when in FOUND))
+def find_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each finding where its reason is, and none where it isn't: 25 nations are no reason for a cap."""
     df, found = sales(spark, sf_dir, ["NATION", "REGION", "ORDER_DATE", "SALES"]), Findings()
     sheets.built(df.where("REGION = 'Nowhere'"), "pie", ["REGION", "RANK()"], "s", found, A.records(), window_dims=["RANK()"], window_measure=True, has=["subtotals", "tooltip"])
@@ -312,33 +315,34 @@ def find_codes(spark: SparkSession, sf_dir: str):
         sheets.geo_map(df, "GONE", A.records(), "s", found)
     except Refused:
         pass
-    return [(f.severity, f.code) for f in found.rows]
+    return found.to_df(spark).select("severity", "code").distinct()
 
 
 # metrics and reconciliation
 
 
-@stated("metric string, placed string", [("total", "facts"), ("balance", "customers"), ("both", "")])
-def sem_placement(spark: SparkSession, sf_dir: str):
-    model = Model({"facts": ["SALES", "REGION"], "customers": ["BALANCE", "REGION"]})
-    model.define("total", "sum(SALES)", ["SALES"])
-    model.define("balance", "avg(BALANCE)", ["BALANCE", "REGION"])
-    model.define("both", "sum(SALES * BALANCE)", ["SALES", "BALANCE"])
-
-    def of(name: str) -> str:
+@plain("SELECT 'total' AS metric, 'orders' AS placed, round(sum(o_totalprice), 2) AS value FROM orders UNION ALL SELECT 'balance', 'customer', round(avg(c_acctbal), 2) FROM customer UNION ALL SELECT 'both', '', CAST(NULL AS DOUBLE)")
+def sem_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each metric is computed over the table that Spark's analysis finds fit; one fits none."""
+    model = Model({t: load(spark, sf_dir, t) for t in ("orders", "customer")})
+    metrics = {"total": "sum(o_totalprice)", "balance": "avg(c_acctbal)", "both": "sum(o_totalprice * c_acctbal)"}
+    out = None
+    for name, sql in metrics.items():
         try:
-            return model.placed(name)
+            table = model.placed(model.define(name, sql).name)
+            one = model.query(model.tables[table], [name]).select(F.lit(name).alias("metric"), F.lit(table).alias("placed"), F.round(name, 2).alias("value"))
         except Refused:
-            return ""
-
-    return [(n, of(n)) for n in ("total", "balance", "both")]
+            one = load(spark, sf_dir, "region").agg(F.lit(name).alias("metric"), F.lit("").alias("placed"), F.lit(None).cast("double").alias("value"))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
-@stated("name string, tolerance double", [("count", 0.0), ("number 0", 0.5), ("number 2", 0.005), ("percent 1", 0.0005), ("relative", 10.0), ("absolute", 3.0)])
-def val_tolerance(spark: SparkSession, sf_dir: str):
-    t = reconcile.tolerance
-    found = {"count": t("count"), "number 0": t("number", 0), "number 2": t("number", 2), "percent 1": t("percent", 1), "relative": t("number", 0, reference=Decimal(1000), relative=0.01), "absolute": t("number", 2, absolute=3)}
-    return [(n, float(v)) for n, v in found.items()]
+@query("SELECT REGION, CAST(sum(QUANTITY) AS DOUBLE) AS Q, CAST(greatest(0.5, sum(QUANTITY) * 0.001) AS DOUBLE) AS RELATIVE, CAST(0.005 AS DOUBLE) AS HALF_A_CENT, CAST(0 AS DOUBLE) AS COUNTED FROM sales GROUP BY 1")
+def val_tolerance(df: DataFrame) -> DataFrame:
+    """What may be off, for each region's figure."""
+    t = reconcile.tolerance_of
+    view = df.groupBy("REGION").agg(F.sum("QUANTITY").cast("double").alias("Q"))
+    return view.select("REGION", "Q", t("number", reference=F.col("Q"), relative=0.001).cast("double").alias("RELATIVE"), t("number", 2).cast("double").alias("HALF_A_CENT"), t("count").cast("double").alias("COUNTED"))
 
 
 @query("SELECT count(*) AS duplicates, CAST((SELECT count(*) FROM sales WHERE STATUS = 'P') AS BIGINT) AS nulls FROM (SELECT ORDER_ID, k FROM (SELECT ORDER_ID, CASE WHEN STATUS = 'P' THEN NULL ELSE FLAG END AS k FROM sales) GROUP BY ALL HAVING count(*) > 1)")
@@ -347,12 +351,16 @@ def val_problems(df: DataFrame) -> DataFrame:
     return reconcile.problems(rows, ["ORDER_ID", "k"])
 
 
-@stated("name string, status string", [("agree", "PASS"), ("off", "FAIL"), ("order", "FAIL"), ("repeated", "FAIL"), ("missing source", "BLOCKED"), ("no grain", "BLOCKED")])
-def val_chart_status(spark: SparkSession, sf_dir: str):
-    rows = load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(A.records().alias("N")).withColumn("at", F.col("n_regionkey"))
+@query(""", v AS (SELECT REGION, sum(QUANTITY) AS n FROM sales GROUP BY 1), m AS (SELECT max(n) AS n FROM v) SELECT 'agree' AS name, CASE WHEN max(abs(n - n)) > 0.5 THEN 'FAIL' ELSE 'PASS' END AS status FROM v
+UNION ALL SELECT 'off', CASE WHEN max(abs(v.n - CASE WHEN v.n = m.n THEN v.n + 1 ELSE v.n END)) > 0.5 THEN 'FAIL' ELSE 'PASS' END FROM v, m UNION ALL SELECT 'order', CASE WHEN count(*) > 1 THEN 'FAIL' ELSE 'PASS' END FROM v
+UNION ALL SELECT 'repeated', CASE WHEN count(*) * 2 > count(DISTINCT REGION) THEN 'FAIL' ELSE 'PASS' END FROM v UNION ALL SELECT 'missing source', 'BLOCKED' UNION ALL SELECT 'no grain', 'BLOCKED'""")
+def val_chart_status(df: DataFrame) -> DataFrame:
+    rows = lod.indexed(df.groupBy("REGION").agg(F.sum("QUANTITY").alias("N")), ["REGION"], "at")
     tol = {"N": Decimal("0.5")}
-    of = lambda app, grain=("n_regionkey",): reconcile.chart_status({"reference": rows, "app": app, "backend": rows}, list(grain), ["N"], tol, order="at")
-    return [("agree", of(rows)), ("off", of(rows.withColumn("N", F.col("N") + 1))), ("order", of(rows.withColumn("at", -F.col("at")))), ("repeated", of(rows.unionAll(rows))), ("missing source", reconcile.chart_status({"reference": rows}, ["n_regionkey"], ["N"], tol)), ("no grain", of(rows, ()))]
+    of = lambda app, grain=("REGION",): reconcile.chart_status({"reference": rows, "app": app, "backend": rows}, list(grain), ["N"], tol, order="at")
+    off = rows.withColumn("N", F.when(F.col("N") == lod.overall(rows, F.max("N")), F.col("N") + 1).otherwise(F.col("N")))
+    found = {"agree": of(rows), "off": of(off), "order": of(rows.withColumn("at", -F.col("at"))), "repeated": of(rows.unionAll(rows)), "missing source": reconcile.chart_status({"reference": rows}, ["REGION"], ["N"], tol), "no grain": of(rows, ())}
+    return df.sparkSession.createDataFrame(list(found.items()), "name string, status string")
 
 
 @query("SELECT 'FAIL' AS status", "REGION", "QUANTITY")
@@ -362,31 +370,43 @@ def val_worst(df: DataFrame) -> DataFrame:
     return reconcile.status(reconcile.compare({"reference": base, "app": app, "backend": base}, ["REGION"], ["Q"], {"Q": Decimal("0.5")}))
 
 
-@stated("name string, status string", [("a", "PASS"), ("b", "BLOCKED"), ("c", "FAIL"), ("workbook", "FAIL")])
-def val_roll_up(spark: SparkSession, sf_dir: str):
-    """A visual comparison that couldn't be made doesn't count; one that failed does."""
-    found = reconcile.roll_up({"a": {"x": "PASS"}, "b": {"x": "PASS", "y": "BLOCKED"}, "c": {"x": "PASS"}}, {"a": "BLOCKED", "b": "PASS", "c": "FAIL"})
-    return sorted(found.items())
+@query(""", v AS (SELECT REGION, SEGMENT, sum(QUANTITY) AS q FROM sales GROUP BY ALL), m AS (SELECT avg(q) AS a FROM v), s AS (SELECT REGION, CASE WHEN q > a * 1.05 THEN 'FAIL' ELSE 'PASS' END AS status FROM v, m),
+d AS (SELECT REGION, CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM s GROUP BY 1) SELECT REGION AS dashboard, status FROM d UNION ALL SELECT 'workbook', CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' ELSE 'PASS' END FROM d""")
+def val_roll_up(df: DataFrame) -> DataFrame:
+    """A chart for each segment, a dashboard for each region: charts with more than their share are off."""
+    view = df.groupBy("REGION", "SEGMENT").agg(F.sum("QUANTITY").alias("q"))
+    app = view.withColumn("q", F.when(F.col("q") > lod.overall(view, F.avg("q")) * 1.05, F.col("q") + 1).otherwise(F.col("q")))
+    cells = reconcile.compare({"reference": view, "app": app, "backend": view}, ["REGION", "SEGMENT"], ["q"], {"q": Decimal("0.5")})
+    return reconcile.rolled_up(cells.select(F.col("REGION").alias("dashboard"), F.col("SEGMENT").alias("chart"), "status"))
 
 
-@stated("name string, value double", [("sales", 1234.5), ("share", 12.5), ("rows", 0.0)])
-def val_truth(spark: SparkSession, sf_dir: str):
-    """Known values from a view of one row; a breakdown gives none."""
-    one = spark.createDataFrame([("1,234.5", "12.5%", "x")], "`SUM(Sales)` string, `AGG(Profit  Ratio)` string, Other string")
-    captions = {"sales": "Sales", "share": "Profit Ratio", "gone": "Gone"}
-    found = reconcile.single_row_truth(one, captions)
-    return [*((n, float(v)) for n, v in found.items()), ("rows", float(len(reconcile.single_row_truth(one.unionAll(one), captions))))]
+@query("SELECT 'sales' AS name, round(sum(SALES), 2) AS value FROM sales UNION ALL SELECT 'share', round(count(*) FILTER (FLAG = 'R') * 100.0 / count(*), 1) FROM sales UNION ALL SELECT 'rows', 0.0", "REGION")
+def val_truth(df: DataFrame) -> DataFrame:
+    """Known values from an export of one row; one of several rows is a breakdown and gives none."""
+    share = F.concat(F.round(F.count_if(F.col("FLAG") == "R") * 100 / A.records(), 1).cast("string"), F.lit("%")).alias("AGG(Return  Rate)")
+    export = lambda df: df.agg(F.format_number(total(), 2).alias("SUM(Sales)"), share)
+    captions = {"sales": "Sales", "share": "Return Rate", "gone": "Gone"}
+    found = reconcile.single_row_truth(export(df), captions)
+    rows = len(reconcile.single_row_truth(export(df.groupBy("REGION")).drop("REGION"), captions))
+    return df.sparkSession.createDataFrame([*((n, float(v)) for n, v in found.items()), ("rows", float(rows))], "name string, value double")
 
 
-@stated("text string, result string", [("SUM(Sales)", "sales"), ("AGG( Profit  Ratio )", "profit ratio"), ("Region", "region"), ("sum( SALES )", "true"), ('SUM(t."Net Sales")', "false"), ("SUM(a) / SUM(b)", "false"), ("AVG(a)", "false")])
-def val_headers(spark: SparkSession, sf_dir: str):
-    return [*((h, reconcile.normal_header(h)) for h in ("SUM(Sales)", "AGG( Profit  Ratio )", "Region")), *((f, str(reconcile.pure_sum(f)).lower()) for f in ("sum( SALES )", 'SUM(t."Net Sales")', "SUM(a) / SUM(b)", "AVG(a)"))]
+@query("SELECT CAST(sum(QUANTITY) AS BIGINT) AS quantity, round(sum(SALES), 2) AS \"total sales\" FROM sales", "REGION")
+def val_headers(df: DataFrame) -> DataFrame:
+    """An export by regions, added up again where its columns are pure sums; an average isn't one."""
+    formulas = {"SUM(Quantity)": "sum(QUANTITY)", "AGG( Total  Sales )": "SUM(`SALES`)", "AVG(Sales)": "avg(SALES)", "AGG(Ratio)": "sum(SALES) / sum(QUANTITY)"}
+    export = df.groupBy("REGION").agg(*(F.expr(f).alias(h) for h, f in formulas.items()))
+    added = export.agg(*(F.sum(F.col(f"`{h}`")).alias(reconcile.normal_header(h)) for h, f in formulas.items() if reconcile.pure_sum(df, f)))
+    return money(added, "total sales")
 
 
-@stated("name string, result string", [("text", "EXACT"), ("guard", "SEMANTICALLY_EQUIVALENT"), ("grain", "EQUIVALENT_AT_CURRENT_GRAIN"), ("other", "MISMATCH")])
-def val_formulas(spark: SparkSession, sf_dir: str):
-    f = lambda a, b, **how: reconcile.formula_class([], [], text_a=a, text_b=b, **how)
-    return [("text", f("sum(x)", " SUM(x)")), ("guard", f("SUM(a) / SUM(b)", "SUM(a)/NULLIF(SUM(b), 0)")), ("grain", f("COUNTD(x)", "COUNT(DISTINCT x)", grain_only=True)), ("other", f("SUM(x)", "AVG(x)"))]
+@query("""SELECT name, class, round(a, 2) AS a, round(b, 2) AS b FROM (SELECT 'text' AS name, 'EXACT' AS class, sum(SALES) AS a, sum(SALES) AS b FROM sales UNION ALL SELECT 'guard', 'SEMANTICALLY_EQUIVALENT', sum(PROFIT) / sum(SALES), sum(PROFIT) / sum(SALES) FROM sales
+UNION ALL SELECT 'operands', 'SEMANTICALLY_EQUIVALENT', sum(SALES) + sum(PROFIT), sum(PROFIT) + sum(SALES) FROM sales UNION ALL SELECT 'turned', 'MISMATCH', sum(SALES) - sum(PROFIT), sum(PROFIT) - sum(SALES) FROM sales UNION ALL SELECT 'other', 'MISMATCH', sum(SALES), avg(SALES) FROM sales)""", "SALES", "PROFIT")
+def val_formulas(df: DataFrame) -> DataFrame:
+    """Pairs of formulas, what they are to each other, and what they give."""
+    pairs = {"text": ("sum(SALES)", " SUM(SALES)"), "guard": ("SUM(PROFIT) / SUM(SALES)", "SUM(PROFIT)/NULLIF(SUM(SALES), 0)"), "operands": ("SUM(SALES) + SUM(PROFIT)", "SUM(PROFIT) + SUM(SALES)"), "turned": ("SUM(SALES) - SUM(PROFIT)", "SUM(PROFIT) - SUM(SALES)"), "other": ("SUM(SALES)", "AVG(SALES)")}
+    rows = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(reconcile.formula_class(df, a, b)).alias("class"), F.round(F.expr(a), 2).alias("a"), F.round(F.expr(b), 2).alias("b")) for n, (a, b) in pairs.items()))
+    return df.agg(rows.alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 @query("SELECT count(*) <= (SELECT count(*) FROM sales) AS fewer, TRUE AS top, FALSE AS unknown FROM sales WHERE REGION = 'ASIA'")
@@ -397,29 +417,31 @@ def val_filter_proof(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([proofs], "fewer boolean, top boolean, unknown boolean")
 
 
-@stated("shown string, value double", [("12.5%", 0.125), ("$1,234", 1234.0), ("2.5M", 2500000.0), ("x", None)])
-def val_displayed(spark: SparkSession, sf_dir: str):
-    of = {x: reconcile.displayed_number(x) for x in ("12.5%", "$1,234", "2.5M", "x")}
-    return [(k, None if v is None else float(v)) for k, v in of.items()]
-
-
-@stated("name string, result string", [("crosstab", "s"), ("ambiguous crosstab", ""), ("first evidence", "true"), ("second evidence", "false"), ("aligned", "NET_SALES"), ("partitions", "true"), ("repeats", "false")])
-def val_evidence(spark: SparkSession, sf_dir: str):
-    nation, registry = load(spark, sf_dir, "nation"), reconcile.Registry()
-    first, second = registry.add("Sales by Region", nation), registry.add("sales-by-region", nation)
-    return [
-        ("crosstab", reconcile.crosstab_sheet(["a", "b"], {"s": ["b", "a"], "t": ["a"]}) or ""), ("ambiguous crosstab", reconcile.crosstab_sheet(["a"], {"s": ["a"], "t": ["a"]}) or ""), ("first evidence", str(first).lower()), ("second evidence", str(second).lower()),
-        ("aligned", naming.align(["Net Sales"], ["NET_SALES", "X"])["Net Sales"]), ("partitions", str(reconcile.partitions(nation, ["n_name"])).lower()), ("repeats", str(reconcile.partitions(nation, ["n_regionkey"])).lower()),
-    ]
-
-
-@stated("sheet string, score double", [("clean", 1.0), ("warned", 0.8), ("blocked", 0.5), ("many", 0.3), ("failed", 0.0)])
-def val_fidelity(spark: SparkSession, sf_dir: str):
-    found = Findings()
-    found.add("WARNING", "warned", "empty-result", "x")
-    found.add("INFO", "warned", "row-cap", "x")
-    found.add("BLOCKER", "blocked", "geo-missing", "x")
-    for code in ("geo-missing", "measure-unresolved", "measure-query-failed"):
-        found.add("BLOCKER", "many", code, "x")
-    found.add("BLOCKER", "failed", "render-failed", "x")
-    return [(s, float(round(found.score(s), 6))) for s in ("clean", "warned", "blocked", "many", "failed")]
+@query("SELECT NATION, CAST(sum(QUANTITY) AS DOUBLE) AS Q, round(sum(QUANTITY) / 1000.0, 2) * 1000 AS K, CAST(round(avg(DISCOUNT) * 100, 1) / 100 AS DOUBLE) AS P FROM sales GROUP BY 1")
+def val_displayed(df: DataFrame) -> DataFrame:
+    """Figures as they are shown, read again: whole, in thousands, in percent."""
+    view = df.groupBy("NATION").agg(F.sum("QUANTITY").alias("q"), F.avg("DISCOUNT").alias("d"))
+    shown = {"Q": S.shown(F.col("q"), "cur0"), "K": F.concat(F.format_number(F.col("q") / 1000, 2), F.lit("K")), "P": F.concat(F.round(F.col("d") * 100, 1).cast("string"), F.lit("%"))}
+    return money(view.select("NATION", *(figure(c).alias(n) for n, c in shown.items())), "K", "P", digits=6)
+
+
+@query(""", v AS (SELECT REGION, count(*) AS N FROM sales GROUP BY 1), w AS (SELECT NATION, count(*) AS N FROM sales GROUP BY 1) SELECT 'first evidence' AS name, CAST(sum(N) AS BIGINT) AS n, count(*) = count(DISTINCT REGION) AS parts FROM v UNION ALL SELECT 'repeats', CAST(sum(N) AS BIGINT), FALSE FROM w""")
+def val_evidence(df: DataFrame) -> DataFrame:
+    """The first capture of a chart counts; its sheet is the one with its columns; rows by region are parts of the whole, those of nations by region aren't."""
+    registry, sheet_columns = reconcile.Registry(), {"Sales by Region": ["REGION", "N"], "Sales by Nation": ["NATION", "REGION", "N"]}
+    regions, nations = df.groupBy("REGION").agg(A.records().alias("N")), df.groupBy("NATION", "REGION").agg(A.records().alias("N"))
+    for rows in (regions, nations.select("REGION", "N")):
+        registry.add(reconcile.crosstab_sheet(rows.columns, sheet_columns), rows)
+    column = naming.align(["Region"], regions.columns)["Region"]
+    of = lambda name, rows: rows.agg(F.lit(name).alias("name"), F.sum("N").alias("n"), F.lit(reconcile.partitions(rows, [column])).alias("parts"))
+    return of("first evidence", registry.charts[naming.canonical("Sales by Region")]).unionAll(of("repeats", nations))
+
+
+@query(""", v AS (SELECT NATION, REGION, count(*) AS N FROM sales GROUP BY ALL), m AS (SELECT avg(N) AS a FROM v), f AS (SELECT REGION, CASE WHEN N < 0.97 * a THEN 0.5 WHEN N < a THEN 0.15 WHEN N > 1.03 * a THEN 0.05 ELSE 0 END AS lost FROM v, m)
+SELECT REGION AS sheet, CAST(round(greatest(0.3, 1 - sum(lost)), 6) AS DOUBLE) AS score FROM f GROUP BY 1""")
+def val_fidelity(df: DataFrame) -> DataFrame:
+    """A sheet for each region with a finding for each nation that is far from the average."""
+    view = df.groupBy("NATION", "REGION").agg(A.records().alias("N"))
+    mean = lod.overall(view, F.avg("N"))
+    severity = F.when(F.col("N") < mean * 0.97, BLOCKER).when(F.col("N") < mean, WARNING).when(F.col("N") > mean * 1.03, INFO).otherwise("NONE")
+    return money(scored(view.select(severity.alias("severity"), F.col("REGION").alias("sheet"), F.lit("row-cap").alias("code"))), "score", digits=6)

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import os
-import re
+import time
+import uuid
 import zipfile
 from collections.abc import Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.plans.analysed import renamed
 from plinth.plans.findings import Refused
 from plinth.sources.naming import to_phys
 
+#: Formats of dates, the shape of a date, and the share of rows that decides a column's type.
 _CLOCK = ("", " H:mm", " H:mm:ss")
 _ISO = ("yyyy-M-d HH:mm:ss", "yyyy-M-d HH:mm", "yyyy-M-d")
 #: Formats of dates, month first and day first, with slashes or dashes; the first that fits a value counts.
@@ -31,14 +36,33 @@ def named(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], *, encoding: str | None = None, multi_line: bool = False) -> DataFrame:
-    """All columns as strings, names as in the header. A byte order mark is dropped. Files with a line whose
-    bytes are no UTF-8 are read as ISO 8859-1, unless ``encoding`` says what they are. Spark splits large files
+    """All columns as strings, names as in the header. A byte order mark is dropped. Each file with a line whose
+    bytes are no UTF-8 is read as ISO 8859-1, the others as UTF-8, unless ``encoding`` says what they are; what one lacks is null. Spark splits large files
     into tasks; only with ``multi_line``, for line ends inside quotes, one task reads each file."""
-    if encoding is None:
-        lines = spark.read.text(list(path) if not isinstance(path, str) else path)
-        encoding = "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
-    df = spark.read.csv(path, header=True, encoding=encoding, multiLine=multi_line, escape='"')
-    return df.toDF(*(c.removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf") for c in df.columns))
+
+    def read(files: str | Sequence[str], encoding: str) -> DataFrame:
+        df = spark.read.csv(files, header=True, encoding=encoding, multiLine=multi_line, escape='"')
+        return df.toDF(*(c.removeprefix("\ufeff").removeprefix("\u00ef\u00bb\u00bf") for c in df.columns))
+
+    if encoding is not None:
+        return read(path, encoding)
+    lines = spark.read.text(list(path) if not isinstance(path, str) else path).select("_metadata.file_path", F.is_valid_utf8("value").alias("valid"))
+    files = lines.groupBy("file_path").agg(F.bool_and("valid").alias("valid")).collect()  # a row for each file
+    plain, latin = (sorted(f["file_path"] for f in files if f["valid"] == valid) for valid in (True, False))
+    if not latin:
+        return read(path, "UTF-8")
+    other = read(latin, "ISO-8859-1")
+    return read(plain, "UTF-8").unionByName(other, allowMissingColumns=True) if plain else other
+
+
+def with_place(df: DataFrame, name: str = "_place") -> DataFrame:
+    """Adds where a row stands in its files: a value that grows from row to row, the same whenever the files are read. Of Parquet files it is
+    their name and the row's number, of others the name, the start of the block that a task reads, and the row's number there."""
+    at = F.col("_metadata.file_path")
+    try:
+        return df.withColumn(name, F.struct(at.alias("file"), F.lit(0).cast("long").alias("block"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return df.withColumn(name, F.struct(at.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
 
 
 def number(c: Column) -> Column:
@@ -142,28 +166,76 @@ def register(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
 
 def custom_sql(spark: SparkSession, sql: str, name: str | None = None, *, tables: dict[str, str] | None = None) -> DataFrame:
     """A query as a source, without the semicolon that may end it. ``tables``: for qualified names that it
-    uses the views that stand for them here; texts in quotes stay."""
-    sql = sql.strip().rstrip(";")
-    if tables:
-        views = {k.lower(): v for k, v in tables.items()}
-        known = "|".join(map(re.escape, sorted(views, key=len, reverse=True)))
-        sql = re.sub(rf"'(?:[^']|'')*'|(?<![\w.`])(?:{known})(?![\w.`])", lambda m: m[0] if m[0][0] == "'" else f"`{views[m[0].lower()]}`", sql, flags=re.IGNORECASE)
-    df = spark.sql(sql)
+    uses the views that stand for them here; they are replaced where Spark's parser finds tables, so texts, aliases and columns stay."""
+    sql = sql.strip().rstrip(";").rstrip()
+    df = spark.sql(renamed(spark, sql, tables) if tables else sql)
     if name:
         df.createOrReplaceTempView(name)
     return df
 
 
+CURRENT, VERSIONS = "_current", "versions"
+
+
 def sink(df: DataFrame, path: str, *, expected: int | None = None) -> int:
-    """Write Parquet over what is there, and count what arrived; another number than ``expected`` is an
-    error."""
-    df.write.mode("overwrite").parquet(path)
-    n = df.sparkSession.read.parquet(path).count()
+    """Write a table as a new version below ``path``, counted while it is written, and make it the current one by renaming one small
+    file over the old one. Another number of rows than ``expected`` is an error; then, as after a write that was cut off, the
+    version before stays current. Its readers aren't disturbed either when it is replaced: only versions before it are removed."""
+    spark = df.sparkSession
+    version = f"{VERSIONS}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/{version}")
+    n = seen.get["n"]
     if expected is not None and n != expected:
-        raise ValueError(f"row mismatch: {n} rows at {path}, {expected} expected")
+        _files(spark, path).delete(_path(spark, f"{path}/{version}"), True)
+        raise ValueError(f"row mismatch: {n} rows for {path}, {expected} expected")
+    before = _current(spark, path)
+    _point(spark, path, version)
+    for old in [s.getPath().getName() for s in _files(spark, path).listStatus(_path(spark, f"{path}/{VERSIONS}"))]:  # named by time
+        if before is not None and f"{VERSIONS}/{old}" < before:
+            _files(spark, path).delete(_path(spark, f"{path}/{VERSIONS}/{old}"), True)
     return n
 
 
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``sink`` wrote last."""
+    version = _current(spark, path)
+    if version is None:
+        raise Refused("datasource-unmapped", f"nothing was written to {path}")
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    files, at = _files(spark, path), _path(spark, f"{path}/{CURRENT}")
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _path(spark: SparkSession, path: str) -> Any:
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str) -> Any:
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """One rename makes ``version`` the current one: readers see the old pointer or the new one."""
+    new, at = _path(spark, f"{path}/{CURRENT}-{uuid.uuid4().hex}"), _path(spark, f"{path}/{CURRENT}")
+    out = _files(spark, path).create(new)
+    out.write(bytearray(version.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else _files(spark, path).getUri(), spark._jsc.hadoopConfiguration()).rename(_files(spark, path).makeQualified(new), _files(spark, path).makeQualified(at), over)
+
+
 def view_sink(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     """A view, checked to have the columns it is made for."""
     missing = [c for c in columns if c not in df.columns]
@@ -206,3 +278,15 @@ def bind(caption: str, wanted: Sequence[str], tables: dict[str, Sequence[str]],
     if fitting:
         return "bound", fitting[0]
     return ("mismatch", None) if named_so else ("no-match", None)
+
+
+def bound(spark: SparkSession, caption: str, wanted: Sequence[str], relations: Sequence[str] = (), *, database: str | None = None, override: str | None = None, declared: str | None = None) -> DataFrame:
+    """The table or view of the catalog that a source is (``bind``), with physical names. A source of several ``relations`` has no one table and is refused,
+    as is one that no table, or more than one, fits."""
+    if len(relations) > 1:
+        raise Refused("datasource-unmapped", f"{caption} is made of {len(relations)} tables")
+    names = [t.name for t in (spark.catalog.listTables(database) if database else spark.catalog.listTables())]
+    status, table = bind(caption, wanted, {t: spark.table(t).columns for t in names}, override=override, declared=declared or next(iter(relations), None))
+    if table is None:
+        raise Refused("datasource-unmapped", f"{caption}: {status}")
+    return named(spark.table(table))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,7 +84,20 @@ def flatten(frames: dict[str, DataFrame], plan: JoinPlan, columns: Sequence[str]
 
 def fan_out(frames: dict[str, DataFrame], plan: JoinPlan) -> dict[str, int]:
     """For each dimension the number of keys that occur more than once (0: the join doubles nothing)."""
-    return {e.child: frames[e.child].groupBy(e.child_key).count().where("count > 1").count() for e in plan.edges}
+    return {r["child"]: r["doubled"] for r in relations(frames, plan).collect()}
+
+
+def relations(frames: dict[str, DataFrame], plan: JoinPlan) -> DataFrame:
+    """A row for each relationship, in one pass over all of its tables: ``doubled``, the dimension's keys that occur more than once, and ``orphans``, rows
+    whose key no dimension's row has (null keys aside)."""
+    sides = []
+    for i, e in enumerate(plan.edges):
+        key = lambda t, c: frames[t].select(F.lit(i).alias("edge"), F.col(f"`{c}`").cast("string").alias("key")).where("key IS NOT NULL")  # noqa: B023, E731
+        sides += [key(e.parent, e.key).groupBy("edge", "key").agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("held")), key(e.child, e.child_key).groupBy("edge", "key").agg(F.lit(0).cast("long").alias("rows"), F.count(F.lit(1)).alias("held"))]
+    names = F.array(*(F.struct(F.lit(e.parent).alias("parent"), F.lit(e.child).alias("child")) for e in plan.edges))
+    keys = reduce(DataFrame.unionAll, sides).groupBy("edge", "key").agg(F.sum("rows").alias("rows"), F.sum("held").alias("held"))
+    found = keys.groupBy("edge").agg(F.count_if(F.col("held") > 1).alias("doubled"), F.coalesce(F.sum(F.when(F.col("held") == 0, F.col("rows"))), F.lit(0)).alias("orphans"))
+    return found.select(F.get(names, F.col("edge"))["parent"].alias("parent"), F.get(names, F.col("edge"))["child"].alias("child"), "doubled", "orphans")
 
 
 def verify(frames: dict[str, DataFrame], wanted: dict[str, Sequence[str]]) -> list[str]:

@@ -8,7 +8,7 @@ from plinth.plans.findings import Refused
 
 
 def to_phys(caption: str) -> str:
-    """Runs of other signs than letters and digits become "_", without those at the ends, in capitals."""
+    """Fixed rule, which names elsewhere follow too: runs of other signs than letters and digits become "_", without those at the ends, in capitals."""
     return re.sub(r"[^A-Za-z0-9]+", "_", caption).strip("_").upper() or "COL"
 
 

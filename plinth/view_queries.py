@@ -1,16 +1,24 @@
-"""Queries of running values, frames, nested levels, subtotals and combined sets, registered beside those of ``queries``."""
+"""Queries of running values, frames, nested levels, subtotals, combined sets, streams, archives, crosstabs and versions, registered beside those of ``queries``."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import aggregates as A
 from plinth.functions import levels, scan
+from plinth.operators import reconcile
 from plinth.operators.sets import sets
 from plinth.operators.topn import leaders
 from plinth.plans import subtotals
-from plinth.queries import ORACLE_SQL, QUERIES, WITH, load, money, query, sales, total
+from plinth.queries import EDGES, ORACLE_SQL, QUERIES, WITH, load, money, query, sales, total
+from plinth.sources import crosstab, ingest
+from plinth.sources.archive import members, read_packaged
+from plinth.sources.model import join_plan, relations
+from plinth.sources.shared import folder
+from plinth.streaming.events import deduplicated, run, sessions, sift, sifted
 
 MONTHS = ", v AS (SELECT SEGMENT, CAST(date_trunc('month', ORDER_DATE) AS TIMESTAMP) AS T, CAST(sum(QUANTITY) AS BIGINT) AS Q FROM sales GROUP BY ALL)"
 
@@ -141,3 +149,168 @@ def _win_level_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["win_level_rows"] = _win_level_rows
 ORACLE_SQL["win_level_rows"] = f"""{WITH}, o AS (SELECT CUSTOMER_NAME, ORDER_ID, CAST(sum(QUANTITY) AS BIGINT) AS q FROM sales GROUP BY ALL), c AS (SELECT CUSTOMER_NAME, max(q) AS l FROM o GROUP BY 1)
 SELECT REGION, max(l) AS M, CAST(sum(l) AS BIGINT) AS S, count(*) AS N FROM sales JOIN c USING (CUSTOMER_NAME) GROUP BY 1"""
+
+
+# streams: events are written file by file, as they come in, and read as a stream in several runs from one checkpoint
+
+
+ARRIVAL = "ts + CASE WHEN event_id % 50 = 0 THEN INTERVAL 9 DAY ELSE INTERVAL 0 DAY END"
+
+
+def _arriving(events: DataFrame, part: int, parts: int = 3) -> DataFrame:
+    """The rows that arrive in a part of the month; each 50th event comes nine days after it happened."""
+    arrival = F.col("ts") + F.when(F.col("event_id") % 50 == 0, F.expr("INTERVAL 9 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
+    return events.where(F.least(F.floor((F.dayofyear(arrival) - 1) / 11), F.lit(parts - 1)) == part)
+
+
+def ev_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came in each of three runs, and what of it was late."""
+    events, base = load(spark, sf_dir, "events").drop("props"), folder(spark)
+    for part in range(3):
+        _arriving(events, part).write.mode("append").parquet(f"{base}/in")
+        run(sift(spark.readStream.schema(events.schema).parquet(f"{base}/in"), f"{base}/out"), f"{base}/state")
+    return money(sifted(spark, f"{base}/out").groupBy(F.col("batch").cast("int").alias("batch"), "late").agg(A.records().alias("n"), F.sum("value").alias("total")), "total")
+
+
+def ev_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return money(sessions(load(spark, sf_dir, "events"), gap="2 hours"), "total")
+
+
+def ev_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream in which each 97th event comes twice; both runs start from files and one checkpoint."""
+    events, base = load(spark, sf_dir, "events").drop("props"), folder(spark)
+    for part in range(2):
+        mine = events.where(F.col("event_id") % 2 == part)
+        mine.unionAll(mine.where(F.col("event_id") % 97 == 0)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        run(deduplicated(stream, ["event_id"], late="60 days").writeStream.format("parquet").outputMode("append").option("path", f"{base}/out"), f"{base}/state")
+    once = spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return money(sessions(once, gap="2 hours"), "total")
+
+
+SESSIONS = """WITH s AS (SELECT *, sum(CASE WHEN ts < before + INTERVAL 2 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events))
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, k"""
+QUERIES |= {"ev_late": ev_late, "ev_sessions": ev_sessions, "ev_stream": ev_stream}
+ORACLE_SQL |= {
+    "ev_sessions": SESSIONS,
+    "ev_stream": SESSIONS,
+    "ev_late": f"""WITH a AS (SELECT *, CAST(least((dayofyear({ARRIVAL}) - 1) // 11, 2) AS INT) AS batch FROM events), m AS (SELECT batch, max(ts) AS newest FROM a GROUP BY 1),
+l AS (SELECT a.*, coalesce(ts < (SELECT max(newest) FROM m WHERE m.batch < a.batch) - INTERVAL 1 HOUR, FALSE) AS late FROM a) SELECT batch, late, count(*) AS n, round(sum(value), 2) AS total FROM l GROUP BY ALL""",
+}
+
+
+# sources: archives, crosstabs, encodings, places, versions
+
+
+def plain(sql: str):
+    """Register a query over the tables as they are, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+@plain("SELECT c_mktsegment AS SEGMENT, count(*) AS N, round(sum(c_acctbal), 2) AS S, max(c_name) AS LAST FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1")
+def src_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers packed by tasks into archives, a member for each segment; all but one segment are read again, by the members' names."""
+    rows, at = load(spark, sf_dir, "customer").select("c_mktsegment", "c_name", "c_acctbal"), folder(spark)
+    target = at.removeprefix("file://").removeprefix("file:")
+
+    def pack(batches):
+        import csv
+        import io
+        import os
+        import uuid
+        import zipfile
+
+        import pyarrow as pa
+
+        texts: dict[str, io.StringIO] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                out = texts.setdefault(r["c_mktsegment"], io.StringIO())
+                w = csv.writer(out)
+                if not out.tell():
+                    w.writerow(["Segment", "Customer Name", "Account Balance"])
+                w.writerow([r["c_mktsegment"], r["c_name"], repr(r["c_acctbal"])])
+        if texts:
+            os.makedirs(target, exist_ok=True)
+            with zipfile.ZipFile(f"{target}/{uuid.uuid4().hex}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+                for segment, out in texts.items():
+                    z.writestr(f"Data/{segment.lower()}.csv", out.getvalue())
+                z.writestr("book.xml", "<workbook/>")
+        yield pa.RecordBatch.from_arrays([pa.array([len(texts)])], ["n"])
+
+    rows.repartition(3, "c_mktsegment").mapInArrow(pack, "n long").agg(F.sum("n")).collect()
+    listed = members(spark, at).where("row = 0").select("member").distinct().where(~F.col("member").contains("building"))
+    found = ingest.typed(ingest.named(read_packaged(spark, at, [r[0] for r in listed.collect()])))
+    return money(found.groupBy("SEGMENT").agg(A.records().alias("N"), F.sum("ACCOUNT_BALANCE").alias("S"), F.max("CUSTOMER_NAME").alias("LAST")), "S")
+
+
+@query("SELECT REGION, SEGMENT, CAST(sum(QUANTITY) AS DOUBLE) AS Q FROM sales GROUP BY ALL")
+def src_crosstab_members(df: DataFrame) -> DataFrame:
+    """A crosstab with a column for each segment, written as people see it, read and turned back into rows."""
+    spark, at = df.sparkSession, folder(df.sparkSession)
+    wide = crosstab.to_members(df.groupBy("REGION", "SEGMENT").agg(F.format_number(F.sum("QUANTITY"), 0).alias("Q")), ["REGION"], "SEGMENT", "Q")
+    wide.write.csv(at, header=True)
+    return crosstab.from_members(ingest.read_csv(spark, at), ["REGION"], "SEGMENT", "Q")
+
+
+@query("SELECT REGION, CAST(count(*) AS DOUBLE) AS \"Orders\", CAST(round(sum(QUANTITY), 0) AS DOUBLE) AS \"Quantity\", round(100.0 * count(*) FILTER (FLAG = 'R') / count(*), 1) / 100 AS \"Returned\" FROM sales GROUP BY 1")
+def src_crosstab_measures(df: DataFrame) -> DataFrame:
+    """An export by Measure Names, figures with $ and % among them: a column for each measure, each with its own type."""
+    spark, at = df.sparkSession, folder(df.sparkSession)
+    view = df.groupBy("REGION").agg(F.format_number(A.records(), 0).alias("Orders"), F.concat(F.lit("$"), F.format_number(F.sum("QUANTITY"), 0)).alias("Quantity"), F.concat(F.round(100 * F.count_if(F.col("FLAG") == "R") / A.records(), 1).cast("string"), F.lit("%")).alias("Returned"))
+    view.unpivot(["REGION"], ["Orders", "Quantity", "Returned"], crosstab.MEASURE_NAMES, crosstab.MEASURE_VALUES).write.csv(at, header=True)
+    return money(crosstab.from_measure_names(ingest.read_csv(spark, at)), "Returned", digits=6)
+
+
+@plain("SELECT c_mktsegment AS SEGMENT, count(*) AS N, count(*) FILTER (c_custkey % 2 = 0) AS MARKED FROM customer GROUP BY 1")
+def src_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of UTF-8 beside one of ISO 8859-1 in a folder: each is read as what it is."""
+    at = folder(spark)
+    rows = load(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("Segment"), F.when(F.col("c_custkey") % 2 == 0, "Müller").otherwise("Meier").alias("Note"), (F.col("c_custkey") % 4 < 2).alias("old"))
+    for old, encoding in ((True, "ISO-8859-1"), (False, "UTF-8")):
+        rows.where(F.col("old") == old).drop("old").coalesce(2).write.mode("append").option("encoding", encoding).csv(at, header=True)
+    return ingest.named(ingest.read_csv(spark, at)).groupBy("SEGMENT").agg(A.records().alias("N"), F.count_if(F.col("NOTE") == "Müller").alias("MARKED"))
+
+
+@plain("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY file_row_number) AS k FROM (SELECT *, row_number() OVER () AS file_row_number FROM orders))
+SELECT o_orderpriority AS P, count(*) AS KEYS, CAST(sum(o_orderkey) AS BIGINT) AS FIRSTS FROM f WHERE k = 1 GROUP BY 1""")
+def val_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each customer's orders of a priority the one that comes first in the file."""
+    orders = ingest.with_place(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    first = reconcile.first_rows(orders.select("o_custkey", "o_orderpriority", "o_orderkey", "_place"), ["o_custkey", "o_orderpriority"], "_place")
+    return first.groupBy(F.col("o_orderpriority").alias("P")).agg(A.records().alias("KEYS"), F.sum("o_orderkey").alias("FIRSTS"))
+
+
+@plain("""WITH o AS (SELECT *, row_number() OVER () AS pos FROM orders), k AS (SELECT o_custkey, arg_min(o_totalprice, pos) AS a, arg_max(o_totalprice, pos) AS z FROM o GROUP BY 1)
+SELECT CASE WHEN abs(a - z) > 0.005 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS N FROM k GROUP BY 1""")
+def val_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that repeat: the first row counts in each source; the app has the rows the other way round."""
+    rows = ingest.with_place(spark.read.parquet(f"{sf_dir}/orders.parquet")).select("o_custkey", "o_totalprice", F.col("_place.row").alias("at"))
+    cells = reconcile.compare({"reference": rows, "app": rows.withColumn("at", -F.col("at")), "backend": rows}, ["o_custkey"], ["o_totalprice"], {"o_totalprice": Decimal("0.005")}, place="at")
+    return cells.groupBy("status").agg(A.records().alias("N"))
+
+
+@plain("SELECT (SELECT count(*) FROM orders) AS WRITTEN, count(*) AS N, max(o_orderkey) AS K FROM orders")
+def src_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second write of fewer rows than expected fails and leaves the first version as it was."""
+    orders, at = load(spark, sf_dir, "orders"), folder(spark)
+    n = ingest.sink(orders, at)
+    try:
+        ingest.sink(orders.where("o_orderkey % 2 = 0"), at, expected=n)
+    except ValueError:
+        pass
+    return ingest.current(spark, at).agg(F.lit(n).cast("long").alias("WRITTEN"), A.records().alias("N"), F.max("o_orderkey").alias("K"))
+
+
+@plain("SELECT 'orders' AS child, 'lineitem' AS parent, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS doubled, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS orphans UNION ALL "
+       "SELECT 'customer', 'orders', (SELECT count(*) FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0 GROUP BY 1 HAVING count(*) > 1)), (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0))")
+def jn_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships checked in one pass; a third of the customers are missing."""
+    frames = {t: load(spark, sf_dir, t) for t in ("lineitem", "orders", "customer")}
+    frames["customer"] = frames["customer"].where("c_custkey % 3 > 0")
+    return relations(frames, join_plan(list(frames), EDGES[:1] + EDGES[2:3])).select("child", "parent", "doubled", "orphans")

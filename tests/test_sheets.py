@@ -169,9 +169,12 @@ def test_parity_and_formulas(spark, tiny):
     found = {r["measure"]: r["verdict"] for r in reconcile.parity(tiny.withColumn("v", F.col("v") * 1.005), tiny, ["v"]).collect()}
     assert found == {"v": "PASS", "ROWS": "PASS"}
     assert {r["measure"]: r["verdict"] for r in reconcile.parity(tiny.limit(3), tiny, ["v"]).collect()} == {"v": "BUG", "ROWS": "BUG"}
-    f = reconcile.formula_class
-    assert f(["SUM", "/", "SUM"], ["sum", "sum", "/", "NULLIF"]) == "SEMANTICALLY_EQUIVALENT" and f(["COUNTD"], ["COUNT(DISTINCT"], grain_only=True) == "EQUIVALENT_AT_CURRENT_GRAIN"
-    assert f(["SUM"], ["AVG"]) == "MISMATCH" and f([], [], text_a="sum(x)", text_b=" SUM(x)") == "EXACT"
+    f = lambda a, b, **how: reconcile.formula_class(tiny, a, b, **how)
+    assert f("SUM(v) / SUM(n)", "sum(v)/NULLIF(sum(n), 0)") == "SEMANTICALLY_EQUIVALENT" and f("count(DISTINCT e)", "COUNT( distinct `e` )", grain_only=True) == "EQUIVALENT_AT_CURRENT_GRAIN"
+    assert f("SUM(v)", "AVG(v)") == "MISMATCH" and f("sum(v)", " SUM(v)") == "EXACT" and f("sum(gone)", "sum(v)") == "MISMATCH"
+    assert f("SUM(v) - SUM(n)", "SUM(n) - SUM(v)") == "MISMATCH" and f("SUM(v) + SUM(n)", "SUM(n) + SUM(v)") == "SEMANTICALLY_EQUIVALENT"
+    assert [reconcile.pure_sum(tiny, x) for x in ("sum( v )", "SUM(tiny)", "SUM(v) / SUM(n)", "AVG(v)", "sum(v + n)", None)] == [True, False, False, False, False, False]
+    assert [reconcile.normal_header(h) for h in ("SUM(Sales)", "AGG( Profit  Ratio )", "Region (A)", "Region")] == ["sales", "profit ratio", "a", "region"]
     assert reconcile.partitions(tiny, ["v"]) and not reconcile.partitions(tiny, ["e"]) and not reconcile.partitions(tiny, ["Measure Names"])
     assert reconcile.restricts(10, 4) and not reconcile.restricts(10, 11) and not reconcile.restricts(None, 1)
     assert reconcile.crosstab_sheet(["a", "b"], {"s": ["b", "a"], "t": ["a"]}) == "s" and reconcile.crosstab_sheet(["a"], {"s": ["a"], "t": ["a"]}) is None
