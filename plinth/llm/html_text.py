@@ -1,11 +1,14 @@
 """The main text of web pages, by composite text density.
 
-A page becomes a tree of its elements. What can't belong to the article is cut off first: elements whose
-name, role or class says menu, header, footer, sidebar, notice, advert, form or reader comment, and what isn't
-text (scripts, styles). An element of such a name that holds the main part of the page is a wrapper and stays:
+A page becomes a tree of its elements. What can't belong to the article is cut off first: elements whose tag or role
+says menu, header, footer, sidebar, dialog or form, and what isn't text (scripts, styles). A class name or id alone decides only where all of its
+words say so ("sidebar", "cookie-notice"); with other words in it ("related-work", "menu-of-the-day") what the element holds decides: links, lists of
+links, fields of a form, a few words. Headings, headers with a heading inside an article, and field sets without fields stay.
+An element of such a name that holds the main part of the page is a wrapper and stays:
 it holds ``main``, or more characters outside links than all that isn't cut off (comments: an article besides).
-Names such as "share" or "social" count only for elements with links or lists, and a header with a heading
-inside an article is the article's. Words after "has", "no", "with" and such in a name are not the element's.
+Names such as "share" or "social" count only for elements with links or lists. Words after "has", "no", "with" and such in a name are not the element's.
+Reader comments are also known by their shape: siblings of one kind, each with a writer or a date, after the article's text; a name that says reply or discussion
+makes two of them enough, without one it takes three.
 Then every element gets its density: characters per tag, the more lowered the more of the characters and tags
 are links'. The element with the largest sum of its children's densities is the core
 of the article. The lowest density on the way from there to the body is the threshold: parents are taken in as
@@ -59,15 +62,25 @@ KEPT = {"html", "body", "article", "main"}
 #: A start tag of the first kind ends an open element of the second, within the third.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NAME = re.compile(r"[a-z0-9]+")
+#: Words of names around what readers write, and in those of a writer or a date.
+TALKISH = TALK | {"discussion", "discussions", "feedback", "remarks", "reply", "response", "responses", "thread", "threads"}
+SAID = {"ago", "author", "avatar", "by", "byline", "date", "datetime", "posted", "published", "time", "timestamp", "user", "username", "when", "writer"}
+DATED = re.compile(r"\b(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d+ (?:second|minute|hour|day|week|month|year)s? ago)\b|\b(?:says|wrote):", re.I)
+TITLES = {"header", "masthead", "banner"}
+FIELDS = {"input", "select", "textarea", "button"}
+#: Characters: an element of a mixed name with fewer is a label; text before comments.
+LABEL, BEFORE = 60, 100
 
 
 class Element:
-    __slots__ = ("chars", "cut", "density", "link_chars", "link_tags", "parent", "parts", "plain", "tag", "tags")
+    __slots__ = ("chars", "cut", "density", "fields", "link_chars", "link_tags", "look", "parent", "parts", "plain", "strength", "tag", "tags", "words")
 
     def __init__(self, tag: str, parent: Element | None):
         self.tag, self.parent, self.parts = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density, self.cut, self.plain = 0.0, "", False
+        #: The share of its name's words that say it is to be cut off; all words of its names; its kind among siblings; whether it holds fields.
+        self.strength, self.words, self.look, self.fields = 0.0, frozenset(), "", False
 
     def children(self) -> Iterator[Element]:
         return (x for x in self.parts if isinstance(x, Element))
@@ -106,33 +119,91 @@ class Ends:
         return self.marks[next(k for k in range(bisect_left(self.marks, at), len(self.marks)) if self.page[self.marks[k]] == ">")]
 
 
-def cut_off(tag: str, attributes: str) -> str:
-    """Why an element is cut off: "strict" (never a wrapper), "talk", "name", "weak"; empty if it isn't."""
-    if tag in CUT:
-        return "strict" if tag in STRICT else "name"
-    return "" if tag in KEPT else named(attributes)
+def cut_off(e: Element, attributes: str) -> None:
+    """Why an element may be cut off: "strict" (never a wrapper), "talk", "name", "weak"; empty if it isn't."""
+    cut, e.strength, e.words = named(attributes)
+    e.look = f"{e.tag} {' '.join(''.join(v) for kind, *v in MARK.findall(attributes) if kind.lower() == 'class')}" if attributes else e.tag
+    e.plain = e.tag == "article" and cut != "talk"
+    if e.tag in CUT:
+        e.cut, e.strength = "strict" if e.tag in STRICT else "name", 1.0
+    elif e.tag not in KEPT:
+        e.cut = cut
 
 
-def named(attributes: str) -> str:
-    found = ""
+def named(attributes: str) -> tuple[str, float, frozenset[str]]:
+    """What the names of an element say, how much of a name says it, and all words of the names."""
+    found, strength, words = "", 0.0, set()
     for kind, *values in MARK.findall(attributes) if attributes else ():
         for name in "".join(values).lower().split():
-            parts = NAME.findall(name)
-            parts = {x for before, x in zip(["", *parts], parts, strict=False) if before not in ABOUT}
+            every = NAME.findall(name)
+            words.update(every)
+            parts = {x for before, x in zip(["", *every], every, strict=False) if before not in ABOUT}
             if hit := parts & (ROLES if kind.lower() == "role" else CUT_NAMES):
-                if hit & TALK:
-                    return "talk"
-                found = "name" if hit - WEAK else found or "weak"
-    return found
+                share = 1.0 if kind.lower() == "role" else len(hit) / len(set(every))
+                of = "talk" if hit & TALK else "name" if hit - WEAK else "weak"
+                if (of == "talk", of == "name", share) > (found == "talk", found == "name", strength):
+                    found, strength = of, share
+    return found, strength, frozenset(words)
+
+
+def stays(e: Element, inside: bool, titled: bool, headed: bool, listed: bool) -> bool:
+    """Whether an element that may be cut off by its tag or name holds what belongs to the text. ``inside`` an article; it holds a heading; a list."""
+    share = e.link_chars / max(1, e.chars)
+    if e.tag == "fieldset":
+        return not e.fields
+    if e.tag in CUT:
+        return titled
+    if e.tag in HEADINGS:
+        return inside or e.strength < 1
+    if e.strength >= 1 and not (inside and headed and e.words & TITLES and share < 0.5):
+        return False
+    if e.fields or share >= 0.5:
+        return False
+    if not inside or e.strength < 0.5:
+        return e.strength < 0.5
+    if e.cut == "talk":
+        return not e.words & (TALK - {"comment"})
+    return share < 0.3 and (e.chars >= LABEL or headed or listed)
+
+
+def comments(body: Element) -> list[Element]:
+    """What readers wrote, by its shape: siblings that look alike, each with a writer or a date, after text."""
+    before, said, seen, order, todo = {}, set(), 0, [], [(body, 0)]
+    while todo:
+        x, _ = todo.pop()
+        if isinstance(x, str):
+            seen += len(" ".join(x.split()))
+            continue
+        before[x] = seen
+        order.append(x)
+        todo += [(part, 0) for part in reversed(x.parts)]
+    for e in reversed(order):
+        if e.tag == "time" or e.words & SAID or any(isinstance(x, str) and DATED.search(x) for x in e.parts) or any(x in said and x.tag not in ("article", "main") for x in e.children()):
+            said.add(e)
+    out = []
+    for e in order:
+        alike: dict[str, list[Element]] = {}
+        for x in e.children():
+            if x.tag not in INLINE and x.tag not in HEADINGS and x.tag != "p":
+                alike.setdefault(x.look, []).append(x)
+        for group in alike.values():
+            talk = bool(e.words & TALKISH) + bool(group[0].words & TALKISH)
+            enough = len(group) >= 3 - min(talk, 2)
+            if enough and before[group[0]] >= BEFORE and all(x in said for x in group) and all(x.chars for x in group) and not any(x.tag in ("main", "tr", "li") and not talk for x in group):
+                out += [e] if e.words & TALKISH and e.tag not in KEPT else group
+    return out
 
 
 def prune(body: Element) -> None:
     """Take out what is cut off, but for wrappers of the page's main part."""
+    measure(body)
+    for x in comments(body):
+        x.cut, x.strength = x.cut or "talk", 1.0
     order, zone, linked, size = [], {body: None}, {body: False}, Counter()
     main, plain = [], set()  # elements cut off around a main; those around an article that isn't a comment
     todo = [body]
     above = {body: None}  # the nearest element cut off around one
-    inside, weak, busy, titled = {body: False}, [], set(), set()  # in an article; with links; headers of an article
+    inside, weak, busy, titled, headed, listed = {body: False}, [], set(), set(), set(), set()  # in an article; with links; headers of an article; with a heading; with a list
     while todo:
         e = todo.pop()
         order.append(e)
@@ -149,8 +220,12 @@ def prune(body: Element) -> None:
                     weak.append(x)
             if x.tag in LISTS:
                 busy.add(zone[x])
-            if x.tag in HEADINGS and zone[x] is not None and zone[x].tag == "header" and inside[zone[x]]:
-                titled.add(zone[x])
+            if x.tag in HEADINGS:
+                headed.add(zone[x] if zone[x] is not x else zone[e])
+                if zone[x] is not None and zone[x].tag == "header" and inside[zone[x]]:
+                    titled.add(zone[x])
+            if x.tag in ("ul", "ol", "dl", "table"):
+                listed.add(zone[x])
             if x.tag == "main" and zone[x] is not None:
                 main.append(zone[x])
             if x.plain:
@@ -174,11 +249,15 @@ def prune(body: Element) -> None:
 
     for z in list(busy):
         busy.update(around(z))
+    idle = {z for z in weak if z not in busy}
     for z in weak:
         z.cut = "name"
-    for z in [*titled, *(z for z in weak if z not in busy)]:
-        z.cut = ""
-        size[above[z]] += size.pop(z, 0)
+    for z in order:
+        if z.cut and (z in idle or stays(z, inside[z], z in titled, z in headed, z in listed)):
+            z.cut, a = "", above[z]
+            while a is not None and not a.cut:
+                a = above[a]
+            size[a] += size.pop(z, 0)
     for z in main:
         if all(x.cut != "strict" for x in around(z)):
             spare(around(z))
@@ -231,6 +310,8 @@ def tree(page: str) -> Element:
         text(page[at : m.start()])
         at = stop + 1
         end, start, attributes = (m[1] or "").lower(), (m[2] or "").lower(), page[m.end() : stop]
+        if start in FIELDS:
+            now.fields = True
         if end:
             if end not in ("body", "html") and opened[end]:
                 close(depth({end}))
@@ -252,8 +333,7 @@ def tree(page: str) -> Element:
             open_tags.append(start)
             opened[start] += 1
             child = Element(start, now)
-            child.cut = cut_off(start, attributes)
-            child.plain = start == "article" and named(attributes) != "talk"
+            cut_off(child, attributes)
             now.parts.append(child)
             now = child
     text(page[at:])
@@ -265,6 +345,8 @@ def measure(body: Element) -> list[Element]:
     order, todo = [], [body]
     while todo:
         e = todo.pop()
+        e.chars = e.tags = e.link_chars = e.link_tags = 0
+        e.density = 0.0
         order.append(e)
         todo += e.children()
     for e in reversed(order):
@@ -276,6 +358,7 @@ def measure(body: Element) -> list[Element]:
                 e.tags += x.tags + 1
                 e.link_chars += x.link_chars
                 e.link_tags += x.link_tags + (x.tag == "a")
+                e.fields = e.fields or x.fields
         if e.tag == "a":
             e.link_chars = e.chars
     share = body.link_chars / max(1, body.chars)

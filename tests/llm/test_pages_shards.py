@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plinth.llm import fingerprint, html_text, queries, sharding
 
@@ -83,8 +84,50 @@ def test_what_belongs_to_an_article_stays(page, words):
     assert all(w in text for w in [SOME.strip(), MORE.strip(), *words]) and not any(w in text for w in ("menu", "Send it", "AAA"))
 
 
-def test_op9_whole_table(spark):
-    found = {r["page_id"]: r for r in queries.op9_html_text(spark, "/root/testdata/sf0.01").collect()}
+@pytest.mark.parametrize(
+    ("part", "words"),
+    [
+        ('<div class="article-header"><h1>A long title</h1></div>', "A long title"), ('<h1 class="page-header">A long title</h1>', "A long title"), ('<section id="related-work"><h2>Related work</h2><ul><li>Earlier studies</li><li>Later ones</li></ul></section>', "Earlier studies"),
+        ('<section class="comment-of-the-editor"><p>The editor thinks so too.</p></section>', "The editor thinks"), ('<div id="menu-of-the-day"><p>Soup and bread.</p></div>', "Soup and bread"), ('<section id="ad-70-siege-of-jerusalem"><p>The city fell.</p></section>', "The city fell"),
+        ("<fieldset><legend>Note</legend><p>A paragraph in a frame.</p></fieldset>", "A paragraph in a frame"), ('<div class="header"><h2>Part two</h2></div>', "Part two"), ('<div class="share-of-wealth"><p>The rich have most.</p></div>', "The rich have most"),
+    ],
+)
+@pytest.mark.parametrize("holder", ["article", "main"])
+def test_names_alone_cut_nothing_from_an_article(part, words, holder):
+    page = f"<body><nav><a href=x>menu</a></nav><{holder}><p>{SOME}</p>{part}<p>{MORE}</p></{holder}><footer>c</footer></body>"
+    assert words in html_text.main_text(page) and SOME.strip() in html_text.main_text(page) and MORE.strip() in html_text.main_text(page)
+
+
+SAYS = "What a reader thinks of all this, at some length, and then some more. " * 4
+
+
+@pytest.mark.parametrize(
+    "talk",
+    [
+        '<div class="discussion"><div class="post-reply"><b class="author">Ann</b><p>{0}</p></div><div class="post-reply"><b class="author">Bob</b><p>{0}</p></div></div>', '<div class="thread"><div class="msg"><time>3 May</time><p>{0}</p></div><div class="msg"><time>4 May</time><p>{0}</p></div></div>',
+        '<ol class="responses"><li><p>Ann, 2 days ago</p><p>{0}</p></li><li><p>Bob, 3 days ago</p><p>{0}</p></li></ol>', '<div><div class="x1"><i class="user">A</i><p>{0}</p></div><div class="x1"><i class="user">B</i><p>{0}</p></div><div class="x1"><i class="user">C</i><p>{0}</p></div></div>',
+        '<section class="post-comments"><p>{0}</p></section>', '<div class="related-posts"><h3>More</h3><ul><li><a href=a>An older story</a></li><li><a href=b>A newer one</a></li></ul></div>', "<fieldset><input><p>{0}</p></fieldset>",
+    ],
+)
+def test_readers_comments_go_by_their_shape(talk):
+    page = f"<body><article><h1>Title</h1><p>{SOME}</p><p>{MORE}</p>{talk.format(SAYS)}</article></body>"
+    assert html_text.main_text(page) == f"Title\n\n{SOME.strip()}\n\n{MORE.strip()}"
+
+
+def test_what_repeats_in_an_article_stays():
+    steps = "".join(f'<div class="step"><h3>Step {i}</h3><p>{MORE}</p></div>' for i in range(4))
+    dated = "".join(f"<li>2020-01-0{i} something happened</li>" for i in range(1, 5))
+    text = html_text.main_text(f"<body><article><h1>Title</h1><p>{SOME}</p>{steps}<ul>{dated}</ul></article></body>")
+    assert text.count(MORE.strip()) == 4 and text.count("something happened") == 4
+
+
+@pytest.mark.parametrize("strip", [False, True])
+def test_op9_whole_table(spark, strip):
+    """Also without the tags that say where the article is."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    if strip:
+        pages = pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))
+    found = {r["page_id"]: r for r in html_text.extract(pages).collect()}
     for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner))
