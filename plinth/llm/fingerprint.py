@@ -1,8 +1,8 @@
 """Fingerprints of whole texts by consistent weighted sampling.
 
-A text is a weighted set: the strings between its white space, each with its number of occurrences. A string of
-more than WORD code points (a text in a writing without blanks, say) counts as its runs of GRAM code points, from
-each code point on within pieces of PIECE. For each of
+A text is a weighted set: the strings between its white space, and of each of them every run of RUN code points, each with its
+number of occurrences. So a long string (a text in a writing without blanks, say) shares most terms with one that differs in a few
+signs, and the rule is the same for all. For each of
 SAMPLES samples and each term, hashes of both give r and c from the gamma law (2, 1) and b from the uniform
 law; with the weight w, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1), and the term with the
 least a, together with its t, is the sample. Two texts agree in a sample as often as their generalised Jaccard
@@ -10,8 +10,8 @@ similarity says. All of it is DataFrame functions; a text's terms are counted an
 row lies, without a further exchange.
 
 ``near`` of two fingerprints is the share of samples that agree. A null text counts as empty; a text without
-terms has the fingerprint of no samples, near 1 to another such and near 0 to the rest. Of rows that repeat an
-id, the one whose text has the smallest hash stands for the document. A table of one document has itself as
+terms has the fingerprint of no samples, near 1 to another such and near 0 to the rest. Rows that repeat an
+id are rows of their own, in the order of their texts' hashes; equal rows follow each other. A null id comes last. A table of one document has itself as
 the next one. An empty table gives no rows; extra columns are ignored. Very long texts are one row until their
 terms are counted.
 """
@@ -25,61 +25,63 @@ from plinth.llm.common import stored
 
 #: Samples are made AT_ONCE in a row, which keeps the generated code small enough to be compiled.
 SAMPLES, AT_ONCE = 32, 4
-#: Code points.
-WORD, GRAM, PIECE = 40, 4, 1000
+#: Code points. Long strings are cut in pieces that overlap, so that no run is lost.
+RUN, PIECE = 16, 1000
 
 
-def neighbours(lengths: DataFrame) -> DataFrame:
-    """``lengths``: (id, n). Adds ``next_id`` in descending order of id, ``before_id`` and ``before_n`` of
-    the document whose next one this is; the last one's next is the first. Ids are sorted in ranges; only
+def neighbours(groups: DataFrame) -> DataFrame:
+    """``groups``: (g, m, n), one row for each id and text (``g`` is both), which ``m`` rows have. Adds ``next_g`` in descending order,
+    ``before_g`` and ``before_n`` of the group whose next one this is; the last one's next is the first. Groups are sorted in ranges; only
     the ranges' ends are looked at together."""
-    parts = stored(lengths.repartitionByRange(F.desc("id")).withColumn("part", F.spark_partition_id()))
-    ends = parts.groupBy("part").agg(F.max(F.struct("id", "n")).alias("first"), F.min(F.struct("id", "n")).alias("last"))
+    parts = stored(groups.repartitionByRange(F.desc("g")).withColumn("part", F.spark_partition_id()))
+    ends = parts.groupBy("part").agg(F.max(F.struct("g", "n")).alias("first"), F.min(F.struct("g", "n")).alias("last"))
     line = Window.orderBy("part")
     whole = Window.partitionBy()
     ends = ends.select("part", F.coalesce(F.lead("first").over(line), F.max("first").over(whole)).alias("after"), F.coalesce(F.lag("last").over(line), F.min("last").over(whole)).alias("ahead"))
-    inside = Window.partitionBy("part").orderBy(F.desc("id"))
-    found = parts.select("part", "id", F.lead("id").over(inside).alias("down"), F.lag(F.struct("id", "n")).over(inside).alias("up"))
+    inside = Window.partitionBy("part").orderBy(F.desc("g"))
+    found = parts.select("part", "g", "m", F.lead("g").over(inside).alias("down"), F.lag(F.struct("g", "n")).over(inside).alias("up"))
     up = F.coalesce("up", "ahead")
-    return found.join(ends, "part").select("id", F.coalesce("down", F.col("after.id")).alias("next_id"), up["id"].alias("before_id"), up["n"].alias("before_n"))
+    return found.join(ends, "part").select("g", "m", F.coalesce("down", F.col("after.g")).alias("next_g"), up["g"].alias("before_g"), up["n"].alias("before_n"))
 
 
 def sampled(terms: DataFrame) -> DataFrame:
-    """``terms``: (id, h, g, ln_own, ln_other), a row for each term and group g of AT_ONCE samples. Adds, for
+    """``terms``: (g, k, h, q, ln_own, ln_other), a row for each term and group q of AT_ONCE samples. Adds, for
     each sample j and weight, ``own_j`` and ``other_j``: 40 bits of ln a, then 23 of term and t; the least of
     a text is its sample. Each step is a projection of its own, so that what it makes is made once."""
     each, sides = range(AT_ONCE), ("own", "other")
-    hashed = terms.select("*", *(F.expr(f"xxhash64(h, g * {AT_ONCE} + {j}, {salt})").alias(f"{n}{j}") for j in each for n, salt in (("x", 1), ("y", 2))))
+    hashed = terms.select("*", *(F.expr(f"xxhash64(h, q * {AT_ONCE} + {j}, {salt})").alias(f"{n}{j}") for j in each for n, salt in (("x", 1), ("y", 2))))
     drawn = []
     for j in each:
         drawn.append(F.expr(f"-ln((((x{j} & 2097151) + 0.5D) / 2097152) * (((shiftrightunsigned(x{j}, 21) & 2097151) + 0.5D) / 2097152))").alias(f"r{j}"))
         drawn.append(F.expr(f"(shiftrightunsigned(x{j}, 42) + 0.5D) / 4194304").alias(f"b{j}"))
         drawn.append(F.expr(f"ln(-ln(((shiftrightunsigned(y{j}, 32) + 0.5D) / 4294967296D) * (((y{j} & 4294967295) + 0.5D) / 4294967296D)))").alias(f"c{j}"))
-    ready = hashed.select("id", "h", "g", "ln_own", "ln_other", *drawn)
+    ready = hashed.select("g", "k", "h", "q", "ln_own", "ln_other", *drawn)
     stepped = ready.select("*", *(F.expr(f"floor(ln_{w} / r{j} + b{j})").alias(f"t{j}_{w}") for j in each for w in sides))
     value = "shiftleft(CAST((c{j} - r{j} * (t{j}_{w} - b{j} + 1) + 100) * 8589934592D AS BIGINT), 23) | ((h ^ shiftleft(t{j}_{w}, 3)) & 8388607)"
-    return stepped.select("id", "g", *(F.expr(value.format(j=j, w=w)).alias(f"{w}_{j}") for j in each for w in sides))
+    return stepped.select("g", "k", "q", *(F.expr(value.format(j=j, w=w)).alias(f"{w}_{j}") for j in each for w in sides))
 
 
 def terms_of(bodies: DataFrame) -> DataFrame:
-    """``bodies``: (id, side, body). (id, side, ``term``), a row for each occurrence."""
-    words = bodies.select("id", "side", F.explode(F.split("body", r"[ \t-\r]+")).alias("word")).where("word != ''")
-    cut = lambda c, pattern, group: F.explode(F.when(F.length(c) > WORD, F.regexp_extract_all(c, F.lit(pattern), F.lit(group))).otherwise(F.array(c)))
-    pieces = words.select("id", "side", cut("word", f"(?s).{{1,{PIECE}}}", 0).alias("piece"))
-    return pieces.select("id", "side", cut("piece", f"(?s)(?=(.{{{GRAM}}}))", 1).alias("term"))
+    """``bodies``: (..., body). The other columns and ``term``, a row for each occurrence."""
+    keys = [c for c in bodies.columns if c != "body"]
+    words = bodies.select(*keys, F.explode(F.split("body", r"[ \t-\r]+")).alias("word")).where("word != ''")
+    pieces = F.when(F.length("word") >= RUN, F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{1,{PIECE + RUN - 1}}})).{{1,{PIECE}}}"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    marked = F.concat(F.array(F.struct(F.col("word").alias("text"), F.lit(True).alias("whole"))), F.transform(pieces, lambda x: F.struct(x.alias("text"), F.lit(False).alias("whole"))))
+    each = words.select(*keys, F.explode(marked).alias("x")).select(*keys, "x.*")
+    return each.select(*keys, F.explode(F.when(F.col("whole"), F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{RUN}}}))."), F.lit(1)))).alias("term"))
 
 
 def samples(bodies: DataFrame) -> DataFrame:
-    """``bodies``: (id, side 0 or 1, body), a text's rows in one partition. Per id: ``own`` and ``other``,
-    arrays of the samples of sides 0 and 1 in order; ids without any term are left out."""
-    terms = terms_of(bodies).select("id", F.xxhash64("term").alias("h"), "side")
-    counted = terms.groupBy("id", "h").agg(F.sum(F.expr("CAST(side = 0 AS BIGINT)")).alias("own"), F.sum(F.expr("CAST(side = 1 AS BIGINT)")).alias("other"))
-    logs = counted.select("id", "h", *(F.expr(f"CASE WHEN {w} > 0 THEN ln(CAST({w} AS DOUBLE)) END").alias(f"ln_{w}") for w in ("own", "other")))
-    groups = logs.select("*", F.explode(F.array(*map(F.lit, range(SAMPLES // AT_ONCE)))).alias("g"))
-    least = sampled(groups).groupBy("id", "g").agg(*(F.min(f"{w}_{j}").alias(f"{w}_{j}") for j in range(AT_ONCE) for w in ("own", "other")))
-    rows = F.array_sort(F.collect_list(F.struct("g", *(F.array(*(f"{w}_{j}" for j in range(AT_ONCE))).alias(w) for w in ("own", "other")))))
+    """``bodies``: (g, k, side 0 or 1, body), a text's rows in one partition. Per text (g, k): ``own`` and ``other``,
+    arrays of the samples of sides 0 and 1 in order; texts without any term are left out."""
+    terms = terms_of(bodies).select("g", "k", F.xxhash64("term").alias("h"), "side")
+    counted = terms.groupBy("g", "k", "h").agg(F.sum(F.expr("CAST(side = 0 AS BIGINT)")).alias("own"), F.sum(F.expr("CAST(side = 1 AS BIGINT)")).alias("other"))
+    logs = counted.select("g", "k", "h", *(F.expr(f"CASE WHEN {w} > 0 THEN ln(CAST({w} AS DOUBLE)) END").alias(f"ln_{w}") for w in ("own", "other")))
+    groups = logs.select("*", F.explode(F.array(*map(F.lit, range(SAMPLES // AT_ONCE)))).alias("q"))
+    least = sampled(groups).groupBy("g", "k", "q").agg(*(F.min(f"{w}_{j}").alias(f"{w}_{j}") for j in range(AT_ONCE) for w in ("own", "other")))
+    rows = F.array_sort(F.collect_list(F.struct("q", *(F.array(*(f"{w}_{j}" for j in range(AT_ONCE))).alias(w) for w in ("own", "other")))))
     of = lambda w: F.flatten(F.transform("rows", lambda x: x[w])).alias(w)
-    return least.groupBy("id").agg(rows.alias("rows")).select("id", of("own"), of("other"))
+    return least.groupBy("g", "k").agg(rows.alias("rows")).select("g", "k", of("own"), of("other"))
 
 
 def text_of(samples: Column) -> Column:
@@ -98,17 +100,18 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Per document: id, ``n_chars`` long, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint`` strings,
     ``near_edited``, ``near_next`` doubles. The edited text has its last floor(n_chars / 3) code points
     replaced by the first as many of the next document, in descending order of id."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    first = Window.partitionBy("id").orderBy(F.xxhash64("text"), "text")
-    lengths = texts.select("id", F.struct(F.xxhash64("text").alias("x"), F.length("text").alias("n")).alias("s")).groupBy("id").agg(F.min("s.x").alias("x"), F.min("s").alias("s")).select("id", F.col("s.n").alias("n"))
-    order = stored(neighbours(lengths))
-    whole = texts.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place").join(order, "id")
-    heads = whole.select(F.col("before_id").alias("id"), F.expr("left(text, CAST(floor(before_n / 3) AS INT))").alias("head"))
-    both = whole.select("id", "next_id", "text").join(heads, "id")
-    both = both.withColumn("n", F.length("text")).withColumn("edited", F.expr("concat(left(text, n - CAST(floor(n / 3) AS INT)), head)"))
-    bodies = both.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x")).select("id", "x.side", "x.body")
-    facts = both.select("id", "next_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    signed = stored(facts.join(samples(bodies), "id", "left"))
-    found = signed.join(signed.select(F.col("id").alias("next_id"), F.col("own").alias("next")), "next_id", "left")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).select(F.struct("id", F.xxhash64("text").alias("x")).alias("g"), "text")
+    order = stored(neighbours(texts.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.max(F.length("text")).alias("n"))))
+    whole = texts.join(order, "g").withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("g"))).withColumn("n", F.length("text"))
+    cut = lambda n: F.floor(n / 3).cast("int")
+    heads = whole.where("k = 1").select(F.col("before_g").alias("g"), F.left("text", cut(F.col("before_n"))).alias("head"))
+    # the next document of an equal row is that row; of the last one the first of the next group
+    head = F.when(F.col("k") < F.col("m"), F.left("text", cut(F.col("n")))).otherwise(F.col("head"))
+    both = whole.join(heads, "g").withColumn("edited", F.concat(F.left("text", F.col("n") - cut(F.col("n"))), head))
+    bodies = both.select("g", "k", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("x")).select("g", "k", "x.side", "x.body")
+    facts = both.select("g", "k", "m", "next_g", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    signed = stored(facts.join(samples(bodies), ["g", "k"], "left"))
+    found = signed.join(signed.where("k = 1").select(F.col("g").alias("next_g"), F.col("own").alias("next")), "next_g", "left")
     text = lambda c: F.coalesce(text_of(F.col(c)), F.lit(""))
-    return found.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("other").alias("edited_fingerprint"), near(F.col("own"), F.col("other")).alias("near_edited"), near(F.col("own"), F.col("next")).alias("near_next"))
+    following = F.when(F.col("k") < F.col("m"), F.col("own")).otherwise(F.col("next"))
+    return found.select(F.col("g.id").alias(id_col), "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("other").alias("edited_fingerprint"), near(F.col("own"), F.col("other")).alias("near_edited"), near(F.col("own"), following).alias("near_next"))

@@ -192,11 +192,9 @@ def test_matrix_is_hypergeometric():
 
 def terms(text):
     for word in re.split(r"[ \t-\r]+", text):
-        for k in range(0, len(word), 1000) if len(word) > 40 else ():
-            piece = word[k : k + 1000]
-            yield from (piece[i : i + 4] for i in range(len(piece) - 3)) if len(piece) > 40 else [piece]
-        if word and len(word) <= 40:
+        if word:
             yield word
+            yield from (word[i : i + 16] for i in range(len(word) - 15))
 
 
 def jaccard(a, b):
@@ -224,7 +222,7 @@ def test_fingerprints_whole_table(spark):
 def test_terms_of_texts_without_blanks(spark):
     rng = np.random.default_rng(8)
     long = "".join(chr(c) for c in rng.integers(0x4E00, 0x5E00, 2345))
-    texts = [long, "a\tb\nc  d", "x" * 41, "y" * 40, "", "é" * 1005]
+    texts = [long, "a\tb\nc  d", "x" * 41, "y" * 40, "", "é" * 1005, "abcdefghijklmnop", "abcdefghijklmno", "😀" * 17]
     bodies = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "id long, side int, body string")
     found = collections.defaultdict(list)
     for r in fingerprint.terms_of(bodies).collect():
@@ -236,12 +234,30 @@ def test_terms_of_texts_without_blanks(spark):
     assert abs(rows[2]["near_edited"] - jaccard(long, edited)) < 0.25 and rows[2]["near_edited"] > 0.25 and rows[2]["near_next"] < 0.1
 
 
+def test_one_letter_more_changes_little(spark):
+    word = "".join(np.random.default_rng(5).choice(list("abcdefghij"), 40))
+    rows = fingerprint.fingerprints(spark.createDataFrame([(2, word), (1, word + "k")], "doc_id long, text string")).collect()
+    assert all(r["near_next"] > 0.7 for r in rows) and abs(jaccard(word, word + "k") - 25 / 28) < 1e-9
+
+
 def test_fingerprints_odd_rows(spark):
     docs = spark.createDataFrame([(5, None, 1), (4, "", 1), (3, "a b", 1), (2, "a b", 1), (2, "a b", 1), (1, "x" * 300_000, 1)], "doc_id long, text string, n_chars int")
-    found = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
-    assert sorted(found) == [1, 2, 3, 4, 5]
+    rows = fingerprint.fingerprints(docs).collect()
+    found = {r["doc_id"]: r for r in rows}
+    assert sorted(r["doc_id"] for r in rows) == [1, 2, 2, 3, 4, 5]
     assert found[5]["fingerprint"] == found[4]["fingerprint"] == "" and found[5]["near_next"] == 1.0 and found[4]["near_next"] == 0.0
     assert found[3]["fingerprint"] == found[2]["fingerprint"] and found[3]["near_next"] == 1.0
     one = fingerprint.fingerprints(docs.where("doc_id = 3")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert fingerprint.fingerprints(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_keep_rows_that_repeat_an_id(spark):
+    """Equal rows, other texts of the same id, and a null id: each row is there, its next one the row after it."""
+    rows = [(3, "one two three four"), (3, "one two three four"), (3, "one two three four"), (3, "other words"), (None, "last of all words"), (9, "the very first")]
+    found = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == ["3", "3", "3", "3", "9", "None"]
+    same = [r for r in found if r["n_chars"] == 18]
+    assert sorted(r["near_next"] for r in same)[1:] == [1.0, 1.0] and len({r["edited_sha256"] for r in same}) == 2
+    edited = ("last of all words"[:12] + "the very first"[:5]).encode()  # 17 signs: 5 of the first document for the last 5
+    assert [r["edited_sha256"] for r in found if r["doc_id"] is None] == [hashlib.sha256(edited).hexdigest()]
