@@ -41,9 +41,9 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table labels URLs: the trees learn from those that a rule fits, but for the held-out ones."""
+    """No table labels URLs: the trees learn from what is on the pages, but for the held-out ones."""
     pages = table(spark, sf_dir, "pages")
-    labelled = url_filter.rule_labels(pages, URL_RULES).where(fold("page_id") != HELD_OUT)
+    labelled = url_filter.page_labels(pages.where(fold("page_id") != HELD_OUT))
     return url_filter.judge(pages, URL_RULES, url_filter.train(labelled))
 
 

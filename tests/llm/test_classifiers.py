@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -129,9 +130,37 @@ def test_op5_whole_table(spark):
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     assert len(rows) == len(urls) and {r["verdict"] for r in rows} == {"allow", "block"}
     assert all((r["host"], r["path"]) == url_filter.parts_of(urls[r["page_id"]]) for r in rows)
-    own = [r for r in rows if r["rule"] and held_out(r["page_id"])]
-    assert area(np.array([r["score"] for r in own]), np.array([r["verdict"] == "block" for r in own])) > 0.95
-    assert all(r["verdict"] == ("block" if r["score"] >= 0.5 else "allow") for r in rows if not r["rule"])
+    free = [r for r in rows if not r["rule"]]
+    assert all(r["verdict"] == ("block" if r["score"] >= 0.5 else "allow") for r in free)
+    assert sum(r["verdict"] == "allow" for r in free) > len(free) / 2  # the pages there are much alike, and most are good
+    assert len({round(r["score"], 6) for r in free}) > 100
+
+
+def test_urls_are_judged_by_the_pages_behind_them(spark):
+    """Junk behind long URLs with many digits and parameters; held out are hosts of suffixes that no training URL has."""
+    rng = random.Random(2)
+    good, junk = "Plain words of a page that has something to say, in order and at length. ", "$$$ !!! *** ??? ### "
+    rows = []
+    for i in range(900):
+        bad, end = i % 3 == 0, ["com", "net", "info"][i % 3 if i < 600 else rng.randrange(3)] if i % 7 else "museum"
+        name = "".join(rng.choices("abcdefghij", k=7))
+        url = f"http://{name}{rng.randrange(10**6)}.{end}/q?a={rng.randrange(10**9)}&b={rng.randrange(10**9)}&c=1" if bad else f"http://{name}.{end}/{name}/{'-'.join(rng.choices(['ab', 'cd', 'ef'], k=3))}"
+        rows.append((i, url, f"<article><p>{''.join(rng.choices([junk] if bad else [good, good.upper()], k=9))}{i}</p></article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    labels = {r["url"]: r["verdict"] for r in url_filter.page_labels(pages).collect()}
+    assert all(labels[u] == ("block" if i % 3 == 0 else "allow") for i, u, _ in rows)
+    seen, unseen = pages.where("NOT contains(url, '.museum')"), pages.where("contains(url, '.museum')")
+    found = url_filter.judge(unseen, [], url_filter.train(url_filter.page_labels(seen))).collect()
+    assert {r["verdict"] for r in found} == {"allow", "block"} and np.mean([(r["verdict"] == "block") == (r["page_id"] % 3 == 0) for r in found]) > 0.95
+
+
+def test_labels_of_odd_pages(spark):
+    text = "<p>" + "words of some length that say it " * 9 + "</p>"
+    again = "<p>the same line over and over, and over again, all day long</p>" * 9
+    rows = [("http://a.com/1", text), ("http://b.com/1", text), ("http://a.com/2", f"{text}<p>more</p>"), ("http://a.com/2", f"{text}<p>more</p>"), ("http://c.com", None), ("http://d.com", again), (None, text)]
+    found = {r["url"]: r["verdict"] for r in url_filter.page_labels(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert found == {"http://a.com/1": "block", "http://b.com/1": "block", "http://a.com/2": "allow", "http://c.com": "block", "http://d.com": "block"}
+    assert url_filter.page_labels(spark.createDataFrame([], "url string, html string")).count() == 0
 
 
 def test_trees_by_hand():
