@@ -241,12 +241,29 @@ def test_one_letter_more_changes_little(spark):
 
 
 def test_fingerprints_odd_rows(spark):
-    docs = spark.createDataFrame([(5, None, 1), (4, "", 1), (3, "a b", 1), (2, "a b", 1), (2, "a b", 1), (1, "x" * 300_000, 1)], "doc_id long, text string, n_chars int")
+    docs = spark.createDataFrame([(5, None, 1), (4, "", 1), (3, "a b", 1), (2, "a b", 1), (2, "a b", 1), (1, "x" * 300_000, 1), (None, "z", 1)], "doc_id long, text string, n_chars int")
     rows = fingerprint.fingerprints(docs).collect()
     found = {r["doc_id"]: r for r in rows}
-    assert sorted(found) == [1, 2, 3, 4, 5]
+    assert collections.Counter(r["doc_id"] for r in rows) == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, None: 1}
     assert found[5]["fingerprint"] == found[4]["fingerprint"] == "" and found[5]["near_next"] == 1.0 and found[4]["near_next"] == 0.0
     assert found[3]["fingerprint"] == found[2]["fingerprint"] and found[3]["near_next"] == 1.0
     one = fingerprint.fingerprints(docs.where("doc_id = 3")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert fingerprint.fingerprints(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    """Rows that repeat an id stay, with the next row in order: other texts of the id by their hashes, equal rows one after the other."""
+    docs = spark.createDataFrame([(3, "p q r s t u"), (2, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (2, "g h i j k l m n o"), (1, "v w x y z a b c"), (None, "k"), (None, "")], "doc_id long, text string")
+    hashes = {r["text"]: r["x"] for r in docs.selectExpr("text", "xxhash64(text, doc_id) AS x").collect()}
+    given = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    wanted = []
+    for i, (d, text) in enumerate(given):
+        after, k = given[(i + 1) % len(given)][1], len(text) // 3
+        wanted.append((str(d), len(text), hashlib.sha256((text[: len(text) - k] + after[:k]).encode()).hexdigest(), text == after))
+    rows = fingerprint.fingerprints(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["near_next"] == 1.0) for r in rows) == sorted(wanted)
+    twins = [r for r in rows if r["doc_id"] == 2 and r["near_next"] == 1.0]
+    assert len(twins) == 2 and len(set(twins)) == 1
+    edited = fingerprint.fingerprints(spark.createDataFrame([(1, "a b c d e f"[:8] + "a b")], "doc_id long, text string")).collect()
+    assert twins[0]["edited_fingerprint"] == edited[0]["fingerprint"]
