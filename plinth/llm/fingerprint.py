@@ -28,6 +28,8 @@ from plinth.llm.common import stored
 SAMPLES, AT_ONCE = 32, 4
 #: Code points. Long strings are cut in pieces that overlap, so that no run is lost.
 RUN, PIECE = 16, 1000
+#: White space, and what is none.
+BLANKS, SIGN = r"[ \t-\r]+", r"[^ \t-\r]"
 
 
 #: A row is known by the hash of its id and that of its id and text: 128 bits. All joins go by both, so a text's rows stay where they are.
@@ -70,21 +72,21 @@ def sampled(terms: DataFrame) -> DataFrame:
 
 
 def terms_of(bodies: DataFrame) -> DataFrame:
-    """``bodies``: (..., body). The other columns and ``term``, a row for each occurrence."""
+    """``bodies``: (..., body). The other columns and ``term``, a row for each occurrence. Pieces of long strings
+    stand beside the strings with a blank before them, until they are taken apart into runs."""
     keys = [c for c in bodies.columns if c != "body"]
-    words = bodies.select(*keys, F.explode(F.split("body", r"[ \t-\r]+")).alias("word")).where("word != ''")
-    pieces = F.when(F.length("word") >= RUN, F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{1,{PIECE + RUN - 1}}})).{{1,{PIECE}}}"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    marked = F.concat(F.array(F.struct(F.col("word").alias("text"), F.lit(True).alias("whole"))), F.transform(pieces, lambda p: F.struct(p.alias("text"), F.lit(False).alias("whole"))))
-    each = words.select(*keys, F.explode(marked).alias("p")).select(*keys, "p.*")
-    return each.select(*keys, F.explode(F.when(F.col("whole"), F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{RUN}}}))."), F.lit(1)))).alias("term"))
+    pieces = F.regexp_extract_all("body", F.lit(f"(?=({SIGN}{{{RUN},{PIECE + RUN - 1}}})){SIGN}{{1,{PIECE}}}"), F.lit(1))
+    parts = bodies.select(*keys, F.explode(F.concat(F.split("body", BLANKS), F.transform(pieces, lambda p: F.concat(F.lit(" "), p)))).alias("part")).where("part != ''")
+    runs = F.regexp_extract_all(F.expr("substring(part, 2)"), F.lit(f"(?s)(?=(.{{{RUN}}}))."), F.lit(1))
+    return parts.select(*keys, F.explode(F.when(F.startswith("part", F.lit(" ")), runs).otherwise(F.array("part"))).alias("term"))
 
 
 def samples(bodies: DataFrame) -> DataFrame:
-    """``bodies``: (k, x, twin, side 0 or 1, body), a key's rows in one partition. Per key: ``own``, ``other`` and
+    """``bodies``: (k, x, twin, side 0, 1 or 2 for both, body), a key's rows in one partition. Per key: ``own``, ``other`` and
     ``twin_other``, arrays of the samples of sides 0 and 1, and of side 1 of the twin, in order (empty where there
     is none); keys without any term are left out."""
     terms = terms_of(bodies).select(*KEY, "twin", F.xxhash64("term").alias("h"), "side")
-    counted = terms.groupBy(*KEY, "twin", "h").agg(F.sum(F.expr("CAST(side = 0 AS BIGINT)")).alias("own"), F.sum(F.expr("CAST(side = 1 AS BIGINT)")).alias("other"))
+    counted = terms.groupBy(*KEY, "twin", "h").agg(F.sum(F.expr("CAST(side != 1 AS BIGINT)")).alias("own"), F.sum(F.expr("CAST(side != 0 AS BIGINT)")).alias("other"))
     logs = counted.select(*KEY, "twin", "h", *(F.expr(f"CASE WHEN {w} > 0 THEN ln(CAST({w} AS DOUBLE)) END").alias(f"ln_{w}") for w in ("own", "other")))
     groups = logs.select("*", F.explode(F.array(*map(F.lit, range(SAMPLES // AT_ONCE)))).alias("g"))
     least = sampled(groups).groupBy(*KEY, "twin", "g").agg(*(F.min(f"{w}_{j}").alias(f"{w}_{j}") for j in range(AT_ONCE) for w in ("own", "other")))
@@ -119,10 +121,12 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     heads = whole.select(F.col("before_k").alias("k"), F.col("before_x").alias("x"), F.expr("left(text, CAST(floor(before_n / 3) AS INT))").alias("head"))
     both = whole.select(*KEY, "id", "m", "next_k", "next_x", "text").join(heads, KEY)
     both = both.withColumn("n", F.length("text")).withColumn("third", F.expr("CAST(floor(n / 3) AS INT)"))
+    # What both texts begin with, up to its last white space, is taken apart once.
+    both = both.withColumn("same", F.regexp_extract(F.expr("left(text, n - third)"), r"(?s)^.*[ \t-\r]", 0)).withColumn("cut", F.length("same"))
     # Rows with one id and text have themselves as the next document but for the last one; theirs is the twin.
     body = lambda twin, side, text: F.struct(F.lit(twin).alias("twin"), F.lit(side).alias("side"), F.expr(text).alias("body"))
     last, again = "concat(left(text, n - third), head)", "concat(left(text, n - third), left(text, third))"
-    each = F.array(body(False, 0, "text"), body(False, 1, last))
+    each = F.array(body(False, 2, "same"), body(False, 0, "substring(text, cut + 1)"), body(False, 1, "concat(substring(text, cut + 1, n - third - cut), head)"))
     bodies = both.select(*KEY, F.explode(F.when(F.col("m") > 1, F.concat(each, F.array(body(True, 1, again)))).otherwise(each)).alias("b")).select(*KEY, "b.*")
     sha = lambda text: F.sha2(F.expr(text).cast("binary"), 256)
     facts = both.select(*KEY, "id", "m", "next_k", "next_x", F.col("n").cast("long").alias("n_chars"), sha(last).alias("sha"), F.when(F.col("m") > 1, sha(again)).alias("twin_sha"))
