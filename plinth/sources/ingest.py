@@ -7,6 +7,7 @@ import time
 import uuid
 import zipfile
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -17,12 +18,14 @@ from plinth.plans.analysed import renamed
 from plinth.plans.findings import Refused
 from plinth.sources.naming import to_phys
 
-#: Formats of dates, the shape of a date, and the share of rows that decides a column's type.
-_CLOCK = ("", " H:mm", " H:mm:ss")
-_ISO = ("yyyy-M-d HH:mm:ss", "yyyy-M-d HH:mm", "yyyy-M-d")
-#: Formats of dates, month first and day first, with slashes or dashes; the first that fits a value counts.
-MONTH_FIRST = (*_ISO, *(f"M{x}d{x}{y}{t}" for x in "/-" for y in ("yyyy", "yy") for t in _CLOCK))
-DAY_FIRST = (*_ISO, *(f"d{x}M{x}{y}{t}" for x in "/-" for y in ("yyyy", "yy") for t in _CLOCK))
+#: Parts of dates as patterns: a number of one or two digits behind zeros (19 digits at most), a year of four digits (or more, with a sign), the clock.
+_ZEROS = "0{0,17}"
+_MONTH, _DAY = rf"{_ZEROS}(0[1-9]|1[0-2]|[1-9])", rf"{_ZEROS}(0[1-9]|[12]\d|3[01]|[1-9])"
+_YEAR = r"(\d{4}|-(?!0000)\d{4,6}|\+\d{5,6})"
+_CLOCK = rf"(?:( ){_ZEROS}((?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?))?"
+ISO = rf"^{_YEAR}-{_MONTH}-{_DAY}( (?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?)?\z"
+#: Orders of month and day in dates with slashes or dashes, the shape of a date, and the share of rows that decides a column's type.
+MONTH_FIRST, DAY_FIRST = "month", "day"
 DATE_SHAPE = r"^\s*(\d{4}-\d{1,2}-\d{1,2}([ T].*)?|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}( .*)?)\s*$"
 MOSTLY = 0.95
 
@@ -65,18 +68,25 @@ def with_place(df: DataFrame, name: str = "_place") -> DataFrame:
         return df.withColumn(name, F.struct(at.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
 
 
-def number(c: Column) -> Column:
-    return F.regexp_replace(c, "[, ]", "").try_cast("double")
+#: What may read as a number; only that is handed to the cast, which makes an exception of each text that is none.
+NUMERAL = r"(?i)^[\x00-\x20]*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?[df]?|0x.*|nan|inf|infinity)[\x00-\x20]*$"
+NUMERAL_BEGINS, DATE_BEGINS = r"^[\x00-\x20,]*[+.\dNnIi-]", r"^[+-]?\d+[/-]"
 
 
-def date(c: Column, formats: Sequence[str]) -> Column:
-    """Years of two digits are those from 1969 to 2068."""
+def number(c: Column) -> Column:
+    plain = F.regexp_replace(c, "[, ]", "")
+    return F.when(c.rlike(NUMERAL_BEGINS) & plain.rlike(NUMERAL), plain.try_cast("double"))
 
-    def read(fmt: str) -> Column:
-        t = F.try_to_timestamp(F.trim(c), F.lit(fmt)).cast("timestamp_ntz")
-        return t if "yyyy" in fmt else F.when(F.year(t) > 2068, t - F.make_ym_interval(F.lit(100))).otherwise(t)
 
-    return F.coalesce(*map(read, formats)).cast("timestamp_ntz")
+def date(c: Column, first: str) -> Column:
+    """A date as year, month and day with dashes, else with month or day first, slashes or dashes and a year of four or two digits (those from 1969 to 2068);
+    all of them with or without a clock. Patterns bring each to the one form that Spark casts, so what is no date costs no exception."""
+    t = F.trim(c)
+    parts, month, day = (rf"{_MONTH}([/-]){_DAY}\2", 1, 3) if first == MONTH_FIRST else (rf"{_DAY}([/-]){_MONTH}\2", 3, 1)
+    years = ((_YEAR, ""), (r"(0\d|[1-5]\d|6[0-8])", "20"), (r"(69|[7-9]\d)", "19"))
+    patterns = [(rf"^{parts}{year}{_CLOCK}\z", rf"{century}$4-${month}-${day}$5$6") for year, century in years]
+    other = reduce(lambda found, x: found.when(t.rlike(x[0]), F.regexp_replace(t, *x)), patterns, F.when(F.lit(False), t))
+    return F.when(t.rlike(DATE_BEGINS), F.coalesce(F.when(t.rlike(ISO), F.regexp_replace(t, ISO, "$1-$2-$3$4")).try_cast("timestamp_ntz"), other.try_cast("timestamp_ntz")))
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -88,23 +98,24 @@ def typed(df: DataFrame) -> DataFrame:
     texts = [c for c, kind in df.dtypes if kind == "string"]
     if not texts:
         return df
+    # a row for each column, so the compiled step is as long for many columns as for one
+    each, col = df.select(F.posexplode(F.array(*(F.col(f"`{c}`") for c in texts))).alias("i", "x")), F.col("x")
     one = lambda what, c: F.count_if(what).alias(c)
-    counts = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(texts):
-        col = F.col(f"`{c}`")
-        counts += [F.count(col).alias(f"v{i}"), one(number(col).isNotNull(), f"n{i}"), one(col.rlike(DATE_SHAPE), f"s{i}"), one(date(col, MONTH_FIRST).isNotNull(), f"m{i}"), one(date(col, DAY_FIRST).isNotNull(), f"d{i}")]
-    found = df.agg(*counts).first()
+    counts = each.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count(col).alias("v"), one(number(col).isNotNull(), "number"), one(col.rlike(DATE_SHAPE), "shape"), one(date(col, MONTH_FIRST).isNotNull(), MONTH_FIRST), one(date(col, DAY_FIRST).isNotNull(), DAY_FIRST))
+    found = {r["i"]: r for r in counts.collect()}
+    if not found:
+        return df
     columns = []
     for c in df.columns:
         col = F.col(f"`{c}`")
         if c in texts:
-            i = texts.index(c)
-            as_date = date(col, DAY_FIRST if found[f"d{i}"] > found[f"m{i}"] else MONTH_FIRST)
-            if "DATE" in c.upper() and max(found[f"m{i}"], found[f"d{i}"]):
+            of = found[texts.index(c)]
+            as_date = date(col, DAY_FIRST if of[DAY_FIRST] > of[MONTH_FIRST] else MONTH_FIRST)
+            if "DATE" in c.upper() and max(of[MONTH_FIRST], of[DAY_FIRST]):
                 col = as_date
-            elif found[f"n{i}"] > MOSTLY * found["n"]:
+            elif of["number"] > MOSTLY * of["n"]:
                 col = number(col)
-            elif found[f"s{i}"] > MOSTLY * found[f"v{i}"]:
+            elif of["shape"] > MOSTLY * of["v"]:
                 col = as_date
         columns.append(col.alias(c))
     return df.select(*columns)
