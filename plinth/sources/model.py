@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from plinth.plans.findings import Refused
 from plinth.sources.naming import to_phys
@@ -88,12 +89,14 @@ def fan_out(frames: dict[str, DataFrame], plan: JoinPlan) -> dict[str, int]:
 
 
 def relations(frames: dict[str, DataFrame], plan: JoinPlan) -> DataFrame:
-    """A row for each relationship, in one pass over all of its tables: ``doubled``, the dimension's keys that occur more than once, and ``orphans``, rows
+    """A row for each relationship, in one pass over all of its tables and one exchange: ``doubled``, the dimension's keys that occur more than once, and ``orphans``, rows
     whose key no dimension's row has (null keys aside)."""
+    whole = all(isinstance(frames[t].schema[c].dataType, IntegralType) for e in plan.edges for t, c in ((e.parent, e.key), (e.child, e.child_key)))
     sides = []
     for i, e in enumerate(plan.edges):
-        key = lambda t, c: frames[t].select(F.lit(i).alias("edge"), F.col(f"`{c}`").cast("string").alias("key")).where("key IS NOT NULL")  # noqa: B023, E731
-        sides += [key(e.parent, e.key).groupBy("edge", "key").agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("held")), key(e.child, e.child_key).groupBy("edge", "key").agg(F.lit(0).cast("long").alias("rows"), F.count(F.lit(1)).alias("held"))]
+        for t, c, rows in ((e.parent, e.key, 1), (e.child, e.child_key, 0)):
+            key = F.col(f"`{c}`").cast("long" if whole else "string").alias("key")
+            sides.append(frames[t].select(F.lit(i).alias("edge"), key, F.lit(rows).cast("long").alias("rows"), F.lit(1 - rows).cast("long").alias("held")).where("key IS NOT NULL"))
     names = F.array(*(F.struct(F.lit(e.parent).alias("parent"), F.lit(e.child).alias("child")) for e in plan.edges))
     keys = reduce(DataFrame.unionAll, sides).groupBy("edge", "key").agg(F.sum("rows").alias("rows"), F.sum("held").alias("held"))
     found = keys.groupBy("edge").agg(F.count_if(F.col("held") > 1).alias("doubled"), F.coalesce(F.sum(F.when(F.col("held") == 0, F.col("rows"))), F.lit(0)).alias("orphans"))
