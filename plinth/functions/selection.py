@@ -64,8 +64,18 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str
     """A row for each group with a column for each of ``shares``, between the values at two ranks where a share falls between them.
     Null values don't count, and groups of nulls alone have no row; null keys are a group."""
     group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_one"))
+    made = selected(df, group, value, shares)
+    return made.select(*(F.col("_g")[k].alias(k) for k in keys), *shares)
+
+
+def selected(df: DataFrame, group: Column, value: str, shares: dict[str, float], into: Sequence[Column] = ()) -> DataFrame:
+    """(``_g``, a column for each of ``shares``). ``into``: structs of one type made of ``_g``; each row then counts in all of these groups, but its
+    value is written, and its digits are counted, once for all of them."""
+    wide = (lambda df: df.withColumn("_g", F.explode(F.array(*into)))) if into else (lambda df: df)
     rows = written(imaged(df.select(group.alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")))
     counts = rows.groupBy("_g", F.lit(0).cast("long").alias("_p"), _bits(0, BITS).alias("_d")).agg(F.count(F.lit(1)).alias("_k"))
+    if into:
+        counts = wide(counts).groupBy("_g", "_p", "_d").agg(F.sum("_k").alias("_k"))
     ranks = [F.struct(F.lit(f"{name}{side}").alias("want"), f(F.lit(p) * (F.col("_n") - 1)).cast("long").alias("rank")) for name, p in shares.items() for side, f in ((0, F.floor), (1, F.ceil))]
     sized = counts.withColumn("_n", F.sum("_k").over(Window.partitionBy("_g")))
     pairs = sized.select("*", F.explode(F.array(*ranks)).alias("x")).select("_g", "_p", "_d", "_k", "_n", "x.*")
@@ -80,7 +90,10 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str
             break
         more = WHOLE - done if most <= DIRECT else BITS
         small = F.broadcast if few else lambda df: df
-        near = rows.withColumn("_p", _bits(0, done)).join(small(want.select("_g", "_p").distinct()), ["_g", "_p"])
+        near = rows.withColumn("_p", _bits(0, done))
+        if into:  # first the rows near any rank, then each of them in its groups
+            near = wide(near.join(small(want.select("_p").distinct()), "_p", "left_semi"))
+        near = near.join(small(want.select("_g", "_p").distinct()), ["_g", "_p"])
         counts = near.groupBy("_g", "_p", _bits(done, more).alias("_d")).agg(F.count(F.lit(1)).alias("_k"))
         pairs = counts.join(small(want.drop("_k")), ["_g", "_p"])
     at = lambda n: F.max(F.when(F.col("want") == n, number(F.col("_p")))).alias(n)
@@ -90,4 +103,4 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str
         low, high, place = F.col(f"{name}0"), F.col(f"{name}1"), F.lit(p) * (F.col("_n") - 1)
         return F.when(low == high, low).otherwise(low + (high - low) * (place - F.floor(place)))
 
-    return made.select(*(F.col("_g")[k].alias(k) for k in keys), *(between(name, p).alias(name) for name, p in shares.items()))
+    return made.select("_g", *(between(name, p).alias(name) for name, p in shares.items()))

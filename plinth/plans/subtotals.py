@@ -1,7 +1,8 @@
 """Subtotals and grand totals of a view: grouping sets.
 
 Sums, counts, extremes and ratios come from the view's own groups: the facts are grouped once, and only these groups are laid out for each set.
-Distinct counts are made from the distinct values of each group, percentiles by radix selection for each set: neither can be summed up."""
+Distinct counts are made from the distinct values of each group, percentiles by radix selection for all sets together: neither can be summed up. Then
+the columns are written once, so the joins behind them are done once."""
 
 from __future__ import annotations
 
@@ -11,8 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.functions.selection import percentiles
+from plinth.functions.selection import selected
 from plinth.plans.findings import Refused
+from plinth.sources.shared import written
 
 Measure = tuple[str, ...]
 
@@ -44,6 +46,9 @@ def subtotals(df: DataFrame, dims: Sequence[str], measures: dict[str, Measure],
     rest = {n: m for n, m in measures.items() if n not in plain}
     if bad := [n for n, m in rest.items() if m[0] not in ("countd", "median", "percentile")]:
         raise Refused("measure-unresolved", f"no subtotals of {', '.join(bad)}")
+    df = df.select(*dict.fromkeys([*dims, *(c for m in measures.values() for c in (m[1:2] if m[0] == "percentile" else m[1:]))]))
+    if rest:  # read more than once
+        df = written(df)
     states = {"_rows": F.count(F.lit(1))}
     for m in plain.values():
         for c in m[1:]:
@@ -65,8 +70,8 @@ def subtotals(df: DataFrame, dims: Sequence[str], measures: dict[str, Measure],
             pairs = df.select(*dims, F.col(m[1]).alias("_v")).distinct()
             parts.append(_sets(pairs, dims, sets, **{n: F.countDistinct("_v")}))
         else:
-            share = 0.5 if m[0] == "median" else float(m[2])
-            each = [percentiles(df, list(s), m[1], {n: share}).select(F.struct(*(F.col(d) if d in s else F.lit(None).cast(df.schema[d].dataType).alias(d) for d in dims), F.lit(_level(dims, s)).alias("LEVEL")).alias("_g"), n) for s in sets]
-            parts.append(reduce(DataFrame.unionAll, each))
+            of = F.struct(*dims) if dims else F.struct(F.lit(0).alias("_one"))
+            into = [F.struct(*(F.col("_g")[d].alias(d) if d in s else F.lit(None).cast(df.schema[d].dataType).alias(d) for d in dims), F.lit(_level(dims, s)).alias("LEVEL")) for s in sets]
+            parts.append(selected(df, of, m[1], {n: 0.5 if m[0] == "median" else float(m[2])}, into))
     out = reduce(lambda a, b: a.join(b, "_g", "left"), parts)
     return out.select(*(F.col("_g")[d].alias(d) for d in dims), F.col("_g")["LEVEL"].alias("LEVEL"), *measures)

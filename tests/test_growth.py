@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from plinth.plans import subtotals
 from plinth.sources import ingest
 from plinth.sources.model import Edge, join_plan, relations
 
@@ -43,3 +44,15 @@ def test_relationships_are_checked_by_one_table_of_keys(spark):
     both = relations({"facts": facts, "whole": whole, "texts": texts}, join_plan(["facts", "whole", "texts"], [Edge("facts", "k", "whole", "id"), Edge("facts", "t", "texts", "id")]))
     assert sorted(map(tuple, numbers.collect())) == [("facts", "whole", 1, 1)]
     assert sorted(map(tuple, both.collect())) == [("facts", "texts", 0, 1), ("facts", "whole", 1, 1)]
+
+
+def test_subtotals_write_the_facts_once(spark):
+    """The facts were read for the groups, the pairs and the percentiles of each set: their joins ran as often, and each set wrote the values."""
+    rows = [(g, h, float(v)) for g, h, v in (("a", "x", 1), ("a", "y", 5), ("b", "x", 3), (None, "x", 7), ("a", "x", 2))]
+    seen = spark.sparkContext.accumulator(0)
+    spoken = F.udf(lambda v: seen.add(1) or v, "double")
+    df = spark.createDataFrame(rows, "g string, h string, v double").withColumn("v", spoken("v")).withColumn("w", F.col("v"))
+    found = subtotals.subtotals(df, ["g", "h"], {"n": ("rows",), "c": ("countd", "v"), "m": ("median", "v"), "s": ("sum", "w")}, subtotals.cube(["g", "h"])).collect()
+    want = {("a", "x", 0): 1.5, ("a", "y", 0): 5, ("b", "x", 0): 3, (None, "x", 0): 7, ("a", None, 1): 2, ("b", None, 1): 3, (None, None, 1): 7, (None, "x", 2): 2.5, (None, "y", 2): 5, (None, None, 3): 3}
+    assert {(r["g"], r["h"], r["LEVEL"]): r["m"] for r in found} == want and len(found) == len(want)
+    assert seen.value <= 2 * len(rows)  # of each row v and w
