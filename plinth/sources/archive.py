@@ -1,7 +1,7 @@
 """Packaged files (zip archives) as a data source: CSV members as rows, read where tasks run.
 
 A partition is a member of an archive. Members are chosen by name before anything is read: by the suffix or by a filter on ``member`` that
-Spark pushes down. A task opens the archive, seeks its member and reads it as a stream, so a member of any size passes in batches. Paths go through
+Spark pushes down; of members whose headers alone are asked for (``row = 0``) only the first row is read. A task opens the archive, seeks its member and reads it as a stream, so a member of any size passes in batches. Paths go through
 pyarrow's file systems; a store that these don't know is an error that says so."""
 
 from __future__ import annotations
@@ -51,11 +51,14 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, suffix: str, encoding: str) -> None:
         self.path, self.suffix, self.encoding = path, suffix.lower(), encoding
         self.tests: list[tuple[str, tuple[str, ...]]] = []
+        self.heads = False
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             kinds = {EqualTo: "is", StringStartsWith: "starts", StringEndsWith: "ends"}
-            if isinstance(f, In) and f.attribute == ("member",):
+            if isinstance(f, EqualTo) and f.attribute == ("row",) and f.value == 0:
+                self.heads = True
+            elif isinstance(f, In) and f.attribute == ("member",):
                 self.tests.append(("is", tuple(f.value)))
             elif type(f) in kinds and f.attribute == ("member",):
                 self.tests.append((kinds[type(f)], (f.value,)))
@@ -81,6 +84,8 @@ class ArchiveReader(DataSourceReader):
             first = 0
             for row in csv.reader(io.TextIOWrapper(raw, encoding=self.encoding, newline="")):
                 rows.append(row)
+                if self.heads:
+                    break
                 if len(rows) == ROWS:
                     yield self.batch(partition, first, rows)
                     first, rows = first + len(rows), []

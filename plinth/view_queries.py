@@ -212,9 +212,13 @@ def plain(sql: str):
     return add
 
 
+#: Rows of an archive after which a task begins another: a member is read by one task.
+PACKED = 100_000
+
+
 @plain("SELECT c_mktsegment AS SEGMENT, count(*) AS N, round(sum(c_acctbal), 2) AS S, max(c_name) AS LAST FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1")
 def src_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers packed by tasks into archives, a member for each segment; all but one segment are read again, by the members' names."""
+    """Customers packed by tasks into archives of bounded size, a member for each segment; all but one segment are read again, by the members' names."""
     rows, at = load(spark, sf_dir, "customer").select("c_mktsegment", "c_name", "c_acctbal"), folder(spark)
     target = at.removeprefix("file://").removeprefix("file:")
 
@@ -227,7 +231,15 @@ def src_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         import pyarrow as pa
 
+        def wrap(texts: dict[str, io.StringIO]) -> None:
+            os.makedirs(target, exist_ok=True)
+            with zipfile.ZipFile(f"{target}/{uuid.uuid4().hex}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+                for segment, out in texts.items():
+                    z.writestr(f"Data/{segment.lower()}.csv", out.getvalue())
+                z.writestr("book.xml", "<workbook/>")
+
         texts: dict[str, io.StringIO] = {}
+        held = made = 0
         for batch in batches:
             for r in batch.to_pylist():
                 out = texts.setdefault(r["c_mktsegment"], io.StringIO())
@@ -235,15 +247,16 @@ def src_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
                 if not out.tell():
                     w.writerow(["Segment", "Customer Name", "Account Balance"])
                 w.writerow([r["c_mktsegment"], r["c_name"], repr(r["c_acctbal"])])
+            held += batch.num_rows
+            if held >= PACKED:
+                wrap(texts)
+                texts, held, made = {}, 0, made + 1
         if texts:
-            os.makedirs(target, exist_ok=True)
-            with zipfile.ZipFile(f"{target}/{uuid.uuid4().hex}.zip", "w", zipfile.ZIP_DEFLATED) as z:
-                for segment, out in texts.items():
-                    z.writestr(f"Data/{segment.lower()}.csv", out.getvalue())
-                z.writestr("book.xml", "<workbook/>")
-        yield pa.RecordBatch.from_arrays([pa.array([len(texts)])], ["n"])
+            wrap(texts)
+            made += 1
+        yield pa.RecordBatch.from_arrays([pa.array([made])], ["n"])
 
-    rows.repartition(3, "c_mktsegment").mapInArrow(pack, "n long").agg(F.sum("n")).collect()
+    rows.mapInArrow(pack, "n long").agg(F.sum("n")).collect()
     listed = members(spark, at).where("row = 0").select("member").distinct().where(~F.col("member").contains("building"))
     found = ingest.typed(ingest.named(read_packaged(spark, at, [r[0] for r in listed.collect()])))
     return money(found.groupBy("SEGMENT").agg(A.records().alias("N"), F.sum("ACCOUNT_BALANCE").alias("S"), F.max("CUSTOMER_NAME").alias("LAST")), "S")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import time
+import zipfile
 
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
+from plinth import view_queries
 from plinth.plans import subtotals
-from plinth.sources import ingest
+from plinth.sources import archive, ingest
 from plinth.sources.model import Edge, join_plan, relations
+from plinth.sources.shared import folder
 
 
 def test_texts_that_are_no_dates_cost_no_exceptions(spark):
@@ -56,3 +60,30 @@ def test_subtotals_write_the_facts_once(spark):
     want = {("a", "x", 0): 1.5, ("a", "y", 0): 5, ("b", "x", 0): 3, (None, "x", 0): 7, ("a", None, 1): 2, ("b", None, 1): 3, (None, None, 1): 7, (None, "x", 2): 2.5, (None, "y", 2): 5, (None, None, 3): 3}
     assert {(r["g"], r["h"], r["LEVEL"]): r["m"] for r in found} == want and len(found) == len(want)
     assert seen.value <= 2 * len(rows)  # of each row v and w
+
+
+def test_headers_of_members_are_read_alone(tmp_path):
+    """Asked for headers, a task reads one row of its member (it read all, and Spark dropped the others)."""
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("a.csv", "x,y\n" * 5000)
+    reader = archive.ArchiveReader(str(tmp_path), ".csv", "utf-8")
+    assert list(reader.pushFilters([EqualTo(("row",), 0), EqualTo(("row",), 1)])) == [EqualTo(("row",), 1)]
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 1
+    reader = archive.ArchiveReader(str(tmp_path), ".csv", "utf-8")
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 5000
+
+
+def test_archives_have_bounded_members(spark, monkeypatch):
+    """A segment's rows went to one member, which one task reads."""
+    monkeypatch.setattr(view_queries, "PACKED", 40)
+    monkeypatch.setattr(view_queries, "folder", lambda spark, made=[]: made.append(folder(spark)) or made[-1])
+    sizes = []
+    plain = view_queries.members
+    monkeypatch.setattr(view_queries, "members", lambda spark, at: sizes.append(plain(spark, at).groupBy("archive").count().agg(F.count("*"), F.max("count")).first()) or plain(spark, at))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        found = view_queries.QUERIES["src_archive"](spark, "/root/testdata/sf0.001").agg(F.sum("N")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sizes[0][0] > 3 and sizes[0][1] <= 40 + 5
+    assert found == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_mktsegment <> 'BUILDING'").count()
