@@ -2,7 +2,9 @@
 
 All levels that a view asks for lie in a lattice of sets of dimensions. The facts are grouped once by all of these dimensions
 together, into states (rows, sum, count, least, greatest of each column), which are written. Every level is then made from the
-states of the smallest level made before that contains its dimensions, the finest levels first, and joined to where it is used.
+states of the smallest level made before that contains its dimensions, the finest levels first, and joined to where it is used. A column counted
+by distinct values would make nearly a state of each row, so its values are no dimension of the states: the facts' columns are
+written once, and the distinct values of a level come from these.
 
 A FIXED or EXCLUDE value is there on each row of the facts, so what aggregates it weighs groups by their rows. An INCLUDE value belongs to its
 group, which counts once. Null dimensions are groups like others."""
@@ -67,14 +69,17 @@ class Lattice:
 
     states: dict[frozenset[str], DataFrame]
     columns: frozenset[str]
+    facts: DataFrame
 
     @classmethod
-    def over_facts(cls, df: DataFrame, finest: frozenset[str], columns: set[str]) -> Lattice:
-        """The one scan: states by all dimensions together, written."""
+    def over_facts(cls, df: DataFrame, finest: frozenset[str], columns: set[str], distinct: set[str]) -> Lattice:
+        """The one scan: states by all dimensions together, written; with columns counted by distinct values the facts are written before."""
+        if distinct:
+            df = written(df.select(*sorted(finest | columns | distinct)))
         states = [F.count(F.lit(1)).alias("_rows")]
         for c in sorted(columns):
             states += [F.sum(c).alias(f"_sum_{c}"), F.count(c).alias(f"_count_{c}"), F.min(c).alias(f"_min_{c}"), F.max(c).alias(f"_max_{c}")]
-        return cls({finest: written(df.groupBy(*sorted(finest)).agg(*states))}, frozenset(columns))
+        return cls({finest: written(df.groupBy(*sorted(finest)).agg(*states))}, frozenset(columns), df)
 
     def at(self, keys: frozenset[str]) -> DataFrame:
         if keys not in self.states:
@@ -88,7 +93,8 @@ class Lattice:
     def value(self, agg: str, column: str, keys: frozenset[str]) -> DataFrame:
         """(keys, ``_v``)."""
         if agg == "countd":
-            return self.at(keys | {column}).groupBy(*sorted(keys)).agg(F.count(column).alias("_v"))
+            pairs = self.facts.select(*sorted(keys | {column})).distinct()
+            return pairs.groupBy(*sorted(keys)).agg(F.count(column).alias("_v"))
         found = {"avg": F.try_divide(F.col(f"_sum_{column}"), F.col(f"_count_{column}"))}.get(agg, F.col(f"_{agg}_{column}"))
         return self.at(keys).select(*sorted(keys), found.alias("_v"))
 
@@ -124,8 +130,8 @@ def view(df: DataFrame, dims: Sequence[str], **measures: tuple[str, str | Level]
     around = frozenset(dims)
     needs = [_needs(spec, agg, around) for agg, spec in measures.values()]
     levels, columns, distinct = (set().union(*(n[i] for n in needs)) for i in range(3))
-    finest = frozenset().union(around, *levels, distinct)
-    lattice = Lattice.over_facts(df, finest, columns)
+    finest = frozenset().union(around, *levels)
+    lattice = Lattice.over_facts(df, finest, columns, distinct)
     for keys in sorted(levels, key=lambda k: (-len(k), sorted(k))):
         lattice.at(keys)
     out = lattice.at(around).select(*dims)
@@ -139,7 +145,7 @@ def at_rows(df: DataFrame, level: Level, name: str, context: Sequence[str] = ())
     """A level's value beside each row of the facts."""
     around = frozenset(context)
     levels, columns, distinct = _needs(level, "avg", around)
-    finest = frozenset().union(*levels, distinct)
-    lattice = Lattice.over_facts(df, finest, columns)
+    finest = frozenset().union(*levels)
+    lattice = Lattice.over_facts(df, finest, columns, distinct)
     keys, values = lattice.level(level, around)
     return _matched(df, values, sorted(keys)).withColumnRenamed("_v", name)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
 
 from plinth import view_queries
+from plinth.functions import levels
 from plinth.plans import subtotals
 from plinth.sources import archive, ingest
 from plinth.sources.model import Edge, join_plan, relations
@@ -87,3 +88,13 @@ def test_archives_have_bounded_members(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sizes[0][0] > 3 and sizes[0][1] <= 40 + 5
     assert found == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_mktsegment <> 'BUILDING'").count()
+
+
+def test_values_counted_apart_are_no_dimension_of_the_states(spark, monkeypatch):
+    """With them nearly each row of the facts was a state, held by the tasks that grouped them."""
+    df = spark.createDataFrame([("r", "a", 1, 1.0), ("r", "a", 2, 1.0), ("r", "a", None, 1.0), ("r", "b", 2, 5.0), (None, "c", 2, 5.0), (None, "c", 2, 5.0)], "r string, c string, p int, v double")
+    made, plain = [], levels.Lattice.over_facts.__func__
+    monkeypatch.setattr(levels.Lattice, "over_facts", classmethod(lambda cls, *args: made.append(args[1]) or plain(cls, *args)))
+    found = levels.view(df, ["r"], D=("max", levels.include(["c"], "countd", "p")), S=("avg", levels.include(["c"], "sum", "v")), N=("countd", "p")).collect()
+    assert sorted(map(tuple, found), key=str) == [("r", 2, 4.0, 2), (None, 1, 10.0, 1)] or sorted(map(tuple, found), key=str) == [(None, 1, 10.0, 1), ("r", 2, 4.0, 2)]
+    assert made == [frozenset({"r", "c"})]
