@@ -81,13 +81,27 @@ def order_match(one: DataFrame, two: DataFrame, grain: Sequence[str], order: str
 
 
 def _side_by_side(sources: dict[str, DataFrame], grain: Sequence[str], measures: Sequence[str], place: str | None) -> DataFrame:
-    """A row for each key with a column for each source: its first row, number of rows and whether the key is empty, null where it lacks the key. All sources meet
-    in one exchange."""
-    sides, kinds = [], {g: next(iter(sources.values())).schema[g].dataType for g in grain}
+    """A row for each key with a column for each source: its first row, number of rows and whether the key is empty, null where it lacks the key. The rows of all
+    sources are aggregated together, in one exchange with a row for each key that a task has. Where the place is a number its states are of fixed size, so they are
+    hashed, not sorted."""
+    rows, kinds, made, sides = [], {g: next(iter(sources.values())).schema[g].dataType for g in grain}, [], []
+    fields = [f"m{i}" for i in range(len(measures))]
     for s, df in sources.items():
-        side = keyed(df.withColumns({g: F.col(g).cast(k) for g, k in kinds.items()}), grain, measures, place)
-        sides.append(side.select("_key", F.lit(s).alias("_source"), F.struct(F.col("_first.values").alias("values"), F.col("_n").alias("n"), F.col("_empty").alias("empty")).alias("_side")))
-    return reduce(DataFrame.unionAll, sides).groupBy("_key").agg(*(F.max(F.when(F.col("_source") == s, F.col("_side"))).alias(s) for s in sources))
+        values = F.struct(*(decimal(F.col(f"`{m}`")).alias(n) for m, n in zip(measures, fields, strict=True)))
+        at = values if place is None else F.col(place)
+        empty = reduce(Column.__or__, [F.col(g).isNull() | (F.col(g).cast("string") == "") for g in grain], F.lit(False))
+        df = df.withColumns({g: F.col(g).cast(k) for g, k in kinds.items()})
+        rows.append(df.select(F.struct(*grain).alias("_key"), F.lit(s).alias("_source"), values.alias("_values"), at.alias(f"_at_{s}"), empty.alias("_empty")))
+        mine = F.col("_source") == s
+        if place is not None and isinstance(df.schema[place].dataType, NumericType):
+            made += [F.min_by(F.col("_values")[n], F.col(f"_at_{s}")).alias(f"_{n}_{s}") for n in fields]
+            first = F.struct(*(F.col(f"_{n}_{s}").alias(n) for n in fields))
+        else:
+            made.append(F.min_by("_values", F.col(f"_at_{s}")).alias(f"_values_{s}"))
+            first = F.col(f"_values_{s}")
+        made += [F.count_if(mine).alias(f"_n_{s}"), F.max(F.when(mine, F.col("_empty"))).alias(f"_empty_{s}")]
+        sides.append(F.when(F.col(f"_n_{s}") > 0, F.struct(first.alias("values"), F.col(f"_n_{s}").alias("n"), F.col(f"_empty_{s}").alias("empty"))).alias(s))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).groupBy("_key").agg(*made).select("_key", *sides)
 
 
 def _cells(grid: DataFrame, have: Sequence[str], measures: Sequence[str], tolerances: dict[str, Decimal]) -> list[Column]:

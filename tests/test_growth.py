@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import time
 import zipfile
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
 
 from plinth import view_queries
 from plinth.functions import levels
+from plinth.operators import reconcile
 from plinth.plans import subtotals
 from plinth.sources import archive, ingest
 from plinth.sources.model import Edge, join_plan, relations
@@ -98,3 +100,18 @@ def test_values_counted_apart_are_no_dimension_of_the_states(spark, monkeypatch)
     found = levels.view(df, ["r"], D=("max", levels.include(["c"], "countd", "p")), S=("avg", levels.include(["c"], "sum", "v")), N=("countd", "p")).collect()
     assert sorted(map(tuple, found), key=str) == [("r", 2, 4.0, 2), (None, 1, 10.0, 1)] or sorted(map(tuple, found), key=str) == [(None, 1, 10.0, 1), ("r", 2, 4.0, 2)]
     assert made == [frozenset({"r", "c"})]
+
+
+def test_sources_are_compared_in_one_exchange(spark):
+    """Each source had an exchange of its own, all of which one task read at once, and sorted the rows of each."""
+    rows = spark.createDataFrame([(1, 5.0, 0), (1, 7.0, 1), (2, 3.0, 2), (None, 1.0, 3)], "k int, v double, at long")
+    sources = {"reference": rows, "app": rows.withColumn("at", -F.col("at")), "backend": rows.where("k = 1 OR k IS NULL")}
+    cells = reconcile.compare(sources, ["k"], ["v"], {"v": Decimal("0.005")}, place="at")
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+    want = {(1, 5, 7, 5, "FAIL"), (2, 3, 3, None, "FAIL"), (None, 1, 1, 1, "PASS")}
+    assert {(r["k"], r["reference"], r["app"], r["backend"], r["status"]) for r in cells.collect()} == want
+    for place in (None, "at"):  # by the least measures, and by a place of two parts
+        placed = {s: df.withColumn("at", F.struct(F.lit("f").alias("file"), F.col("at").alias("row"))) for s, df in sources.items()}
+        found = reconcile.compare(placed, ["k"], ["v"], {"v": Decimal("0.005")}, place=place).collect()
+        assert {(r["k"], r["reference"], r["app"], r["backend"], r["status"]) for r in found} == (want if place else {(1, 5, 5, 5, "PASS"), (2, 3, 3, None, "FAIL"), (None, 1, 1, 1, "PASS")})
