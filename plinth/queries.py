@@ -20,6 +20,7 @@ from plinth.plans.measures import measure
 from plinth.plans.semantic import Model
 from plinth.sources import ingest
 from plinth.sources.model import Edge, blend, flatten, join_plan, needed
+from plinth.sources.shared import spread
 from plinth.streaming.events import windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,21 +56,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 MADE = {"QUANTITY": ("CAST(l_quantity AS BIGINT)", ["l_quantity"]), "PROFIT": (PROFIT, ["l_extendedprice", "l_discount", "l_quantity", "p_retailprice"])}
 
 
-def sales(spark: SparkSession, sf_dir: str, columns: Sequence[str] = (*SALES, *MADE)) -> DataFrame:
-    """The snowflake of line items as one table with the sheets' names, joined as far as ``columns`` need."""
+def sales(spark: SparkSession, sf_dir: str, columns: Sequence[str] = (*SALES, *MADE), *, by_order: bool = False) -> DataFrame:
+    """The snowflake of line items as one table with the sheets' names, joined as far as ``columns`` need. ``by_order``: line items dealt by their orders
+    over tasks of bounded size, for views with a row for nearly each of them."""
     frames, plan = {t: load(spark, sf_dir, t) for t in TABLES}, join_plan(TABLES, EDGES)
+    if by_order:
+        frames["lineitem"] = spread(frames["lineitem"], "l_orderkey")
     wanted = [x for c in columns for x in ([SALES[c]] if c in SALES else MADE[c][1])]
     wide = flatten(frames, needed(frames, plan, wanted), wanted)
     return wide.select(*(F.col(SALES[c]).alias(c) if c in SALES else F.expr(MADE[c][0]).alias(c) for c in columns))
 
 
-def query(sql: str, *also: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
+def query(sql: str, *also: str, by_order: bool = False) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
     """Register a view of the sales table, and its SQL over ``sales``. The view reads the columns that its SQL
     names, and ``also``."""
     columns = [c for c in (*SALES, *MADE) if c in also or re.search(rf"\b{c}\b", sql)]
 
     def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(sales(spark, sf_dir, columns))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(sales(spark, sf_dir, columns, by_order=by_order))
         ORACLE_SQL[f.__name__] = f"{WITH}{sql}" if sql.lstrip().startswith(",") else f"{WITH} {sql}"
         return f
 

@@ -173,7 +173,7 @@ def fn_regexp(df: DataFrame) -> DataFrame:
 
 
 @query("""SELECT DISTINCT ORDER_ID, CAST(floor(DISCOUNT * 100 + 0.5) AS BIGINT) AS I, CASE WHEN FLAG = 'A' THEN NULL ELSE DISCOUNT END AS FL, CAST(ORDER_DATE AS DATE) AS D, FLAG = 'R' AS B, CAST(date_trunc('day', ORDER_DATE) AS TIMESTAMP) AS P,
-make_timestamp(1899, 12, 30, hour(ORDER_DATE), minute(ORDER_DATE), 0.0) AS TM, make_timestamp(year(ORDER_DATE), month(ORDER_DATE), 1, 3, 4, 5.0) AS MD, CAST(SHIP_DATE AS DATE) AS TODAY, SHIP_DATE AS NOW FROM sales""")
+make_timestamp(1899, 12, 30, hour(ORDER_DATE), minute(ORDER_DATE), 0.0) AS TM, make_timestamp(year(ORDER_DATE), month(ORDER_DATE), 1, 3, 4, 5.0) AS MD, CAST(SHIP_DATE AS DATE) AS TODAY, SHIP_DATE AS NOW FROM sales""", by_order=True)
 def fn_casts(df: DataFrame) -> DataFrame:
     """Casts of a table's values written as texts, some of them no numbers, and dates from parts, texts and a clock that is a column."""
     o, clock = F.col("ORDER_DATE"), F.col("SHIP_DATE")

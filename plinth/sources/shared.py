@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that one task holds of a table that is dealt by ``spread``.
+SPREAD = 1 << 19
+
 
 def folder(spark: SparkSession) -> str:
     """The name of a new folder below spark.checkpoint.dir. Where that is unset, a local session gets a local one, and on a
@@ -25,3 +28,11 @@ def written(df: DataFrame) -> DataFrame:
     at, schema = folder(df.sparkSession), df.schema
     df.write.parquet(at)
     return df.sparkSession.read.schema(schema).parquet(at)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by its key over a task for each SPREAD rows, which are counted; if that makes no more tasks than run at once it stays as it is. Joins and
+    groups by the key keep to that number, so what one of their tasks holds doesn't grow with the table: else Spark gives a task so many bytes of
+    packed rows, however many these are."""
+    tasks = -(-df.count() // SPREAD)
+    return df.repartition(tasks, key) if tasks > df.sparkSession.sparkContext.defaultParallelism else df

@@ -9,11 +9,11 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
 
-from plinth import view_queries
+from plinth import rule_queries, view_queries
 from plinth.functions import levels
 from plinth.operators import reconcile
 from plinth.plans import subtotals
-from plinth.sources import archive, ingest
+from plinth.sources import archive, ingest, shared
 from plinth.sources.model import Edge, join_plan, relations
 from plinth.sources.shared import folder
 
@@ -115,3 +115,11 @@ def test_sources_are_compared_in_one_exchange(spark):
         placed = {s: df.withColumn("at", F.struct(F.lit("f").alias("file"), F.col("at").alias("row"))) for s, df in sources.items()}
         found = reconcile.compare(placed, ["k"], ["v"], {"v": Decimal("0.005")}, place=place).collect()
         assert {(r["k"], r["reference"], r["app"], r["backend"], r["status"]) for r in found} == (want if place else {(1, 5, 5, 5, "PASS"), (2, 3, 3, None, "FAIL"), (None, 1, 1, 1, "PASS")})
+
+
+def test_rows_of_orders_are_dealt_over_tasks_of_bounded_size(spark, monkeypatch):
+    """Spark's size of a task is one of packed bytes, so a task of the casts held the more rows the larger the table was."""
+    monkeypatch.setattr(shared, "SPREAD", 300)
+    found = rule_queries.QUERIES["fn_casts"](spark, "/root/testdata/sf0.001")
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 500 and sum(sizes) == found.count() > 5000
