@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from plinth.llm import language_id, queries, toxicity, url_filter
 
@@ -264,3 +266,44 @@ def test_toxicity_draws_again_where_texts_are_too_long(spark):
     labels = spark.createDataFrame([(i, int(i >= 9000)) for i, _ in rows], "doc_id long, toxic int")
     found = toxicity.chosen(labels, docs, None, "doc_id", "text", "toxic", 100, 10_000)
     assert [sum(r["_y"] == y for r in found) for y in (0, 1)] == [100, 100]
+
+
+def test_trees_learn_from_all_urls(spark):
+    """All of a table's pages have labels, and all labelled URLs count (about 24,000 pages and 20,000 URLs did); how the rows are dealt changes nothing."""
+    pages = spark.range(26_000).select(F.format_string("http://h%d.com/%d", F.col("id") % 50, "id").alias("url"), F.lit("<p>short</p>").alias("html"))
+    assert url_filter.page_labels(pages).count() == 26_000
+    odd = F.when(F.col("id") % 1000 == 7, F.format_string("http://x.rare/%d?q=1", "id")).otherwise(F.format_string("http://h%d.com/%d", F.col("id") % 50, "id"))
+    labelled = spark.range(30_000).select(odd.alias("url"), F.when((F.col("id") % 1000 == 7) | (F.col("id") % 50 == 3), "block").otherwise("allow").alias("verdict"))
+    labelled = labelled.unionAll(labelled.limit(5000)).unionAll(spark.createDataFrame([(None, "block"), ("http://h.com/", "none")], "url string, verdict string"))
+    model = url_filter.train(labelled.repartition(3), trees=4)
+    assert model.share == (30 + 600) / 30_000
+    rare = zlib.crc32(b"rare") % url_filter.PLACES
+    assert model.suffixes[0, rare] == pytest.approx((30 + 20 * model.share) / (30 + 20))
+    again = url_filter.train(labelled.repartition(7), trees=4)
+    assert (again.split == model.split).all() and (again.bound == model.bound).all() and (again.leaf == model.leaf).all()
+    odds = model.odds(model.inputs(pa.array(["http://x.rare/8?q=1", "http://h3.com/77", "http://h4.com/77"])))
+    assert min(odds[:2]) > odds[2]
+
+
+def test_counted_trees_are_those_of_all_rows_at_once(spark, monkeypatch):
+    """The trees of ``train``, by tasks and with their sums stored in between, give each node the derivatives of its rows."""
+    monkeypatch.setattr(url_filter, "TASK_ROWS", 100)
+    monkeypatch.setattr(url_filter, "FRESH", 2)
+    rng = np.random.default_rng(4)
+    urls = [f"http://{'x-' * int(rng.integers(4))}{i}.org/{'a' * int(rng.integers(30))}?{i % 7}" for i in range(500)]
+    y = np.array([float(u.count("-") > 1 or len(u) % 5 == 0) for u in urls])
+    model = url_filter.train(spark.createDataFrame([(u, "block" if v else "allow") for u, v in zip(urls, y, strict=True)], "url string, verdict string").repartition(6), trees=5, depth=2)
+    fold = np.array([zlib.crc32(u.encode()) % url_filter.FOLDS for u in urls])
+    numbers, places = url_filter.features(pa.array(urls))
+    counts = np.zeros((url_filter.KINDS, url_filter.PLACES, url_filter.FOLDS, 2))
+    for p, k, v in zip(places % url_filter.PLACES, fold, y, strict=True):
+        counts[range(4), p, k] += (1, v)
+    x, odds = url_filter._inputs(numbers, places, fold, url_filter._apart(counts, y.mean(), 20.0)[1]), np.full(500, model.base)
+    for split, bound, leaf in zip(model.split, model.bound, model.leaf, strict=True):
+        node = np.zeros(500, int)
+        for _ in range(2):
+            node = 2 * node + 1 + (x[np.arange(500), split[node]] > bound[node])
+        p = 1 / (1 + np.exp(-odds))
+        want = np.array([-0.2 * (p - y)[node == k].sum() / ((p * (1 - p))[node == k].sum() + 1) for k in range(3, 7)])
+        assert np.allclose(leaf, want, atol=1e-4)
+        odds += leaf[node - 3]
