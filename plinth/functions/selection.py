@@ -22,17 +22,19 @@ DIRECT = 1 << 20
 FEW = 1 << 17
 
 
-def imaged(rows: DataFrame) -> DataFrame:
-    """``rows``: (_g, _v double). (_g, ``_u``): the bits of the number as a long whose unsigned order is that of the numbers; -0.0 is 0.0,
+def imaged(rows: DataFrame, value: str = "_v") -> DataFrame:
+    """``rows`` with ``_u`` for ``value``: the bits of the number as a long whose unsigned order is that of the numbers; -0.0 is 0.0,
     NaN the greatest, null stays null. Step by step, so that each expression is made once."""
-    sized = rows.select("_g", "_v", F.abs("_v").alias("_x"), F.when(F.abs("_v") < float("inf"), F.floor(F.log2(F.abs("_v")))).cast("int").alias("_e"))
+    others = [c for c in rows.columns if c != value]
+    rows = rows.select(*others, F.col(value).cast("double").alias("_v"))
+    sized = rows.select("*", F.abs("_v").alias("_x"), F.when(F.abs("_v") < float("inf"), F.floor(F.log2(F.abs("_v")))).cast("int").alias("_e"))
     # the exponent from the logarithm, put right where that was rounded to a neighbouring power
     exact = sized.withColumn("_e", F.expr("CASE WHEN pow(2D, _e) > _x THEN _e - 1 WHEN _e < 1023 AND pow(2D, _e + 1) <= _x THEN _e + 1 ELSE _e END"))
     size = F.expr(
         "CASE WHEN isnan(_v) THEN 9218868437227405313L WHEN _x = double('infinity') THEN 9218868437227405312L WHEN _x < 2.2250738585072014E-308D THEN CAST(_x * pow(2D, 537) * pow(2D, 537) AS BIGINT) "
         "ELSE (_e + 1023L) * 4503599627370496L + CAST((_x / pow(2D, _e) - 1) * 4503599627370496D AS BIGINT) END"
     )
-    return exact.select("_g", "_v", size.alias("_u")).select("_g", F.expr("CASE WHEN _v < 0 THEN -_u ELSE _u END ^ (-9223372036854775807L - 1)").alias("_u"))
+    return exact.select(*others, "_v", size.alias("_u")).select(*others, F.expr("CASE WHEN _v < 0 THEN -_u ELSE _u END ^ (-9223372036854775807L - 1)").alias("_u"))
 
 
 def number(bits: Column) -> Column:
@@ -68,11 +70,15 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str
     return made.select(*(F.col("_g")[k].alias(k) for k in keys), *shares)
 
 
-def selected(df: DataFrame, group: Column, value: str, shares: dict[str, float], into: Sequence[Column] = ()) -> DataFrame:
+def selected(df: DataFrame, group: Column, value: str, shares: dict[str, float], into: Sequence[Column] = (), *, images: bool = False) -> DataFrame:
     """(``_g``, a column for each of ``shares``). ``into``: structs of one type made of ``_g``; each row then counts in all of these groups, but its
-    value is written, and its digits are counted, once for all of them."""
+    value is written, and its digits are counted, once for all of them. ``images``: the values of ``df`` are
+    those of ``imaged``, none of them null, and read from a table as it was written, so they are not written again."""
     wide = (lambda df: df.withColumn("_g", F.explode(F.array(*into)))) if into else (lambda df: df)
-    rows = written(imaged(df.select(group.alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")))
+    if images:
+        rows = df.select(group.alias("_g"), F.col(value).alias("_u"))
+    else:
+        rows = written(imaged(df.select(group.alias("_g"), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")))
     counts = rows.groupBy("_g", F.lit(0).cast("long").alias("_p"), _bits(0, BITS).alias("_d")).agg(F.count(F.lit(1)).alias("_k"))
     if into:
         counts = wide(counts).groupBy("_g", "_p", "_d").agg(F.sum("_k").alias("_k"))

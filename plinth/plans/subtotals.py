@@ -2,7 +2,10 @@
 
 Sums, counts, extremes and ratios come from the view's own groups: the facts are grouped once, and only these groups are laid out for each set.
 Distinct counts are made from the distinct values of each group, percentiles by radix selection for all sets together: neither can be summed up. Then
-the columns are written once, so the joins behind them are done once."""
+the columns are written once, so the joins behind them are done once.
+
+Facts whose dimensions hang on a key of theirs (an order's customer) may be ``folded`` by that key before their dimensions are joined: states, and the values of
+percentiles as lists of their images. Then one exchange by the key moves them, and no join with a large dimension moves them again."""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.functions.selection import selected
+from plinth.functions.selection import imaged, selected
 from plinth.plans.findings import Refused
 from plinth.sources.shared import written
 
@@ -39,21 +42,50 @@ def _sets(df: DataFrame, dims: Sequence[str], sets: Sequence[Sequence[str]], **m
     return found.select(F.struct(*dims, "LEVEL").alias("_g"), *made)
 
 
-def subtotals(df: DataFrame, dims: Sequence[str], measures: dict[str, Measure], sets: Sequence[Sequence[str]]) -> DataFrame:
+PLAIN = ("sum", "avg", "min", "max", "count", "rows", "ratio")
+
+
+def _states(measures: dict[str, Measure]) -> dict[str, tuple[str, str | None]]:
+    """What the measures that can be summed up are made from: name to aggregate and column."""
+    states: dict[str, tuple[str, str | None]] = {"_rows": ("count", None)}
+    for kind, *columns in (m for m in measures.values() if m[0] in PLAIN):
+        for c in columns:
+            states |= {f"_{k}_{c}": (k, c) for k in {"avg": ("sum", "count"), "ratio": ("sum",)}.get(kind, (kind,))}
+    return states
+
+
+AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+
+def folded(df: DataFrame, keys: Sequence[str], measures: dict[str, Measure]) -> DataFrame:
+    """A row for each of the keys (null is one), for ``subtotals(..., fold=True)`` once the dimensions are joined. Columns of distinct counts must be joined, too, or be keys.
+    A key's values are one row's, so keys are to be such that few rows share one."""
+    lists = {m[1]: f"_all_{m[1]}" for m in measures.values() if m[0] in ("median", "percentile")}
+    for c, n in lists.items():
+        df = imaged(df.withColumn(n, F.col(c)), n).withColumnRenamed("_u", n)
+    made = [AGGREGATES[k](F.lit(1) if c is None else F.col(c)).alias(n) for n, (k, c) in _states(measures).items()]
+    return df.groupBy(*keys).agg(*made, *(F.collect_list(n).alias(n) for n in lists.values()))
+
+
+def subtotals(df: DataFrame, dims: Sequence[str], measures: dict[str, Measure], sets: Sequence[Sequence[str]], *, fold: bool = False) -> DataFrame:
     """``measures``: name to (sum, avg, min, max or count, column), (rows,), (ratio, column, column), (countd, column), (median, column) or
-    (percentile, column, share). A row for each group of each set: dimensions that are summed over are null, and ``LEVEL`` has a bit for each."""
-    plain = {n: m for n, m in measures.items() if m[0] in ("sum", "avg", "min", "max", "count", "rows", "ratio")}
+    (percentile, column, share). A row for each group of each set: dimensions that are summed over are null, and ``LEVEL`` has a bit for each.
+    ``fold``: the rows are those of ``folded``, with their dimensions."""
+    plain = {n: m for n, m in measures.items() if m[0] in PLAIN}
     rest = {n: m for n, m in measures.items() if n not in plain}
     if bad := [n for n, m in rest.items() if m[0] not in ("countd", "median", "percentile")]:
         raise Refused("measure-unresolved", f"no subtotals of {', '.join(bad)}")
-    df = df.select(*dict.fromkeys([*dims, *(c for m in measures.values() for c in (m[1:2] if m[0] == "percentile" else m[1:]))]))
+    states = _states(measures)
+    if fold:
+        df = df.select(*dict.fromkeys([*dims, *states, *(m[1] if m[0] == "countd" else f"_all_{m[1]}" for m in rest.values())]))
+    else:
+        df = df.select(*dict.fromkeys([*dims, *(c for m in measures.values() for c in (m[1:2] if m[0] == "percentile" else m[1:]))]))
     if rest:  # read more than once
         df = written(df)
-    states = {"_rows": F.count(F.lit(1))}
-    for m in plain.values():
-        for c in m[1:]:
-            states |= {f"_sum_{c}": F.sum(c), f"_count_{c}": F.count(c)} if m[0] not in ("min", "max") else {f"_{m[0]}_{c}": {"min": F.min, "max": F.max}[m[0]](c)}
-    groups = df.groupBy(*dims).agg(*(c.alias(n) for n, c in states.items()))
+    if fold:
+        groups = df.groupBy(*dims).agg(*((F.sum if k == "count" else AGGREGATES[k])(n).alias(n) for n, (k, _) in states.items()))
+    else:
+        groups = df.groupBy(*dims).agg(*(AGGREGATES[k](F.lit(1) if c is None else F.col(c)).alias(n) for n, (k, c) in states.items()))
 
     def value(m: Measure) -> Column:
         if m[0] == "rows":
@@ -72,6 +104,7 @@ def subtotals(df: DataFrame, dims: Sequence[str], measures: dict[str, Measure],
         else:
             of = F.struct(*dims) if dims else F.struct(F.lit(0).alias("_one"))
             into = [F.struct(*(F.col("_g")[d].alias(d) if d in s else F.lit(None).cast(df.schema[d].dataType).alias(d) for d in dims), F.lit(_level(dims, s)).alias("LEVEL")) for s in sets]
-            parts.append(selected(df, of, m[1], {n: 0.5 if m[0] == "median" else float(m[2])}, into))
+            values = df.select(*dims, F.explode(f"_all_{m[1]}").alias(m[1])) if fold else df
+            parts.append(selected(values, of, m[1], {n: 0.5 if m[0] == "median" else float(m[2])}, into, images=fold))
     out = reduce(lambda a, b: a.join(b, "_g", "left"), parts)
     return out.select(*(F.col("_g")[d].alias(d) for d in dims), F.col("_g")["LEVEL"].alias("LEVEL"), *measures)

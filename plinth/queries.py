@@ -67,6 +67,21 @@ def sales(spark: SparkSession, sf_dir: str, columns: Sequence[str] = (*SALES, *M
     return wide.select(*(F.col(SALES[c]).alias(c) if c in SALES else F.expr(MADE[c][0]).alias(c) for c in columns))
 
 
+def orders_with(spark: SparkSession, sf_dir: str, columns: Sequence[str], fold: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """What ``fold`` makes of line items with equal keys, these being ORDER_ID, beside those of ``columns`` that hang on the order. Customers and what hangs on them are
+    joined to orders, and only these to line items, which one exchange by their orders moves; ``sales`` moves them for each dimension too large to be broadcast. Line items
+    without an order, however many, are no group: some thousands at a time are folded."""
+    tables, frames = [t for t in TABLES if t not in ("lineitem", "part")], {t: load(spark, sf_dir, t) for t in TABLES}
+    heads = {c: SALES[c] for c in columns if c in SALES and SALES[c] in {n for t in tables for n in frames[t].columns}}
+    lines = sales(spark, sf_dir, ["ORDER_ID", *(c for c in columns if c not in heads and c != "ORDER_ID")])
+    plan = join_plan(tables, [e for e in EDGES if e.parent in tables])
+    orders = flatten(frames, needed(frames, plan, list(heads.values())), ["o_orderkey", *heads.values()])
+    orders = orders.select(F.col("o_orderkey").alias("_order"), *(F.col(c).alias(n) for n, c in heads.items()))
+    known = fold(lines.where("ORDER_ID IS NOT NULL"), ["ORDER_ID"]).join(orders, F.col("ORDER_ID") == F.col("_order"), "left").drop("_order")
+    stray = fold(lines.where("ORDER_ID IS NULL").withColumn("_some", F.shiftright(F.monotonically_increasing_id(), 12)), ["ORDER_ID", "_some"]).drop("_some")
+    return known.unionByName(stray, allowMissingColumns=True)
+
+
 def query(sql: str, *also: str, by_order: bool = False) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
     """Register a view of the sales table, and its SQL over ``sales``. The view reads the columns that its SQL
     names, and ``also``."""

@@ -13,7 +13,7 @@ from plinth.operators import reconcile
 from plinth.operators.sets import sets
 from plinth.operators.topn import leaders
 from plinth.plans import subtotals
-from plinth.queries import EDGES, ORACLE_SQL, QUERIES, WITH, load, money, query, sales, total
+from plinth.queries import EDGES, ORACLE_SQL, QUERIES, WITH, Query, load, money, orders_with, query, sales, total
 from plinth.sources import crosstab, ingest
 from plinth.sources.archive import members, read_packaged
 from plinth.sources.model import join_plan, relations
@@ -93,20 +93,19 @@ round(median(SALES), 4) AS ME, round(sum(PROFIT) / sum(SALES), 8) AS R FROM sale
 SHOWN: dict[str, subtotals.Measure] = {"N": ("rows",), "S": ("sum", "SALES"), "A": ("avg", "SALES"), "D": ("max", "DISCOUNT"), "C": ("countd", "CUSTOMER_NAME"), "ME": ("median", "SALES"), "R": ("ratio", "PROFIT", "SALES")}
 
 
-def _subtotals(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
-    return money(money(money(subtotals.subtotals(df, ["REGION", "SEGMENT"], SHOWN, sets), "S"), "A", "D", "ME", digits=4), "R", digits=8)
+def _subtotals(sets: list[tuple[str, ...]]) -> Query:
+    """Line items folded by their orders: region, segment and customer are the order's."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        facts = orders_with(spark, sf_dir, ["REGION", "SEGMENT", "CUSTOMER_NAME", "SALES", "DISCOUNT", "PROFIT"], lambda lines, keys: subtotals.folded(lines, keys, SHOWN))
+        return money(money(money(subtotals.subtotals(facts, ["REGION", "SEGMENT"], SHOWN, sets, fold=True), "S"), "A", "D", "ME", digits=4), "R", digits=8)
 
-@query(SUBTOTALS.format("ROLLUP (REGION, SEGMENT)"))
-def agg_rollup(df: DataFrame) -> DataFrame:
-    """Subtotals of each region and the grand total, also of what can't be summed up."""
-    return _subtotals(df, subtotals.rollup(["REGION", "SEGMENT"]))
+    return run
 
 
-@query(SUBTOTALS.format("CUBE (REGION, SEGMENT)"))
-def agg_cube(df: DataFrame) -> DataFrame:
-    """Subtotals of rows and of columns."""
-    return _subtotals(df, subtotals.cube(["REGION", "SEGMENT"]))
+# subtotals of each region and the grand total, also of what can't be summed up; then of rows and of columns
+QUERIES |= {"agg_rollup": _subtotals(subtotals.rollup(["REGION", "SEGMENT"])), "agg_cube": _subtotals(subtotals.cube(["REGION", "SEGMENT"]))}
+ORACLE_SQL |= {"agg_rollup": f"{WITH} {SUBTOTALS.format('ROLLUP (REGION, SEGMENT)')}", "agg_cube": f"{WITH} {SUBTOTALS.format('CUBE (REGION, SEGMENT)')}"}
 
 
 @query("SELECT SEGMENT, STATUS, round(quantile_cont(SALES, 0.25), 4) AS Q1, round(median(SALES), 4) AS ME, round(quantile_cont(SALES, 0.75), 4) AS Q3, round(quantile_cont(SALES, 0.999), 4) AS P FROM sales GROUP BY ALL")

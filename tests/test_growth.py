@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
 
 from plinth import rule_queries, view_queries
-from plinth.functions import levels
+from plinth.functions import levels, selection
 from plinth.operators import reconcile
 from plinth.plans import subtotals
+from plinth.queries import orders_with
 from plinth.sources import archive, ingest, shared
 from plinth.sources.model import Edge, join_plan, relations
 from plinth.sources.shared import folder
@@ -65,6 +66,41 @@ def test_subtotals_write_the_facts_once(spark):
     assert seen.value <= 2 * len(rows)  # of each row v and w
 
 
+def test_folded_facts_have_the_same_subtotals(spark):
+    """Of keys without dimensions, of nulls, NaN and dimensions whose rows meet."""
+    rows = [(1, 2.0, 0.5), (1, None, 0.1), (2, -3.5, None), (2, float("nan"), 0.3), (3, 8.0, 0.2), (None, 4.0, 0.9), (None, -0.0, None), (4, None, None)]
+    facts, heads = spark.createDataFrame(rows, "k int, v double, w double"), spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "x"), (4, "b", "z")], "k int, g string, c string")
+    measures = {"N": ("rows",), "S": ("sum", "v"), "A": ("avg", "w"), "L": ("min", "w"), "H": ("max", "v"), "K": ("count", "w"), "R": ("ratio", "w", "v"), "C": ("countd", "c"), "M": ("median", "v"), "P": ("percentile", "w", "0.3")}
+    plain = subtotals.subtotals(facts.join(heads, "k", "left"), ["g"], measures, [("g",), ()])
+    found = subtotals.subtotals(subtotals.folded(facts, ["k"], measures).join(heads, "k", "left"), ["g"], measures, [("g",), ()], fold=True)
+    shown = lambda df: sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    assert found.columns == plain.columns and len(shown(plain)) == 4 and shown(found) == shown(plain)
+
+
+def test_subtotals_move_and_write_orders_not_line_items(spark, tmp_path, monkeypatch):
+    """Each line item was shuffled for each dimension too large to be broadcast, then written twice; those without an order must not become one row."""
+    for t in ("orders", "part", "customer", "nation", "region"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    lost = spark.range(20_000).select(F.lit(None).cast("long").alias("l_orderkey"), F.lit(1).cast("long").alias("l_partkey"), F.lit(1.0).alias("l_quantity"), F.col("id").cast("double").alias("l_extendedprice"), F.lit(0.5).alias("l_discount"))
+    items.unionByName(lost, allowMissingColumns=True).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    kept, plain = [], shared.written
+    for module in (subtotals, selection):
+        monkeypatch.setattr(module, "written", lambda df: kept.append(plain(df)) or kept[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {(r["REGION"], r["SEGMENT"], r["LEVEL"]): r for r in view_queries.QUERIES["agg_rollup"](spark, str(tmp_path)).collect()}
+        facts = orders_with(spark, str(tmp_path), ["REGION", "SALES"], lambda df, keys: df.groupBy(*keys).agg(F.sum("SALES").alias("S")))
+        plan = facts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[None, None, 3]["N"] == items.count() + 20_000 and found[None, None, 0]["N"] == 20_000 and found[None, None, 0]["ME"] == 9999.5
+    facts, *others = (df for df in kept if "_all_SALES" in df.columns or "SALES" in df.columns or "_u" in df.columns)
+    orders = items.select("l_orderkey").distinct().count()
+    assert not others and orders < facts.count() <= orders + 8 and facts.agg(F.max(F.size("_all_SALES"))).first()[0] <= 4096
+    assert plan.count("Exchange hashpartitioning(ORDER_ID") == 2 and "Exchange hashpartitioning(o_custkey" in plan  # the known's and the stray's only
+
+
 def test_headers_of_members_are_read_alone(tmp_path):
     """Asked for headers, a task reads one row of its member (it read all, and Spark dropped the others)."""
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
